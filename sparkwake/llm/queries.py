@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwake.llm import packing, toxicity, warc
+from sparkwake.llm import neardup, packing, toxicity, warc
 from sparkwake.llm.common import table
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -21,5 +25,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op6_warc": op6_warc, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
+QUERIES = {"op3_minhash": op3_minhash, "op6_warc": op6_warc, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
 ORACLE_SQL: dict[str, str] = {}
