@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwake.llm import neardup, packing, toxicity, warc
+from sparkwake.llm import neardup, packing, secrets, toxicity, warc
 from sparkwake.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op6_warc": op6_warc, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
+QUERIES = {"op3_minhash": op3_minhash, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
 ORACLE_SQL: dict[str, str] = {}
