@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwake.llm import neardup, packing, secrets, toxicity, warc
+from sparkwake.llm import htmltext, neardup, packing, secrets, toxicity, warc
 from sparkwake.llm.common import table
 
 
@@ -29,5 +29,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op3_minhash": op3_minhash, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html}
 ORACLE_SQL: dict[str, str] = {}
