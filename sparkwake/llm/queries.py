@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkwake.llm import htmltext, neardup, packing, secrets, toxicity, warc
+from sparkwake.llm import ann, htmltext, neardup, packing, secrets, toxicity, warc
 from sparkwake.llm.common import table
 
 
@@ -12,6 +13,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -33,5 +39,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html}
+QUERIES = {"op3_minhash": op3_minhash, "op4_ann": op4_ann, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html}
 ORACLE_SQL: dict[str, str] = {}
