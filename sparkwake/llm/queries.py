@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwake.llm import ann, decontam, htmltext, neardup, packing, secrets, toxicity, warc
+from sparkwake.llm import ann, decontam, htmltext, licenses, neardup, packing, secrets, toxicity, warc
 from sparkwake.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_licenses", F.array_join("licenses", ",").alias("licenses"), F.array_join("spans", ",").alias("spans"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -43,5 +48,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_decontam": op2_decontam, "op3_minhash": op3_minhash, "op4_ann": op4_ann, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html}
+QUERIES = {"op2_decontam": op2_decontam, "op3_minhash": op3_minhash, "op4_ann": op4_ann, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html}
 ORACLE_SQL: dict[str, str] = {}
