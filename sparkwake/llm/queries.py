@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwake.llm import ann, decontam, htmltext, licenses, neardup, packing, secrets, toxicity, warc
+from sparkwake.llm import ann, decontam, htmltext, licenses, neardup, packing, quality, secrets, toxicity, warc
 from sparkwake.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +52,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_decontam": op2_decontam, "op3_minhash": op3_minhash, "op4_ann": op4_ann, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op2_decontam": op2_decontam, "op3_minhash": op3_minhash, "op4_ann": op4_ann, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html}
 ORACLE_SQL: dict[str, str] = {}
