@@ -18,6 +18,7 @@ is carried through; an empty table gives no rows. Columns besides doc_id and tex
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -41,28 +42,70 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class WordTokenizer:
     """Ids of whole texts as little-endian uint32, put together from the ids of their words.
 
-    Only for tokenizers whose tokens never span white space and never depend on it, as in vocabularies that
-    drop white space; remembers at most `keep` words.
+    Only for tokenizers whose tokens never span white space, drop it, fold case, and part letters from the rest,
+    as in vocabularies with word ends; remembers at most `keep` words. New words of letters are encoded as one
+    line, which costs less than a call for each.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of, self.known, self.keep = Tokenizer.from_file(path), {}, keep
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > self.keep and known:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
+    def _alone(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 10_000):
+            some = words[lo : lo + 10_000]
             for w, e in zip(some, self.of.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
+                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        cores = {w: w.rstrip(b".,;:!?") for w in new}
+        parts = [c for c in {*cores.values(), *new} - known.keys() if c]
+        letters, others = [], []
+        for w, u in zip(parts, b"\n".join(parts).decode().split("\n"), strict=True):
+            if u.isalpha():
+                letters.append(w)
+            else:
+                others.append((w, u))
+        line = b" ".join(letters).decode()
+        if not unicodedata.is_normalized("NFC", line) or not line.lower().replace(" ", "a").isalpha():
+            self._alone(letters)  # a letter that folding takes apart
+            letters = []
+        for lo in range(0, len(letters), 5_000):
+            some = letters[lo : lo + 5_000]
+            e = self.of.encode(b" ".join(some).decode(), add_special_tokens=False)
+            cuts = (4 * np.flatnonzero(np.diff(np.asarray(e.word_ids, np.int64), prepend=-1))).tolist()
+            raw = np.asarray(e.ids, "<u4").tobytes()
+            if len(cuts) != len(some):
+                self._alone(some)
+                continue
+            cuts.append(len(raw))
+            known.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        # Closing punctuation is parted from a letter before it.
+        whole, tails = [], {}
+        for w, u in others:
+            core = cores.get(w, w)
+            if core in known and len(core) < len(w) and u[len(u) - (len(w) - len(core)) - 1].isalpha():
+                tails.setdefault(w[len(core) :], []).append((w, core))
+            else:
+                whole.append(w)
+        self._alone(whole)
+        for tail, some in tails.items():
+            end = np.asarray(self.of.encode(tail.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            for w, core in some:
+                known[w] = known[core] + end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        split = [t.split() if b"<|" in t else t.lower().split() for t in raw]  # special tokens keep their case
+        new = set().union(*split)
+        if len(self.known) + len(new) > self.keep:
+            self.known.clear()
+        self._learn({w for w in new if w not in self.known})
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
