@@ -39,6 +39,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _ends_in_letter(raw: bytes, text: str) -> bool:
+    """Whether a word ends in a letter once it is normalised and folded."""
+    return raw[-1:].isalpha() or raw[-1] > 127 and unicodedata.normalize("NFC", text).lower()[-1:].isalpha()
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian uint32, put together from the ids of their words.
 
@@ -87,7 +92,7 @@ class WordTokenizer:
         whole, tails = [], {}
         for w, u in others:
             core = cores.get(w, w)
-            if core in known and len(core) < len(w) and u[len(u) - (len(w) - len(core)) - 1].isalpha():
+            if core in known and len(core) < len(w) and _ends_in_letter(core, u[: len(u) - len(w) + len(core)]):
                 tails.setdefault(w[len(core) :], []).append((w, core))
             else:
                 whole.append(w)
