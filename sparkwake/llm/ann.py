@@ -37,7 +37,7 @@ from sparkwake.llm.common import materialize
 class Settings:
     k: int = 20
     projections: int = 65  # rounded up to whole groups of orthogonal directions
-    width: float = 0.18  # half a window's width as a share of the radius
+    width: float = 1.45  # half a window's width, in standard deviations of the projections of a vector as long as the radius
     threshold: float = 0.83  # share of the projections in whose windows a vector must fall
     first_radius: float = 0.6  # times the largest norm
     growth: float = 1.12
@@ -62,6 +62,7 @@ class Index:
         self.ids, self.vectors, self.norm, self.s = ids, vectors, norm, s
         spare = np.sqrt(np.maximum(norm**2 - (vectors**2).sum(1), 0))
         self.a = directions(vectors.shape[1] + 1, s)
+        self.width = s.width / math.sqrt(len(self.a))
         values = (vectors @ self.a[:-1] + spare[:, None] * self.a[-1]).T.astype(np.float32)
         self.order = np.argsort(values, axis=1, kind="stable")
         self.sorted = np.take_along_axis(values, self.order, 1)
@@ -74,7 +75,7 @@ class Index:
         scaled = queries * (self.norm / own)[:, None]
         at = (scaled @ self.a[:-1]).astype(np.float32)
         radii = [s.first_radius * self.norm]
-        while radii[-1] < 2.1 * self.norm / min(1.0, s.width):
+        while radii[-1] < 2.1 * self.norm / min(1.0, self.width):
             radii.append(radii[-1] * s.growth)
         bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         least = max(1, math.ceil(s.threshold * m))
@@ -82,7 +83,7 @@ class Index:
 
         def windows(t: int) -> tuple[np.ndarray, np.ndarray]:
             if t not in bounds:
-                half = np.float32(radii[t] * s.width)
+                half = np.float32(radii[t] * self.width)
                 lo, hi = np.empty((len(at), m), np.int32), np.empty((len(at), m), np.int32)
                 for j in range(m):
                     lo[:, j] = np.searchsorted(self.sorted[j], at[:, j] - half, "left")
