@@ -38,7 +38,7 @@ def exfiltration(flows: DataFrame) -> DataFrame:
     ratio = F.col("bytes_out") / F.greatest(F.col("bytes_total"), F.lit(1))
     level = F.when(F.col("bytes_out") > 1_000_000, 3).when(F.col("bytes_out") > 100_000, 2).when(F.col("bytes_out") > 10_000, 1)
     level = F.when(level.isNotNull() & (ratio > 0.7), F.greatest(level, F.lit(2))).otherwise(level)
-    return t.withColumn("severity", F.element_at(F.array(*map(F.lit, SEVERITY)), level + 1))
+    return t.withColumn("severity", F.when(level == 3, "High").when(level == 2, "Medium").when(level == 1, "Low"))
 
 
 def asymmetric(flows: DataFrame) -> DataFrame:
