@@ -69,7 +69,7 @@ class WordTokenizer:
         cores = {w: w.rstrip(b".,;:!?") for w in new}
         parts = [c for c in {*cores.values(), *new} - known.keys() if c]
         letters, others = [], []
-        for w, u in zip(parts, b"\n".join(parts).decode().split("\n"), strict=True):
+        for w, u in zip(parts, b"\n".join(parts).decode().split("\n") if parts else [], strict=True):
             if u.isalpha():
                 letters.append(w)
             else:
