@@ -8,11 +8,15 @@ sketch. Inverted lists of the retained values tell which sets can be alike:
   which two sets of the wanted similarity share but for a chance of about 1e-9 (six standard deviations);
 * each list has a leader, the member whose values are shared most, and each member is paired with the leaders of
   its lists, its best leader first; a group of thousands of near copies so takes thousands of pairs, not millions;
-* what is still in different components is paired list by list over the rarest values, as many as the pigeonhole
-  principle asks for, so no link between components is lost.
-
-Pairs whose union sketch estimates a similarity too far below the wanted one go; the rest is verified on full
-sets. Components come from contraction: each node joins its least neighbour, in the order of its random key, until
+* what is still in different components meets in pools. Two sets with a link share a list among those of their
+  rarest values, as many as the pigeonhole principle asks for; a list whose members are in several components goes
+  to the pool of the component that most of them are in. In a pool, its members of other components are held
+  against all others on full sets, block against block, and one link between two components suffices. So no link
+  between components is lost, and no pairs are written out.
+
+Before the leaders, sets of which too few shingles occur in other sets that went on to reach the wanted similarity
+with any of them go, by counts over full sets. Pairs with leaders whose union sketch estimates a similarity too far
+below the wanted one go; the rest is verified on full sets. Components come from contraction: each node joins its least neighbour, in the order of its random key, until
 no link is left; nothing of this is gathered on the driver.
 
 Defined results: null or empty text, or one of white space only, has an empty set and is linked with nothing;
@@ -40,6 +44,8 @@ class Settings:
     percent: int = 75  # 100 * intersection >= percent * union
     k: int = 64
     sigmas: float = 6.0
+    block: int = 140  # sets of a pool in a block
+    block_shingles: int = 500_000  # and shingles, unless a single set has more
 
     @property
     def floor(self) -> float:
@@ -91,7 +97,7 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """node, members (the sorted set as bytes), one row for each of nodes (node, doc_id of one row that has the set)."""
+    """node, members (the sorted set), one row for each of nodes (node, doc_id of one row that has the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -101,11 +107,13 @@ def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
                 u = shingles(t.as_py(), hasher, s.words)
                 if _key(u) == node.as_py():  # a repeated doc_id can bring another text
                     keys.append(node.as_py())
-                    sets.append(u.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["node", "members"])
+                    sets.append(u)
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], names=["node", "members"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(nodes.select("doc_id", "node"), "doc_id")
-    return rows.select("text", "node").mapInArrow(run, "node binary, members binary").dropDuplicates(["node"])
+    return rows.select("text", "node").mapInArrow(run, "node binary, members array<long>").dropDuplicates(["node"])
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -125,7 +133,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -
         for batch in batches:
             hit = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("ma"), batch.column("mb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 hit[i] = 100 * both >= s.percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(hit))
@@ -172,23 +180,35 @@ def classes(docs: DataFrame, s: Settings | None = None) -> tuple[DataFrame, Data
     least = F.floor(F.lit(s.floor) * F.least(F.col("n_shingles"), F.lit(s.k))).cast("int")
     stats = kept.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("df").alias("weight"), F.first("n_shingles").alias("n_shingles")).where(F.col("c") >= F.greatest(least, F.lit(1)))
     stats = materialize(stats.withColumn("least", F.greatest(least, F.lit(1))), "stats")
-    chosen = nodes.join(stats.select("node"), "node", "left_semi")
-    chosen = materialize(chosen, "chosen")
+    chosen = materialize(nodes.join(stats.select("node"), "node", "left_semi"), "chosen")
     sets = materialize(full_sets(docs, chosen, s), "sets")
-    lists = materialize(kept.select("node", "value", "df").join(stats.select("node", "c", "weight", "least"), "node"), "lists")
+    stats = materialize(stats.join(_possible(sets, s), "node", "left_semi"), "stats")
+    lists = kept.select("node", "value").join(stats.select("node", "n_shingles", "least"), "node")
+    again = lists.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lists = materialize(lists.join(again, "value"), "lists")
+    counts = lists.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("df").alias("weight"))
+    lists = materialize(lists.join(counts, "node").where("c >= least"), "lists")
     rank = F.struct((F.col("c") / F.lit(s.k)).alias("share"), "weight", F.col("node").alias("leader"))
-    leaders = lists.groupBy("value").agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1").select("value", "top.leader")
-    leaders = materialize(leaders, "leaders")
+    leaders = materialize(lists.groupBy("value").agg(F.max(rank).alias("top")).select("value", "top.leader"), "leaders")
     star = lists.join(leaders, "value").where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     star = materialize(star, "star")
     best = star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("top")).select("a", "top.b")
     labels = contract(verified(best, chosen, sets, s), None, "near")
     rest = star.select("a", "b").join(best, ["a", "b"], "left_anti")
     labels = contract(verified(materialize(_apart(rest, labels), "pairs"), chosen, sets, s), labels, "near")
-    labels = contract(verified(materialize(_residual(lists, labels), "pairs"), chosen, sets, s), labels, "near")
+    labels = contract(_pooled(lists, labels, sets, s), labels, "near")
     return rows, chosen, labels
 
 
+def _possible(sets: DataFrame, s: Settings) -> DataFrame:
+    """The nodes of sets of which enough shingles occur in others of sets for a link."""
+    values = sets.select(F.xxhash64("node").alias("key"), F.explode("members").alias("value"))  # equal keys only keep more
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("value")
+    counts = values.join(shared, "value").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    sized = sets.select("node", F.xxhash64("node").alias("key"), F.size("members").alias("n"))
+    return sized.join(counts, "key").where(100 * F.col("c") >= s.percent * F.col("n")).select("node")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs of nodes that are in different components so far."""
     for x in ("a", "b"):
@@ -196,18 +216,51 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("la <> lb").select("a", "b")
 
 
-def _residual(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs from different components that meet in a list of one of the rarest values of both.
+def _pooled(lists: DataFrame, labels: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between nodes that are in different components so far: at least one for each two components that are linked.
 
     Of two nodes with c and c' shared values that have at least `least` in common, the c - least + 1 rarest of one
     meet the c' - least' + 1 rarest of the other, least being the smaller of the two.
     """
     rare = lists.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))).where("at <= c - least + 1")
-    own = rare.join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
-    mixed = own.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    own = materialize(own.join(mixed, "value", "left_semi"), "rare")
-    other = own.select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return own.select("value", F.col("node").alias("a"), F.col("label").alias("la")).join(other, "value").where("a < b and la <> lb").select("a", "b").distinct()
+    own = materialize(rare.join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label")), "rare")
+    tally = own.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
+    pools = tally.groupBy("value").agg(F.max(F.struct("n", F.col("label").alias("pool"))).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("value", "top.pool")
+    members = own.join(pools, "value").groupBy("pool", "node").agg(F.first("label").alias("label"))
+    members = materialize(members.join(sets.select("node", F.size("members").alias("size")), "node").withColumn("asks", F.col("label") != F.col("pool")), "pools")
+    blocks = lambda n, total: F.greatest(F.ceil(n / s.block), F.ceil(total / s.block_shingles), F.lit(1)).cast("int")
+    count, total = F.count_if("asks"), F.sum(F.when(F.col("asks"), F.col("size")).otherwise(0))
+    sizes = members.groupBy("pool").agg(blocks(count, total).alias("nx"), blocks(F.count(F.lit(1)), F.sum("size")).alias("ny"))
+    sized = members.join(sizes, "pool").join(sets, "node")
+    part = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["pool", "x", "y", "node", "label", "members"]
+    asking = sized.where("asks").withColumn("x", part("nx", 1)).withColumn("y", every("ny")).select(*columns).toDF(*columns)
+    asked = sized.withColumn("y", part("ny", 2)).withColumn("x", every("nx")).select(*columns)
+
+    def meet(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        found: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+        if len(xs) and len(ys):
+            column = ys.column("members").combine_chunks()
+            size = column.value_lengths().to_numpy(zero_copy_only=False)
+            values, owner = column.flatten().to_numpy(), np.repeat(np.arange(len(ys)), size)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            nodes, labels = ys.column("node").to_pylist(), ys.column("label").to_pylist()
+            for node, label, own in zip(xs.column("node").to_pylist(), xs.column("label").to_pylist(), xs.column("members").combine_chunks(), strict=True):
+                u = own.values.to_numpy()
+                lo, hi = np.searchsorted(values, u, "left"), np.searchsorted(values, u, "right")
+                n = hi - lo
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                both = np.bincount(owner[at], minlength=len(ys))
+                for k in np.flatnonzero(100 * both >= s.percent * (len(u) + size - both)):
+                    if labels[k] != label:
+                        found.setdefault((min(label, labels[k]), max(label, labels[k])), (node, nodes[k]))
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in found.values()], schema)
+
+    keys = ["pool", "x", "y"]
+    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, s: Settings | None = None) -> DataFrame:
