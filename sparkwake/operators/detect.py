@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from sparkwake.functions.net import is_external, is_internal, root_domain
 
 SEVERITY = ("Info", "Low", "Medium", "High", "Critical")
-#: Ports and words that rules look for (fixed values).
-SUSPICIOUS_PORTS = (4444, 5555, 6666, 6667, 1337, 31337, 8888, 9999, 12345, 54321)
+#: Ports that rules look for (fixed values).
+SUSPICIOUS_PORTS = (4444, 5555, 6666, 7777, 8888, 9999, 1337, 31337, 12345, 54321, 3389, 5900, 5985, 5986, 2222, 8443, 8080, 1080, 9090)
 ADMIN_PORTS = (445, 139, 3389, 22, 23, 5985, 5986, 135, 593)
-C2_PATHS = ("/gate.php", "/panel/", "/beacon", "/c2", "/cmd", "/shell", "/upload.php", "/bot")
-SCRIPT_AGENTS = ("curl", "wget", "python", "go-http", "powershell", "java/", "perl", "ruby", "nikto", "sqlmap", "nmap", "masscan")
 
 
 def rank(severity: Column) -> Column:

@@ -71,7 +71,7 @@ def lateral_targets(spark, sf_dir):
     return detect.lateral(flows(spark, sf_dir))
 
 
-@query(f"WITH {FLOWS} SELECT flow_id, dst_ip, dst_port FROM flows WHERE {_OUT} AND dst_port IN (4444,5555,6666,6667,1337,31337,8888,9999,12345,54321)")
+@query(f"WITH {FLOWS} SELECT flow_id, dst_ip, dst_port FROM flows WHERE {_OUT} AND dst_port IN (4444,5555,6666,7777,8888,9999,1337,31337,12345,54321,3389,5900,5985,5986,2222,8443,8080,1080,9090)")
 def suspicious_ports(spark, sf_dir):
     return detect.suspicious_ports(flows(spark, sf_dir)).select("flow_id", "dst_ip", "dst_port")
 

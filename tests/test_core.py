@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwake.functions import codec, net, text
-from sparkwake.operators import detect, dissect, export, flows, reassembly, search
+from sparkwake.operators import detect, dissect, export, flows, reassembly, rules, search
 from sparkwake.sources import capture
 from sparkwake.streaming import alerts
 
@@ -156,3 +156,14 @@ def test_against_sql(spark, name):
     assert sorted(a.columns) == sorted(b.columns)
     rows = lambda x: sorted(map(str, x[sorted(x.columns)].itertuples(index=False, name=None)))
     assert rows(a) == rows(b) and len(a)
+
+
+def test_protocol_rules(spark):
+    tx = spark.createDataFrame([("POST", "/gate.php", None, "curl/8", 200_000, 5), ("GET", "/", "h", "Mozilla/5.0 (X)", 0, 2_000_000)], "method string, uri string, host string, user_agent string, request_size long, response_size long")
+    hello = spark.createDataFrame([("f", "client", 0x0301, None, next(iter(rules.BAD_JA3)))], "flow_id string, hello string, version int, sni string, ja3 string")
+    names = spark.createDataFrame([("a" * 61, "A", 3, None)] * 6, "name string, type string, rcode int, data string")
+    found = [r.rule for r in rules.registry(http=tx, tls=hello, dns=names).collect()]
+    assert sorted(set(found)) == sorted({"scripted_agent", "large_post", "c2_path", "post_without_host", "large_download", "bad_ja3", "no_sni", "old_tls", "long_name", "nxdomain"})
+    assert found[0] == "bad_ja3"
+    iocs = rules.indicators(names, tx, spark.createDataFrame([("x",)], "body_sha256 string")).collect()
+    assert {(r.kind, r.confidence) for r in iocs} == {("Domain", 0.7), ("UserAgent", 0.7), ("UserAgent", 0.2), ("FileHash", 0.4)}
