@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,9 @@ _SLICE = 16
 class Settings:
     share: float = 0.6
     cosine: float = 0.3
-    telling: int = 2
+    telling: int = 4
     items: int = 240  # in a block
-    rank: int = 256  # of the latent space, at most the items of a block and some more
+    rank: int = 96  # of the latent space
     seed: int = 5
 
 
@@ -71,7 +72,7 @@ class Items:
     def __post_init__(self) -> None:
         self.words = [words_of(t) for t in self.texts]
         need = [math.ceil(self.s.share * len(w)) for w in self.words]
-        spread, least = Counter(w for ws in self.words for w in set(ws)), max(3, len(self.words) // 20)
+        spread, least = Counter(w for ws in self.words for w in set(ws)), 2
         lost, frequent = [0] * len(self.words), set()
         held = [Counter(w) for w in self.words]
         for w, n in sorted(spread.items(), key=lambda x: (-x[1], x[0])):
@@ -146,14 +147,12 @@ class Items:
 def _hits(texts: list[str], vocabulary: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; and of each telling word its text's number, place and number."""
     split = [words_of(t) for t in texts]
-    doc, place, number = [], [], []
-    for d, ws in enumerate(split):
-        if not vocabulary.keys().isdisjoint(ws):
-            found = [(p, vocabulary[w]) for p, w in enumerate(ws) if w in vocabulary]
-            doc += [d] * len(found)
-            place += [p for p, _ in found]
-            number += [v for _, v in found]
-    return split, np.array(doc, np.int64), np.array(place, np.int64), np.array(number, np.int64)
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    number = np.fromiter(map(vocabulary.get, chain.from_iterable(split), repeat(-1)), np.int64, lengths.sum())
+    at = np.flatnonzero(number >= 0)
+    starts = np.cumsum(lengths) - lengths
+    doc = np.searchsorted(starts + lengths, at, "right")
+    return split, doc, at - starts[doc], number[at]
 
 
 def _chunks(b: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
@@ -194,7 +193,7 @@ def _product(cells: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray
     """A sparse matrix in cells (row, column, value), sorted by row, times a dense one; a row for each that has cells."""
     row, column, value = cells
     starts = np.flatnonzero(np.diff(row, prepend=-1))
-    return np.add.reduceat(dense[column] * value[:, None], starts, axis=0) if len(row) else np.zeros((0, dense.shape[1]))
+    return np.add.reduceat(dense[column] * value[:, None].astype(dense.dtype), starts, axis=0) if len(row) else np.zeros((0, dense.shape[1]), dense.dtype)
 
 
 def _cells(rows: np.ndarray, vids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +210,7 @@ def _transposed(cells: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndar
         order = np.argsort(column[lo : lo + 20_000], kind="stable") + lo
         c = column[order]
         starts = np.flatnonzero(np.diff(c, prepend=-1))
-        out[c[starts]] += np.add.reduceat(dense[row[order]] * value[order][:, None], starts, axis=0)
+        out[c[starts]] += np.add.reduceat(dense[row[order]] * value[order][:, None].astype(dense.dtype), starts, axis=0)
     return out
 
 
@@ -258,7 +257,7 @@ class Space:
 
         def square(dense: np.ndarray, both: bool) -> tuple[np.ndarray, float]:
             """AᵀA times dense, or with both denseᵀAᵀA times dense, over the corpus; and the mass of A."""
-            given = spark.sparkContext.broadcast(dense)
+            given = spark.sparkContext.broadcast(dense.astype(np.float32))
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 d, weight = given.value, 0.0
@@ -269,7 +268,7 @@ class Space:
                             cells = _cells(rows, words, idf)
                             weight += (cells[2] ** 2).sum()
                             ad = _product(cells, d)
-                            out += ad.T @ ad if both else _transposed(cells, ad, v)
+                            out += (ad.T @ ad).astype(np.float64) if both else _transposed(cells, ad, v)
                 yield from _slices(out)
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([[weight] + [0.0] * (_SLICE - 1)])], names=["key", "part", "x"])
 
