@@ -196,7 +196,8 @@ def test_leaks(spark, docs):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    texts = [f"doc{k} " + text(k, 50) for k in range(60)] + ["you idiot " + text(k + 60, 40) for k in range(40)]
+    own = lambda k: " ".join(WORDS[zlib.crc32(b"%d:%d" % (k, i)) % 26] for i in range(50))
+    texts = [f"doc{k} " + own(k) for k in range(60)] + ["you idiot " + text(k + 60, 40) for k in range(40)]
     texts[10] = texts[11]
     texts[20] += " password=abcdefghijklmnop"
     item = " ".join(f"term{k}" for k in range(20))
