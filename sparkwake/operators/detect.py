@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwake.functions.net import is_external, is_internal, root_domain
+from sparkwake.functions.net import is_external, is_internal, masked, root_domain
+from sparkwake.functions.text import credentials, flags
 
 SEVERITY = ("Info", "Low", "Medium", "High", "Critical")
 #: Ports that rules look for (fixed values).
@@ -112,20 +115,75 @@ def first_contained(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def findings(flows: DataFrame) -> DataFrame:
-    """rule, subject, severity, confidence of all flow rules, most severe first."""
-    row = lambda df, rule, subject, severity, confidence: df.select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), F.lit(confidence).alias("confidence"))
-    parts = [
-        row(exfiltration(flows).where("severity is not null"), "exfiltration", "ip", F.col("severity"), 0.6), row(beacons(flows).where("hit"), "beacon", "dst_ip", "High", 0.8),
-        row(port_fanout(flows).where("hit"), "port_scan", "src_ip", "Medium", 0.75), row(lateral(flows).where("hit"), "lateral", "src_ip", "High", 0.7),
-        row(first_cleartext(flows), "cleartext", "kind", "Medium", 0.9), row(short_encrypted(flows).where("hit"), "short_encrypted", "dst_ip", "Medium", 0.65), row(traffic(flows), "traffic", "n_flows", "Info", 0.2),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def encrypted_external(flows: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
+    """External addresses with at least two flows from inside, one encrypted flow and over 5000 bytes in all.
+
+    A server name in any hello (sni) of the capture lowers severity and confidence.
+    """
+    inside = F.count_if(is_internal(F.col("src_ip")))
+    t = flows.where(is_external(F.col("dst_ip"))).groupBy("dst_ip").agg(inside.alias("n"), F.count_if(F.col("app").isin("Tls", "Https")).alias("encrypted"), F.sum(F.col("fwd_bytes") + F.col("rev_bytes")).alias("bytes"))
+    named = F.lit(False)
+    if hellos is not None:
+        t, named = t.crossJoin(F.broadcast(hellos.agg((F.count("sni") > 0).alias("named")))), F.col("named")
+    t = t.where("n >= 2 and encrypted > 0 and bytes > 5000")
+    return t.select("dst_ip", "n", "bytes", F.when(named, "Low").otherwise("Medium").alias("severity"), F.when(named, 0.4).otherwise(0.7).alias("confidence"))
+
+
+def icmp_volume(flows: DataFrame) -> DataFrame:
+    return flows.where((F.col("app") == "Icmp") & (F.col("fwd_bytes") + F.col("rev_bytes") > 500))
+
+
+def ftps_port(flows: DataFrame) -> DataFrame:
+    return flows.where((F.col("src_port") == 990) | (F.col("dst_port") == 990))
+
+
+def external_summary(flows: DataFrame) -> DataFrame:
+    """summary: one row of external addresses, flows toward them and the five most frequent; none without any."""
+    t = flows.where(is_external(F.col("dst_ip"))).groupBy("dst_ip").agg(F.count(F.lit(1)).alias("n"))
+    most = t.orderBy(F.col("n").desc(), "dst_ip").limit(5).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "dst_ip"))).alias("top"))
+    named = F.array_join(F.transform("top", lambda x: F.concat(x["dst_ip"], F.lit(" ("), (-x["m"]).cast("string"), F.lit(")"))), ", ")
+    all_ = t.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("flows")).where("hosts > 0")
+    return all_.crossJoin(F.broadcast(most)).select(F.concat(F.col("hosts").cast("string"), F.lit(" addresses, "), F.col("flows").cast("string"), F.lit(" flows: "), named).alias("summary"))
+
+
+def _row(df: DataFrame, rule: str, subject: Column | str, severity: Column | str, confidence: Column | float) -> DataFrame:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return df.select(F.lit(rule).alias("rule"), (subject if isinstance(subject, Column) else F.col(subject)).cast("string").alias("subject"), lit(severity).alias("severity"), lit(confidence).alias("confidence"))
+
+
+def _ranked(parts: list[DataFrame]) -> DataFrame:
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("severity_rank", rank(F.col("severity"))).orderBy(F.col("severity_rank").desc(), F.col("confidence").desc(), "rule", "subject")
 
 
+def _flow_rules(flows: DataFrame, hellos: DataFrame | None) -> list[DataFrame]:
+    return [
+        _row(exfiltration(flows).where("severity is not null"), "exfiltration", "ip", F.col("severity"), 0.6), _row(asymmetric(flows), "asymmetric", "flow_id", "Medium", 0.65),
+        _row(beacons(flows).where("hit"), "beacon", "dst_ip", "High", 0.8), _row(encrypted_external(flows, hellos), "encrypted_external", "dst_ip", F.col("severity"), F.col("confidence")),
+        _row(suspicious_ports(flows), "suspicious_port", "flow_id", "Medium", 0.6), _row(icmp_volume(flows), "icmp_volume", "flow_id", "Medium", 0.6), _row(ftps_port(flows), "ftps_port", "flow_id", "High", 0.85),
+        _row(port_fanout(flows).where("hit"), "port_scan", "src_ip", "Medium", 0.75), _row(lateral(flows).where("hit"), "lateral", "src_ip", "High", 0.7),
+        _row(first_cleartext(flows), "cleartext", "kind", "Medium", 0.9), _row(short_encrypted(flows).where("hit"), "short_encrypted", "dst_ip", "Medium", 0.65), _row(traffic(flows), "traffic", "n_flows", "Info", 0.2),
+    ]
+
+
+def text_rules(texts: DataFrame, text: str = "text") -> list[DataFrame]:
+    """Every flag and every credential (masked, with its kind) of texts, each once."""
+    found = texts.select(F.explode(flags(F.col(text))).alias("flag")).distinct()
+    secret = credentials(texts.select(F.lit(0).alias("_key"), text), "_key", text).select("kind", "value").distinct()
+    severity = F.when(F.col("kind") == "SshPrivateKey", "Critical").when(F.col("kind").isin("HttpBasicAuth", "FtpLogin", "TelnetLogin", "SmtpAuth", "Pop3Login", "Jwt", "ApiKey"), "High").otherwise("Medium")
+    return [_row(found, "flag", "flag", "Critical", 1.0), _row(secret, "credential", F.concat_ws(" ", "kind", masked(F.col("value"))), severity, 0.95)]
+
+
+def findings(flows: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
+    """rule, subject, severity, confidence of every flow rule but the external summary, most severe first."""
+    return _ranked(_flow_rules(flows, hellos))
+
+
+def all_findings(flows: DataFrame, hellos: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """As findings, with the external summary and, where texts are given, their flags and credentials."""
+    return _ranked([*_flow_rules(flows, hellos), _row(external_summary(flows), "external", "summary", "Info", 0.3), *(text_rules(texts) if texts is not None else [])])
+
+
 def url_iocs(urls: DataFrame, url: str = "url") -> DataFrame:
     """value, confidence: each URL once; traversal .9, administrative paths .7, the rest .3."""
     u = F.lower(F.col(url))

@@ -126,7 +126,7 @@ def timeline_union(spark, sf_dir):
 
 @query()
 def finding_union_ranked(spark, sf_dir):
-    return detect.findings(flows(spark, sf_dir))
+    return detect.all_findings(flows(spark, sf_dir))
 
 
 def _sweep(name: str, kind: str, table: str, key: str, column: str, pattern: str, least: int = 0) -> None:
@@ -270,7 +270,7 @@ def exec_summary(spark, sf_dir):
 
 @query()
 def stix_export(spark, sf_dir):
-    return export.stix(detect.findings(flows(spark, sf_dir)))
+    return export.stix(detect.all_findings(flows(spark, sf_dir)))
 
 
 @query()
