@@ -275,8 +275,9 @@ def stix_export(spark, sf_dir):
 
 @query()
 def auto_decode(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.base64(F.encode(F.hex(F.encode(F.substring("text", 1, 40), "UTF-8")), "UTF-8")).cast("binary").alias("data"))
-    return rows.lateralJoin(codec.AutoDecode(F.col("data").outer(), F.lit(3))).select("doc_id", F.array_join("chain", "|").alias("chain"), "printable")
+    b = F.base64(F.encode(F.hex(F.encode("text", "UTF-8")), "UTF-8"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(b, r"\s", "").cast("binary").alias("data"))
+    return rows.lateralJoin(codec.AutoDecode(F.col("data").outer(), F.lit(3)).alias("found")).select("doc_id", F.array_join("chain", "|").alias("chain"), "printable", F.md5("found.data").alias("digest"))
 
 
 @query()
