@@ -1,15 +1,17 @@
-"""Benchmark decontamination by latent semantic retrieval, then word order and answers.
+"""Benchmark decontamination by telling words, word order and answers, with a latent similarity of each leak.
 
-Passages of `documents` become TF-IDF vectors over the telling words of the benchmark items (all words but the most
-frequent ones, see below). A distributed randomised SVD of these passages, with the items' own passages weighing as
-much as the corpus's together, gives a latent space; passages whose vector there has a cosine of at least `cosine`
-with an item's are candidates. A candidate is a leak if a longest common subsequence holds at least `share` of the
+Passages of `documents` that share enough telling words with a benchmark item (all words but the most frequent ones,
+see below) are candidates. A candidate is a leak if a longest common subsequence holds at least `share` of the
 item's words within one and a half times its length, and at least half of the telling words of the item's answer
 (its last sentence, or last third) are there too. So rewordings are found that keep most words in order.
 
+Passages also become TF-IDF vectors (damped counts) over the telling words. A distributed randomised SVD of them,
+with the items' own passages weighing as much as the corpus's together, gives a latent space; a leak's `cosine`
+there is reported and excludes nothing, since a repeated word beside an item lowers it at will.
+
 Frequent words are set aside only as long as every item keeps `telling` more words than `share` allows to be lost;
 a leak must thus have so many of the item's telling words, by the pigeonhole principle at least half of them in one
-of two adjacent passages, and passages with fewer are no candidates. Corpus figures (passages, document
+of two adjacent passages, and passages with fewer are no candidates; a word counts as often as the item has it. Corpus figures (passages, document
 frequencies, the SVD's products) are sums over all documents. Items are taken in blocks of `items`, so what is
 gathered on the driver or sent to executors (words and latent vectors of a block) is bounded.
 
@@ -41,7 +43,6 @@ _SLICE = 16
 @dataclass
 class Settings:
     share: float = 0.6
-    cosine: float = 0.3
     telling: int = 4
     items: int = 240  # in a block
     rank: int = 96  # of the latent space
@@ -86,6 +87,8 @@ class Items:
         self.counts = [np.array([self.vocabulary[w] for w in ws if w in self.vocabulary], np.int64) for ws in self.words]
         pairs = sorted((v, i) for i, c in enumerate(self.counts) for v in set(c.tolist()))
         self.post_items = np.array([i for _, i in pairs], np.int64)
+        own = [Counter(c.tolist()) for c in self.counts]
+        self.post_counts = np.array([own[i][v] for v, i in pairs], np.int64)
         self.post_start = np.searchsorted([v for v, _ in pairs], np.arange(len(self.vocabulary) + 1))
         self.window = max([48, *(math.ceil(1.5 * len(w)) for w in self.words)])
         self.answers = [[w for w in answer_of(t) if w in self.vocabulary] or answer_of(t) for t in self.texts]
@@ -200,7 +203,7 @@ def _cells(rows: np.ndarray, vids: np.ndarray, idf: np.ndarray) -> tuple[np.ndar
     key, n = np.unique(rows * len(idf) + vids, return_counts=True)
     row, column = key // len(idf), key % len(idf)
     row = np.cumsum(np.diff(row, prepend=row[:1]) != 0)
-    return row, column, n * idf[column]
+    return row, column, (1 + np.log(n)) * idf[column]
 
 
 def _transposed(cells: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray, height: int) -> np.ndarray:
@@ -314,26 +317,33 @@ def _leaks(docs: DataFrame, items: Items, space: Space, s: Settings) -> DataFram
                 window = np.concatenate([w, w[two] - 1])
                 key = doc[token] * (1 << 24) + window
                 v = number[token]
-                n = it.post_start[v + 1] - it.post_start[v]
-                at = np.repeat(it.post_start[v], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pair, counts = np.unique(np.repeat(key, n) * 1024 + it.post_items[at], return_counts=True)
+                # Occurrences of each word in each window; of those a leak can use as many as the item has.
+                windows, of = np.unique(key, return_inverse=True)
+                cell, times = np.unique(of * len(idf) + v, return_counts=True)
+                cv = cell % len(idf)
+                n = it.post_start[cv + 1] - it.post_start[cv]
+                at = np.repeat(it.post_start[cv], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pair, back = np.unique(np.repeat(windows[cell // len(idf)], n) * 1024 + it.post_items[at], return_inverse=True)
+                counts = np.bincount(back, np.minimum(np.repeat(times, n), it.post_counts[at]), len(pair))
                 pair = pair[counts >= it.need[pair % 1024]]
                 if not len(pair):
                     continue
-                wanted, back = np.unique(pair // 1024, return_inverse=True)
-                chosen = np.isin(key, wanted)
-                cells = _cells(np.searchsorted(wanted, key[chosen]), v[chosen], idf)
-                z = _product(cells, basis)
-                item = pair % 1024
-                cos = np.einsum("ij,ij->i", z[back], latent[item]) / norms[item] / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[back]
                 best: dict[tuple[int, int], tuple] = {}
-                for k in np.flatnonzero(cos >= s.cosine):
-                    d, i, first = int(wanted[back[k]] >> 24), int(item[k]), int(wanted[back[k]] & 0xFFFFFF) * stride
+                for k, (where, i) in enumerate(zip((pair // 1024).tolist(), (pair % 1024).tolist(), strict=True)):
+                    d, first = where >> 24, (where & 0xFFFFFF) * stride
                     start = max(0, first - len(it.words[i]))
                     found = it.leak(i, split[d][start : first + it.window + len(it.words[i])])
                     if found and found[0] > best.get((d, i), (0,))[0]:
-                        best[d, i] = (found[0], found[1], float(cos[k]), start + found[2], start + found[3])
-                out += [(lo + d, i, x[2], x[0], x[1], x[3], x[4]) for (d, i), x in best.items()]
+                        best[d, i] = (found[0], found[1], k, start + found[2], start + found[3])
+                if not best:
+                    continue
+                leaky = pair[[x[2] for x in best.values()]]
+                wanted, back = np.unique(leaky // 1024, return_inverse=True)
+                chosen = np.isin(key, wanted)
+                z = _product(_cells(np.searchsorted(wanted, key[chosen]), v[chosen], idf), basis)
+                item = leaky % 1024
+                cos = np.einsum("ij,ij->i", z[back], latent[item]) / norms[item] / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[back]
+                out += [(lo + d, i, float(c), x[0], x[1], x[3], x[4]) for ((d, i), x), c in zip(best.items(), cos, strict=True)]
             if out:
                 at, item, cosine, lcs, answer, start, stop = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(item, pa.int32()), pa.array(cosine), pa.array(lcs), pa.array(answer), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "item", "cosine", "lcs", "answer", "start", "stop"])
