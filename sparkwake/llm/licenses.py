@@ -14,6 +14,10 @@ left out, which makes the Jaccard similarity of the two sets the containment): `
 sets of similarity j agree in no band with probability (1 - j) ** bands; at 0.75 and 12 bands that is 6e-8. Windows
 and templates that agree in a band meet, and exact containment decides.
 
+A place is the shortest run of words in a window that has all the shingles held there. Every place counts: of places
+of one licence that share half of the shorter one the fullest stays, and a place is dropped if half of it lies in a
+fuller place, itself kept, of another licence.
+
 Defined results: a null or empty text holds nothing; rows without a licence are returned with an empty list;
 repeated rows each get a row; a null doc_id is carried through; an empty table gives no rows. Columns besides
 doc_id and text are not looked at.
@@ -24,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwake.llm.common import materialize, text_or_empty
@@ -85,6 +89,29 @@ def templates_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] |
     return spark.createDataFrame(rows, "template int, license string, size int, span int, shingles array<string>")
 
 
+def _tightest() -> Column:
+    """struct(first, last) of the shortest run of a window's hits that has all its distinct shingles, the first of them."""
+    before = lambda e: F.array_max(F.transform(F.filter("hits", lambda y: (y["shingle"] == e["shingle"]) & (y["at"] < e["at"])), lambda y: y["at"]))
+    hits = F.transform("hits", lambda e: F.struct(e["at"].alias("at"), F.coalesce(before(e), F.lit(-1)).alias("before")))
+    runs = F.transform(F.array(hits), lambda h: F.transform(h, lambda a: F.struct(a["at"].alias("first"), F.transform(F.filter(h, lambda e: (e["at"] >= a["at"]) & (e["before"] < a["at"])), lambda e: e["at"]).alias("own"))))[0]
+    whole = F.filter(runs, lambda r: F.size(r["own"]) == F.col("held"))
+    x = F.array_min(F.transform(whole, lambda r: F.struct((F.array_max(r["own"]) - r["first"]).alias("width"), r["first"].alias("first"), F.array_max(r["own"]).alias("last"))))
+    return F.struct(x["first"].alias("first"), x["last"].alias("last"))
+
+
+def _resolved(places: str) -> Column:
+    """The places that stay, most whole first: one per notice of a licence, none that lies by half in a fuller other one."""
+
+    def beaten(x: Column, y: Column) -> Column:
+        both = F.least(x["stop"], y["stop"]) - F.greatest(x["first"], y["first"])
+        own, other = x["stop"] - x["first"], y["stop"] - y["first"]
+        same = (x["license"] == y["license"]) & (2 * both >= F.least(own, other))
+        return (both > 0) & (same | ((x["license"] != y["license"]) & (y["less"] < x["less"]) & (2 * both >= own)))
+
+    none = F.filter(F.col(places), lambda x: F.lit(False))
+    return F.aggregate(F.sort_array(places), none, lambda kept, x: F.when(F.exists(kept, lambda y: beaten(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, licenses (sorted), spans (license:first word:end word:percent) of every row of docs."""
     spark = docs.sparkSession
@@ -115,16 +142,22 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     cut = windows.join(F.broadcast(own), ["span", "shingle"])
     key = ["text_key", "template", "license", "size", "window", "half"]
     minima = [F.min(v).alias(f"b{k}") for k, v in enumerate(_values(F.col("shingle")))]
-    sketched = cut.groupBy(*key).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.countDistinct("shingle").alias("held"), *minima)
+    sketched = cut.groupBy(*key).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_list(F.struct("at", "shingle")).alias("hits"), *minima)
     bands = own.groupBy("template").agg(*[F.min(v).alias(f"t{k}") for k, v in enumerate(_values(F.col("shingle")))])
-    met = sketched.join(F.broadcast(bands), "template").where(" or ".join(f"b{k} = t{k}" for k in range(BANDS)))
+    met = sketched.join(F.broadcast(bands), "template").where(" or ".join(f"b{k} = t{k}" for k in range(BANDS))).withColumn("held", F.size(F.array_distinct(F.transform("hits", lambda x: x["shingle"]))))
     good = met.where(F.col("held") * 100 >= F.col("size") * PERCENT)
-    best = good.groupBy("text_key", "license").agg(F.max(F.struct((F.floor(F.col("held") * 100 / F.col("size"))).cast("int").alias("percent"), (-F.col("first")).alias("back"), F.col("last"))).alias("x"))
-    found = best.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("license", (-F.col("x.back")).alias("first"), (F.col("x.last") + WORDS).alias("stop"), F.col("x.percent").alias("percent")))).alias("found"))
+    tight = F.when(F.size("hits") == F.col("held"), F.struct(F.col("first"), F.col("last"))).otherwise(_tightest())
+    place = good.select("text_key", "license", F.floor(F.col("held") * 100 / F.col("size")).cast("int").alias("percent"), tight.alias("x"))
+    place = place.select("text_key", "license", F.col("x.first").cast("int").alias("first"), (F.col("x.last") + WORDS).cast("int").alias("stop"), "percent").distinct()
+    # Places that overlap, directly or through others, are resolved together.
+    order = Window.partitionBy("text_key").orderBy("first", "stop", "license", "percent")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    place = place.withColumn("new", F.when(F.col("first") < reach, 0).otherwise(1))
+    place = place.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = place.groupBy("text_key", "group").agg(F.collect_list(F.struct((-F.col("percent")).alias("less"), "first", "stop", "license")).alias("places")).select("text_key", F.explode(_resolved("places")).alias("x"))
+    found = kept.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("x.license", "x.first", "x.stop", (-F.col("x.less")).alias("percent")))).alias("found"))
     found = materialize(found, "licenses")
     keyed = rows.select("doc_id", F.when(F.col("text").rlike(rf"(?i)(?:{some})"), F.sha2("text", 256)).alias("text_key"))
-    # Of notices of several licences in one place the one that is there most wholly counts.
-    better = lambda x: F.exists("found", lambda y: (y["percent"] > x["percent"]) & (y["first"] < x["stop"]) & (x["first"] < y["stop"]))
-    told = keyed.join(found, "text_key", "left").withColumn("found", F.coalesce(F.filter("found", lambda x: ~better(x)), F.array().cast(found.schema["found"].dataType)))
-    told = told.select("doc_id", F.transform("found", lambda x: x["license"]).alias("licenses"), F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first"].cast("string"), x["stop"].cast("string"), x["percent"].cast("string"))).alias("spans"))
+    told = keyed.join(found, "text_key", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+    told = told.select("doc_id", F.array_distinct(F.transform("found", lambda x: x["license"])).alias("licenses"), F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first"].cast("string"), x["stop"].cast("string"), x["percent"].cast("string"))).alias("spans"))
     return told.withColumn("n_licenses", F.size("licenses"))
