@@ -1,31 +1,41 @@
-"""Benchmark decontamination by telling words, word order and answers, with a latent similarity of each leak.
+"""Benchmark decontamination by latent semantic retrieval, word order and answers.
 
-Passages of `documents` that share enough telling words with a benchmark item (all words but the most frequent ones,
-see below) are candidates. A candidate is a leak if a longest common subsequence holds at least `share` of the
-item's words within one and a half times its length, and at least half of the telling words of the item's answer
-(its last sentence, or last third) are there too. So rewordings are found that keep most words in order.
+Passages of `documents` become TF-IDF vectors (damped counts) over telling words: all words of the benchmark but the
+most frequent ones, see below. A distributed randomised SVD of them, with the items' own passages weighing as much as
+the corpus's together, gives a latent space, in which every passage is held against every item; those whose
+cosine reaches `cosine` are retrieved. A word repeated beside an item lowers a cosine at will, so the cosine excludes
+nothing: every place that holds enough telling words of an item for a leak is a candidate, and `retrieved` tells
+which leaks the cosine finds.
 
-Passages also become TF-IDF vectors (damped counts) over the telling words. A distributed randomised SVD of them,
-with the items' own passages weighing as much as the corpus's together, gives a latent space; a leak's `cosine`
-there is reported and excludes nothing, since a repeated word beside an item lowers it at will.
+A candidate is a leak if some run of one and a half times the item's length holds, in order, at least `share` of the
+item's words (a longest common subsequence), and at least half of the telling words of the item's answer (its last
+sentence, or last third). So rewordings are found that keep most words in order. Every run counts, whatever stands
+beside it; a fullest one is reported.
 
-Frequent words are set aside only as long as every item keeps `telling` more words than `share` allows to be lost;
-a leak must thus have so many of the item's telling words, by the pigeonhole principle at least half of them in one
-of two adjacent passages, and passages with fewer are no candidates; a word counts as often as the item has it. Corpus figures (passages, document
-frequencies, the SVD's products) are sums over all documents. Items are taken in blocks of `items`, so what is
-gathered on the driver or sent to executors (words and latent vectors of a block) is bounded.
+Frequent words are set aside only as long as every item keeps `telling` more words than `share` allows to be lost. A
+leak so has a known number of the item's telling words within its run; places with fewer are passed over without
+loss. Corpus figures (passages, document frequencies, the SVD's products) are sums over all documents. Items are
+taken in blocks of about `block_words` words, so what is gathered on the driver or sent to executors (words and
+latent vectors of a block) is bounded.
+
+Words are runs of letters and digits of any script, without case; a character of a script written without spaces is a
+word by itself.
 
 Defined results: null or empty texts and items have no words and match nothing; items with equal text are each
 reported; a null item id is reported as null; repeated rows each count, but a (doc_id, item_id) pair is reported
-once; without items or documents there are no leaks. Columns besides the ids and texts are not looked at.
+once; without items or documents there are no leaks. clean() decides on each row by its own text, so rows that share
+a doc_id, null or not, stay or go each by itself. Columns besides the ids and texts are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -36,25 +46,42 @@ from pyspark.sql import functions as F
 from sparkwake.llm.common import materialize, text_or_empty
 
 _BREAKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+#: First bytes in UTF-8 of characters that may be marks, or belong to scripts without spaces.
+_ODD = bytes([0xC2, 0xCB, 0xCD, 0xD6, *range(0xD7, 0xDD), *range(0xE0, 0xF5)])
+_TIMES = (b"\xc3\x97", b"\xc3\xb7")
 _CHUNK = 2_000_000
+_POSTINGS = 2_000_000
 _SLICE = 16
 
 
 @dataclass
 class Settings:
     share: float = 0.6
+    cosine: float = 0.3
     telling: int = 4
-    items: int = 240  # in a block
-    rank: int = 96  # of the latent space
+    block_words: int = 200_000  # of items in a block
+    rank: int = 216  # of the latent space
     seed: int = 5
 
 
+@lru_cache(1)
+def _scripts() -> tuple[re.Pattern, re.Pattern]:
+    """Characters beyond ASCII that part words, and those that are words by themselves."""
+    marks = "".join(map(re.escape, (c for c in map(chr, range(128, 0x3400)) if unicodedata.category(c)[0] in "PSZC" and unicodedata.category(c) != "Cn")))
+    return re.compile(f"[{marks}\ufe10-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\ue000-\uf8ff\ufeff\ufffd\U0001f000-\U0001faff]"), re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(_BREAKS).split()
+    low = text.lower()
+    raw = low.encode("utf-8", "replace")
+    if len(raw) > len(low) and (len(raw.translate(None, _ODD)) < len(raw) or any(x in raw for x in _TIMES)):
+        marks, single = _scripts()
+        raw = single.sub(r" \g<0> ", marks.sub(" ", low)).encode("utf-8", "replace")
+    return raw.translate(_BREAKS).split()
 
 
 def answer_of(text: str) -> list[bytes]:
-    sentences = [w for x in text.replace("\n", " ").split(".") if (w := words_of(x))]
+    sentences = [w for x in re.split("[.\u3002]", text) if (w := words_of(x))]
     if len(sentences) > 1:
         return sentences[-1]
     found = words_of(text)
@@ -82,13 +109,13 @@ class Items:
             if all(not held[i][w] or lost[i] + held[i][w] + self.s.telling <= need[i] for i in range(len(need))):
                 frequent.add(w)
                 lost = [x + h[w] for x, h in zip(lost, held, strict=True)]
-        self.need = np.array([max(1, -(-(n - x) // 2)) for n, x in zip(need, lost, strict=True)] or [1])
+        self.least = need
+        self.span = [math.ceil(1.5 * len(w)) for w in self.words]
+        self.need = np.array([max(1, n - x) for n, x in zip(need, lost, strict=True)] or [1], np.int64)
         self.vocabulary = {w: k for k, w in enumerate(sorted(set(spread) - frequent))}
         self.counts = [np.array([self.vocabulary[w] for w in ws if w in self.vocabulary], np.int64) for ws in self.words]
         pairs = sorted((v, i) for i, c in enumerate(self.counts) for v in set(c.tolist()))
         self.post_items = np.array([i for _, i in pairs], np.int64)
-        own = [Counter(c.tolist()) for c in self.counts]
-        self.post_counts = np.array([own[i][v] for v, i in pairs], np.int64)
         self.post_start = np.searchsorted([v for v, _ in pairs], np.arange(len(self.vocabulary) + 1))
         self.window = max([48, *(math.ceil(1.5 * len(w)) for w in self.words)])
         self.answers = [[w for w in answer_of(t) if w in self.vocabulary] or answer_of(t) for t in self.texts]
@@ -99,12 +126,17 @@ class Items:
                 m[w] = m.get(w, 0) | 1 << k
             self.masks.append(m)
 
-    def lcs_length(self, i: int, region: list[bytes]) -> int:
-        """Length of the longest common subsequence of item i and region, a word of bits at a time."""
-        m, full = self.masks[i], (1 << len(self.words[i])) - 1
-        v = full
-        for w in region:
-            u = v & m.get(w, 0)
+    def lcs_length(self, i: int, region: list[bytes], least: int = 0) -> int:
+        """Length of the longest common subsequence of item i and region, all of an item's places at a time.
+
+        0 if too few words are common for `least`.
+        """
+        common = list(filter(None, map(self.masks[i].get, region)))
+        if len(common) < least:
+            return 0
+        v = full = (1 << len(self.words[i])) - 1
+        for m in common:
+            u = v & m
             v = ((v + u) | (v - u)) & full
         return len(self.words[i]) - v.bit_count()
 
@@ -128,23 +160,65 @@ class Items:
                 k -= 1
         return out[::-1]
 
+    def answered(self, i: int, run: list[bytes]) -> float:
+        """Share of the telling words of item i's answer that a run has."""
+        near = set(run)
+        return sum(w in near for w in self.answers[i]) / max(1, len(self.answers[i]))
+
     def leak(self, i: int, region: list[bytes]) -> tuple[float, float, int, int] | None:
-        """(share of item i in order, share of its answer, first and end place), if region leaks it."""
-        size = len(self.words[i])
-        least = math.ceil(self.s.share * size)
-        if self.lcs_length(i, region) < least:
+        """(share of item i in order, share of its answer, first and end place), if a run within region leaks it."""
+        size, least, span = len(self.words[i]), self.least[i], self.span[i]
+        total = self.lcs_length(i, region, least)
+        if not size or total < least:
             return None
         places = self.lcs_places(i, region)
-        span, best, lo = math.ceil(1.5 * size), (0, 0, 0), 0
-        for hi, p in enumerate(places):
-            while p - places[lo] >= span:
-                lo += 1
-            best = max(best, (hi - lo + 1, -places[lo], p + 1))
-        if best[0] < least:
+        if places[-1] - places[0] < span and (answer := self.answered(i, region[places[0] : places[0] + span])) >= 0.5:
+            return total / size, answer, places[0], places[-1] + 1
+        best: tuple[int, float, int] | None = None
+        for start in (k for k, w in enumerate(region) if w in self.masks[i]):  # a run may begin at its first word in order
+            run = region[start : start + span]
+            n = self.lcs_length(i, run, least)
+            if n >= least and (best is None or n > best[0]) and (answer := self.answered(i, run)) >= 0.5:
+                best = n, answer, start
+                if n == total:
+                    break
+        if best is None:
             return None
-        near = set(region[-best[1] : best[2]])
-        answer = sum(w in near for w in self.answers[i]) / max(1, len(self.answers[i]))
-        return None if answer < 0.5 else (best[0] / size, answer, -best[1], best[2])
+        n, answer, start = best
+        places = self.lcs_places(i, region[start : start + span])
+        return n / size, answer, start + places[0], start + places[-1] + 1
+
+    def regions(self, doc: np.ndarray, place: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first and end place) of regions that hold every run with enough telling words, of hits in order of place.
+
+        A long region comes in overlapping parts, each run whole in one of them.
+        """
+        span, n = np.array(self.span, np.int64), self.post_start[number + 1] - self.post_start[number]
+        done, lo = np.cumsum(n), 0
+        while lo < len(doc):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + _POSTINGS, "right")))
+            stop = hi
+            if hi < len(doc) and doc[hi] == doc[hi - 1]:  # runs that begin before may reach further
+                last = int(np.searchsorted(doc, doc[hi], "right"))
+                stop = hi + int(np.searchsorted(place[hi:last], place[hi - 1] + span.max(), "left"))
+            m = n[lo:stop]
+            at = np.repeat(self.post_start[number[lo:stop]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            item = self.post_items[at]
+            order = np.argsort(item.astype(np.uint16) if len(span) < 1 << 16 else item, kind="stable")
+            hit, item = np.repeat(np.arange(lo, stop), m)[order], item[order]
+            end = np.arange(len(item)) + self.need[item] - 1
+            fits = (end < len(item)) & (hit < hi)
+            end = np.minimum(end, len(item) - 1)
+            fits &= (item[end] == item) & (doc[hit[end]] == doc[hit]) & (place[hit[end]] - place[hit] < span[item])
+            hit, item = hit[fits], item[fits]
+            if len(hit):
+                d, p, s = doc[hit], place[hit], span[item]
+                new = np.r_[True, (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (p[1:] - s[1:] >= p[:-1] + s[:-1])]
+                first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(hit)] - 1
+                for k, i, x, y, w in zip(*(v.tolist() for v in (d[first], item[first], np.maximum(p[first] - s[first] + 1, 0), p[last] + s[last], s[first])), strict=True):
+                    for start in range(x, max(x + 1, y - w), 3 * w):
+                        yield k, i, start, min(y, start + 4 * w)
+            lo = hi
 
 
 def _hits(texts: list[str], vocabulary: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +237,7 @@ def _chunks(b: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
     while lo < len(column):
         hi, size, some = lo, 0, []
         while hi < len(column) and (not size or size < _CHUNK):
-            some.append(column[hi].as_py())
+            some.append(column[hi].as_py() or "")
             size += len(some[-1]) + 1
             hi += 1
         yield lo, some
@@ -295,86 +369,93 @@ class Space:
         self.items[has] = _product(own_cells, self.basis)
 
 
+def _found(texts: list[str], it: Items, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, s: Settings) -> Iterator[tuple]:
+    """(number of the text, item, lcs, answer, cosine, retrieved, start, stop), the best leak for each text and item."""
+    stride, v = -(-it.window // 2), max(1, len(idf))
+    unit = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]
+    split, doc, place, number = _hits(texts, it.vocabulary)
+    if not len(doc):
+        return
+    # Passages of two strides, each beginning at every stride, as unit vectors of the latent space.
+    w = place // stride
+    two = w > 0
+    token = np.concatenate([np.arange(len(doc)), np.flatnonzero(two)])
+    windows, of = np.unique(doc[token] * (1 << 32) + np.concatenate([w, w[two] - 1]), return_inverse=True)
+    z = _product(_cells(of, number[token], idf), basis)
+    z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+    near: dict[tuple[int, int], float] = {}
+    for lo in range(0, len(windows), 4096):
+        cosine = z[lo : lo + 4096] @ unit.T
+        for k, i in zip(*(x.tolist() for x in np.nonzero(cosine >= s.cosine)), strict=True):
+            key = int(windows[lo + k]) >> 32, i
+            near[key] = max(near.get(key, -1.0), float(cosine[k, i]))
+    best: dict[tuple[int, int], tuple] = {}
+    for d, i, lo, hi in it.regions(doc, place, number):
+        found = it.leak(i, split[d][lo:hi])
+        if found and found[0] > best.get((d, i), (0,))[0]:
+            best[d, i] = found[0], found[1], lo + found[2], lo + found[3]
+    for (d, i), (lcs, answer, start, stop) in best.items():
+        own = slice(*np.searchsorted(windows, (d << 32, (d + 1) << 32)))
+        cosine = near.get((d, i), 0) or float((z[own] @ unit[i]).max())
+        yield d, i, lcs, answer, cosine, (d, i) in near, start, stop
+
+
+def _shared(docs: DataFrame, items: Items, space: Space, s: Settings):
+    return docs.sparkSession.sparkContext.broadcast((items, space.idf, space.basis, space.items, s))
+
+
 def _leaks(docs: DataFrame, items: Items, space: Space, s: Settings) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((items, space.idf, space.basis, space.items))
+    shared = _shared(docs, items, space, s)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = "n int, item int, cosine double, lcs double, answer double, start long, stop long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, idf, basis, latent = shared.value
-        stride = -(-it.window // 2)
-        norms = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
         for b in batches:
-            out: list[tuple] = []
-            for lo, texts in _chunks(b):
-                split, doc, place, number = _hits(texts, it.vocabulary)
-                if not len(doc):
-                    continue
-                w = place // stride
-                two = w > 0
-                token = np.concatenate([np.arange(len(doc)), np.flatnonzero(two)])
-                window = np.concatenate([w, w[two] - 1])
-                key = doc[token] * (1 << 24) + window
-                v = number[token]
-                # Occurrences of each word in each window; of those a leak can use as many as the item has.
-                windows, of = np.unique(key, return_inverse=True)
-                cell, times = np.unique(of * len(idf) + v, return_counts=True)
-                cv = cell % len(idf)
-                n = it.post_start[cv + 1] - it.post_start[cv]
-                at = np.repeat(it.post_start[cv], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pair, back = np.unique(np.repeat(windows[cell // len(idf)], n) * 1024 + it.post_items[at], return_inverse=True)
-                counts = np.bincount(back, np.minimum(np.repeat(times, n), it.post_counts[at]), len(pair))
-                pair = pair[counts >= it.need[pair % 1024]]
-                if not len(pair):
-                    continue
-                best: dict[tuple[int, int], tuple] = {}
-                for k, (where, i) in enumerate(zip((pair // 1024).tolist(), (pair % 1024).tolist(), strict=True)):
-                    d, first = where >> 24, (where & 0xFFFFFF) * stride
-                    start = max(0, first - len(it.words[i]))
-                    found = it.leak(i, split[d][start : first + it.window + len(it.words[i])])
-                    if found and found[0] > best.get((d, i), (0,))[0]:
-                        best[d, i] = (found[0], found[1], k, start + found[2], start + found[3])
-                if not best:
-                    continue
-                leaky = pair[[x[2] for x in best.values()]]
-                wanted, back = np.unique(leaky // 1024, return_inverse=True)
-                chosen = np.isin(key, wanted)
-                z = _product(_cells(np.searchsorted(wanted, key[chosen]), v[chosen], idf), basis)
-                item = leaky % 1024
-                cos = np.einsum("ij,ij->i", z[back], latent[item]) / norms[item] / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[back]
-                out += [(lo + d, i, float(c), x[0], x[1], x[3], x[4]) for ((d, i), x), c in zip(best.items(), cos, strict=True)]
+            out = [(lo + d, *x) for lo, texts in _chunks(b) for d, *x in _found(texts, *shared.value)]
             if out:
-                at, item, cosine, lcs, answer, start, stop = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(item, pa.int32()), pa.array(cosine), pa.array(lcs), pa.array(answer), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "item", "cosine", "lcs", "answer", "start", "stop"])
+                at, item, lcs, answer, cosine, retrieved, start, stop = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(item, pa.int32()), pa.array(lcs), pa.array(answer), pa.array(cosine), pa.array(retrieved), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "item", "lcs", "answer", "cosine", "retrieved", "start", "stop"])
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, item int, lcs double, answer double, cosine double, retrieved boolean, start long, stop long")
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema.replace("n int", f"doc_id {kind}"))
+
+def _blocks(benchmark: DataFrame, s: Settings, id_col: str) -> Iterator[Items]:
+    """The items in blocks of about `block_words` words (by characters; an item that is longer is a block with few others)."""
+    asked = benchmark.select(F.col(id_col).alias("item_id"), text_or_empty().alias("text"))
+    blocks = max(1, math.ceil((asked.agg(F.sum(F.char_length("text"))).first()[0] or 0) / (6 * s.block_words)))
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], s)
+        if items.vocabulary:
+            yield items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None, id_col: str = "item_id") -> DataFrame:
-    """doc_id, item_id, lcs, answer, cosine, and the word range start to stop: a row per document and item it leaks."""
+    """doc_id, item_id, lcs, answer, cosine, retrieved, and the word range start to stop: a row per document and item it leaks."""
     s = s or Settings()
     spark = docs.sparkSession
-    asked = benchmark.select(F.col(id_col).alias("item_id"), text_or_empty().alias("text"))
-    blocks = max(1, -(-asked.count() // s.items))
-    kind, doc_kind = asked.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks if blocks == 1 else 2 * blocks)))
-    found = spark.createDataFrame([], f"doc_id {doc_kind}, item_id {kind}, lcs double, answer double, cosine double, start long, stop long")
-    for block in range(1 if blocks == 1 else 2 * blocks):
-        rows = asked.where(F.col("block") == block).orderBy("item_id", "text").collect()
-        for lo in range(0, len(rows), 1000):  # a block that chance has overfilled
-            part = rows[lo : lo + 1000]
-            items = Items([r["item_id"] for r in part], [r["text"] for r in part], s)
-            if not items.vocabulary:
-                continue
-            own = materialize(_leaks(docs, items, Space(docs, items, s), s), "leaks")
-            names = spark.createDataFrame(list(enumerate(items.ids)), f"item int, item_id {kind}")
-            found = found.unionByName(own.join(F.broadcast(names), "item").select("doc_id", "item_id", "lcs", "answer", "cosine", "start", "stop"))
-    best = F.max(F.struct("lcs", "answer", "cosine", "start", "stop")).alias("x")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
-    """The rows of docs that leak no item, all columns kept; a null doc_id stands for itself."""
-    bad = materialize(leaks(docs, benchmark, s).select("doc_id").distinct(), "leaky")
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    kind, doc_kind = benchmark.schema[id_col].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    columns = ("lcs", "answer", "cosine", "retrieved", "start", "stop")
+    found = spark.createDataFrame([], f"doc_id {doc_kind}, item_id {kind}, lcs double, answer double, cosine double, retrieved boolean, start long, stop long")
+    for items in _blocks(benchmark, s, id_col):
+        own = materialize(_leaks(docs, items, Space(docs, items, s), s), "leaks")
+        names = spark.createDataFrame(list(enumerate(items.ids)), f"item int, item_id {kind}")
+        found = found.unionByName(own.join(F.broadcast(names), "item").select("doc_id", "item_id", *columns))
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(*columns)).alias("x")).select("doc_id", "item_id", "x.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None, id_col: str = "item_id") -> DataFrame:
+    """The rows of docs that leak no item, all columns kept. Each row is judged by itself, where it lies: nothing is shuffled."""
+    s = s or Settings()
+    left = docs
+    for items in _blocks(benchmark, s, id_col):
+        shared = _shared(docs, items, Space(docs, items, s), s)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for lo, texts in _chunks(b):
+                    keep[[lo + x[0] for x in _found(texts, *shared.value)]] = False
+                yield b.filter(pa.array(keep))
+
+        left = left.mapInArrow(run, docs.schema)
+    return left
