@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _dirs: dict[str, str] = {}
+_open: list[list[str]] = []  # what each open scope has made so far
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,26 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below the one that spark.checkpoint.dir names, which driver and executors share.
 
-    It is removed when the application ends.
+    Only a local session may do without that setting. The folder is removed at the end of the program, and when the
+    session has been stopped by then, the tables in it stay.
     """
     app = spark.sparkContext.applicationId
     if app not in _dirs:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+            base = "/tmp/checkpoints"
         _dirs[app] = f"{base.rstrip('/')}/sparkwake-{app}"
-        atexit.register(_remove, spark, _dirs[app])
+        atexit.register(release, spark, [_dirs[app]])
     return _dirs[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes intermediate tables that nothing reads any more."""
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of the tables made within, as a list that is still filled."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        made = _open.pop()
+        if _open:
+            _open[-1].extend(made)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +73,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for added columns, lengthened until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+SIEVE_BITS = 26
+
+
+def sieve_place(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << SIEVE_BITS))
+
+
+def sieve(df: DataFrame, *keys: Column) -> np.ndarray:
+    """A bit for each place that a row of df has: 8 MB, whatever the number of rows. The more of them, the less it holds back."""
+    at = df.select(sieve_place(*keys).alias("at")).select(F.expr("at div 64").cast("int").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    t = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    out[t.column("word").to_numpy()] = t.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def sifted(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the places at may be a row's; the others are surely none's."""
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for, which the cluster scales with its input."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -19,10 +19,16 @@ with any of them go, by counts over full sets. Pairs with leaders whose union sk
 below the wanted one go; the rest is verified on full sets. Components come from contraction: each node joins its least neighbour, in the order of its random key, until
 no link is left; nothing of this is gathered on the driver.
 
+Sets are told apart by 128-bit hashes and shingles by 64-bit ones: among n shingles two share a hash by chance with
+a probability of n * n / 2**65, and a link changes only if a share of such chances of its two sets does.
+
+Full sets are made in a second pass over the texts, where they lie; a filter of fixed size passes over the rows that
+none is needed of, so only sets that may have a link are shuffled.
+
 Defined results: null or empty text, or one of white space only, has an empty set and is linked with nothing;
-fewer words than a shingle make one shingle; repeated rows are copies; a null doc_id is ignored when the smallest
-of a component is sought (a class of null ids only has none, is linked with its copies alone, and its rows are
-kept); an empty table gives no rows. Columns besides doc_id and text are not looked at.
+fewer words than a shingle make one shingle; repeated rows are copies; rows with a null doc_id are linked like all
+others, but the id is ignored when the smallest of a component is sought (a component of null ids only has none, and
+its rows are kept); an empty table gives no rows. Columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import WordHasher, materialize, mix, text_or_empty
+from sparkwake.llm.common import WordHasher, fresh, materialize, mix, release, scope, sieve, sieve_place, sifted, text_or_empty
 
 
 @dataclass
@@ -70,6 +76,10 @@ def shingles(text: str, hasher: WordHasher, words: int = 5) -> np.ndarray:
     return np.unique(mix(acc).view(np.int64))
 
 
+def text_key() -> Column:
+    return F.xxhash64(text_or_empty()).alias("text_key")
+
+
 def _key(u: np.ndarray) -> bytes:
     import xxhash
 
@@ -77,7 +87,7 @@ def _key(u: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, node (key of the set; null if empty), sketch."""
+    """doc_id, text_key, n_shingles, node (key of the set; null if empty), sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,29 +101,31 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
                 least.append(u[: s.k])
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in least])])
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(least) if least else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "node", "sketch"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, sketch array<long>")
+    return docs.select("doc_id", text_or_empty().alias("text"), text_key()).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, node binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """node, members (the sorted set), one row for each of nodes (node, doc_id of one row that has the set)."""
+    """node, members (the sorted set), one row for each of nodes (node, and doc_id and text_key of a row that has the set)."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(nodes, F.col("doc_id"), F.col("text_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, seen = WordHasher(), set()
         for b in batches:
             keys, sets = [], []
-            for t, node in zip(b.column("text"), b.column("node"), strict=True):
-                u = shingles(t.as_py(), hasher, s.words)
-                if _key(u) == node.as_py():  # a repeated doc_id can bring another text
-                    keys.append(node.as_py())
+            for k in np.flatnonzero(sifted(shared.value, b.column("at").to_numpy())).tolist():
+                u = shingles(b.column("text")[k].as_py(), hasher, s.words)
+                if len(u) and (node := _key(u)) not in seen:
+                    seen.add(node)
+                    keys.append(node)
                     sets.append(u)
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], names=["node", "members"])
 
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(nodes.select("doc_id", "node"), "doc_id")
-    return rows.select("text", "node").mapInArrow(run, "node binary, members array<long>").dropDuplicates(["node"])
+    texts = docs.select(text_or_empty().alias("text"), sieve_place(F.col("doc_id"), text_key()).alias("at"))
+    return texts.mapInArrow(run, "node binary, members array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -169,11 +181,11 @@ def _relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, s: Settings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row; nodes that may be linked; node, label of those linked with others."""
+    """(doc_id, text_key, n_shingles, node) of every row; nodes that may be linked; node, label of those linked with others."""
     s = s or Settings()
     rows = materialize(sketches(docs, s), "sketches")
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes, "nodes")
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes.select("node", "row.*", "n_shingles", "sketch"), "nodes")
     values = nodes.select("node", "n_shingles", F.explode("sketch").alias("value"))
     shared = materialize(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "values")
     kept = materialize(values.join(shared, "value"), "lists")
@@ -264,13 +276,47 @@ def _pooled(lists: DataFrame, labels: DataFrame, sets: DataFrame, s: Settings) -
 
 
 def near_duplicates(docs: DataFrame, s: Settings | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, for every row of docs."""
-    rows, _, labels = classes(docs, s)
-    rows = rows.select("doc_id", "n_shingles", "node")
-    smallest = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    joined = smallest.join(labels, "node", "left").select("node", "copies", F.col("label"), "first")
-    groups = joined.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("first").alias("component"))
-    told = joined.join(groups, "label", "left").select("node", F.coalesce("component", "first").alias("component_id"), (F.col("label").isNotNull() | (F.col("copies") > 1)).alias("more")).where("more").drop("more")
-    told = materialize(told, "components")
-    out = rows.join(told, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, text_key, for every row of docs."""
+    spark = docs.sparkSession
+    with scope(spark) as made:
+        rows, _, labels = classes(docs, s)
+        smallest = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        joined = smallest.join(labels, "node", "left").select("node", "copies", F.col("label"), "first")
+        groups = joined.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("first").alias("component"))
+        told = joined.join(groups, "label", "left").select("node", F.coalesce("component", "first").alias("component_id"), (F.col("label").isNotNull() | (F.col("copies") > 1)).alias("more")).where("more").drop("more")
+        told = materialize(told, "components")
+        release(spark, [p for p in made if not p.rpartition("/")[2].startswith(("sketches-", "components-"))])
+    columns = ["doc_id", "n_shingles", "node", "text_key"]
+    # Empty sets have no class; a join would send them all to one task.
+    none, some = (rows.where(F.col("node").isNull() if x else F.col("node").isNotNull()).select(*columns) for x in (True, False))
+    out = some.join(told, "node", "left").unionByName(none.withColumn("component_id", F.lit(None).cast(rows.schema["doc_id"].dataType)))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame, s: Settings | None = None) -> DataFrame:
+    """The rows of docs that are kept, all columns as they are; of equal rows (doc_id and text) one.
+
+    A row is decided upon by its doc_id and its text, so rows that share a doc_id but not the text are apart. Rows
+    with a null doc_id go if a row with an id is in their component, and stay otherwise. Rows that surely are kept and
+    occur once, as a filter of fixed size tells, stay where they are; the others meet their decision in a join.
+    """
+    spark = docs.sparkSession
+    key = ["doc_id", "text_key"]
+    decided = near_duplicates(docs, s).groupBy(*key).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    touched = materialize(decided.where(~F.col("kept") | ((F.col("n") > 1) & F.col("doc_id").isNotNull())).select(*key, "kept"), "touched")
+    shared = spark.sparkContext.broadcast(sieve(touched, *map(F.col, key)))
+
+    @F.pandas_udf("boolean")
+    def maybe(at):
+        import pandas as pd
+
+        return pd.Series(sifted(shared.value, at.to_numpy()))
+
+    hit, text, one, other, kept = fresh(docs, "_hit", "_text", "_id", "_key", "_kept")
+    marked = docs.withColumn(hit, maybe(sieve_place(F.col("doc_id"), text_key()))).withColumn(text, text_key())
+    found = marked.where(hit).join(touched.toDF(one, other, kept), F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(text) == F.col(other)), "left")
+    found = materialize(found, "met")
+    known, free = found.where(F.col(kept) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", text]), found.where(F.col(kept).isNull())
+    parts = [x.select(*docs.columns) for x in (marked.where(~F.col(hit)), free, known)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
