@@ -1,13 +1,19 @@
 """Main text of HTML pages: flat text blocks, told apart by a decision tree over a block and its neighbours.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each has its number of words, the share of
-them that links hold, the same two figures of the block before and after, the kind of tag it stands in, and
-whether its ancestors mark it (by element, role, or words of class and id) as menu, header, footer, sidebar,
-notice, advert, form or comments, or as lying inside or outside of the page's main element. A decision tree, grown
-by Gini impurity from the small labelled table below, keeps a block or drops it.
+them that links hold, the same two figures of the block before and after, the kind of tag it stands in, and two marks
+of the page's own: how clearly its ancestors call themselves something else than the article, and whether it lies
+inside or outside of an element that calls itself the article. A decision tree, grown by Gini impurity from a small
+labelled table and cut back where a second one is told no worse without, keeps a block or drops it.
+
+The first mark is 2 where an ancestor is such an element (menu, footer, sidebar, dialog, a form that holds no
+article), has such a role, is hidden, or has such a class or id; and 1 where within the article only a part of a
+compound name says so ("story-form"), which the figures then decide upon. Names are taken apart at white space first:
+"page-header-layout" is no header. An article inside of an element with a compound name counts anew.
 
 Within a block character references are decoded, runs of white space (line breaks by <br> too) become one space,
-and the ends are trimmed; kept blocks are joined by two line feeds. Nothing is cut or capped.
+and the ends are trimmed; kept blocks are joined by two line feeds. Nothing is cut or capped, however long a page is;
+the time that a page takes grows with its length.
 
 Defined results: null or empty html, or a page without main text, gives empty text; text outside of any tag is a
 block; an unclosed script, style or HTML comment reaches to the page's end, as browsers read it; repeated rows
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,14 +37,21 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"""<!--(?:(?!-->).)*+(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')|[="'])*+)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
+_BEGIN = re.compile(r"<(?:article|main|h1)(?=[\s/>])", re.I)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title head datalist".split())
 _RAW_TEXT = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog button label legend fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog button label legend fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-BOILER_WORDS = frozenset("nav navbar navigation menu header masthead topbar footer bottombar sidebar aside rail notice notices cookie cookies consent gdpr banner alert popup modal overlay ad ads adv advert adverts advertisement sponsor sponsored promo promotion promoted form newsletter subscribe subscription signup login search comment comments commentlist disqus respond reply replies discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget widgets copyright disclaimer skip".split())
+#: Parts of class names and ids that say the same wherever they stand.
+CLEAR_WORDS = frozenset("cookie cookies consent gdpr adv advert adverts advertisement sponsor sponsored sponsors newsletter comment comments commentlist disqus breadcrumb breadcrumbs navbar masthead pagination pager copyright subscribe subscription signup promoted".split())
+#: Those that do so as the whole of a name, or as the first or last part of it.
+BOILER_WORDS = frozenset("nav navigation menu header topbar footer bottombar sidebar aside rail notice notices banner alert popup modal overlay ad ads promo promotion form login search disclaimer respond reply replies discussion share sharing social related recommended toolbar widget widgets skip".split())
+#: Parts that make a name one about the page, as in "has-sidebar".
+ABOUT_WORDS = frozenset("has no with without is not hide show layout page wrapper container".split())
 MAIN_WORDS = frozenset("article articlebody post content entry story main maincontent".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
 
@@ -47,43 +61,63 @@ class Block:
     text: str
     words: int
     links: float  # share of the words within links
-    flagged: bool
+    mark: int  # 0, 1 or 2
     inside: bool
     paragraph: bool
     heading: bool
 
 
-def _marks(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element marks its content as boilerplate, and as the main part."""
-    flagged, main = tag in BOILER_TAGS or tag == "header" and not in_main, tag in ("article", "main")
+def _named(value: str, in_main: bool) -> tuple[int, bool]:
+    """How a class or id marks an element: 0 not, 1 perhaps, 2 by a compound name, 3 clearly; and as the main part."""
+    mark, main = 0, False
+    for token in value.split():
+        parts = [w.lower() for w in _WORDS.findall(token)]
+        if not parts or set(parts) & ABOUT_WORDS:
+            continue
+        if set(parts) & CLEAR_WORDS or len(parts) == 1 and parts[0] in BOILER_WORDS and not (in_main and parts[0] == "header"):
+            mark = 3
+        elif len(parts) > 1 and (parts[0] in BOILER_WORDS or parts[-1] in BOILER_WORDS):
+            mark = max(mark, 1 if in_main else 2)
+        elif set(parts) & MAIN_WORDS:
+            main = True
+    return mark, main
+
+
+def _marks(tag: str, attrs: str, in_main: bool) -> tuple[int, bool]:
+    """How an element marks its content as something else than the article (0 to 3), and whether as the main part."""
+    mark, main = 3 * (tag in BOILER_TAGS or tag == "header" and not in_main), tag in ("article", "main")
     if attrs and not attrs.isspace():
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                flagged = True
+                mark = 3
             elif name == "style":
-                flagged |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                    mark = 3
             elif name == "role":
-                flagged |= value.lower() in BOILER_ROLES
+                if value.lower() in BOILER_ROLES:
+                    mark = 3
                 main |= value.lower() in ("main", "article")
             elif name in ("class", "id"):
-                if tag in ("body", "html", "article", "main"):
+                if tag in ("body", "html", "main"):
                     continue
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if words & BOILER_WORDS and not (in_main and words & BOILER_WORDS <= {"header"}):
-                    flagged = True
-                elif words & MAIN_WORDS:
-                    main = True
+                own, named = _named(value, in_main)
+                mark, main = max(mark, own if tag != "article" or own == 3 else 0), main or named
             elif value.lower() == "articlebody":
                 main = True
-    return flagged, main and not flagged
+    return mark, main and not mark
+
+
+def _wrapping_forms(page: str) -> tuple[list[int], list[int]]:
+    """Places where forms end, and where an article, a main part or a first heading begins."""
+    return [m.start() for m in _FORM_END.finditer(page)], [m.start() for m in _BEGIN.finditer(page)]
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
     """The flat text blocks of a page, and whether the page names a main part."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, flagged, inside: of the element or one around it
-    flagged = inside = has_main = False
+    stack: list[tuple[str, int, bool]] = []  # tag, mark, inside: of the element or one around it
+    mark, inside, has_main, forms = 0, False, False, None
     parts: list[str] = []
     linked: list[str] = []
     in_link = 0
@@ -97,13 +131,13 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             if text:
                 words = text.count(" ") + 1
                 own = len(_html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append(Block(text, words, min(1.0, own / words), flagged, inside, tag_now in PARAGRAPH, len(tag_now) == 2 and tag_now[0] == "h" and tag_now != "hr"))
+                out.append(Block(text, words, min(1.0, own / words), min(mark, 2), inside, tag_now in PARAGRAPH, len(tag_now) == 2 and tag_now[0] == "h" and tag_now != "hr"))
             parts, linked = [], []
 
     def pop(to: int) -> None:
-        nonlocal flagged, inside, tag_now
+        nonlocal mark, inside, tag_now
         del stack[to:]
-        flagged, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        mark, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         tag_now = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
 
     while pos < end:
@@ -148,7 +182,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 if stack[k][0] == tag:
                     if not block and any(t in BLOCK for t, _, _ in stack[k + 1 :]):
                         break  # an inline end tag closes no block
-                    if not block and stack[k][1] != (stack[k - 1][1] if k else False):
+                    if not block and stack[k][1] != (stack[k - 1][1] if k else 0):
                         flush()
                     pop(k)
                     break
@@ -166,62 +200,83 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     if t in BLOCK:
                         break
             own, main = _marks(tag, attrs, inside)
-            if not block and own and not flagged:
+            if tag == "form":
+                ends, begins = forms = forms or _wrapping_forms(page)
+                at = bisect_left(begins, pos)
+                wraps = at < len(begins) and begins[at] < (ends[e] if (e := bisect_left(ends, pos)) < len(ends) else end)
+                own = 0 if wraps else 3
+            around = 0 if tag in ("article", "main") and mark == 2 else mark
+            if not block and own > around:
                 flush()
             if block or own:
-                stack.append((tag, flagged or own, inside or main))
-                has_main |= main and not flagged
-                flagged, inside = stack[-1][1], stack[-1][2]
+                stack.append((tag, max(around, own), inside or main))
+                has_main |= main and not around
+                mark, inside = stack[-1][1], stack[-1][2]
                 if block:
                     tag_now = tag
     flush()
     return out, has_main
 
 
-FEATURES = ("flagged", "outside", "inside", "words", "links", "words_before", "links_before", "words_after", "links_after", "paragraph", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "mark", "outside", "inside", "paragraph", "heading")
 
 
 def features(found: list[Block], has_main: bool) -> list[list[float]]:
     rows = []
-    none = Block("", 0, 0.0, False, False, False, False)
+    none = Block("", 0, 0.0, 0, False, False, False)
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else none, found[k + 1] if k + 1 < len(found) else none
-        rows.append([float(b.flagged), float(has_main and not b.inside), float(b.inside), b.words, b.links, before.words, before.links, after.words, after.links, float(b.paragraph), float(b.heading)])
+        rows.append([b.words, b.links, before.words, before.links, after.words, after.links, float(b.mark), float(has_main and not b.inside), float(b.inside), float(b.paragraph), float(b.heading)])
     return rows
 
 
-#: The labelled table: the FEATURES of a block, then 1 for main text and 0 for the rest.
-LABELLED = (
-    # articles marked as such: title, paragraphs long and short, items, text without a paragraph
-    (0, 0, 1, 9, 0.0, 4, 0.0, 60, 0.0, 1, 1, 1), (0, 0, 1, 1, 0.0, 3, 1.0, 40, 0.0, 1, 1, 1), (0, 0, 1, 64, 0.0, 9, 0.0, 80, 0.0, 1, 0, 1),
-    (0, 0, 1, 1, 0.0, 64, 0.0, 80, 0.0, 1, 0, 1), (0, 0, 1, 2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (0, 0, 1, 120, 0.1, 30, 0.0, 4, 1.0, 1, 0, 1),
-    (0, 0, 1, 35, 0.4, 50, 0.0, 60, 0.0, 1, 0, 1), (0, 0, 1, 3, 0.0, 2, 0.0, 0, 0.0, 0, 0, 1), (0, 0, 1, 50, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1),
-    (0, 0, 1, 4, 1.0, 70, 0.0, 60, 0.0, 1, 0, 1), (0, 0, 1, 6, 0.7, 30, 0.0, 20, 0.0, 1, 0, 1), (0, 0, 1, 5, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    # parts marked as something else, within the article or not, however long
-    (1, 0, 1, 12, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0), (1, 0, 1, 40, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0), (1, 0, 1, 3, 0.0, 60, 0.0, 9, 0.0, 1, 1, 0),
-    (1, 1, 0, 1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1, 0, 9, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0), (1, 1, 0, 14, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0),
-    (1, 1, 0, 90, 0.0, 70, 0.0, 30, 0.0, 1, 0, 0), (1, 0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 0, 0, 15, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0),
-    (1, 0, 0, 55, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0), (1, 0, 0, 6, 0.0, 2, 0.0, 40, 0.0, 1, 1, 0), (1, 0, 0, 25, 0.2, 30, 0.0, 20, 0.0, 1, 0, 0),
-    # unmarked blocks outside of a marked article
-    (0, 1, 0, 5, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0), (0, 1, 0, 4, 1.0, 60, 0.0, 4, 1.0, 1, 0, 0), (0, 1, 0, 30, 0.0, 60, 0.0, 5, 0.0, 1, 0, 0),
-    (0, 1, 0, 3, 0.0, 9, 0.0, 40, 0.0, 1, 1, 0), (0, 1, 0, 12, 0.5, 12, 0.5, 0, 0.0, 0, 0, 0), (0, 1, 0, 70, 0.0, 9, 0.0, 60, 0.0, 1, 0, 0),
-    # pages without a marked article: titles, long and short paragraphs between text
-    (0, 0, 0, 8, 0.0, 1, 1.0, 60, 0.0, 1, 1, 1), (0, 0, 0, 70, 0.0, 8, 0.0, 50, 0.0, 1, 0, 1), (0, 0, 0, 1, 0.0, 40, 0.0, 50, 0.0, 1, 0, 1),
-    (0, 0, 0, 2, 0.0, 1, 0.0, 60, 0.0, 1, 0, 1), (0, 0, 0, 25, 0.0, 30, 0.0, 12, 0.1, 1, 0, 1), (0, 0, 0, 60, 0.2, 40, 0.0, 3, 1.0, 1, 0, 1),
-    (0, 0, 0, 45, 0.0, 6, 0.0, 40, 0.0, 0, 0, 1), (0, 0, 0, 30, 0.1, 50, 0.0, 60, 0.0, 0, 0, 1), (0, 0, 0, 5, 0.0, 70, 0.0, 40, 0.0, 1, 1, 1),
-    (0, 0, 0, 14, 0.0, 20, 0.0, 0, 0.0, 1, 0, 1), (0, 0, 0, 30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (0, 0, 0, 1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    (0, 0, 0, 2, 0.0, 40, 0.0, 0, 0.0, 1, 0, 1), (0, 0, 0, 30, 0.0, 0, 0.0, 2, 0.0, 1, 0, 1), (0, 0, 0, 6, 0.0, 0, 0.0, 3, 0.0, 1, 0, 1),
-    (0, 0, 0, 8, 0.0, 0, 0.0, 0, 0.0, 1, 1, 1), (0, 0, 0, 20, 0.1, 0, 0.0, 4, 0.0, 1, 0, 1), (0, 0, 0, 3, 0.0, 2, 0.0, 1, 0.0, 1, 0, 1),
-    (0, 0, 0, 9, 0.2, 3, 0.0, 5, 0.0, 1, 0, 1), (0, 0, 0, 12, 0.4, 20, 0.1, 9, 0.0, 1, 0, 1), (0, 0, 0, 22, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1),
-    # and their link lists, bars and notes
-    (0, 0, 0, 1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (0, 0, 0, 2, 1.0, 1, 1.0, 3, 1.0, 1, 0, 0), (0, 0, 0, 4, 1.0, 60, 0.0, 5, 1.0, 1, 0, 0),
-    (0, 0, 0, 3, 1.0, 3, 1.0, 70, 0.0, 1, 0, 0), (0, 0, 0, 9, 0.8, 5, 1.0, 6, 1.0, 0, 0, 0), (0, 0, 0, 15, 0.9, 60, 0.0, 0, 0.0, 0, 0, 0),
-    (0, 0, 0, 4, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), (0, 0, 0, 3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0), (0, 0, 0, 6, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0),
-    (0, 0, 0, 2, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0),
+#: Page layouts that the labelled tables are made from, a letter for each block:
+#: T title, P paragraph, S short paragraph, D text without a paragraph, E such text with links, L item with some links, A paragraph that is a
+#: link, Q paragraph in a name that perhaps is something else's (all main text); M menu entry, B bar of links, N note, C long note, R read-more
+#: link, F short form text in such a name, K line of rights (all of them not).
+#: Before the bar stands what surrounds the letters: a where an element is the article, else u; upper-case runs after
+#: a dot lie outside of it, and those after a comma lie in a marked element.
+LAYOUTS = (
+    "a:,MMMM,N:TPPSPPDP:,K", "a:.MMM.N:TSPPPPLLLP:.K", "a:,B,C:TPQQPPSF:,NNC.K", "a:.B.C:TTPPDDPPSS:.MMMM,C", "a:,MM:P:,K", "a:,M:TS:.N", "a::TPLLLLPPP:.MMM.C,CC",
+    "a:,MMMMM,N:TPFQPPPS:,CCC", "a:.N:DDDD:.B", "a:,B:TSSSSSS:,B", "a:.M,N:TPPPPPPPPPPP:,CCCC,K", "a:,N:TPQPPFPP:,MMM,K",
+    "a::D:", "a::TD:", "a:,M:TPD:,K", "a:.B:DD:.K", "a:,MM:PSD:", "a:.M:TD:.N", "u::D:", "u::DD:", "u::TD:",
+    "u:MMMM:TPPPSPPP:K", "u:MMMMM:TPPDPSPP:MMM", "u:B:TPPPP:BK", "u::TPPSSPPP:", "u:MM:PPPP:RMM", "u:B:DDDD:K", "u::TS:", "u:,MMMM,N:TPPPPSP:,NK", "u:,C:TPPP:,CC,K", "u:BB:TPLPPP:MMMM", "u::D:", "u::S:", "u:MMM:TSPPSPP:MMMK", "u:,M,N:PPPPQPP:,FC", "u:M:TSSPP:K",
+    "u:MMMM:TPLLPPP:MMK", "u:B:TPPLPPLP:RMM", "u:MM:PLPPLLP:MMM", "u:MMNMM:TPPP:MMNMM", "u:MNM:TPPPP:MNMM", "u:MMM:TPPSP:MNMBM", "u:MM:TDDD:MNM", "a::TEPEDE:", "a::TADAD:", "a:,MM:ADPADAE:,K", "a:.B:TAEADD:,C", "a::TALDAD:.M", "a:,MM:TEDE:.K", "a:.B:EPDEE:,C", "a::TPLP:", "a:,MM:TPALPA:,K", "a:.B:TAPLAP:.R", "a::APPA:", "a:,MMM:TPAAPP:,K", "a:.MM:TAAPPA:.MK",
 )
+#: Letter -> least and most words, least and most share of links, whether in a paragraph, whether a heading.
+BLOCKS = {
+    "T": (1, 16, 0, 0, 1, 1), "P": (1, 240, 0, 0.3, 1, 0), "S": (1, 6, 0, 0, 1, 0), "D": (2, 120, 0, 0.2, 0, 0), "E": (2, 60, 0.2, 0.7, 0, 0), "L": (2, 30, 0.2, 1, 1, 0), "Q": (25, 200, 0, 0.2, 1, 0),
+    "A": (1, 9, 1, 1, 1, 0), "M": (1, 4, 1, 1, 1, 0), "B": (5, 25, 0.7, 1, 0, 0), "N": (3, 14, 0, 0.3, 0, 0), "C": (10, 200, 0, 0.3, 1, 0), "R": (2, 5, 1, 1, 1, 0), "F": (2, 12, 0, 0.5, 0, 0), "K": (2, 9, 0, 0.3, 0, 0),
+}
+
+
+def labelled(seed: int, pages: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """A labelled table: the FEATURES of blocks, and 1 for main text, 0 for the rest.
+
+    It has `pages` pages of each layout, thrice as many of those whose figures alone must tell.
+    """
+    rng = np.random.default_rng(seed)
+    x: list[list[float]] = []
+    y: list[int] = []
+    for layout in [x for x in LAYOUTS for _ in range(pages * (1 if x[0] == "a" else 3))]:
+        kind, *parts = layout.split(":")
+        found: list[Block] = []
+        for at, part in enumerate(parts):
+            mark = 0
+            for letter in part:
+                if letter in ".,":
+                    mark = 2 * (letter == ",")
+                    continue
+                low, high, few, many, paragraph, heading = BLOCKS[letter]
+                words = round(float(np.exp(rng.uniform(np.log(low), np.log(high)))))
+                main = at == 1 and letter != "F"
+                found.append(Block("", words, float(rng.uniform(few, many)), 1 if at == 1 and letter in "QF" else mark, kind == "a" and at == 1, bool(paragraph), bool(heading)))
+                y.append(int(main))
+        x += features(found, kind == "a")
+    return np.array(x), np.array(y, float)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, leaf: int = 8) -> tuple | bool:
     """A decision tree: (feature, bound, tree for values up to the bound, tree for the others), or a leaf's class."""
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
@@ -232,19 +287,34 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | bool:
         values = np.unique(x[:, f])
         for bound in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= bound
+            if min(low.sum(), (~low).sum()) < leaf:
+                continue
             cost = gini(y[low].mean(), low.sum()) + gini(y[~low].mean(), (~low).sum())
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, f, float(bound), low)
     if best is None or best[0] >= gini(share, len(y)) - 1e-12:
         return bool(share >= 0.5)
     _, f, bound, low = best
-    return f, bound, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+    return f, bound, grow(x[low], y[low], depth - 1, leaf), grow(x[~low], y[~low], depth - 1, leaf)
+
+
+def prune(node: tuple | bool, x: np.ndarray, y: np.ndarray) -> tuple | bool:
+    """The tree without the cuts that tell the rows of a second table no better than a leaf would."""
+    if isinstance(node, bool):
+        return node
+    f, bound, low, high = node
+    side = x[:, f] <= bound
+    low, high = prune(low, x[side], y[side]), prune(high, x[~side], y[~side])
+    if len(y) == 0:
+        return (f, bound, low, high) if low != high else low
+    wrong = sum(_keep((f, bound, low, high), r) != bool(t) for r, t in zip(x.tolist(), y, strict=True))
+    leaf = bool(y.mean() >= 0.5)
+    return leaf if (y != leaf).sum() <= wrong else (f, bound, low, high)
 
 
 @lru_cache(1)
 def tree() -> tuple | bool:
-    table = np.array(LABELLED, float)
-    return grow(table[:, :-1], table[:, -1])
+    return prune(grow(*labelled(1)), *labelled(2))
 
 
 def _keep(node: tuple | bool, row: list[float]) -> bool:
