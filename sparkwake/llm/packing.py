@@ -104,7 +104,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode("utf-8", "replace") for t in texts]
-        split = [t.split() if b"<|" in t else t.lower().split() for t in raw]  # special tokens keep their case
+        # Special tokens keep their case, and so do letters that a mark may compose with before they are folded.
+        split = [t.split() if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower().split() for t in raw]
         new = set().union(*split)
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
