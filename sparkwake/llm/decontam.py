@@ -116,6 +116,8 @@ class Items:
         self.counts = [np.array([self.vocabulary[w] for w in ws if w in self.vocabulary], np.int64) for ws in self.words]
         pairs = sorted((v, i) for i, c in enumerate(self.counts) for v in set(c.tolist()))
         self.post_items = np.array([i for _, i in pairs], np.int64)
+        own = [Counter(c.tolist()) for c in self.counts]
+        self.post_counts = np.array([own[i][v] for v, i in pairs], np.int64)
         self.post_start = np.searchsorted([v for v, _ in pairs], np.arange(len(self.vocabulary) + 1))
         self.window = max([48, *(math.ceil(1.5 * len(w)) for w in self.words)])
         self.answers = [[w for w in answer_of(t) if w in self.vocabulary] or answer_of(t) for t in self.texts]
@@ -188,6 +190,28 @@ class Items:
         places = self.lcs_places(i, region[start : start + span])
         return n / size, answer, start + places[0], start + places[-1] + 1
 
+    def _enough(self, starts: np.ndarray, hit: np.ndarray, item: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, number: np.ndarray, part: slice) -> np.ndarray:
+        """Whether the run from each start still has enough telling words if one that its item has once counts once."""
+        d, p, v = doc[part], place[part], number[part]
+        same = np.argsort(v, kind="stable")
+        again = (v[same[1:]] == v[same[:-1]]) & (d[same[1:]] == d[same[:-1]])
+        before = np.full(len(p), -1)
+        before[same[1:][again]] = p[same[:-1][again]]
+        span = np.array(self.span, np.int64)
+        shift = np.cumsum(np.r_[0, np.where(d[1:] != d[:-1], np.maximum(p[:-1] - p[1:], 0) + span.max() + 1, 0)])
+        h = hit - part.start
+        key = item * (1 << 42) + (p + shift)[h]
+        stop = np.searchsorted(key, key[starts] + span[item[starts]])
+        ok, n = np.zeros(len(starts), bool), stop - starts
+        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n) // _POSTINGS)) + 1, len(starts)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            m = n[a:b]
+            of = np.repeat(np.arange(b - a), m)
+            each = np.repeat(starts[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            counts = np.bincount(of, (before[h[each]] < p[h[starts[a:b]]][of]) | (self.post_counts[at[each]] > 1), b - a)
+            ok[a:b] = counts >= self.need[item[starts[a:b]]]
+        return ok
+
     def regions(self, doc: np.ndarray, place: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first and end place) of regions that hold every run with enough telling words, of hits in order of place.
 
@@ -210,6 +234,8 @@ class Items:
             fits = (end < len(item)) & (hit < hi)
             end = np.minimum(end, len(item) - 1)
             fits &= (item[end] == item) & (doc[hit[end]] == doc[hit]) & (place[hit[end]] - place[hit] < span[item])
+            fits = np.flatnonzero(fits)
+            fits = fits[self._enough(fits, hit, item, at[order], doc, place, number, slice(lo, stop))]
             hit, item = hit[fits], item[fits]
             if len(hit):
                 d, p, s = doc[hit], place[hit], span[item]
@@ -304,21 +330,26 @@ class Space:
                 for _, texts in _chunks(b):
                     split, doc, place, number = _hits(texts, it.vocabulary)
                     passages = sum(-(-len(x) // it.window) for x in split)
-                    rows = np.unique(doc * (1 << 32) + place // it.window, return_inverse=True)[1] if len(doc) else doc
-                    yield pa.RecordBatch.from_arrays([pa.array([passages], pa.int64()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([number.astype(np.int32).tobytes()])], names=["passages", "rows", "words"])
+                    rows = np.cumsum(np.diff(doc * (1 << 32) + place // it.window, prepend=-1) != 0) - 1
+                    cells, times = np.unique(rows * v + number, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([passages], pa.int64()), pa.array([cells.tobytes()], pa.binary()), pa.array([times.astype(np.int32).tobytes()], pa.binary())], names=["passages", "cells", "times"])
+
+        table = materialize(docs.select(text_or_empty().alias("text")).mapInArrow(count, "passages long, cells binary, times binary"), "passages")
 
-        table = materialize(docs.select(text_or_empty().alias("text")).mapInArrow(count, "passages long, rows binary, words binary"), "passages")
-        read = lambda b: zip((np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in b.column("rows")), (np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in b.column("words")), strict=True)
+        def read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """The cells (row times v plus column) of each group of passages, and how often each has its word."""
+            for cells, times in zip(b.column("cells"), b.column("times"), strict=True):
+                yield np.frombuffer(cells.as_buffer(), np.int64), np.frombuffer(times.as_buffer(), np.int32)
 
         def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(v, np.int64)
             for b in batches:
-                for rows, words in read(b):
-                    total += np.bincount(np.unique(rows * v + words) % v, minlength=v)
+                for cells, _ in read(b):
+                    total += np.bincount(cells % v, minlength=v)
             has = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(total[has])], names=["key", "n"])
 
-        sparse = table.select("rows", "words")
+        sparse = table.select("cells", "times")
         df = np.zeros(v)
         for r in sparse.mapInArrow(frequencies, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_pylist():
             df[r["key"]] = r["n"]
@@ -340,9 +371,9 @@ class Space:
                 d, weight = given.value, 0.0
                 out = np.zeros((d.shape[1] if both else v, d.shape[1]))
                 for b in batches:
-                    for rows, words in read(b):
-                        if len(rows):
-                            cells = _cells(rows, words, idf)
+                    for at, times in read(b):
+                        if len(at):
+                            cells = at // v, at % v, (1 + np.log(times)) * idf[at % v]
                             weight += (cells[2] ** 2).sum()
                             ad = _product(cells, d)
                             out += (ad.T @ ad).astype(np.float64) if both else _transposed(cells, ad, v)
@@ -371,17 +402,21 @@ class Space:
 
 def _found(texts: list[str], it: Items, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, s: Settings) -> Iterator[tuple]:
     """(number of the text, item, lcs, answer, cosine, retrieved, start, stop), the best leak for each text and item."""
-    stride, v = -(-it.window // 2), max(1, len(idf))
+    stride = -(-it.window // 2)
     unit = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]
     split, doc, place, number = _hits(texts, it.vocabulary)
     if not len(doc):
         return
-    # Passages of two strides, each beginning at every stride, as unit vectors of the latent space.
-    w = place // stride
-    two = w > 0
-    token = np.concatenate([np.arange(len(doc)), np.flatnonzero(two)])
-    windows, of = np.unique(doc[token] * (1 << 32) + np.concatenate([w, w[two] - 1]), return_inverse=True)
-    z = _product(_cells(of, number[token], idf), basis)
+    # A passage is two strides that follow each other, or one that stands alone; hits come in order of place.
+    key = doc * (1 << 32) + place // stride
+    new = np.diff(key, prepend=-1) != 0
+    windows = key[new]
+    z = _product(_cells(np.cumsum(new) - 1, number, idf), basis)
+    follows = np.diff(windows) == 1
+    alone = ~(np.r_[follows, False] | np.r_[False, follows])
+    z, windows = np.concatenate([z[:-1][follows] + z[1:][follows], z[alone]]), np.concatenate([windows[:-1][follows], windows[alone]])
+    order = np.argsort(windows)
+    z, windows = z[order], windows[order]
     z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
     near: dict[tuple[int, int], float] = {}
     for lo in range(0, len(windows), 4096):
