@@ -9,7 +9,7 @@ vectors of the block are verified.
 
 The largest inner product is sought: vectors get one more component that gives all the largest norm, whereby the
 nearest by distance is the one with the largest inner product; scores are inner products of the original vectors
-in double precision.
+in double precision, summed component by component, so that equal vectors tie wherever they lie.
 
 Every row is indexed. Vectors and queries are dealt to blocks by hash, all blocks of queries meet all blocks of
 vectors, and each meeting yields at most k rows a query, so no task holds more than a block of each, and no more
@@ -114,6 +114,13 @@ class Index:
                 near = 2 * self.norm**2 - 2 * scores * (self.norm / own[q]) <= radius**2
                 if near.sum() >= s.k or done.all():
                     break
+            # Scores come component by component for those that may be among the k best, so equal vectors have equal ones.
+            if len(rows) > s.k:
+                slack = 1e-9 * self.norm * own[q]
+                rows = rows[scores >= np.partition(scores, -s.k)[-s.k] - slack]
+            scores = np.zeros(len(rows))
+            for x, y in zip(self.vectors[rows].T, queries[q], strict=True):
+                scores += x * y
             best = np.lexsort((self.ids[rows], -scores))[: s.k]
             out_q.append(np.full(len(best), q))
             out_i.append(self.ids[rows[best]])

@@ -3,7 +3,9 @@
 A document's features are present or absent: its words, the first 3 to 6 letters of each word (inflected
 languages put the same stem into many words), its adjacent word pairs, and its pairs with one word between
 (skip-grams), each hashed to `2 ** bits` places. Training keeps a learning rate for each coordinate and an L1
-penalty, so that few weights differ from zero; these alone go to the executors.
+penalty, so that few weights differ from zero; these alone go to the executors. A labelled text is learnt from whole;
+it has at most `2 ** bits` features, so a bounded number of texts brings a bounded number of them. The sample is gone
+over again until `min_examples` were shown, at least twice and at most `max_epochs` times.
 
 Defined results: null or empty text has no features, and its score is that of the intercept alone; a null
 doc_id counts as the empty text in the choice of held-out rows; repeated rows each get a row; labels with null
@@ -41,7 +43,6 @@ class Settings:
     min_examples: int = 24_000  # examples shown in all, by repeating a small sample
     max_epochs: int = 12
     max_labelled: int = 8_000  # bound of the labelled sample that is learnt from
-    max_words: int = 200_000  # bound of the words that one training example brings
 
 
 class Features:
@@ -162,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     s = settings or Settings()
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(s.max_labelled)
-    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(marks), "doc_id")
+    marks = marks.withColumn("doc_id", F.col("doc_id").cast("string"))
+    chosen = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(marks), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(s.bits)
@@ -171,10 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
             for lo, hi in _chunks(texts):
                 doc, feature = make.pairs(texts[lo:hi])
                 cuts = np.searchsorted(doc, np.arange(1, hi - lo))
-                packed = [np.asarray(x[: s.max_words], np.uint32).tobytes() for x in np.split(feature, cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(toxic[lo:hi], pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
+                packed = [np.asarray(x, np.uint32).tobytes() for x in np.split(feature, cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.string()), pa.array(toxic[lo:hi], pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
-    rows = chosen.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(features, "doc_id long, toxic int, features binary").toArrow().to_pylist()
+    rows = chosen.mapInArrow(features, "doc_id string, toxic int, features binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["features"]))
     return ftrl([(np.frombuffer(r["features"], np.uint32).astype(np.int64), int(r["toxic"] > 0)) for r in rows], s)
 

@@ -1,8 +1,9 @@
 """WARC archives compressed record by record with a Zstandard dictionary of their own.
 
 Each archive file begins with a skippable frame (magic 0x184D2A5D) that holds a dictionary trained from a bounded
-sample of the archive's records; then every record is a Zstandard frame of its own, compressed with that
-dictionary, so that one record can be read by its offset alone. Records of equal payloads (digest and length) of
+sample of the archive's records, drawn from all of them; then every record is a Zstandard frame of its own,
+compressed with that dictionary, so that one record can be read by its offset alone. For that an archive's records
+wait in a file beside it, each compressed by itself, until the last one has been seen. Records of equal payloads (digest and length) of
 at least `min_revisit_bytes` bytes are stored once: the one with the smallest id is the response, the others are
 revisits that refer to it.
 
@@ -23,6 +24,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,8 @@ SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVES = "archive string, records long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
-SAMPLE_BYTES = 2_000_000  # bound of the records a dictionary is trained from
+SAMPLE_BYTES = 2_000_000  # bound of the sample that a dictionary is trained from
+SAMPLES = 512  # and of its number of records
 DICT_BYTES = 65_536
 
 
@@ -96,39 +99,67 @@ def dictionary(samples: list[bytes]):
         return zstandard.ZstdCompressionDict(b"".join(samples)[-DICT_BYTES:] or b"\0")
 
 
-def _write_archive(path: str, records: Iterator[bytes]) -> tuple[int, int]:
-    """Writes records in order; the first SAMPLE_BYTES of them are held back to train the dictionary from."""
+class _Sample:
+    """A reservoir of records, each of all seen so far with the same chance; of each its first `share` bytes at most."""
+
+    def __init__(self, sample_bytes: int):
+        import random
+
+        self.kept: list[bytes] = []
+        self.seen, self.draw, self.share = 0, random.Random(7), max(1, sample_bytes // SAMPLES)
+
+    def add(self, record: bytes) -> None:
+        k = self.draw.randrange(self.seen + 1)
+        self.seen += 1
+        if len(self.kept) < SAMPLES:
+            self.kept.append(record[: self.share])
+        elif k < SAMPLES:
+            self.kept[k] = record[: self.share]
+
+
+def _write_archive(path: str, records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> tuple[int, int]:
+    """Writes records in order, with a dictionary trained from a sample of all of them."""
     import zstandard
 
-    first: list[bytes] = []
-    held = 0
-    for r in records:
-        first.append(r)
-        held += len(r)
-        if held >= SAMPLE_BYTES:
-            break
-    if not first:
-        return 0, 0
-    trained = dictionary(first)
-    packed = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True)
     files, at = _filesystem(path)
+    sample, count, size = _Sample(sample_bytes), 0, 0
+    quick, back = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    first = next(records, None)
+    if first is None:
+        return 0, 0
     files.create_dir(at.rpartition("/")[0], recursive=True)
-    draft, count, size = f"{at}.{uuid.uuid4().hex}.draft", 0, 0
-    with files.open_output_stream(draft, compression=None) as out:
+    draft, waiting = (f"{at}.{uuid.uuid4().hex}.{x}" for x in ("draft", "waiting"))
+    with files.open_output_stream(waiting, compression=None) as out:
+        for r in chain([first], records):
+            sample.add(r)
+            held = quick.compress(r)
+            out.write(struct.pack("<Q", len(held)) + held)
+            count += 1
+    trained = dictionary(sample.kept)
+    packed = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True)
+    with files.open_output_stream(draft, compression=None) as out, files.open_input_stream(waiting, compression=None, buffer_size=1 << 20) as source:
         raw = trained.as_bytes()
         out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
         size = 8 + len(raw)
-        for source in (first, records):
-            for r in source:
-                frame = packed.compress(r)
-                out.write(frame)
-                count, size = count + 1, size + len(frame)
+        for _ in range(count):
+            (n,) = struct.unpack("<Q", source.read(8))
+            frame = packed.compress(back.decompress(source.read(n)))
+            out.write(frame)
+            size += len(frame)
     files.move(draft, at)
+    files.delete_file(waiting)
     return count, size
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
+def _whole(spark: SparkSession, folder: str) -> str:
+    """folder with its scheme, as Spark resolves it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().replace("s3a://", "s3://", 1)
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Writes pages as archives below folder, which all executors share; returns a row per archive."""
+    folder = _whole(pages.sparkSession, folder)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     first = base.where(F.col("size") >= min_revisit_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha", "size", "first")
@@ -142,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     yield record(p, url.as_py(), payload.as_py(), f, f is not None and p != f)
 
         path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-        count, size = _write_archive(path, records())
+        count, size = _write_archive(path, records(), sample_bytes)
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["archive", "records", "bytes"])
 

@@ -165,5 +165,5 @@ def test_features_of_texts_do_not_depend_on_neighbours():
 
 def test_co_training_without_labels():
     none = [np.zeros((0, 3)), np.zeros((0, 2))]
-    assert quality.co_train(none, np.zeros(0), none, quality.Settings()).score([np.zeros((2, 3)), np.zeros((2, 2))]).tolist() == [1.0, 1.0]
+    assert quality.co_train(none, np.zeros(0), None, quality.Settings()).score([np.zeros((2, 3)), np.zeros((2, 2))]).tolist() == [1.0, 1.0]
     assert zlib.crc32(b"1") % 5 in range(5) and len(quality.text_view("")) == len(quality.text_view("A b\n!"))
