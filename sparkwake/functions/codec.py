@@ -60,8 +60,11 @@ def rot13(data: bytes) -> bytes:
 
 
 def _inflate(data: bytes, bits: int) -> bytes | None:
+    """What data unpacks to; None if it is broken, or more than MAX_OUTPUT bytes."""
     try:
-        return zlib.decompressobj(bits).decompress(data, MAX_OUTPUT) or None
+        unpacking = zlib.decompressobj(bits)
+        out = unpacking.decompress(data, MAX_OUTPUT)
+        return None if unpacking.unconsumed_tail else out or None
     except zlib.error:
         return None
 

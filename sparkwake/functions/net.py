@@ -76,6 +76,22 @@ def readable_bytes(n: Column) -> Column:
     return out.otherwise(F.concat(F.format_string("%.1f", n / 1024**3), F.lit(" GB")))
 
 
+#: TCP flags by name (fixed values).
+TCP_FLAGS = {"FIN": 1, "SYN": 2, "RST": 4, "PSH": 8, "ACK": 16, "URG": 32, "ECE": 64, "CWR": 128}
+
+
+def flag_set(flags: Column, name: str) -> Column:
+    return flags.bitwiseAND(F.lit(TCP_FLAGS[name])) != 0
+
+
+def is_syn_only(flags: Column) -> Column:
+    return flag_set(flags, "SYN") & ~flag_set(flags, "ACK")
+
+
+def is_syn_ack(flags: Column) -> Column:
+    return flag_set(flags, "SYN") & flag_set(flags, "ACK")
+
+
 def seq_before(a: Column, b: Column) -> Column:
     """Whether a TCP sequence number comes before another, modulo 2 ** 32."""
     return F.pmod(a - b, F.lit(1 << 32)) >= (1 << 31)

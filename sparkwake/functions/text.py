@@ -11,9 +11,11 @@ SWEEPS = {
     "Email": (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0),
     "Ipv4": (r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", 0),
     "Base64Blob": (r"[A-Za-z0-9+/]{20,}={0,2}", 24),
-    "HexBlob": (r"[0-9a-fA-F]{32,}", 32),
+    "HexBlob": (r"\b[0-9a-fA-F]{32,}\b", 32),
 }
-FLAGS = (r"(?i)flag\{[^}]+\}", r"(?i)ctf\{[^}]+\}", r"(?i)picoctf\{[^}]+\}", r"[a-zA-Z]{2,12}\{[^}]{1,200}\}")
+#: Words that flags begin with, in order; then any word (fixed values).
+FLAG_WORDS = ("flag", "ctf", "ctfa", "ctfb", "picoctf", "htb", "thm", "hack", "key", "secret", "flg")
+FLAGS = (*(rf"(?i){w}\{{[^}}]{{1,200}}\}}" for w in FLAG_WORDS), r"[a-zA-Z]{2,12}\{[^}]{1,200}\}")
 #: Credential kinds of our own choice: kind, pattern, group.
 CREDENTIALS = (
     ("BearerToken", r"[Bb]earer ([A-Za-z0-9._~+/-]{8,}=*)", 1), ("Jwt", r"eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*", 0), ("ApiKey", r"AKIA[A-Z0-9]{16}", 0),
@@ -44,17 +46,16 @@ def credentials(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def byte_entropy(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, entropy: Shannon entropy in bits of a text's bytes; rows without bytes have 0."""
-    data = df.select(key, F.hex(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("h"))
-    pairs = data.select(key, F.explode_outer(F.regexp_extract_all("h", F.lit(".."), F.lit(0))).alias("b"))
-    counts = pairs.groupBy(key, "b").agg(F.count("b").alias("n"))
-    total = counts.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n"))).alias("s"))
-    return total.select(key, F.when(F.col("t") > 0, F.log2("t") - F.col("s") / F.col("t")).otherwise(0.0).alias("entropy"))
-
-
-def mime_of(text: Column) -> Column:
-    start = F.lower(F.ltrim(F.substring(text, 1, 200)))
-    return F.when(start.startswith("<!doctype html") | start.startswith("<html"), "text/html").when(start.startswith("%pdf"), "application/pdf").when(start.startswith("{") | start.startswith("["), "application/json").when(start == "", "application/octet-stream").otherwise("text/plain")
+    """key, entropy: Shannon entropy in bits of a text's bytes, for every row; rows without bytes have 0.
+
+    Each byte value's count is the number of characters that go when it is taken out of the text read as Latin-1.
+    """
+    data = F.decode(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), "ISO-8859-1")
+    size = F.char_length(data)
+    kinds = F.array_distinct(F.split(data, ""))
+    counts = F.filter(F.transform(kinds, lambda c: size - F.char_length(F.replace(data, c, F.lit("")))), lambda n: n > 0)
+    total = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * F.log2(n.cast("double")))
+    return df.select(key, F.when(size > 0, F.log2(size.cast("double")) - total / size).otherwise(0.0).alias("entropy"))
 
 
 def rot13(text: Column) -> Column:

@@ -38,8 +38,11 @@ def exfiltration(flows: DataFrame) -> DataFrame:
     t = rows.groupBy("ip").agg(F.sum("out").alias("bytes_out"), F.sum("total").alias("bytes_total"), F.count(F.lit(1)).alias("n_flows"))
     ratio = F.col("bytes_out") / F.greatest(F.col("bytes_total"), F.lit(1))
     level = F.when(F.col("bytes_out") > 1_000_000, 3).when(F.col("bytes_out") > 100_000, 2).when(F.col("bytes_out") > 10_000, 1)
-    level = F.when(level.isNotNull() & (ratio > 0.7), F.greatest(level, F.lit(2))).otherwise(level)
-    return t.withColumn("severity", F.when(level == 3, "High").when(level == 2, "Medium").when(level == 1, "Low"))
+    sure = F.when(level == 3, 0.8).when(level == 2, 0.6).when(level == 1, 0.4)
+    one_way = level.isNotNull() & (ratio > 0.7)
+    sure = F.when(one_way, F.greatest(sure, F.lit(0.7))).otherwise(sure)
+    level = F.when(one_way, F.greatest(level, F.lit(2))).otherwise(level)
+    return t.withColumn("severity", F.when(level == 3, "High").when(level == 2, "Medium").when(level == 1, "Low")).withColumn("confidence", sure)
 
 
 def asymmetric(flows: DataFrame) -> DataFrame:
@@ -146,9 +149,9 @@ def external_summary(flows: DataFrame) -> DataFrame:
     return all_.crossJoin(F.broadcast(most)).select(F.concat(F.col("hosts").cast("string"), F.lit(" addresses, "), F.col("flows").cast("string"), F.lit(" flows: "), named).alias("summary"))
 
 
-def _row(df: DataFrame, rule: str, subject: Column | str, severity: Column | str, confidence: Column | float) -> DataFrame:
+def _row(df: DataFrame, rule: Column | str, subject: Column | str, severity: Column | str, confidence: Column | float) -> DataFrame:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(F.lit(rule).alias("rule"), (subject if isinstance(subject, Column) else F.col(subject)).cast("string").alias("subject"), lit(severity).alias("severity"), lit(confidence).alias("confidence"))
+    return df.select(lit(rule).alias("rule"), (subject if isinstance(subject, Column) else F.col(subject)).cast("string").alias("subject"), lit(severity).alias("severity"), lit(confidence).alias("confidence"))
 
 
 def _ranked(parts: list[DataFrame]) -> DataFrame:
@@ -158,19 +161,31 @@ def _ranked(parts: list[DataFrame]) -> DataFrame:
 
 def _flow_rules(flows: DataFrame, hellos: DataFrame | None) -> list[DataFrame]:
     return [
-        _row(exfiltration(flows).where("severity is not null"), "exfiltration", "ip", F.col("severity"), 0.6), _row(asymmetric(flows), "asymmetric", "flow_id", "Medium", 0.65),
+        _row(exfiltration(flows).where("severity is not null"), "exfiltration", "ip", F.col("severity"), F.col("confidence")), _row(asymmetric(flows), "asymmetric", "flow_id", "Medium", 0.65),
         _row(beacons(flows).where("hit"), "beacon", "dst_ip", "High", 0.8), _row(encrypted_external(flows, hellos), "encrypted_external", "dst_ip", F.col("severity"), F.col("confidence")),
         _row(suspicious_ports(flows), "suspicious_port", "flow_id", "Medium", 0.6), _row(icmp_volume(flows), "icmp_volume", "flow_id", "Medium", 0.6), _row(ftps_port(flows), "ftps_port", "flow_id", "High", 0.85),
         _row(port_fanout(flows).where("hit"), "port_scan", "src_ip", "Medium", 0.75), _row(lateral(flows).where("hit"), "lateral", "src_ip", "High", 0.7),
-        _row(first_cleartext(flows), "cleartext", "kind", "Medium", 0.9), _row(short_encrypted(flows).where("hit"), "short_encrypted", "dst_ip", "Medium", 0.65), _row(traffic(flows), "traffic", "n_flows", "Info", 0.2),
+        _row(first_cleartext(flows).withColumn("rule", F.concat(F.lit("cleartext_"), F.lower("kind"))), F.col("rule"), "kind", F.when(F.col("kind") == "Ftp", "High").otherwise("Medium"), F.when(F.col("kind") == "Smtp", 0.7).otherwise(0.9)), _row(short_encrypted(flows).where("hit"), "short_encrypted", "dst_ip", "Medium", 0.65), _row(traffic(flows), "traffic", "n_flows", "Info", 0.2),
     ]
 
 
+def flow_rules(flows: DataFrame, hellos: DataFrame | None = None) -> list[DataFrame]:
+    """A table of findings for each rule over flows, the external summary among them."""
+    return [*_flow_rules(flows, hellos), _row(external_summary(flows), "external", "summary", "Info", 0.3)]
+
+
+finding = _row
+
+
+def credential_severity(kind: Column) -> Column:
+    return F.when(kind == "SshPrivateKey", "Critical").when(kind.isin("HttpBasicAuth", "FtpLogin", "TelnetLogin", "SmtpAuth", "Pop3Login", "Jwt", "ApiKey"), "High").otherwise("Medium")
+
+
 def text_rules(texts: DataFrame, text: str = "text") -> list[DataFrame]:
     """Every flag and every credential (masked, with its kind) of texts, each once."""
     found = texts.select(F.explode(flags(F.col(text))).alias("flag")).distinct()
     secret = credentials(texts.select(F.lit(0).alias("_key"), text), "_key", text).select("kind", "value").distinct()
-    severity = F.when(F.col("kind") == "SshPrivateKey", "Critical").when(F.col("kind").isin("HttpBasicAuth", "FtpLogin", "TelnetLogin", "SmtpAuth", "Pop3Login", "Jwt", "ApiKey"), "High").otherwise("Medium")
+    severity = credential_severity(F.col("kind"))
     return [_row(found, "flag", "flag", "Critical", 1.0), _row(secret, "credential", F.concat_ws(" ", "kind", masked(F.col("value"))), severity, 0.95)]
 
 
@@ -181,7 +196,7 @@ def findings(flows: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
 
 def all_findings(flows: DataFrame, hellos: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """As findings, with the external summary and, where texts are given, their flags and credentials."""
-    return _ranked([*_flow_rules(flows, hellos), _row(external_summary(flows), "external", "summary", "Info", 0.3), *(text_rules(texts) if texts is not None else [])])
+    return _ranked([*flow_rules(flows, hellos), *(text_rules(texts) if texts is not None else [])])
 
 
 def url_iocs(urls: DataFrame, url: str = "url") -> DataFrame:

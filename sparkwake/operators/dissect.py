@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwake.functions.net import DNS_TYPES, ICMP_TYPES
@@ -104,8 +104,11 @@ def _http_body(data: bytes, at: int, headers: dict[str, str], to_end: bool) -> t
     return data[at : at + n], min(len(data), at + n)
 
 
-def http(client: bytes, server: bytes) -> list[dict]:
-    """Transactions of a connection: the n-th request with the n-th response."""
+def http(client: bytes, server: bytes, bodies: bool = False) -> list[dict]:
+    """Transactions of a connection: the n-th request with the n-th response; with bodies each response's `body`.
+
+    If no request is whole but the first line has a method, that line counts as one.
+    """
     requests, responses = [], []
     at = 0
     while (end := client.find(b"\r\n\r\n", at)) >= 0:
@@ -116,6 +119,9 @@ def http(client: bytes, server: bytes) -> list[dict]:
         body, at = _http_body(client, end + 4, headers, False)
         cookies = [x.strip() for x in headers.get("cookie", "").split(";") if x.strip()]
         requests.append({"method": _text(parts[0]), "uri": _text(parts[1]), "host": headers.get("host"), "user_agent": headers.get("user-agent"), "request_headers": headers, "cookies": cookies, "request_size": len(body)})
+    if not requests and (parts := client.split(b"\n", 1)[0].rstrip(b"\r").split(b" "))[0] in METHODS and len(parts) > 1:
+        _, headers = _http_head(client)
+        requests.append({"method": _text(parts[0]), "uri": _text(parts[1]), "host": headers.get("host"), "user_agent": headers.get("user-agent"), "request_headers": headers, "cookies": [], "request_size": 0})
     at = 0
     while (end := server.find(b"\r\n\r\n", at)) >= 0:
         line, headers = _http_head(server[at:end])
@@ -123,9 +129,9 @@ def http(client: bytes, server: bytes) -> list[dict]:
         if not line.startswith(b"HTTP/") or len(parts) < 2 or not parts[1].isdigit():
             break
         body, at = _http_body(server, end + 4, headers, not 100 <= int(parts[1]) < 200 and int(parts[1]) not in (204, 304))
-        responses.append({"status": int(parts[1]), "content_type": headers.get("content-type"), "response_headers": headers, "response_size": len(body), "body_sha256": hashlib.sha256(body).hexdigest() if body else None})
+        responses.append({"status": int(parts[1]), "content_type": headers.get("content-type"), "response_headers": headers, "response_size": len(body), "body_sha256": hashlib.sha256(body).hexdigest() if body else None} | ({"body": body} if bodies else {}))
     none_q = dict.fromkeys(("method", "uri", "host", "user_agent", "request_headers", "cookies", "request_size"))
-    none_r = dict.fromkeys(("status", "content_type", "response_headers", "response_size", "body_sha256"))
+    none_r = dict.fromkeys(("status", "content_type", "response_headers", "response_size", "body_sha256", *(("body",) if bodies else ())))
     n = max(len(requests), len(responses))
     return [{"ordinal": k} | (requests[k] if k < len(requests) else none_q) | (responses[k] if k < len(responses) else none_r) for k in range(n)]
 
@@ -188,6 +194,10 @@ def tls_hello(data: bytes) -> dict | None:
         return None
 
 
+#: TLS versions by number (fixed values).
+TLS_VERSIONS = {0x0002: "SSL 2.0", 0x0300: "SSL 3.0", 0x0301: "TLS 1.0", 0x0302: "TLS 1.1", 0x0303: "TLS 1.2", 0x0304: "TLS 1.3"}
+
+
 def ftp(lines: list[str]) -> dict:
     out = {"username": None, "password": None, "files": [], "auth_tls": False, "passive": False, "data_ports": []}
     for line in lines:
@@ -251,6 +261,30 @@ def ssh_banner(data: bytes) -> dict | None:
     return {"banner": _text(line), "protocol": parts[1], "software": (parts[2].split() or [""])[0]} if line.startswith(b"SSH-") and len(parts) == 3 else None
 
 
+def ssh_offer(data: bytes) -> list[list[str]]:
+    """The name lists of the key exchange message that follows the banner; none if there is none."""
+    at = data.find(b"\n") + 1
+    if data[at + 5 : at + 6] != b"\x14":
+        return []
+    at, out = at + 22, []  # length, padding, kind and cookie
+    while len(out) < 10 and at + 4 <= len(data):
+        n = struct.unpack_from(">I", data, at)[0]
+        if at + 4 + n > len(data):
+            break
+        out.append(_text(data[at + 4 : at + 4 + n]).split(",") if n else [])
+        at += 4 + n
+    return out
+
+
+def ssh(client: bytes, server: bytes) -> list[dict]:
+    a, b = ssh_banner(client), ssh_banner(server)
+    if not a and not b:
+        return []
+    offer = ssh_offer(client) or ssh_offer(server)
+    some = lambda k: offer[k] if len(offer) > k else []
+    return [{"client_banner": a and a["banner"], "server_banner": b and b["banner"], "client_software": a and a["software"], "server_software": b and b["software"], "kex": some(0), "ciphers": some(2), "macs": some(4)}]
+
+
 TELNET = {251: "WILL", 252: "WONT", 253: "DO", 254: "DONT"}
 
 
@@ -275,6 +309,31 @@ def telnet(data: bytes) -> tuple[bytes, list[str]]:
     return bytes(out), options
 
 
+#: Telnet options by number (fixed values).
+TELNET_OPTIONS = {0: "Binary", 1: "Echo", 3: "SuppressGoAhead", 5: "Status", 6: "TimingMark", 24: "TerminalType", 31: "WindowSize", 32: "TerminalSpeed", 33: "RemoteFlowControl", 34: "LineMode", 36: "Environment"}
+
+
+def telnet_session(parts: list[tuple[bool, bytes]]) -> list[dict]:
+    """Text, options and logins of (from the server, bytes) in order; a line of the client answers the last prompt."""
+    content, options, logins, prompt, user = "", [], [], None, None
+    for server, data in parts:
+        clean, some = telnet(data)
+        options += [f"{name} {TELNET_OPTIONS.get(int(code), code)}" for name, code in (x.split(" ") for x in some)]
+        text = _text(clean)
+        content += text
+        if server:
+            low = text.lower()
+            prompt = "user" if "login:" in low or "username:" in low else "password" if "password:" in low else prompt
+            continue
+        for line in filter(None, map(str.strip, text.splitlines())):
+            if prompt == "user":
+                user, prompt = line, None
+            elif prompt == "password":
+                logins.append({"username": user, "password": line})
+                user = prompt = None
+    return [{"content": content, "options": options, "logins": logins}] if parts else []
+
+
 def dhcp(data: bytes) -> dict | None:
     if len(data) < 240 or data[236:240] != b"\x63\x82\x53\x63":
         return None
@@ -309,9 +368,20 @@ SMB2 = ("Negotiate", "SessionSetup", "Logoff", "TreeConnect", "TreeDisconnect",
 SMB1 = {0x72: "Negotiate", 0x73: "SessionSetup", 0x75: "TreeConnect", 0xA2: "Create", 0x2E: "Read", 0x2F: "Write", 0x04: "Close", 0x25: "Transaction", 0x32: "Transaction2"}
 
 
+def _share(message: bytes) -> str | None:
+    """The path that a message names, in two-byte or one-byte characters."""
+    for mark, width, kind in ((b"\\\0\\\0", 2, "utf-16-le"), (b"\\\\", 1, "utf-8")):
+        if (k := message.find(mark)) >= 0:
+            cut = next((e for e in range(k, len(message) - width + 1, width) if not any(message[e : e + width])), len(message))
+            path = message[k : k + (cut - k) // width * width].decode(kind, "replace")
+            if len(path) > 4:
+                return path
+    return None
+
+
 def smb(data: bytes) -> dict | None:
-    """Commands in order of first appearance and the NTLM user of framed SMB messages."""
-    commands, user, domain, seen, at = [], None, None, False, 0
+    """Commands in order of first appearance, shares connected to, and the NTLM user of framed SMB messages."""
+    commands, user, domain, shares, seen, at = [], None, None, [], False, 0
     while at + 4 <= len(data):
         size = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
         m = data[at + 4 : at + 4 + size]
@@ -326,11 +396,13 @@ def smb(data: bytes) -> dict | None:
         seen = True
         if name not in commands:
             commands.append(name)
+        if name == "TreeConnect" and (share := _share(m)) and share not in shares:
+            shares.append(share)
         k = m.find(b"NTLMSSP\0\x03\0\0\0")
         if k >= 0 and len(m) >= k + 44:
             field = lambda o: m[k + struct.unpack_from("<I", m, k + o + 4)[0] :][: struct.unpack_from("<H", m, k + o)[0]].decode("utf-16-le", "replace")  # noqa: B023, E731
             domain, user = field(28), field(36)
-    return {"commands": commands, "ntlm_user": user, "ntlm_domain": domain} if seen else None
+    return {"commands": commands, "shares": shares, "ntlm_user": user, "ntlm_domain": domain} if seen else None
 
 
 def icmp(data: bytes) -> dict | None:
@@ -400,3 +472,95 @@ def conversations(streams: DataFrame, flows: DataFrame) -> DataFrame:
     own = streams.join(flows.select("flow_id", "app", "client_forward"), "flow_id")
     mine = F.col("forward") == F.coalesce("client_forward", F.lit(True))
     return own.groupBy("flow_id", "app").agg(F.max(F.when(mine, F.col("data"))).alias("client"), F.max(F.when(~mine, F.col("data"))).alias("server"))
+
+
+def valid_text(data: Column) -> Column:
+    """Bytes as text, each part that is no UTF-8 replaced."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def stream_text(talk: DataFrame) -> DataFrame:
+    """flow_id and text of both directions, the client's first."""
+    both = F.concat(F.coalesce("client", F.lit(b"")), F.coalesce("server", F.lit(b"")))
+    return talk.select("flow_id", valid_text(both).alias("text"))
+
+
+def guess_of(data: Column) -> Column:
+    """The protocol that a conversation's first bytes tell, in built-in functions; null if none."""
+    head = F.substring(data, 1, 128)
+    text, code = F.decode(head, "ISO-8859-1"), F.hex(F.substring(data, 1, 260))
+    byte = lambda k: F.substring(code, 2 * k + 1, 2)
+    number = lambda k, n: F.conv(F.substring(code, 2 * k + 1, 2 * n), 16, 10).cast("int")
+    smb_at = lambda k: F.substring(code, 2 * k + 1, 8).isin("FF534D42", "FE534D42")
+    greeting = text.startswith("220 ")
+    return (
+        F.when(byte(0).isin("16", "17") & (byte(1) == "03"), "Tls")
+        .when(text.rlike("^(?:GET|POST|PUT|HEAD|DELETE|OPTIONS|CONNECT) ") | text.startswith("HTTP/"), "Http")
+        .when(text.startswith("SSH-"), "Ssh")
+        .when((greeting & ~F.contains(F.upper(text), F.lit("SMTP"))) | text.startswith("USER ") | text.startswith("230 "), "Ftp")
+        .when(greeting | text.startswith("EHLO ") | text.startswith("HELO "), "Smtp")
+        .when(smb_at(0) | ((byte(0) == "00") & smb_at(4)), "Smb")
+        .when((byte(0) == "FF") & (byte(1) >= "FB") & (byte(1) <= "FE"), "Telnet")
+        .when(F.substring(code, 473, 8) == "63825363", "Dhcp")
+        .when((F.octet_length(data) >= 12) & (F.floor(number(2, 1) / 8) % 16 <= 2) & number(4, 2).between(1, 10), "Dns")
+    )
+
+
+def routed(talk: DataFrame) -> DataFrame:
+    """talk (flow_id, app, client, server) with `spoken`: the application by port, else by the first bytes."""
+    first = F.when(F.octet_length("client") > 0, F.col("client")).otherwise(F.col("server"))
+    return talk.withColumn("spoken", F.coalesce(F.when(F.col("app") != "Unknown", F.col("app")), guess_of(first)))
+
+
+FTP_SCHEMA = "flow_id string, username string, password string, files array<string>, auth_tls boolean, passive boolean, data_ports array<int>, bytes long"
+SMTP_SCHEMA = "flow_id string, helo string, mail_from string, rcpt_to array<string>, username string, password string, subject string, body string"
+SSH_SCHEMA = "flow_id string, client_banner string, server_banner string, client_software string, server_software string, kex array<string>, ciphers array<string>, macs array<string>"
+TELNET_SCHEMA = "flow_id string, content string, options array<string>, logins array<struct<username string, password string>>"
+DHCP_SCHEMA = "flow_id string, message string, mac string, address string, hostname string, router string, dns array<string>, domain string, lease long, server string"
+SMB_SCHEMA = "flow_id string, commands array<string>, shares array<string>, ntlm_user string, ntlm_domain string"
+BODY_SCHEMA = "flow_id string, ordinal int, uri string, content_type string, body binary"
+
+
+def _lines(data: bytes | None) -> list[str]:
+    return _text(data or b"").splitlines()
+
+
+def ftp_sessions(talk: DataFrame) -> DataFrame:
+    """talk: flow_id, client and server bytes of control connections."""
+    return _rows(talk, ["client", "server"], FTP_SCHEMA, lambda c, s: [ftp(_lines(c) + _lines(s)) | {"bytes": len(c or b"") + len(s or b"")}] if c or s else [])
+
+
+def smtp_sessions(talk: DataFrame) -> DataFrame:
+    return _rows(talk, ["client"], SMTP_SCHEMA, lambda c: [smtp(_lines(c))] if c else [])
+
+
+def ssh_sessions(talk: DataFrame) -> DataFrame:
+    return _rows(talk, ["client", "server"], SSH_SCHEMA, lambda c, s: ssh(c or b"", s or b""))
+
+
+def telnet_sessions(segments: DataFrame) -> DataFrame:
+    """segments: flow_id and parts, an array of struct(server, data) in order of time."""
+    return _rows(segments, ["parts"], TELNET_SCHEMA, lambda parts: telnet_session([(bool(x["server"]), x["data"] or b"") for x in parts or []]))
+
+
+def dhcp_leases(segments: DataFrame) -> DataFrame:
+    return _rows(segments, ["data"], DHCP_SCHEMA, lambda data: [x] if (x := dhcp(data or b"")) else [])
+
+
+def smb_sessions(talk: DataFrame) -> DataFrame:
+    """Both directions, the client's first; commands count once."""
+    return _rows(talk, ["client", "server"], SMB_SCHEMA, lambda c, s: [x] if (x := smb((c or b"") + (s or b""))) else [])
+
+
+def icmp_messages(segments: DataFrame) -> DataFrame:
+    """flow_id, type, code, name, payload of ICMP data of at least four bytes (header included), in built-in functions."""
+    byte = lambda k: F.conv(F.hex(F.substring("data", k, 1)), 16, 10).cast("int")
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ICMP_TYPES.items() for x in kv]), byte(1)), F.concat(F.lit("Type "), byte(1).cast("string")))
+    payload = F.when(F.octet_length("data") > 8, F.expr("substring(data, 9)")).otherwise(F.expr("substring(data, 5)"))
+    return segments.where(F.octet_length("data") >= 4).select("flow_id", byte(1).alias("type"), byte(2).alias("code"), kind.alias("name"), payload.alias("payload"))
+
+
+def http_bodies(talk: DataFrame) -> DataFrame:
+    """The bodies of responses, with their transaction's ordinal, URI and declared type."""
+    keep = ("ordinal", "uri", "content_type", "body")
+    return _rows(talk, ["client", "server"], BODY_SCHEMA, lambda c, s: [{k: x[k] for k in keep} for x in http(c or b"", s or b"", True) if x["body"]])

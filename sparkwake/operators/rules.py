@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwake.functions.net import looks_generated
-from sparkwake.operators.detect import rank
+from sparkwake.operators.detect import dns_volume, fast_flux, rank
 
 #: TLS fingerprints of known malware, words of its requests and agents (fixed values).
 BAD_JA3 = {
@@ -64,12 +64,13 @@ def tls_rules(hellos: DataFrame) -> DataFrame:
 
 
 def dns_rules(records: DataFrame) -> DataFrame:
-    """Long names, large TXT answers, many failures."""
+    """Long names, large TXT answers, many failures, names asked for often, names with many addresses."""
     failed = records.agg(F.count_if(F.col("rcode") == 3).alias("n")).where("n > 5")
     return reduce(DataFrame.unionByName, (
         _row(records.where(F.octet_length("name") > 60), "long_name", F.col("name"), "Medium", 0.7),
         _row(records.where((F.col("type") == "TXT") & (F.octet_length("data") > 100)), "large_txt", F.col("name"), "Medium", 0.6),
         _row(failed, "nxdomain", F.col("n"), "Medium", 0.7),
+        _row(dns_volume(records).where("hit"), "dns_volume", F.col("root"), "Low", 0.5), _row(fast_flux(records).where("hit"), "fast_flux", F.col("root"), "Medium", 0.7),
     ))
 
 
@@ -80,19 +81,6 @@ def registry(**inputs: DataFrame) -> DataFrame:
     return out.withColumn("severity_rank", rank(F.col("severity"))).orderBy(F.col("severity_rank").desc(), F.col("confidence").desc(), "rule", "subject")
 
 
-def indicators(names: DataFrame, agents: DataFrame, hashes: DataFrame) -> DataFrame:
-    """kind, value, confidence of domains, agents and file hashes, each value once, its highest confidence kept."""
-    d = F.col("name")
-    domain = F.when(looks_generated(d), 0.8).when(F.length(d) > 50, 0.7).when(F.regexp_count(d, F.lit(r"\.")) > 5, 0.6).otherwise(0.3)
-    tool = F.lower("user_agent").rlike("curl|wget|python|go-http")
-    parts = (
-        names.select(F.lit("Domain").alias("kind"), d.alias("value"), domain.alias("confidence")),
-        agents.where("user_agent is not null").select(F.lit("UserAgent").alias("kind"), F.col("user_agent").alias("value"), F.when(tool, 0.7).otherwise(0.2).alias("confidence")),
-        hashes.where("body_sha256 is not null").select(F.lit("FileHash").alias("kind"), F.col("body_sha256").alias("value"), F.lit(0.4).alias("confidence")),
-    )
-    return reduce(DataFrame.unionByName, parts).groupBy("kind", "value").agg(F.max("confidence").alias("confidence"))
-
-
 def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
     """The first row of each value."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(value).orderBy(order))).where("_n = 1").drop("_n")

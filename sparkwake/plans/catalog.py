@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwake.functions import codec, net, text
-from sparkwake.operators import detect, dissect, export, search
+from sparkwake.functions import codec, mime, net, text
+from sparkwake.operators import detect, search
 from sparkwake.plans.adapters import FLOWS, NAMES, OUTSIDE, flows, names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +50,7 @@ _EXFIL = f"SELECT ip, sum(o)::bigint AS bytes_out, sum(a)::bigint AS bytes_total
 _LEVEL = "CASE WHEN bytes_out > 1000000 THEN 'High' WHEN bytes_out > 100000 THEN 'Medium' WHEN bytes_out > 10000 THEN CASE WHEN bytes_out / greatest(bytes_total, 1) > 0.7 THEN 'Medium' ELSE 'Low' END END"
 
 
-@query(f"WITH {FLOWS} SELECT *, {_LEVEL} AS severity FROM ({_EXFIL})")
+@query(f"WITH {FLOWS} SELECT *, {_LEVEL} AS severity, CASE WHEN bytes_out > 1000000 THEN 0.8 WHEN bytes_out > 10000 THEN greatest(CASE WHEN bytes_out > 100000 THEN 0.6 ELSE 0.4 END, CASE WHEN bytes_out / greatest(bytes_total, 1) > 0.7 THEN 0.7 ELSE 0 END) END::double AS confidence FROM ({_EXFIL})")
 def exfil_by_dst(spark, sf_dir):
     return detect.exfiltration(flows(spark, sf_dir))
 
@@ -91,7 +91,7 @@ def short_encrypted(spark, sf_dir):
     return detect.short_encrypted(flows(spark, sf_dir))
 
 
-@query(f"WITH {FLOWS} SELECT sum(fwd_bytes + rev_bytes)::bigint AS bytes, count(*)::bigint AS n_flows, count(*)::bigint AS tcp, 0::bigint AS udp, count(DISTINCT CASE WHEN {_OUT} THEN dst_ip END)::bigint AS external FROM flows")
+@query(f"WITH {FLOWS} SELECT sum(fwd_bytes + rev_bytes)::bigint AS bytes, count(*)::bigint AS n_flows, count(*) FILTER (protocol = 'tcp')::bigint AS tcp, count(*) FILTER (protocol = 'udp')::bigint AS udp, count(DISTINCT CASE WHEN {_OUT} THEN dst_ip END)::bigint AS external FROM flows")
 def traffic_summary(spark, sf_dir):
     return detect.traffic(flows(spark, sf_dir))
 
@@ -99,7 +99,7 @@ def traffic_summary(spark, sf_dir):
 @query(f"WITH {FLOWS} SELECT coalesce(app, 'Unknown') AS app, count(*)::bigint AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM flows GROUP BY 1")
 def proto_breakdown(spark, sf_dir):
     t = flows(spark, sf_dir).groupBy(F.coalesce("app", F.lit("Unknown")).alias("app")).agg(F.count(F.lit(1)).alias("n"))
-    return t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("all")))).select("app", "n", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("percent"))
+    return t.select("app", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("percent"))
 
 
 @query(f"WITH {FLOWS} SELECT ip, sum(b)::bigint AS bytes FROM (SELECT src_ip AS ip, fwd_bytes AS b FROM flows UNION ALL SELECT dst_ip, rev_bytes FROM flows) GROUP BY 1 ORDER BY bytes DESC, ip LIMIT 20")
@@ -124,11 +124,6 @@ def timeline_union(spark, sf_dir):
     return a.unionByName(o)
 
 
-@query()
-def finding_union_ranked(spark, sf_dir):
-    return detect.all_findings(flows(spark, sf_dir))
-
-
 def _sweep(name: str, kind: str, table: str, key: str, column: str, pattern: str, least: int = 0) -> None:
     sql = f"SELECT {key}, value FROM (SELECT {key}, unnest(regexp_extract_all({column}, '{pattern.replace(chr(39), chr(39) * 2)}')) AS value FROM {table})" + (f" WHERE length(value) >= {least}" if least else "")
     f = lambda spark, sf_dir: text.sweep(_table(spark, sf_dir, table), kind, key, column)
@@ -141,7 +136,10 @@ for _name, _kind, _t, _k, _c in (("url_sweep", "Url", "pages", "page_id", "url")
 _SPLICED = "text || CASE doc_id % 4 WHEN 0 THEN ' flag{doc_' || doc_id::varchar || '}' WHEN 1 THEN ' picoCTF{x' || (doc_id % 7)::varchar || '}' ELSE '' END"
 
 
-@query(f"WITH s AS (SELECT doc_id, {_SPLICED} AS t FROM documents), m AS (SELECT doc_id, 0 AS p, unnest(regexp_extract_all(t, '(?i)flag\\{{[^}}]+\\}}')) AS flag FROM s UNION ALL SELECT doc_id, 1, unnest(regexp_extract_all(t, '(?i)ctf\\{{[^}}]+\\}}')) FROM s UNION ALL SELECT doc_id, 2, unnest(regexp_extract_all(t, '(?i)picoctf\\{{[^}}]+\\}}')) FROM s UNION ALL SELECT doc_id, 3, unnest(regexp_extract_all(t, '[a-zA-Z]{{2,12}}\\{{[^}}]{{1,200}}\\}}')) FROM s) SELECT flag, min(doc_id) AS doc_id FROM m GROUP BY 1")
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(t, '{p}')) AS flag FROM s" for p in text.FLAGS)
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SPLICED} AS t FROM documents), m AS ({_MATCHES}) SELECT flag, min(doc_id) AS doc_id FROM m GROUP BY 1")
 def flag_sweep_dedup(spark, sf_dir):
     d = F.col("doc_id")
     splice = F.when(d % 4 == 0, F.concat(F.lit(" flag{doc_"), d.cast("string"), F.lit("}"))).when(d % 4 == 1, F.concat(F.lit(" picoCTF{x"), (d % 7).cast("string"), F.lit("}"))).otherwise("")
@@ -176,9 +174,9 @@ def byte_entropy(spark, sf_dir):
     return text.byte_entropy(_table(spark, sf_dir, "documents"), "doc_id").withColumn("entropy", F.round("entropy", 6))
 
 
-@query("SELECT page_id, CASE WHEN lower(ltrim(substr(html,1,200))) LIKE '<!doctype html%' OR lower(ltrim(substr(html,1,200))) LIKE '<html%' THEN 'text/html' ELSE 'text/plain' END AS mime, sha256(html) AS sha FROM pages")
+@query("SELECT page_id, CASE WHEN strlen(regexp_replace(html, '[^\\x20-\\x7e\\n\\r\\t]', '', 'g')) / octet_length(encode(html)) > 0.85 THEN 'text/plain' ELSE 'application/octet-stream' END AS mime, sha256(html) AS sha FROM pages")
 def mime_sniff(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", text.mime_of(F.col("html")).alias("mime"), F.sha2("html", 256).alias("sha"))
+    return _table(spark, sf_dir, "pages").select("page_id", mime.by_magic(F.encode("html", "UTF-8")).alias("mime"), F.sha2("html", 256).alias("sha"))
 
 
 @query("SELECT root, count(*)::bigint AS n FROM (SELECT string_split(h, '.')[-2] || '.' || string_split(h, '.')[-1] AS root FROM (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS h FROM pages)) GROUP BY 1")
@@ -250,7 +248,10 @@ def scoped_search(spark, sf_dir):
     return search.search(_table(spark, sf_dir, q.scope), q, "item_id", limit=None).withColumn("score", F.round("score", 6))
 
 
-@query()
+_PHRASE = "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), c AS (SELECT doc_id, len(w) AS len, {_PHRASE} AS f, len(list_filter(w, lambda x: x = 'thble')) AS x FROM t), g AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (f > 0) AS k FROM c) SELECT doc_id, round(greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a)), 6) AS score FROM c, g WHERE f > 0 AND x = 0")
 def phrase_search(spark, sf_dir):
     return search.search(_table(spark, sf_dir, "documents"), '"of the" NOT thble', "doc_id", limit=None).withColumn("score", F.round("score", 6))
 
@@ -268,11 +269,6 @@ def exec_summary(spark, sf_dir):
     return detect.traffic(flows(spark, sf_dir)).select(F.concat_ws(" ", line("Flows", "n_flows"), line("Bytes", "bytes"), line("External hosts", "external")).alias("summary"))
 
 
-@query()
-def stix_export(spark, sf_dir):
-    return export.stix(detect.all_findings(flows(spark, sf_dir)))
-
-
 @query()
 def auto_decode(spark, sf_dir):
     b = F.base64(F.encode(F.hex(F.encode("text", "UTF-8")), "UTF-8"))
@@ -280,14 +276,3 @@ def auto_decode(spark, sf_dir):
     return rows.lateralJoin(codec.AutoDecode(F.col("data").outer(), F.lit(3)).alias("found")).select("doc_id", F.array_join("chain", "|").alias("chain"), "printable", F.md5("found.data").alias("digest"))
 
 
-@query()
-def http_parse(spark, sf_dir):
-    req = F.encode(F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\nHost: x\r\n\r\n")), "UTF-8")
-    res = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), F.col("html")), "UTF-8")
-    return dissect.http_transactions(_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("flow_id"), req.alias("client"), res.alias("server"))).select("flow_id", "method", "uri", "status", "content_type", "response_size", "body_sha256")
-
-
-@query()
-def dns_parse(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("flow_id"), F.unhex(F.lit("000181800001000100000000076578616d706c6503636f6d0000010001c00c00010001000001 2c00045db8d822".replace(" ", ""))).alias("data"), F.lit(False).alias("tcp"))
-    return dissect.dns_records(rows)

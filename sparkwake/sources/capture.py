@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import ipaddress
 import struct
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "index long, ts timestamp, caplen long, origlen long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, flags int, seq long, ack long, window int, payload binary, src_mac binary, dst_mac binary, vlan int, ttl int, ip_id int"
@@ -76,25 +80,31 @@ def _read(f: BinaryIO, n: int) -> bytes | None:
     return data if len(data) == n else None
 
 
-def records(f: BinaryIO) -> Iterator[tuple[int | None, int, int, bytes]]:
-    """(microseconds or None, original length, link type, bytes) of each record; a broken tail ends it."""
+def records(f: BinaryIO, problems: list[str] | None = None) -> Iterator[tuple[int | None, int, int, bytes]]:
+    """(microseconds or None, original length, link type, bytes) of each record.
+
+    A broken tail ends it; what ended it before the file's end is added to problems.
+    """
+    problems = [] if problems is None else problems
     magic = _read(f, 4)
     if magic == b"\x0a\x0d\x0d\x0a":
-        yield from _pcapng(f)
+        yield from _pcapng(f, problems)
         return
     order, scale = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}.get(magic, ("", 0))
     head = _read(f, 20)
     if not order or head is None:
+        problems.append("no capture")
         return
     linktype = struct.unpack(f"{order}I", head[16:20])[0] & 0xFFFF
     while (r := _read(f, 16)) is not None:
         seconds, part, size, original = struct.unpack(f"{order}IIII", r)
         if size > MAX_RECORD or (data := _read(f, size)) is None:
+            problems.append("a record is too large" if size > MAX_RECORD else "the last record is cut off")
             return
         yield seconds * 1_000_000 + part // scale, original, linktype, data
 
 
-def _pcapng(f: BinaryIO) -> Iterator[tuple[int | None, int, int, bytes]]:
+def _pcapng(f: BinaryIO, problems: list[str]) -> Iterator[tuple[int | None, int, int, bytes]]:
     order, interfaces, kind = "<", [], 0x0A0D0D0A
     first = True
     while True:
@@ -114,6 +124,7 @@ def _pcapng(f: BinaryIO) -> Iterator[tuple[int | None, int, int, bytes]]:
         else:
             size = struct.unpack(f"{order}I", raw_size)[0] - 12
         if not 0 <= size <= MAX_RECORD or (body := _read(f, size)) is None or _read(f, 4) is None:
+            problems.append("a block is too large" if size > MAX_RECORD else "the last block is cut off")
             return
         if kind == 1 and len(body) >= 8:
             per_second, at = 1_000_000, 8
@@ -142,6 +153,47 @@ def packets(f: BinaryIO) -> Iterator[tuple]:
             yield (index, ts, len(data), original, p["src_ip"], p["dst_ip"], p["src_port"], p["dst_port"], p["protocol"], p["flags"], p["seq"], p["ack"], p["window"], p["payload"], p["src_mac"], p["dst_mac"], p["vlan"], p["ttl"], p["ip_id"])
 
 
+def decode(contents: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Packets of captures that come as rows of bytes, such as Spark's binaryFile source gives, also as a stream."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_schema(_parse_datatype_string(f"path string, {SCHEMA}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                rows = packets(io.BytesIO(data.as_py() or b""))
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*((name, *r) for r in some), strict=True), kind, strict=True)], schema=kind)
+
+    return contents.select(contents[path].cast("string").alias("path"), contents[content].alias("content")).mapInArrow(run, f"path string, {SCHEMA}")
+
+
+def summary(contents: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, sha256, records, packets, unread (records that hold no packet), first, last, problem of each capture."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for data in b.column("content").to_pylist():
+                problems: list[str] = []
+                n, found, first, last = 0, 0, None, None
+                for micros, _, linktype, frame in records(io.BytesIO(data or b""), problems):
+                    n += 1
+                    if decode_frame(linktype, frame):
+                        found += 1
+                        if micros is not None:
+                            first, last = micros if first is None else min(first, micros), micros if last is None else max(last, micros)
+                out.append({"records": n, "packets": found, "unread": n - found, "first_us": first, "last_us": last, "problem": problems[0] if problems else None})
+            kind = pa.schema([("records", pa.int64()), ("packets", pa.int64()), ("unread", pa.int64()), ("first_us", pa.int64()), ("last_us", pa.int64()), ("problem", pa.string())])
+            t = pa.RecordBatch.from_pylist(out, kind)
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("sha256"), *t.columns], names=["path", "sha256", *kind.names])
+
+    rows = contents.select(contents[path].cast("string").alias("path"), F.sha2(contents[content], 256).alias("sha256"), contents[content].alias("content"))
+    return rows.mapInArrow(run, "path string, sha256 string, records long, packets long, unread long, first_us long, last_us long, problem string")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+
+from sparkwake.sources import capture
 
 
 def alerts(stream: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
@@ -23,3 +28,54 @@ def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def captures(spark: SparkSession, folder: str, where: str | None = None) -> DataFrame:
+    """Packets of the captures that come into a folder, as a stream; with a predicate over packets only those."""
+    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(folder)
+    packets = capture.decode(files)
+    return packets.where(where) if where else packets
+
+
+def packet_alerts(packets: DataFrame, patterns: list[str]) -> DataFrame:
+    """A row per packet whose payload is UTF-8 text and pattern that it matches; patterns that are none are passed over."""
+    good = []
+    for p in patterns:
+        try:
+            re.compile(p)
+            good.append(p)
+        except re.error:
+            continue
+    text = F.col("payload").cast("string")
+    rows = packets.where(F.is_valid_utf8(text)).withColumn("text", text)
+    return alerts(rows, good) if good else rows.withColumn("pattern", F.lit(None).cast("string")).limit(0)
+
+
+def record(stream: DataFrame, folder: str, checkpoint: str, seconds: float | None = None) -> None:
+    """Appends a stream to Parquet below folder, for batch analysis: what is there, or as it comes for some seconds."""
+    writer = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    q = (writer.trigger(availableNow=True) if seconds is None else writer).start()
+    q.awaitTermination(None if seconds is None else seconds)
+    if q.isActive:
+        q.stop()
+
+
+class Progress(StreamingQueryListener):
+    """Counts the rows that the session's streams have taken in; `told` gets (rows in all, rows of the batch)."""
+
+    def __init__(self, told=None):
+        self.rows, self.told = 0, told
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        if self.told:
+            self.told(self.rows, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
