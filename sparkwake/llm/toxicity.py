@@ -17,6 +17,7 @@ are not looked at.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -143,7 +144,7 @@ def ftrl(examples: list[tuple[np.ndarray, int]], s: Settings) -> Model:
     epochs = max(2, min(s.max_epochs, -(-s.min_examples // len(examples))))
     for _ in range(epochs):
         for k in rng.permutation(len(examples)):
-            i, y = examples[k]
+            i, y = examples[k][0].astype(np.int64), examples[k][1]
             zi, ni = z[i], n[i]
             root = np.sqrt(ni)
             w = np.where(np.abs(zi) <= s.l1, 0.0, -(zi - np.sign(zi) * s.l1) / ((s.beta + root) / s.alpha + s.l2))
@@ -176,9 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
                 packed = [np.asarray(x, np.uint32).tobytes() for x in np.split(feature, cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.string()), pa.array(toxic[lo:hi], pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
-    rows = chosen.mapInArrow(features, "doc_id string, toxic int, features binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["features"]))
-    return ftrl([(np.frombuffer(r["features"], np.uint32).astype(np.int64), int(r["toxic"] > 0)) for r in rows], s)
+    t = chosen.mapInArrow(features, "doc_id string, toxic int, features binary").toArrow()
+    ids, marks_, column = t.column("doc_id").to_pylist(), t.column("toxic").to_pylist(), t.column("features").combine_chunks()
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], marks_[k], zlib.crc32(sets[k])))
+    return ftrl([(sets[k], int(marks_[k] > 0)) for k in order], s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
