@@ -121,15 +121,14 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     some = "|".join(map(re.escape, anchors(notices)))
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     # Shingles that any template has; their number is bounded by the templates.
-    ours = sorted({x for n in notices for x in shingles_of(n)})
-    ours_set = F.array(*map(F.lit, ours))
+    ours = spark.createDataFrame([(x,) for x in sorted({x for n in notices for x in shingles_of(n)})], "shingle string")
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0))
     anchored = rows.where(F.col("text").rlike(rf"(?i)(?:{some})")).select(F.sha2("text", 256).alias("text_key"), words.alias("words")).dropDuplicates(["text_key"])
     shingle = lambda i: F.array_join(F.slice("words", i, WORDS), " ")
     last = F.greatest(F.size("words") - WORDS + 1, F.lit(1))
-    placed = F.filter(F.transform(F.sequence(F.lit(1), last), lambda i: F.struct((i - 1).alias("at"), shingle(i).alias("shingle"))), lambda x: F.array_contains(ours_set, x["shingle"]))
-    hits = anchored.where(F.size("words") > 0).select("text_key", F.explode(placed).alias("x")).select("text_key", "x.*")
+    placed = F.posexplode(F.transform(F.sequence(F.lit(1), last), shingle)).alias("at", "shingle")
+    hits = anchored.where(F.size("words") > 0).select("text_key", placed).join(F.broadcast(ours), "shingle").select("text_key", "at", "shingle")
     hits = materialize(hits, "license-hits")
     # Windows of one and a half lengths, one each half length: a shingle lies in three of each length.
     spans = sorted({len(x) for x in notices})
@@ -158,6 +157,9 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     found = kept.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("x.license", "x.first", "x.stop", (-F.col("x.less")).alias("percent")))).alias("found"))
     found = materialize(found, "licenses")
     keyed = rows.select("doc_id", F.when(F.col("text").rlike(rf"(?i)(?:{some})"), F.sha2("text", 256)).alias("text_key"))
-    told = keyed.join(found, "text_key", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+    # Most texts hold no anchor; a join would send them all to one task.
+    none = F.array().cast(found.schema["found"].dataType)
+    some = keyed.where(F.col("text_key").isNotNull()).join(found, "text_key", "left").withColumn("found", F.coalesce("found", none))
+    told = keyed.where(F.col("text_key").isNull()).withColumn("found", none).unionByName(some)
     told = told.select("doc_id", F.array_distinct(F.transform("found", lambda x: x["license"])).alias("licenses"), F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first"].cast("string"), x["stop"].cast("string"), x["percent"].cast("string"))).alias("spans"))
     return told.withColumn("n_licenses", F.size("licenses"))

@@ -274,7 +274,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counted.select("length", "bucket", before.alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = made.withColumn("rank", F.row_number().over(order) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # Both sides lie by length and bucket already; the offsets grow with the buckets, so they are not broadcast.
+    ranked = made.withColumn("rank", F.row_number().over(order) - 1).join(offsets.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
