@@ -20,14 +20,22 @@ def rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITY)), severity).cast("int") - 1
 
 
-def beacons(flows: DataFrame) -> DataFrame:
-    """dst_ip, n, mean_gap, cv (of whole seconds between flows from inside), hit."""
-    own = flows.where(is_external(F.col("dst_ip")) & is_internal(F.col("src_ip")))
-    w = Window.partitionBy("dst_ip").orderBy("ts_us", "flow_id")
-    gaps = own.withColumn("gap", F.floor((F.col("ts_us") - F.lag("ts_us").over(w)) / 1_000_000))
-    out = gaps.groupBy("dst_ip").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("sd"))
-    cv = F.when(F.col("mean_gap") > 0, F.col("sd") / F.col("mean_gap")).otherwise(1.0)
-    return out.where("n >= 3").select("dst_ip", "n", "mean_gap", cv.alias("cv")).withColumn("hit", (F.col("cv") < 0.3) & (F.col("mean_gap") < 300))
+def beacons(flows: DataFrame, span: int = 3600) -> DataFrame:
+    """dst_ip, n, mean_gap, cv (of whole seconds between flows from inside), hit.
+
+    Gaps are taken within `span` seconds first and then between the ends of these spans, so no task sees all flows of
+    an address that many talk to. Whole seconds add up exactly.
+    """
+    own = flows.where(is_external(F.col("dst_ip")) & is_internal(F.col("src_ip"))).select("dst_ip", "ts_us", F.floor(F.col("ts_us") / (span * 1_000_000)).alias("part"))
+    gap = lambda later, before: F.floor((later - before) / 1_000_000)
+    inner = own.withColumn("gap", gap(F.col("ts_us"), F.lag("ts_us").over(Window.partitionBy("dst_ip", "part").orderBy("ts_us"))))
+    each = inner.groupBy("dst_ip", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("gap").alias("s"), F.sum(F.col("gap") * F.col("gap")).alias("q"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
+    between = gap(F.col("first"), F.lag("last").over(Window.partitionBy("dst_ip").orderBy("part")))
+    out = each.withColumn("gap", F.coalesce(between, F.lit(0))).groupBy("dst_ip").agg(F.sum("n").alias("n"), F.sum(F.coalesce("s", F.lit(0)) + F.col("gap")).alias("s"), F.sum(F.coalesce("q", F.lit(0)) + F.col("gap") * F.col("gap")).alias("q")).where("n >= 3")
+    gaps, s, q = (F.col("n") - 1).cast("double"), F.col("s").cast("double"), F.col("q").cast("double")
+    mean, sd = s / gaps, F.sqrt(F.greatest(gaps * q - s * s, F.lit(0.0))) / gaps
+    out = out.select("dst_ip", "n", mean.alias("mean_gap"), F.when(mean > 0, sd / mean).otherwise(1.0).alias("cv"))
+    return out.withColumn("hit", (F.col("cv") < 0.3) & (F.col("mean_gap") < 300))
 
 
 def exfiltration(flows: DataFrame) -> DataFrame:
