@@ -36,7 +36,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -292,11 +292,19 @@ def _slices(matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, parts).astype(np.int32)), pa.array(np.tile(np.arange(parts, dtype=np.int32), len(rows))), values], names=["key", "part", "x"])
 
 
+def _sums_of(starts: np.ndarray, end: int, index: np.ndarray, value: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """For each run of cells (from a start to the next one) the rows of dense that it names, weighted and added up."""
+    out = np.empty((len(starts), dense.shape[1]), dense.dtype)
+    value = value.astype(dense.dtype)
+    for k, (a, b) in enumerate(pairwise([*starts.tolist(), end])):
+        np.dot(value[a:b], dense.take(index[a:b], axis=0), out=out[k])
+    return out
+
+
 def _product(cells: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray) -> np.ndarray:
     """A sparse matrix in cells (row, column, value), sorted by row, times a dense one; a row for each that has cells."""
     row, column, value = cells
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    return np.add.reduceat(dense[column] * value[:, None].astype(dense.dtype), starts, axis=0) if len(row) else np.zeros((0, dense.shape[1]), dense.dtype)
+    return _sums_of(np.flatnonzero(np.diff(row, prepend=-1)), len(row), column, value, dense)
 
 
 def _cells(rows: np.ndarray, vids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,11 +317,10 @@ def _cells(rows: np.ndarray, vids: np.ndarray, idf: np.ndarray) -> tuple[np.ndar
 def _transposed(cells: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray, height: int) -> np.ndarray:
     row, column, value = cells
     out = np.zeros((height, dense.shape[1]))
-    for lo in range(0, len(row), 20_000):
-        order = np.argsort(column[lo : lo + 20_000], kind="stable") + lo
-        c = column[order]
-        starts = np.flatnonzero(np.diff(c, prepend=-1))
-        out[c[starts]] += np.add.reduceat(dense[row[order]] * value[order][:, None].astype(dense.dtype), starts, axis=0)
+    order = np.argsort(column, kind="stable")
+    column = column[order]
+    starts = np.flatnonzero(np.diff(column, prepend=-1))
+    out[column[starts]] = _sums_of(starts, len(column), row[order], value[order], dense)
     return out
 
 
