@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,7 +22,8 @@ ICMP_TYPES = {0: "Echo Reply", 3: "Destination Unreachable", 4: "Source Quench",
 
 
 def is_internal(ip: Column) -> Column:
-    return reduce(lambda a, b: a | b, (ip.startswith(p) for p in PRIVATE))
+    """Whether an address begins with one of PRIVATE, as one expression."""
+    return ip.rlike("^(?:" + "|".join(map(re.escape, PRIVATE)) + ")")
 
 
 def is_external(ip: Column) -> Column:

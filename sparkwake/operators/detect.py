@@ -53,9 +53,13 @@ def exfiltration(flows: DataFrame) -> DataFrame:
     return t.withColumn("severity", F.when(level == 3, "High").when(level == 2, "Medium").when(level == 1, "Low")).withColumn("confidence", sure)
 
 
-def asymmetric(flows: DataFrame) -> DataFrame:
+def is_asymmetric() -> Column:
     share = F.col("fwd_bytes") / (F.col("fwd_bytes") + F.col("rev_bytes"))
-    return flows.where((F.col("fwd_bytes") > 0) & (F.col("rev_bytes") > 0) & (share > 0.85) & (F.col("fwd_bytes") > 50_000) & is_external(F.col("dst_ip")))
+    return (F.col("fwd_bytes") > 50_000) & (F.col("rev_bytes") > 0) & (share > 0.85) & is_external(F.col("dst_ip"))
+
+
+def asymmetric(flows: DataFrame) -> DataFrame:
+    return flows.where(is_asymmetric())
 
 
 def port_fanout(flows: DataFrame, over: int = 15) -> DataFrame:
@@ -69,20 +73,33 @@ def lateral(flows: DataFrame, over: int = 2) -> DataFrame:
     return t.withColumn("hit", F.col("targets") > over)
 
 
+def on_suspicious_port() -> Column:
+    return F.col("dst_port").isin(*SUSPICIOUS_PORTS) & is_external(F.col("dst_ip"))
+
+
 def suspicious_ports(flows: DataFrame) -> DataFrame:
-    return flows.where(is_external(F.col("dst_ip")) & F.col("dst_port").isin(*SUSPICIOUS_PORTS))
+    return flows.where(on_suspicious_port())
 
 
 def first_cleartext(flows: DataFrame) -> DataFrame:
     """The first flow of each protocol that sends passwords in clear text."""
     kind = F.when(F.col("app").isin("Ftp", "FtpData"), "Ftp").when(F.col("app").isin("Telnet", "Smtp"), F.col("app"))
     rows = flows.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy("ts_us", "flow_id"))).where("rn = 1").drop("rn")
+    return rows.groupBy("kind").agg(F.min(F.struct("ts_us", "flow_id")).alias("x")).select("kind", "x.ts_us", "x.flow_id")
+
+
+def _is_short() -> Column:
+    return F.col("app").isin("Tls", "Https") & (F.col("duration_us") < 2_000_000) & (F.col("fwd_bytes") + F.col("rev_bytes") < 5000)
+
+
+def destinations(flows: DataFrame) -> DataFrame:
+    """Per external destination: flows, those from inside, encrypted and short encrypted ones, bytes."""
+    own = flows.where(is_external(F.col("dst_ip")))
+    return own.groupBy("dst_ip").agg(F.count(F.lit(1)).alias("flows"), F.count_if(is_internal(F.col("src_ip"))).alias("n"), F.count_if(F.col("app").isin("Tls", "Https")).alias("encrypted"), F.count_if(_is_short()).alias("short"), F.sum(F.col("fwd_bytes") + F.col("rev_bytes")).alias("bytes"))
 
 
 def short_encrypted(flows: DataFrame) -> DataFrame:
-    own = flows.where(F.col("app").isin("Tls", "Https") & (F.col("duration_us") < 2_000_000) & (F.col("fwd_bytes") + F.col("rev_bytes") < 5000) & is_external(F.col("dst_ip")))
-    t = own.groupBy("dst_ip").agg(F.count(F.lit(1)).alias("n"))
+    t = destinations(flows).where("short > 0").select("dst_ip", F.col("short").alias("n"))
     return t.withColumn("hit", F.col("n") >= 3)
 
 
@@ -131,32 +148,36 @@ def encrypted_external(flows: DataFrame, hellos: DataFrame | None = None) -> Dat
 
     A server name in any hello (sni) of the capture lowers severity and confidence.
     """
-    inside = F.count_if(is_internal(F.col("src_ip")))
-    t = flows.where(is_external(F.col("dst_ip"))).groupBy("dst_ip").agg(inside.alias("n"), F.count_if(F.col("app").isin("Tls", "Https")).alias("encrypted"), F.sum(F.col("fwd_bytes") + F.col("rev_bytes")).alias("bytes"))
-    named = F.lit(False)
+    t, named = destinations(flows), F.lit(False)
     if hellos is not None:
         t, named = t.crossJoin(F.broadcast(hellos.agg((F.count("sni") > 0).alias("named")))), F.col("named")
     t = t.where("n >= 2 and encrypted > 0 and bytes > 5000")
     return t.select("dst_ip", "n", "bytes", F.when(named, "Low").otherwise("Medium").alias("severity"), F.when(named, 0.4).otherwise(0.7).alias("confidence"))
 
 
-def icmp_volume(flows: DataFrame) -> DataFrame:
-    return flows.where((F.col("app") == "Icmp") & (F.col("fwd_bytes") + F.col("rev_bytes") > 500))
+def is_icmp_volume() -> Column:
+    return (F.col("app") == "Icmp") & (F.col("fwd_bytes") + F.col("rev_bytes") > 500)
 
 
-def ftps_port(flows: DataFrame) -> DataFrame:
-    return flows.where((F.col("src_port") == 990) | (F.col("dst_port") == 990))
+def on_ftps_port() -> Column:
+    return (F.col("src_port") == 990) | (F.col("dst_port") == 990)
 
 
 def external_summary(flows: DataFrame) -> DataFrame:
     """summary: one row of external addresses, flows toward them and the five most frequent; none without any."""
-    t = flows.where(is_external(F.col("dst_ip"))).groupBy("dst_ip").agg(F.count(F.lit(1)).alias("n"))
+    t = destinations(flows).select("dst_ip", F.col("flows").alias("n"))
     most = t.orderBy(F.col("n").desc(), "dst_ip").limit(5).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "dst_ip"))).alias("top"))
     named = F.array_join(F.transform("top", lambda x: F.concat(x["dst_ip"], F.lit(" ("), (-x["m"]).cast("string"), F.lit(")"))), ", ")
     all_ = t.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("flows")).where("hosts > 0")
     return all_.crossJoin(F.broadcast(most)).select(F.concat(F.col("hosts").cast("string"), F.lit(" addresses, "), F.col("flows").cast("string"), F.lit(" flows: "), named).alias("summary"))
 
 
+def in_one_pass(df: DataFrame, cases: list[tuple]) -> DataFrame:
+    """Findings of rules over single rows (rule, condition, subject, severity, confidence), all of them in one scan."""
+    hits = [F.when(c, F.struct(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))) for rule, c, subject, severity, confidence in cases]
+    return df.select(F.explode(F.array_compact(F.array(*hits))).alias("x")).select("x.*")
+
+
 def _row(df: DataFrame, rule: Column | str, subject: Column | str, severity: Column | str, confidence: Column | float) -> DataFrame:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return df.select(lit(rule).alias("rule"), (subject if isinstance(subject, Column) else F.col(subject)).cast("string").alias("subject"), lit(severity).alias("severity"), lit(confidence).alias("confidence"))
@@ -168,12 +189,14 @@ def _ranked(parts: list[DataFrame]) -> DataFrame:
 
 
 def _flow_rules(flows: DataFrame, hellos: DataFrame | None) -> list[DataFrame]:
+    flow = F.col("flow_id")
+    single = [("asymmetric", is_asymmetric(), flow, "Medium", 0.65), ("suspicious_port", on_suspicious_port(), flow, "Medium", 0.6), ("icmp_volume", is_icmp_volume(), flow, "Medium", 0.6), ("ftps_port", on_ftps_port(), flow, "High", 0.85)]
     return [
-        _row(exfiltration(flows).where("severity is not null"), "exfiltration", "ip", F.col("severity"), F.col("confidence")), _row(asymmetric(flows), "asymmetric", "flow_id", "Medium", 0.65),
+        in_one_pass(flows, single), _row(exfiltration(flows).where("severity is not null"), "exfiltration", "ip", F.col("severity"), F.col("confidence")),
         _row(beacons(flows).where("hit"), "beacon", "dst_ip", "High", 0.8), _row(encrypted_external(flows, hellos), "encrypted_external", "dst_ip", F.col("severity"), F.col("confidence")),
-        _row(suspicious_ports(flows), "suspicious_port", "flow_id", "Medium", 0.6), _row(icmp_volume(flows), "icmp_volume", "flow_id", "Medium", 0.6), _row(ftps_port(flows), "ftps_port", "flow_id", "High", 0.85),
         _row(port_fanout(flows).where("hit"), "port_scan", "src_ip", "Medium", 0.75), _row(lateral(flows).where("hit"), "lateral", "src_ip", "High", 0.7),
-        _row(first_cleartext(flows).withColumn("rule", F.concat(F.lit("cleartext_"), F.lower("kind"))), F.col("rule"), "kind", F.when(F.col("kind") == "Ftp", "High").otherwise("Medium"), F.when(F.col("kind") == "Smtp", 0.7).otherwise(0.9)), _row(short_encrypted(flows).where("hit"), "short_encrypted", "dst_ip", "Medium", 0.65), _row(traffic(flows), "traffic", "n_flows", "Info", 0.2),
+        _row(first_cleartext(flows).withColumn("rule", F.concat(F.lit("cleartext_"), F.lower("kind"))), F.col("rule"), "kind", F.when(F.col("kind") == "Ftp", "High").otherwise("Medium"), F.when(F.col("kind") == "Smtp", 0.7).otherwise(0.9)),
+        _row(short_encrypted(flows).where("hit"), "short_encrypted", "dst_ip", "Medium", 0.65), _row(traffic(flows), "traffic", "n_flows", "Info", 0.2),
     ]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwake.functions.net import looks_generated
-from sparkwake.operators.detect import dns_volume, fast_flux, rank
+from sparkwake.operators.detect import dns_volume, fast_flux, in_one_pass, rank
 
 #: TLS fingerprints of known malware, words of its requests and agents (fixed values).
 BAD_JA3 = {
@@ -46,29 +46,27 @@ def http_rules(tx: DataFrame) -> DataFrame:
         ("large_post", (F.col("request_size") > 100_000) & post, uri, "Medium", 0.6), ("c2_path", _first(uri, C2_PATHS).isNotNull(), uri, "Medium", 0.65),
         ("malware_agent", _first(agent, MALWARE_AGENTS).isNotNull(), agent, "High", 0.85), ("odd_agent", odd, agent, "Low", 0.5), ("post_without_host", post & F.col("host").isNull(), uri, "Medium", 0.7),
     )
-    return reduce(DataFrame.unionByName, (_row(tx.where(c), n, s, v, p) for n, c, s, v, p in cases))
+    return in_one_pass(tx, list(cases))
 
 
 def tls_rules(hellos: DataFrame) -> DataFrame:
     """Known bad fingerprints, client hellos without a name, names of FTP hosts, old versions."""
-    client = hellos.where("hello = 'client'")
+    client, name = F.col("hello") == "client", F.lower("sni")
     bad = F.create_map(*[F.lit(x) for kv in BAD_JA3.items() for x in kv])
-    name = F.lower("sni")
-    old = F.col("version").isin(0x0002, 0x0300, 0x0301)
-    return reduce(DataFrame.unionByName, (
-        _row(client.where(F.map_contains_key(bad, F.col("ja3"))), "bad_ja3", F.concat_ws(" ", F.try_element_at(bad, F.col("ja3")), "ja3"), "Critical", 0.95),
-        _row(client.where("sni is null"), "no_sni", F.col("flow_id"), "Medium", 0.6),
-        _row(client.where(F.contains(name, F.lit("ftp.")) | name.startswith("ftp")), "ftp_sni", F.col("sni"), "High", 0.8),
-        _row(hellos.where(old), "old_tls", F.col("flow_id"), "Medium", 0.6),
-    ))
+    return in_one_pass(hellos, [
+        ("bad_ja3", client & F.map_contains_key(bad, F.coalesce("ja3", F.lit(""))), F.concat_ws(" ", F.try_element_at(bad, F.col("ja3")), "ja3"), "Critical", 0.95),
+        ("no_sni", client & F.col("sni").isNull(), F.col("flow_id"), "Medium", 0.6),
+        ("ftp_sni", client & (F.contains(name, F.lit("ftp.")) | name.startswith("ftp")), F.col("sni"), "High", 0.8),
+        ("old_tls", F.col("version").isin(0x0002, 0x0300, 0x0301), F.col("flow_id"), "Medium", 0.6),
+    ])
 
 
 def dns_rules(records: DataFrame) -> DataFrame:
     """Long names, large TXT answers, many failures, names asked for often, names with many addresses."""
     failed = records.agg(F.count_if(F.col("rcode") == 3).alias("n")).where("n > 5")
+    single = [("long_name", F.octet_length("name") > 60, F.col("name"), "Medium", 0.7), ("large_txt", (F.col("type") == "TXT") & (F.octet_length("data") > 100), F.col("name"), "Medium", 0.6)]
     return reduce(DataFrame.unionByName, (
-        _row(records.where(F.octet_length("name") > 60), "long_name", F.col("name"), "Medium", 0.7),
-        _row(records.where((F.col("type") == "TXT") & (F.octet_length("data") > 100)), "large_txt", F.col("name"), "Medium", 0.6),
+        in_one_pass(records, single),
         _row(failed, "nxdomain", F.col("n"), "Medium", 0.7),
         _row(dns_volume(records).where("hit"), "dns_volume", F.col("root"), "Low", 0.5), _row(fast_flux(records).where("hit"), "fast_flux", F.col("root"), "Medium", 0.7),
     ))

@@ -12,7 +12,7 @@ from sparkwake.functions.net import application
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as flows: one in fifty is scheduled every 250 s to a host of its own."""
+    """events as flows: one in fifty is scheduled every 250 s to a host of its own, and sends fifty times as much."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     slot = F.col("event_id") % 50 == 0
     kind = lambda **x: F.coalesce(*[F.when(F.col("event_type") == k, v if not isinstance(v, (str, int)) else F.lit(v)) for k, v in x.items()])
@@ -20,7 +20,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     admin = F.when(F.col("event_id") % 3 == 0, 445).when(F.col("event_id") % 3 == 1, 3389).otherwise(22)
     dst = F.when(slot, "198.51.100.77").otherwise(kind(view="203.0.113.10", click="198.51.100.20", purchase="203.0.113.30", signup="192.0.2.40", error=inner))
     port = F.when(slot, 443).otherwise(kind(view=443, click=80, purchase=21, signup=4444, error=admin))
-    sized = F.floor(F.coalesce("value", F.lit(0.0)) * 100).cast("long")
+    sized = F.floor(F.coalesce("value", F.lit(0.0)) * 100).cast("long") * F.when(slot, 50).otherwise(1)
     src = F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 256).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
     ts = F.when(slot, 1704067200000000 + F.col("event_id") * 5_000_000).otherwise(F.unix_micros(F.col("ts").cast("timestamp")))
     out = e.select(F.col("event_id").alias("flow_id"), src.alias("src_ip"), dst.alias("dst_ip"), (40000 + F.col("event_id") % 1000).cast("int").alias("src_port"), port.cast("int").alias("dst_port"), F.lit("tcp").alias("protocol"), ts.cast("long").alias("ts_us"), sized.alias("fwd_bytes"), ((F.col("event_id") % 7) * 100).cast("long").alias("rev_bytes"), ((F.col("event_id") % 5) * 1_000_000).cast("long").alias("duration_us"))
@@ -33,7 +33,7 @@ CASE WHEN event_id % 50 = 0 THEN '198.51.100.77' WHEN event_type = 'view' THEN '
 (40000 + event_id % 1000)::int AS src_port,
 (CASE WHEN event_id % 50 = 0 THEN 443 WHEN event_type = 'view' THEN 443 WHEN event_type = 'click' THEN 80 WHEN event_type = 'purchase' THEN 21 WHEN event_type = 'signup' THEN 4444 WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 445 WHEN 1 THEN 3389 ELSE 22 END END)::int AS dst_port,
 'tcp' AS protocol, (CASE WHEN event_id % 50 = 0 THEN 1704067200000000 + event_id * 5000000 ELSE epoch_us(ts) END)::bigint AS ts_us,
-floor(coalesce(value, 0.0) * 100)::bigint AS fwd_bytes, ((event_id % 7) * 100)::bigint AS rev_bytes, ((event_id % 5) * 1000000)::bigint AS duration_us FROM events))"""
+floor(coalesce(value, 0.0) * 100)::bigint * CASE WHEN event_id % 50 = 0 THEN 50 ELSE 1 END AS fwd_bytes, ((event_id % 7) * 100)::bigint AS rev_bytes, ((event_id % 5) * 1000000)::bigint AS duration_us FROM events))"""
 
 #: In SQL: whether an address of the view is external.
 OUTSIDE = "(NOT ({0} LIKE '10.%' OR {0} LIKE '192.168.%' OR {0} LIKE '127.%'))"
