@@ -10,6 +10,7 @@ from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_OUTPUT = 16 << 20
@@ -136,8 +137,24 @@ def auto_decode(data: bytes, depth: int = 3) -> list[tuple[list[str], bytes]]:
     return sorted(((c, o) for o, c in found.items()), key=lambda x: -len(x[0]))
 
 
+def _native(column, step: str):
+    """base64 and hex as built-in functions, with the guards of un_base64 and un_hex."""
+    text = F.decode(column, "ISO-8859-1")
+    if step == "base64":
+        text = F.regexp_replace(text, r"^\s+|\s+$", "")
+        fits = text.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.char_length(text) % 4 == 0)
+        return F.when(fits, F.try_to_binary(text, F.lit("base64")))
+    text = F.regexp_replace(text, r"\s", "")
+    return F.when(text.rlike("^(?:[0-9a-fA-F]{2}){2,}$"), F.unhex(text))
+
+
 def decoded(column, chain: str):
     """Column of bytes decoded by chain; null where a step fails."""
+    steps = [x.strip() for x in chain.split("|")]
+    if set(steps) <= {"base64", "hex"}:
+        for step in steps:
+            column = _native(column, step)
+        return column
 
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
@@ -163,3 +180,47 @@ class AutoDecode:
 
 def entropy_class(bits) -> "F.Column":
     return F.when(bits > 7.5, "Encrypted").when(bits > 6.5, "Compressed").when(bits > 4.5, "Mixed").when(bits > 2.0, "Structured").otherwise("Repetitive")
+
+
+def decoded_strings(df: DataFrame, key: str, text: str = "text", depth: int = 3) -> DataFrame:
+    """key, chain, decoded: what texts decode to that is printable, another text and longer than three bytes."""
+    rows = df.where(F.col(text).isNotNull()).select(key, F.encode(F.col(text), "UTF-8").alias("_data"))
+    found = rows.lateralJoin(AutoDecode(F.col("_data").outer(), F.lit(depth)).alias("found"))
+    return found.where(F.col("printable") & (F.octet_length("found.data") > 3) & (F.col("found.data") != F.col("_data"))).select(key, F.array_join("chain", "|").alias("chain"), F.col("found.data").cast("string").alias("decoded"))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes apply_chain(bytes, chain), entropy(text), looks_generated(name) and the table function auto_decode known to SQL."""
+
+    @F.pandas_udf("binary")
+    def chained(data: pd.Series, chain: pd.Series) -> pd.Series:
+        def one(v, c):
+            try:
+                return None if v is None or c is None else apply_chain(bytes(v), c)
+            except ValueError:
+                return None
+
+        return pd.Series([one(v, c) for v, c in zip(data, chain, strict=True)])
+
+    @F.pandas_udf("double")
+    def entropy(text: pd.Series) -> pd.Series:
+        def one(t):
+            n = np.bincount(np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8))
+            p = n[n > 0] / max(1, n.sum())
+            return float(-(p * np.log2(p)).sum()) + 0.0
+
+        return text.map(one)
+
+    @F.pandas_udf("boolean")
+    def generated(name: pd.Series) -> pd.Series:
+        def one(n):
+            label, dot, _ = (n or "").partition(".")
+            size, count = len(label.encode()), lambda kind: sum(c in kind for c in label)
+            vowels, digits = count("aeiou"), count("0123456789")
+            return bool(dot) and size >= 8 and (vowels == 0 or count("bcdfghjklmnpqrstvwxyz") > 5 * vowels or digits >= size // 2)
+
+        return name.map(one)
+
+    for name, f in (("apply_chain", chained), ("entropy", entropy), ("looks_generated", generated)):
+        spark.udf.register(name, f)
+    spark.udtf.register("auto_decode", AutoDecode)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwake.functions import codec, mime, net
@@ -477,3 +477,63 @@ def dns_parse(spark, sf_dir):
     tcp = _key() % 2 == 0
     data = F.unhex(F.when(tcp, F.concat(_number((F.char_length(body) / 2).cast("int"), 2), body)).otherwise(body))
     return dissect.dns_records(_nations(spark, sf_dir).select("flow_id", data.alias("data"), tcp.alias("tcp")))
+
+
+_SURE = f"(SELECT 'IpAddress' AS kind, ip AS value, 0.5::double AS confidence FROM (SELECT DISTINCT unnest([src_ip, dst_ip]) AS ip FROM flows) WHERE {OUTSIDE.format('ip')} UNION ALL SELECT DISTINCT 'Domain', name, 0.3 FROM names)"
+
+
+@query(f"WITH {FLOWS}, {NAMES} SELECT row_number() OVER (ORDER BY confidence DESC, kind, value)::int AS n, kind, value, confidence FROM {_SURE} QUALIFY n <= 20")
+def iocs_to_enrich(spark, sf_dir):
+    asked = case.to_enrich(case.indicators(flows(spark, sf_dir), names(spark, sf_dir)))
+    return asked.select(F.row_number().over(Window.orderBy(F.col("confidence").desc(), "kind", "value")).alias("n"), "kind", "value", "confidence")
+
+
+@query(f"WITH {FLOWS} SELECT ip, sum(s + g)::bigint AS total FROM (SELECT src_ip AS ip, fwd_bytes AS s, rev_bytes AS g FROM flows UNION ALL SELECT dst_ip, rev_bytes, fwd_bytes FROM flows) GROUP BY 1 ORDER BY total DESC, ip LIMIT 10")
+def hosts_by_traffic(spark, sf_dir):
+    return case.by_traffic(case.hosts(flows(spark, sf_dir))).limit(10).select("ip", (F.col("sent") + F.col("received")).alias("total"))
+
+
+@query(f"WITH {FLOWS}, {FOUND} SELECT ts_us, kind, ref FROM (SELECT ts_us, 'flow_start' AS kind, flow_id::varchar AS ref, 0 AS s FROM flows UNION ALL SELECT 0, 'finding_' || lower(severity), 'F-' || substr({_KEY}, 1, 32), 1 FROM found) ORDER BY ts_us, s, kind, ref LIMIT 50")
+def timeline_in_order(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    return case.in_order(case.timeline(f, case.findings(f))).limit(50).select("ts_us", "kind", "ref")
+
+
+@query(f"WITH {FLOWS}, {FOUND} (SELECT 'first' AS asked, rule, subject FROM found ORDER BY {_RANK} DESC, confidence DESC, rule, subject LIMIT 1) UNION ALL SELECT 'F-0', rule, subject FROM found WHERE substr({_KEY}, 1, 1) = '0'")
+def finding_lookup(spark, sf_dir):
+    found = case.findings(flows(spark, sf_dir))
+    asked = lambda x: case.by_id(found, x).select(F.lit(x).alias("asked"), "rule", "subject")
+    return asked("first").unionByName(asked("F-0"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g+00:00') AS at, floor((epoch_us(ts) - 1704067200000000) / 1000) / 1000 AS seconds FROM events")
+def event_times(spark, sf_dir):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return _table(spark, sf_dir, "events").select("event_id", case.rfc3339(at).alias("at"), case.seconds_between(F.lit(1704067200000000), at).alias("seconds"))
+
+
+@query("SELECT n_nationkey, 'hex' AS chain, n_name || '/' || n_nationkey AS decoded FROM nation WHERE length(n_name || '/' || n_nationkey) > 3 UNION ALL SELECT n_nationkey, 'hex|rot13', translate(n_name || '/' || n_nationkey, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'NOPQRSTUVWXYZABCDEFGHIJKLM') FROM nation")
+def decoded_strings(spark, sf_dir):
+    """Names in hexadecimal (with a mark that no other decoder takes), as far as two steps tell; the hexadecimal text turned by 13 is left out."""
+    rows = _nations(spark, sf_dir).select("n_nationkey", _digits(F.concat(_name(), F.lit("/"), _key().cast("string"))).alias("text"))
+    return codec.decoded_strings(rows, "n_nationkey", depth=2).where("chain in ('hex', 'hex|rot13')")
+
+
+@query("SELECT doc_id, md5(text) AS digest, round(e, 6) AS entropy FROM documents JOIN (WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents), c AS (SELECT doc_id, x, count(*) AS n FROM b GROUP BY 1, 2) SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM c GROUP BY 1) USING (doc_id) WHERE octet_length(encode(text)) >= 4")
+def sql_functions(spark, sf_dir):
+    """Registered functions in SQL text."""
+    codec.register(spark)
+    rows = _table(spark, sf_dir, "documents").where(F.octet_length(F.encode("text", "UTF-8")) >= 4)
+    return rows.select("doc_id", F.expr("md5(apply_chain(cast(hex(encode(text, 'UTF-8')) as binary), 'hex'))").alias("digest"), F.round(F.expr("entropy(text)"), 6).alias("entropy"))
+
+
+@query(f"""WITH {FLOWS}, {NAMES}, {FOUND}, f AS (SELECT string_agg(severity || ' ' || list_reduce(list_transform(string_split(rule, '_'), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) || ': ' || subject, chr(10) ORDER BY {_RANK} DESC, confidence DESC, rule, subject) AS t FROM (SELECT * FROM found ORDER BY {_RANK} DESC, confidence DESC, rule, subject LIMIT 3)),
+i AS (SELECT string_agg(kind || ' ' || value, chr(10) ORDER BY confidence DESC, kind, value) AS u FROM (SELECT * FROM {_SURE} ORDER BY confidence DESC, kind, value LIMIT 3)) SELECT 'Findings:' || chr(10) || t || chr(10) || 'Indicators:' || chr(10) || u AS brief FROM f, i""")
+def case_brief(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    return case.brief(case.findings(f), case.indicators(f, names(spark, sf_dir)), 3)
+
+
+@query("SELECT table_name AS \"table\", name FROM (VALUES ('nation', 'n_nationkey'), ('nation', 'n_name'), ('nation', 'flow_id'), ('region', 'r_regionkey'), ('region', 'r_name')) t(table_name, name)")
+def schema_table(spark, sf_dir):
+    return export.schema_table(spark, {"nation": _nations(spark, sf_dir), "region": _table(spark, sf_dir, "region")}).select("table", "name")

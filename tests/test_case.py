@@ -102,3 +102,15 @@ def test_unpacking_is_bounded():
 def test_best_effort_request():
     (tx,) = dissect.http(b"GET /x HTTP/1.1\r\nHost: h", b"")
     assert (tx["uri"], tx["host"], tx["status"]) == ("/x", "h", None)
+
+
+def test_built_in_decoders(spark):
+    import base64 as b64
+
+    from pyspark.sql import functions as F
+
+    texts = [b"", b"QUJD", b" QUJD\n", b"QUJ", b"QUI=", b"Q===", b"QU JD", b"4a4b", b"4a 4b\n", b"4", b"4a4", b"zz11", None, b64.b64encode(bytes(range(256))), bytes(range(256)).hex().encode()]
+    df = spark.createDataFrame([(t,) for t in texts], "t binary").select("t", codec.decoded(F.col("t"), "base64").alias("b"), codec.decoded(F.col("t"), "hex").alias("h"))
+    for r in df.collect():
+        t = None if r.t is None else bytes(r.t)
+        assert (r.b and bytes(r.b)) == (None if t is None else codec.un_base64(t)) and (r.h and bytes(r.h)) == (None if t is None else codec.un_hex(t)), t
