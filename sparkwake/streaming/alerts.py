@@ -32,7 +32,7 @@ def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
 
 def captures(spark: SparkSession, folder: str, where: str | None = None) -> DataFrame:
     """Packets of the captures that come into a folder, as a stream; with a predicate over packets only those."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pcap*").load(folder)
     packets = capture.decode(files)
     return packets.where(where) if where else packets
 
