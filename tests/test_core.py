@@ -154,7 +154,7 @@ def test_against_sql(spark, name):
     for t in ("events", "documents", "pages", "benchmark", "orders", "lineitem", "nation"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     known, sql = (catalog.QUERIES | records.QUERIES)[name], (catalog.ORACLE_SQL | records.ORACLE_SQL)[name]
-    a, b = known(spark, SF).toArrow().to_pylist(), con.execute(sql).fetch_arrow_table().to_pylist()
+    a, b = known(spark, SF).toArrow().to_pylist(), con.execute(sql).to_arrow_table().to_pylist()
 
     def plain(v):
         return None if v is None else [plain(x) for x in v] if isinstance(v, list) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
