@@ -8,8 +8,8 @@ the end each view's log-odds, told for each labelled row by regressions that did
 last regression on both calibrated log-odds weighs the views; so a view that tells little counts little.
 
 Learning uses at most `labelled` labelled documents, chosen by the hash of doc_id, never the held-out ones; each round
-goes over all others without a label (of equally sure ones the least by hash count), and brings at most `per_round` of
-them to the driver for each view. Every document is scored from its whole text.
+goes over all others but these (a label beyond the bound is not looked at; of equally sure ones the least by hash
+count), and brings at most `per_round` of them to the driver for each view. Every document is scored from its whole text.
 
 Defined results: null text is empty, null metadata are values of their own; labels with null doc_id or mark are not
 learnt from; without labels of both kinds every score is the share of good ones (1 without labels); repeated rows
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Mode
     t = ready.join(F.broadcast(marks), "doc_id").mapInArrow(run, schema).toArrow().to_pylist()
     t.sort(key=lambda r: (r["doc_id"], r["mark"], r["views"]))
     views = parts([r["views"] for r in t])
-    rest = materialize(ready.join(marked.select("doc_id"), "doc_id", "left_anti").withColumn("mark", F.lit(-1)).mapInArrow(run, schema).select("doc_id", "views"), "unlabelled")
+    rest = materialize(ready.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_anti").withColumn("mark", F.lit(-1)).mapInArrow(run, schema).select("doc_id", "views"), "unlabelled")
     taken: list[set[str]] = [set(), set()]
 
     def surest(models: list[Regression], wanted: dict[int, int]) -> list[list[tuple[int, np.ndarray]]]:
