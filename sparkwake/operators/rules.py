@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwake.functions.net import looks_generated
 from sparkwake.operators.detect import dns_volume, fast_flux, in_one_pass, rank
 
 #: TLS fingerprints of known malware, words of its requests and agents (fixed values).
