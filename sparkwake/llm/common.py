@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _dirs: dict[str, str] = {}
@@ -115,6 +115,24 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(tasks(df.sparkSession), *keys)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], index: str, size: str) -> DataFrame:
+    """df, written once, with each row's index (from 0) in its group by order, and the group's size.
+
+    Rows are sorted by range over all partitions, whatever the groups' sizes, and numbered within their partition. What
+    comes before a partition's rows of a group is summed from one count a partition and group, so a window holds at most
+    as many rows as there are partitions. Group columns must not be null; rows that are equal in group and order are
+    numbered in any order.
+    """
+    keys, (at, part, first, count) = [*group, *order], fresh(df, "at", "part", "first", "count")
+    rows = df.repartitionByRange(tasks(df.sparkSession), *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    runs = rows.groupBy(part, *group).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(count))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum(count).over(whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(part, *group, (before - F.col(first)).alias(first), F.sum(count).over(whole).alias(size))
+    return rows.join(runs, [part, *group]).withColumn(index, F.col(at) + F.col(first)).drop(at, part, first)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwake.llm import ann, decontam, htmltext, licenses, neardup, packing, quality, secrets, toxicity, warc
+from sparkwake.llm import ann, decontam, fim, htmltext, licenses, merkle, mixing, neardup, packing, quality, secrets, toxicity, warc
 from sparkwake.llm.common import table
 
 
@@ -52,7 +52,28 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_decontam": op2_decontam, "op3_minhash": op3_minhash, "op4_ann": op4_ann, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, upper = table(spark, sf_dir, "documents"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = merkle.leaf_of(*map(F.col, merkle.COLUMNS[:-1]), F.translate("text", upper, upper.lower()))
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, changed)
+    found = merkle.proofs(merkle.manifest(docs, claimed=claimed))
+    proof = F.sha2(F.array_join(merkle.siblings(F.col("path")), ""), 256)
+    told = found.withColumn("folded_root", merkle.folded(F.coalesce("claimed", "leaf"), F.col("path")))
+    return told.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restore(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_decontam": op2_decontam, "op3_minhash": op3_minhash, "op4_ann": op4_ann, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_html": op10_html, "op11_merkle": op11_merkle, "op12_fim": op12_fim, "op13_mixing": op13_mixing}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words, distinct shingles, pairs that share enough of them, and what each document reaches.
 _MINHASH = rf"""
@@ -68,6 +89,55 @@ _WARC = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
 SELECT page_id, octet_length(b)::bigint AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('{_CHARS}', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') AS payload_digest,
 CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM p"""
+_ITEM = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_ITEM.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+#: CRC-32 by bits: each byte is mixed in, then shifted out eight times.
+_CRC = "xor(4294967295, list_reduce(flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: [ascii((doc_id::varchar)[i])::bigint, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295))"
+#: Leaves, the nodes of every level of the sources' trees and of the tree over them, each row's runs from the leaf to the root, and what follows from them.
+_MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source AS g, {_LEAF.format(_ITEM.format('text'))} AS leaf, {_LEAF.format(_ITEM.format(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"))} AS changed, {_CRC} % 5 = 0 AS touched FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t(k, g, i, h) AS (SELECT 0, g, i, leaf FROM l UNION ALL SELECT k + 1, g, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM t) WHERE n > 1 GROUP BY k, g, i // 16),
+r AS (SELECT g, arg_max(h, k) AS h, max(k) AS k FROM t GROUP BY g),
+o AS (SELECT g, h, k AS depth, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i FROM r),
+u(k, i, h) AS (SELECT 0, i, h FROM o UNION ALL SELECT k + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY k, i // 16),
+n AS (SELECT g, k, i, h FROM t UNION ALL SELECT o.g, o.depth + u.k, u.i + 1000000000, u.h FROM o, u),
+s AS (SELECT l.doc_id, l.leaf, l.g, l.i, x.k, string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i) AS a, string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i) AS b FROM l JOIN o ON l.g IS NOT DISTINCT FROM o.g
+JOIN n x ON x.g IS NOT DISTINCT FROM l.g AND x.i = CASE WHEN x.i < 1000000000 THEN l.i // (16 ** x.k)::bigint ELSE 1000000000 + o.i // (16 ** (x.k - o.depth))::bigint END AND (x.i >= 1000000000 OR x.k < o.depth)
+JOIN n y ON y.g IS NOT DISTINCT FROM x.g AND y.k = x.k AND (y.i >= 1000000000) = (x.i >= 1000000000) AND (y.i % 1000000000) // 16 = (x.i % 1000000000) // 16 GROUP BY ALL),
+p AS (SELECT doc_id, leaf, g, i, list({{'a': coalesce(a, ''), 'b': coalesce(b, '')}} ORDER BY k) AS path FROM s WHERE NOT (a IS NULL AND b IS NULL AND k = (SELECT max(k) FROM u) + (SELECT depth FROM o WHERE o.g IS NOT DISTINCT FROM s.g)) GROUP BY ALL),
+f AS (SELECT l.doc_id, l.leaf, r.h AS subroot, (SELECT arg_max(h, k) FROM u) AS root, sha256(coalesce(list_reduce(list_transform(path, lambda x: x.a || x.b), lambda x, y: x || y, ''), '')) AS proof_sha256, coalesce(list_reduce(path, lambda acc, step: {{'a': sha256(step.a || acc.a || step.b), 'b': ''}}, {{'a': CASE WHEN touched THEN changed ELSE l.leaf END, 'b': ''}}).a, CASE WHEN touched THEN changed ELSE l.leaf END) AS folded_root
+FROM l LEFT JOIN p ON l.g IS NOT DISTINCT FROM p.g AND l.i = p.i JOIN r ON r.g IS NOT DISTINCT FROM l.g)
+SELECT *, folded_root = root AS verified FROM f"""
+_HASH = "sha256('1:' || coalesce(doc_id::varchar, ''))"
+_FIM = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS x, list_transform(range(0, 4), lambda k: ('0x' || substr({_HASH}, 1 + 8 * k::int, 8))::bigint) AS h FROM documents),
+c AS (SELECT *, len(x) AS n, least(h[1] % (len(x) + 1), h[2] % (len(x) + 1)) AS a, greatest(h[1] % (len(x) + 1), h[2] % (len(x) + 1)) AS b FROM t),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, array_to_string(x[1:a], '') AS p, array_to_string(x[a + 1:b], '') AS m, array_to_string(x[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
+def _time() -> str:
+    """The time at which a share y of a weight's demand is reached, for the schedules of the mixture."""
+    weights = []
+    for w, (a, b, c) in mixing.CURRICULUM.items():
+        whole = (a + 2 * b + c) / 4
+        a, b, c = a / whole, b / whole, c / whole
+        half = (a + b) / 4
+        weights.append(f"WHEN {w} THEN CASE WHEN y < {half!r} THEN 2 * y / ({a!r} + sqrt({a * a!r} + y * {4 * (b - a)!r})) ELSE 0.5 + 2 * (y - {half!r}) / ({b!r} + sqrt({b * b!r} + (y - {half!r}) * {4 * (c - b)!r})) END")
+    return f"CASE w {' '.join(weights)} END"
+
+
+#: Words, weights in turn, targets that stop at three times a source (the excess shared again, 30 times at most), and what each document gives in its source's order.
+_MIXING = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::bigint AS size, md5('1:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::bigint AS n, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::bigint AS w FROM d GROUP BY source),
+f(k, t, w) AS (SELECT 0, sum(n)::hugeint, sum(w)::hugeint FROM s UNION ALL SELECT k + 1, (SELECT sum(n) FROM s) - coalesce(sum(3 * n) FILTER (f.t * s.w > 3 * n * f.w), 0), (SELECT sum(w) FROM s) - coalesce(sum(s.w) FILTER (f.t * s.w > 3 * n * f.w), 0) FROM f, s WHERE k < 30 GROUP BY k, f.t, f.w),
+g AS (SELECT source, n, s.w, CASE WHEN f.t * s.w > 3 * n * f.w THEN (3 * n)::double ELSE f.t::bigint::double * s.w / greatest(f.w, 1)::bigint END AS target FROM s, f WHERE k = 30),
+o AS (SELECT d.doc_id, size, n, w, target, least(floor(target + 0.5)::bigint, 3 * n) AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS c FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, list_sum(list_transform([0, 1, 2], lambda k: least(greatest(budget - (k * n + c), 0), size)))::bigint AS taken, c / target AS y FROM o)
+SELECT doc_id, size, n AS source_size, target, taken, CASE WHEN taken > 0 THEN round({_time()}, 6) END AS position FROM e"""
 #: Trained models (op1, op9, op10), a latent space (op2), a search that may miss neighbours (op4), rolling tokenizer ids (op8) and look-around patterns (op5, op7)
 #: have no SQL equivalent; tests hold them against brute force or labels.
-ORACLE_SQL: dict[str, str] = {"op3_minhash": _MINHASH, "op6_warc": _WARC}
+ORACLE_SQL: dict[str, str] = {"op3_minhash": _MINHASH, "op6_warc": _WARC, "op11_merkle": _MERKLE, "op12_fim": _FIM, "op13_mixing": _MIXING}
