@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Prefixes of addresses that count as internal (fixed values).
 PRIVATE = ("10.", *(f"172.{n}." for n in range(16, 32)), "192.168.", "127.", "0.0.0.0", "::1", "fe80:")
+PRIVATE_PATTERN = "^(?:" + "|".join(re.escape(p).replace("\\.", "[.]") for p in PRIVATE) + ")"
 #: Well-known ports (fixed values): transport, port, application.
 PORTS = (
     ("tcp", (80, 8080, 8443, 8000, 3000), "Http"), ("tcp", (443,), "Tls"), ("tcp", (53,), "Dns"), ("udp", (53,), "Dns"), ("tcp", (21,), "Ftp"), ("tcp", (20,), "FtpData"),
@@ -23,17 +24,46 @@ ICMP_TYPES = {0: "Echo Reply", 3: "Destination Unreachable", 4: "Source Quench",
 
 def is_internal(ip: Column) -> Column:
     """Whether an address begins with one of PRIVATE, as one expression."""
-    return ip.rlike("^(?:" + "|".join(map(re.escape, PRIVATE)) + ")")
+    return ip.rlike(PRIVATE_PATTERN)
 
 
 def is_external(ip: Column) -> Column:
     return ~is_internal(ip)
 
 
+def _is_v4(ip: Column) -> Column:
+    return ip.rlike(r"^\d+\.\d+\.\d+\.\d+$")
+
+
+def _v4_number(ip: Column) -> Column:
+    return reduce(lambda a, b: a * 256 + b, (F.split_part(ip, F.lit("."), F.lit(k)).try_cast("long") for k in range(1, 5)))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _v6_digits(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address: `::` filled up, a dotted end as two groups, a zone dropped."""
+    dotted = r"\d+\.\d+\.\d+\.\d+$"
+    number = lambda t: F.lpad(F.hex(_v4_number(F.regexp_substr(t, F.lit(dotted)))), 8, "0")
+    spelled = lambda t: F.when(F.contains(t, F.lit(".")), F.concat(F.regexp_replace(t, dotted, ""), F.regexp_replace(number(t), "(....)$", ":$1"))).otherwise(t)
+    groups = lambda part: F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+    sides = _let(spelled(F.split_part(F.lower(ip), F.lit("%"), F.lit(1))), lambda t: F.struct(groups(F.split_part(t, F.lit("::"), F.lit(1))).alias("l"), groups(F.split_part(t, F.lit("::"), F.lit(2))).alias("r")))
+    filled = lambda x: F.concat(x["l"], F.array_repeat(F.lit("0000"), F.greatest(8 - F.size(x["l"]) - F.size(x["r"]), F.lit(0))), x["r"])
+    return F.array_join(_let(sides, filled), "")
+
+
 def ip_key(ip: Column) -> Column:
-    """An order-preserving key of an IPv4 address: its number (IPv6 text sorts after every IPv4 one)."""
-    n = reduce(lambda a, b: a * 256 + b, (F.split_part(ip, F.lit("."), F.lit(k)).cast("long") for k in range(1, 5)))
-    return F.when(ip.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.concat(F.lit("4"), F.lpad(n.cast("string"), 10, "0"))).otherwise(F.concat(F.lit("6"), F.lower(ip)))
+    """An address as bytes that sort as addresses do: 04 and 4 bytes, or 06 and 16 bytes; spellings don't matter."""
+    v4 = F.concat(F.lit("04"), F.lpad(F.hex(_v4_number(ip)), 8, "0"))
+    return F.unhex(F.when(_is_v4(ip), v4).otherwise(F.concat(F.lit("06"), _v6_digits(ip))))
+
+
+def address_text(ip: Column, key: Column) -> Column:
+    """One spelling of an address with its ip_key: IPv4 as it is, IPv6 as 32 hexadecimal digits."""
+    return F.when(F.octet_length(key) == 5, ip).otherwise(F.lower(F.substring(F.hex(key), 3, 32)))
 
 
 def canonical(src_ip: str = "src_ip", src_port: str = "src_port", dst_ip: str = "dst_ip", dst_port: str = "dst_port") -> Column:

@@ -32,7 +32,8 @@ def save(bodies: DataFrame, folder: str) -> None:
 
 def _credential(df: DataFrame, kind: Column | str, user: Column | str | None, secret: Column | str, service: str, host: Column | str | None = None) -> DataFrame:
     text = lambda c: F.lit(None).cast("string") if c is None else c if isinstance(c, Column) else F.col(c)
-    return df.select((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), text(user).alias("username"), text(secret).alias("secret"), F.lit(service).alias("service"), text(host).alias("host"))
+    own = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+    return df.select((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), text(user).alias("username"), text(secret).alias("secret"), F.lit(service).alias("service"), text(host).alias("host"), own("flow_id", "string"), own("request_at", "long"))
 
 
 def basic_auth(header: Column) -> Column:
@@ -41,26 +42,34 @@ def basic_auth(header: Column) -> Column:
     return F.when(header.rlike(r"^(?i:basic)\s+\S"), plain)
 
 
-def harvest(http: DataFrame | None = None, ftp: DataFrame | None = None, smtp: DataFrame | None = None, telnet: DataFrame | None = None, texts: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """id, kind, username, secret, service, host: every distinct credential of the records that are given."""
+def sightings(http: DataFrame | None = None, ftp: DataFrame | None = None, smtp: DataFrame | None = None, telnet: DataFrame | None = None, texts: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """id, kind, username, secret, service, host, flow_id and request_at (of HTTP) of every place where a credential stands."""
     parts: list[DataFrame] = []
     if http is not None:
         sign = F.col("request_headers")["authorization"]
         pair = basic_auth(sign)
-        known = http.select("host", sign.alias("sign"), pair.alias("pair"), "cookies")
+        where = [c for c in ("flow_id", "request_at") if c in http.columns]
+        known = http.select("host", sign.alias("sign"), pair.alias("pair"), "cookies", *where)
         parts.append(_credential(known.where(F.contains("pair", F.lit(":"))), "HttpBasicAuth", F.split_part("pair", F.lit(":"), F.lit(1)), F.expr("substring(pair, locate(':', pair) + 1)"), "http", "host"))
         parts.append(_credential(known.where(F.col("sign").rlike(r"^(?i:bearer)\s+\S")), "BearerToken", None, F.regexp_extract("sign", r"^(?i:bearer)\s+(\S+)", 1), "http", "host"))
-        jar = known.select("host", F.explode("cookies").alias("cookie")).where(F.split_part(F.lower("cookie"), F.lit("="), F.lit(1)).rlike("sess|token|auth|sid"))
+        jar = known.select("host", *where, F.explode("cookies").alias("cookie")).where(F.split_part(F.lower("cookie"), F.lit("="), F.lit(1)).rlike("sess|token|auth|sid"))
         parts.append(_credential(jar, "SessionCookie", F.split_part("cookie", F.lit("="), F.lit(1)), F.expr("substring(cookie, locate('=', cookie) + 1)"), "http", "host"))
     if ftp is not None:
         parts.append(_credential(ftp.where("password is not null"), "FtpLogin", "username", "password", "ftp"))
     if smtp is not None:
         parts.append(_credential(smtp.where("password is not null"), "SmtpAuth", "username", "password", "smtp"))
     if telnet is not None:
-        parts.append(_credential(telnet.select(F.explode("logins").alias("x")).select("x.*"), "TelnetLogin", "username", "password", "telnet"))
+        parts.append(_credential(telnet.select("flow_id", F.explode("logins").alias("x")).select("flow_id", "x.*"), "TelnetLogin", "username", "password", "telnet"))
     if texts is not None:
-        parts.append(_credential(credentials(texts.select(F.lit(0).alias("_key"), text), "_key", text), F.col("kind"), None, "value", "text"))
+        key = "flow_id" if "flow_id" in texts.columns else "_key"
+        rows = texts.select("flow_id", text) if key == "flow_id" else texts.select(F.lit(0).alias("_key"), text)
+        parts.append(_credential(credentials(rows, key, text), F.col("kind"), None, "value", "text"))
     if not parts:
         raise ValueError("no records to look at")
-    found = reduce(DataFrame.unionByName, parts).where(F.char_length("secret") > 0).distinct()
+    found = reduce(DataFrame.unionByName, parts).where(F.char_length("secret") > 0)
     return found.select(F.concat(F.lit("CR-"), F.substring(F.sha2(F.concat_ws("|", "kind", F.coalesce("username", F.lit("")), "secret", "service", F.coalesce("host", F.lit(""))), 256), 1, 32)).alias("id"), "*")
+
+
+def harvest(http: DataFrame | None = None, ftp: DataFrame | None = None, smtp: DataFrame | None = None, telnet: DataFrame | None = None, texts: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """id, kind, username, secret, service, host: every distinct credential of the records that are given."""
+    return sightings(http, ftp, smtp, telnet, texts, text).drop("flow_id", "request_at").distinct()

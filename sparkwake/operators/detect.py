@@ -9,16 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwake.functions.net import is_external, is_internal, masked, root_domain
 from sparkwake.functions.text import credentials, flags
-
-SEVERITY = ("Info", "Low", "Medium", "High", "Critical")
-#: Ports that rules look for (fixed values).
-SUSPICIOUS_PORTS = (4444, 5555, 6666, 7777, 8888, 9999, 1337, 31337, 12345, 54321, 3389, 5900, 5985, 5986, 2222, 8443, 8080, 1080, 9090)
-ADMIN_PORTS = (445, 139, 3389, 22, 23, 5985, 5986, 135, 593)
-
-
-def rank(severity: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, SEVERITY)), severity).cast("int") - 1
-
+from sparkwake.operators.rules import ADMIN_PORTS, SUSPICIOUS_PORTS, Registry, default, once, rank
 
 def beacons(flows: DataFrame, span: int = 3600) -> DataFrame:
     """dst_ip, n, mean_gap, cv (of whole seconds between flows from inside), hit.
@@ -165,47 +156,39 @@ def on_ftps_port() -> Column:
 
 def external_summary(flows: DataFrame) -> DataFrame:
     """summary: one row of external addresses, flows toward them and the five most frequent; none without any."""
-    t = destinations(flows).select("dst_ip", F.col("flows").alias("n"))
-    most = t.orderBy(F.col("n").desc(), "dst_ip").limit(5).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "dst_ip"))).alias("top"))
+    t = destinations(flows).select("dst_ip", F.col("flows").alias("n"), F.pmod(F.hash("dst_ip"), F.lit(64)).alias("part"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("n").desc(), "dst_ip"))
+    best = F.when(F.col("place") <= 5, F.struct((-F.col("n")).alias("m"), "dst_ip"))
+    all_ = t.withColumn("place", place).agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("flows"), F.slice(F.array_sort(F.collect_list(best)), 1, 5).alias("top")).where("hosts > 0")
     named = F.array_join(F.transform("top", lambda x: F.concat(x["dst_ip"], F.lit(" ("), (-x["m"]).cast("string"), F.lit(")"))), ", ")
-    all_ = t.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("flows")).where("hosts > 0")
-    return all_.crossJoin(F.broadcast(most)).select(F.concat(F.col("hosts").cast("string"), F.lit(" addresses, "), F.col("flows").cast("string"), F.lit(" flows: "), named).alias("summary"))
-
-
-def in_one_pass(df: DataFrame, cases: list[tuple]) -> DataFrame:
-    """Findings of rules over single rows (rule, condition, subject, severity, confidence), all of them in one scan."""
-    hits = [F.when(c, F.struct(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))) for rule, c, subject, severity, confidence in cases]
-    return df.select(F.explode(F.array_compact(F.array(*hits))).alias("x")).select("x.*")
+    return all_.select(F.concat(F.col("hosts").cast("string"), F.lit(" addresses, "), F.col("flows").cast("string"), F.lit(" flows: "), named).alias("summary"))
 
 
-def _row(df: DataFrame, rule: Column | str, subject: Column | str, severity: Column | str, confidence: Column | float) -> DataFrame:
+def finding(df: DataFrame, rule: Column | str, subject: Column | str, severity: Column | str, confidence: Column | float, ts_us: Column | None = None) -> DataFrame:
+    """Hits as the registry gives them, from rows that are one each."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(lit(rule).alias("rule"), (subject if isinstance(subject, Column) else F.col(subject)).cast("string").alias("subject"), lit(severity).alias("severity"), lit(confidence).alias("confidence"))
+    at = F.lit(None) if ts_us is None else ts_us
+    return df.select(lit(rule).alias("rule"), (subject if isinstance(subject, Column) else F.col(subject)).cast("string").alias("subject"), lit(severity).alias("severity"), lit(confidence).cast("double").alias("confidence"), at.cast("long").alias("ts_us"), F.lit(1).cast("long").alias("n"))
 
 
-def _ranked(parts: list[DataFrame]) -> DataFrame:
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("severity_rank", rank(F.col("severity"))).orderBy(F.col("severity_rank").desc(), F.col("confidence").desc(), "rule", "subject")
+def found(flows: DataFrame, hellos: DataFrame | None = None, more: list[DataFrame] | None = None, registry: Registry | None = None, **inputs: DataFrame) -> DataFrame:
+    """rule, subject, severity, confidence, n, first_us of every rule of the registry whose source is given, each once.
 
-
-def _flow_rules(flows: DataFrame, hellos: DataFrame | None) -> list[DataFrame]:
-    flow = F.col("flow_id")
-    single = [("asymmetric", is_asymmetric(), flow, "Medium", 0.65), ("suspicious_port", on_suspicious_port(), flow, "Medium", 0.6), ("icmp_volume", is_icmp_volume(), flow, "Medium", 0.6), ("ftps_port", on_ftps_port(), flow, "High", 0.85)]
-    return [
-        in_one_pass(flows, single), _row(exfiltration(flows).where("severity is not null"), "exfiltration", "ip", F.col("severity"), F.col("confidence")),
-        _row(beacons(flows).where("hit"), "beacon", "dst_ip", "High", 0.8), _row(encrypted_external(flows, hellos), "encrypted_external", "dst_ip", F.col("severity"), F.col("confidence")),
-        _row(port_fanout(flows).where("hit"), "port_scan", "src_ip", "Medium", 0.75), _row(lateral(flows).where("hit"), "lateral", "src_ip", "High", 0.7),
-        _row(first_cleartext(flows).withColumn("rule", F.concat(F.lit("cleartext_"), F.lower("kind"))), F.col("rule"), "kind", F.when(F.col("kind") == "Ftp", "High").otherwise("Medium"), F.when(F.col("kind") == "Smtp", 0.7).otherwise(0.9)),
-        _row(short_encrypted(flows).where("hit"), "short_encrypted", "dst_ip", "Medium", 0.65), _row(traffic(flows), "traffic", "n_flows", "Info", 0.2),
-    ]
-
-
-def flow_rules(flows: DataFrame, hellos: DataFrame | None = None) -> list[DataFrame]:
-    """A table of findings for each rule over flows, the external summary among them."""
-    return [*_flow_rules(flows, hellos), _row(external_summary(flows), "external", "summary", "Info", 0.3)]
-
-
-finding = _row
+    Flows are read four times: by row, by external address, by origin, and for the external summary. `more` are tables of
+    hits that come along. A server name in any hello of the capture lowers what encrypted_external says.
+    """
+    registry = registry or default()
+    parts = [*registry.hits(flows=flows, **inputs), finding(external_summary(flows), "external", "summary", "Info", 0.3), *(more or [])]
+    if "traffic" in registry.rules:
+        none = flows.sparkSession.range(1).select(F.lit("traffic").alias("rule"), F.lit(None).cast("string").alias("subject"), F.lit("Info").alias("severity"), F.lit(0.2).alias("confidence"), F.lit(None).cast("long").alias("ts_us"), F.lit(0).cast("long").alias("n"))
+        parts.append(none)
+    out = once(reduce(DataFrame.unionByName, parts))
+    out = out.withColumn("subject", F.when(F.col("rule") == "traffic", F.col("n").cast("string")).otherwise(F.col("subject")))
+    if hellos is None:
+        return out
+    named = out.crossJoin(F.broadcast(hellos.agg((F.count("sni") > 0).alias("named"))))
+    less = F.col("named") & (F.col("rule") == "encrypted_external")
+    return named.withColumns({"severity": F.when(less, "Low").otherwise(F.col("severity")), "confidence": F.when(less, 0.4).otherwise(F.col("confidence"))}).drop("named")
 
 
 def credential_severity(kind: Column) -> Column:
@@ -214,20 +197,19 @@ def credential_severity(kind: Column) -> Column:
 
 def text_rules(texts: DataFrame, text: str = "text") -> list[DataFrame]:
     """Every flag and every credential (masked, with its kind) of texts, each once."""
-    found = texts.select(F.explode(flags(F.col(text))).alias("flag")).distinct()
+    some = texts.select(F.explode(flags(F.col(text))).alias("flag")).distinct()
     secret = credentials(texts.select(F.lit(0).alias("_key"), text), "_key", text).select("kind", "value").distinct()
-    severity = credential_severity(F.col("kind"))
-    return [_row(found, "flag", "flag", "Critical", 1.0), _row(secret, "credential", F.concat_ws(" ", "kind", masked(F.col("value"))), severity, 0.95)]
+    return [finding(some, "flag", "flag", "Critical", 1.0), finding(secret, "credential", F.concat_ws(" ", "kind", masked(F.col("value"))), credential_severity(F.col("kind")), 0.95)]
 
 
-def findings(flows: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
-    """rule, subject, severity, confidence of every flow rule but the external summary, most severe first."""
-    return _ranked(_flow_rules(flows, hellos))
+def ordered(hits: DataFrame) -> DataFrame:
+    """Findings, most severe first."""
+    return hits.withColumn("severity_rank", rank(F.col("severity"))).orderBy(F.col("severity_rank").desc(), F.col("confidence").desc(), "rule", "subject")
 
 
-def all_findings(flows: DataFrame, hellos: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """As findings, with the external summary and, where texts are given, their flags and credentials."""
-    return _ranked([*flow_rules(flows, hellos), *(text_rules(texts) if texts is not None else [])])
+def all_findings(flows: DataFrame, hellos: DataFrame | None = None, texts: DataFrame | None = None, registry: Registry | None = None, **inputs: DataFrame) -> DataFrame:
+    """rule, subject, severity, confidence, severity_rank of all rules whose source is given, most severe first."""
+    return ordered(found(flows, hellos, text_rules(texts) if texts is not None else None, registry, **inputs)).drop("n", "first_us")
 
 
 def url_iocs(urls: DataFrame, url: str = "url") -> DataFrame:

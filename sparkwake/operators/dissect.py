@@ -39,11 +39,20 @@ def _dns_name(data: bytes, at: int) -> tuple[str, int]:
 
 
 def dns(data: bytes, tcp: bool = False) -> list[dict]:
-    """A row per question (no data) and answer of a message."""
+    """A row per question (no data) and answer of a message; of all messages of a TCP direction, with each one's offset."""
+    if not tcp:
+        return [x | {"at": 0} for x in dns_message(data)]
+    out, at = [], 0
+    while at + 2 <= len(data):
+        size = struct.unpack_from(">H", data, at)[0]
+        out += [x | {"at": at} for x in dns_message(data[at + 2 : at + 2 + size])]
+        at += 2 + size
+    return out
+
+
+def dns_message(data: bytes) -> list[dict]:
     out: list[dict] = []
     try:
-        if tcp:
-            data = data[2 : 2 + struct.unpack_from(">H", data)[0]]
         ident, flags, questions, answers = struct.unpack_from(">HHHH", data)
         at = 12
         base = {"id": ident, "is_response": bool(flags & 0x8000), "rcode": flags & 15}
@@ -116,22 +125,24 @@ def http(client: bytes, server: bytes, bodies: bool = False) -> list[dict]:
         parts = line.split(b" ")
         if parts[0] not in METHODS or len(parts) < 2:
             break
+        begin = at
         body, at = _http_body(client, end + 4, headers, False)
         cookies = [x.strip() for x in headers.get("cookie", "").split(";") if x.strip()]
-        requests.append({"method": _text(parts[0]), "uri": _text(parts[1]), "host": headers.get("host"), "user_agent": headers.get("user-agent"), "request_headers": headers, "cookies": cookies, "request_size": len(body)})
+        requests.append({"method": _text(parts[0]), "uri": _text(parts[1]), "host": headers.get("host"), "user_agent": headers.get("user-agent"), "request_headers": headers, "cookies": cookies, "request_size": len(body), "request_at": begin})
     if not requests and (parts := client.split(b"\n", 1)[0].rstrip(b"\r").split(b" "))[0] in METHODS and len(parts) > 1:
         _, headers = _http_head(client)
-        requests.append({"method": _text(parts[0]), "uri": _text(parts[1]), "host": headers.get("host"), "user_agent": headers.get("user-agent"), "request_headers": headers, "cookies": [], "request_size": 0})
+        requests.append({"method": _text(parts[0]), "uri": _text(parts[1]), "host": headers.get("host"), "user_agent": headers.get("user-agent"), "request_headers": headers, "cookies": [], "request_size": 0, "request_at": 0})
     at = 0
     while (end := server.find(b"\r\n\r\n", at)) >= 0:
         line, headers = _http_head(server[at:end])
         parts = line.split(b" ")
         if not line.startswith(b"HTTP/") or len(parts) < 2 or not parts[1].isdigit():
             break
+        begin = at
         body, at = _http_body(server, end + 4, headers, not 100 <= int(parts[1]) < 200 and int(parts[1]) not in (204, 304))
-        responses.append({"status": int(parts[1]), "content_type": headers.get("content-type"), "response_headers": headers, "response_size": len(body), "body_sha256": hashlib.sha256(body).hexdigest() if body else None} | ({"body": body} if bodies else {}))
-    none_q = dict.fromkeys(("method", "uri", "host", "user_agent", "request_headers", "cookies", "request_size"))
-    none_r = dict.fromkeys(("status", "content_type", "response_headers", "response_size", "body_sha256", *(("body",) if bodies else ())))
+        responses.append({"status": int(parts[1]), "content_type": headers.get("content-type"), "response_headers": headers, "response_size": len(body), "response_at": begin, "body_sha256": hashlib.sha256(body).hexdigest() if body else None} | ({"body": body} if bodies else {}))
+    none_q = dict.fromkeys(("method", "uri", "host", "user_agent", "request_headers", "cookies", "request_size", "request_at"))
+    none_r = dict.fromkeys(("status", "content_type", "response_headers", "response_size", "response_at", "body_sha256", *(("body",) if bodies else ())))
     n = max(len(requests), len(responses))
     return [{"ordinal": k} | (requests[k] if k < len(requests) else none_q) | (responses[k] if k < len(responses) else none_r) for k in range(n)]
 
@@ -409,47 +420,28 @@ def icmp(data: bytes) -> dict | None:
     return {"type": data[0], "code": data[1], "name": ICMP_TYPES.get(data[0], f"Type {data[0]}"), "payload": data[8:] if len(data) > 8 else data[4:]} if len(data) >= 4 else None
 
 
-def guess(data: bytes) -> str | None:
-    """The protocol of a conversation's first bytes."""
-    head = data[:128]
-    if len(head) > 1 and head[0] in (0x16, 0x17) and head[1] == 3:
-        return "Tls"
-    if head.split(b" ", 1)[0] in METHODS or head.startswith(b"HTTP/"):
-        return "Http"
-    if head.startswith(b"SSH-"):
-        return "Ssh"
-    if head.startswith((b"USER ", b"230 ")) or head.startswith(b"220 ") and b"SMTP" not in head.upper():
-        return "Ftp"
-    if head.startswith((b"EHLO ", b"HELO ", b"220 ")):
-        return "Smtp"
-    if head[:4] in (b"\xffSMB", b"\xfeSMB") or head[:1] == b"\0" and head[4:8] in (b"\xffSMB", b"\xfeSMB"):
-        return "Smb"
-    if len(head) > 1 and head[0] == 255 and 251 <= head[1] <= 254:
-        return "Telnet"
-    if dhcp(data):
-        return "Dhcp"
-    return "Dns" if len(data) >= 12 and (data[2] >> 3 & 15) <= 2 and 1 <= struct.unpack_from(">H", data, 4)[0] <= 10 else None
-
-
-DNS_SCHEMA = "flow_id string, id int, is_response boolean, rcode int, name string, type string, ttl long, data string"
-HTTP_SCHEMA = "flow_id string, ordinal int, method string, uri string, host string, user_agent string, request_headers map<string,string>, cookies array<string>, request_size long, status int, content_type string, response_headers map<string,string>, response_size long, body_sha256 string"
+DNS_SCHEMA = "flow_id string, id int, is_response boolean, rcode int, name string, type string, ttl long, data string, at long"
+HTTP_SCHEMA = "flow_id string, ordinal int, method string, uri string, host string, user_agent string, request_headers map<string,string>, cookies array<string>, request_size long, status int, content_type string, response_headers map<string,string>, response_size long, body_sha256 string, request_at long, response_at long"
 TLS_SCHEMA = "flow_id string, hello string, version int, sni string, alpn array<string>, ciphers array<int>, extensions array<int>, curves array<int>, formats array<int>, ja3_text string, ja3 string"
 
 
 def _rows(df: DataFrame, columns: list[str], schema: str, parse) -> DataFrame:
-    """parse (values of columns -> iterable of dicts) over Arrow batches; flow_id is carried along."""
+    """parse (values of columns -> iterable of dicts) over Arrow batches; flow_id, ts and forward are carried along."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    carried = ["flow_id", *(c for c in ("ts", "forward") if c in df.columns)]
+    schema = ", ".join([schema, *(f"{c} {df.schema[c].dataType.simpleString()}" for c in carried[1:])])
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"flow_id": f} | r for f, *values in zip(b.column("flow_id").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True) for r in parse(*values)]
+            own = zip(*(b.column(c).to_pylist() for c in carried), strict=True)
+            rows = [dict(zip(carried, x, strict=True)) | r for x, *values in zip(own, *(b.column(c).to_pylist() for c in columns), strict=True) for r in parse(*values)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return df.select("flow_id", *columns).mapInArrow(run, schema)
+    return df.select(*carried, *columns).mapInArrow(run, schema)
 
 
 def dns_records(segments: DataFrame) -> DataFrame:
@@ -469,8 +461,8 @@ def tls_hellos(streams: DataFrame) -> DataFrame:
 
 def conversations(streams: DataFrame, flows: DataFrame) -> DataFrame:
     """flow_id, app, client and server bytes: reassembled directions joined with what flows know of the client."""
-    own = streams.join(flows.select("flow_id", "app", "client_forward"), "flow_id")
-    mine = F.col("forward") == F.coalesce("client_forward", F.lit(True))
+    own = streams.join(flows.select("flow_id", "app", "from_lo"), "flow_id")
+    mine = F.col("forward") == F.col("from_lo")
     return own.groupBy("flow_id", "app").agg(F.max(F.when(mine, F.col("data"))).alias("client"), F.max(F.when(~mine, F.col("data"))).alias("server"))
 
 
@@ -557,7 +549,8 @@ def icmp_messages(segments: DataFrame) -> DataFrame:
     byte = lambda k: F.conv(F.hex(F.substring("data", k, 1)), 16, 10).cast("int")
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ICMP_TYPES.items() for x in kv]), byte(1)), F.concat(F.lit("Type "), byte(1).cast("string")))
     payload = F.when(F.octet_length("data") > 8, F.expr("substring(data, 9)")).otherwise(F.expr("substring(data, 5)"))
-    return segments.where(F.octet_length("data") >= 4).select("flow_id", byte(1).alias("type"), byte(2).alias("code"), kind.alias("name"), payload.alias("payload"))
+    more = ["ts"] if "ts" in segments.columns else []
+    return segments.where(F.octet_length("data") >= 4).select("flow_id", byte(1).alias("type"), byte(2).alias("code"), kind.alias("name"), payload.alias("payload"), *more)
 
 
 def http_bodies(talk: DataFrame) -> DataFrame:

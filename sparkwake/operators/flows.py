@@ -1,49 +1,117 @@
-"""Packets to flows, and segments of conversations."""
+"""Packets to flows, and segments of conversations.
+
+Packets of one file are in the file's order, and files follow each other by the time of their first record: a packet's
+place is (file_us, path, offset). Rows without these columns come from one file and are placed by `index`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwake.functions.net import application, canonical
+from sparkwake.functions.net import address_text, application, ip_key
+
+PLACE = ("file_us", "path", "offset")
+#: Bytes of a file (or packets, where there is only an index) that make up a chunk, the unit of two-step windows.
+CHUNK_BYTES, CHUNK_PACKETS = 1 << 20, 1024
+
+
+def placed(packets: DataFrame) -> DataFrame:
+    """packets with all columns of PLACE, and chunk: a short run of a file's packets."""
+    known = "offset" in packets.columns
+    width, at = (CHUNK_BYTES, F.col("offset")) if known else (CHUNK_PACKETS, F.col("index").cast("long"))
+    missing = {"file_us": F.lit(0).cast("long"), "path": F.lit(""), "ts": F.lit(None).cast("timestamp")}
+    rows = packets.withColumns({k: v for k, v in missing.items() if k not in packets.columns}).withColumn("offset", at)
+    return rows.withColumn("file_us", F.coalesce("file_us", F.lit(0))).withColumn("chunk", F.floor(F.col("offset") / width))
+
+
+def place() -> Column:
+    return F.struct(*PLACE)
 
 
 def keyed(packets: DataFrame) -> DataFrame:
-    """packets with the canonical endpoints (lo_ip, lo_port, hi_ip, hi_port), forward and a deterministic flow_id."""
-    rows = packets.withColumn("key", canonical()).select("*", "key.*").drop("key")
-    return rows.withColumn("flow_id", F.concat(F.lit("FL-"), F.substring(F.sha2(F.concat_ws("|", "protocol", "lo_ip", "lo_port", "hi_ip", "hi_port"), 256), 1, 32)))
+    """packets with the canonical endpoints (lo_ip, lo_port, hi_ip, hi_port), forward and a deterministic flow_id.
+
+    Addresses in different spellings are one endpoint.
+    """
+    ends = packets.withColumns({"src_key": ip_key(F.col("src_ip")), "dst_key": ip_key(F.col("dst_ip"))})
+    ends = ends.withColumn("forward", F.struct("src_key", "src_port") <= F.struct("dst_key", "dst_port"))
+    pick = lambda a, b: F.when(F.col("forward"), a).otherwise(b)
+    names = {f"{end}_text": address_text(F.col(f"{end}_ip"), F.col(f"{end}_key")) for end in ("src", "dst")}
+    cross = {f"lo_{c}": pick(F.col(f"src_{c}"), F.col(f"dst_{c}")) for c in ("ip", "port", "text")} | {f"hi_{c}": pick(F.col(f"dst_{c}"), F.col(f"src_{c}")) for c in ("ip", "port", "text")}
+    rows = ends.withColumns(names).withColumns(cross)
+    named = F.concat_ws("|", "protocol", "lo_text", "lo_port", "hi_text", "hi_port")
+    rows = rows.withColumn("flow_id", F.concat(F.lit("FL-"), F.substring(F.sha2(named, 256), 1, 32)))
+    return rows.drop("src_key", "dst_key", "src_text", "dst_text", "lo_text", "hi_text")
+
+
+def parted(rows: DataFrame, timeout: str) -> DataFrame:
+    """Keyed and placed rows with flow_id parted where a flow was silent for longer than timeout.
+
+    Silences are counted within chunks first and then between them, so no task sees all packets of a long flow.
+    """
+    chunk = ["flow_id", "file_us", "path", "chunk"]
+    long = lambda before: F.coalesce((F.col("ts").cast("timestamp") > before + F.expr(f"INTERVAL {timeout}")).cast("int"), F.lit(0))
+    inside = Window.partitionBy(*chunk).orderBy("offset")
+    rows = rows.withColumn("gap", long(F.lag("ts").over(inside).cast("timestamp"))).withColumn("part", F.sum("gap").over(inside))
+    each = rows.groupBy(*chunk).agg(F.min_by("ts", "offset").alias("ts"), F.max_by("ts", "offset").alias("last"), F.sum("gap").alias("gaps"))
+    order = Window.partitionBy("flow_id").orderBy("file_us", "path", "chunk")
+    each = each.withColumn("here", long(F.lag("last").over(order).cast("timestamp")))
+    ahead = F.sum("here").over(order) + F.sum("gaps").over(order) - F.col("gaps")
+    rows = rows.join(each.select(*chunk, ahead.alias("ahead")), chunk)
+    return rows.withColumn("flow_id", F.concat_ws("-", "flow_id", F.col("part") + F.col("ahead"))).drop("gap", "part", "ahead")
 
 
 def flows(packets: DataFrame, timeout: str | None = None) -> DataFrame:
     """One row per conversation (canonical endpoints and transport); with a timeout a silence parts a conversation.
 
-    The first and last packets are those of the file's order. Counts and bytes are per direction: forward is from
-    the lower endpoint. The client is the sender of a SYN before any data, else of the first data.
+    The first and last packets are those in order of place, over all files. Counts and bytes are per direction: forward
+    is from the lower endpoint. The client is the sender of a SYN before any data, else of the first data; null if
+    there is neither.
     """
-    rows = keyed(packets)
+    rows = keyed(placed(packets))
     if timeout:
-        w = Window.partitionBy("flow_id").orderBy("index")
-        gap = (F.col("ts").cast("timestamp") > F.lag("ts").over(w) + F.expr(f"INTERVAL {timeout}")).cast("int")
-        rows = rows.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("part", F.sum("gap").over(w)).withColumn("flow_id", F.concat_ws("-", "flow_id", "part"))
+        rows = parted(rows, timeout)
     syn = F.coalesce(F.col("flags").bitwiseAND(F.lit(0x12)) == 0x02, F.lit(False))
-    data = F.length("payload") > 0
-    out = rows.groupBy("flow_id", "protocol", "lo_ip", "lo_port", "hi_ip", "hi_port").agg(
-        F.min_by("ts", "index").alias("start"), F.max_by("ts", "index").alias("last"),
-        F.count_if("forward").alias("fwd_packets"), F.count_if(~F.col("forward")).alias("rev_packets"),
-        F.sum(F.when(F.col("forward"), F.col("caplen")).otherwise(0)).alias("fwd_bytes"), F.sum(F.when(~F.col("forward"), F.col("caplen")).otherwise(0)).alias("rev_bytes"),
-        F.count_if(syn).alias("syns"), F.min(F.when(syn, F.col("index"))).alias("syn_at"), F.min(F.when(data & ~syn, F.col("index"))).alias("data_at"),
-        F.min_by(F.when(syn, F.col("forward")), F.when(syn, F.col("index"))).alias("syn_forward"), F.min_by(F.when(data & ~syn, F.col("forward")), F.when(data & ~syn, F.col("index"))).alias("data_forward"),
+    answer = F.coalesce(F.col("flags").bitwiseAND(F.lit(0x12)) == 0x12, F.lit(False))
+    data, at, forward = F.length("payload") > 0, place(), F.col("forward")
+    first = lambda which: F.min(F.when(which, F.struct(*PLACE, "forward")))
+    side = lambda which, what: F.sum(F.when(which, what).otherwise(0))
+    out = rows.groupBy("flow_id", "protocol", "lo_port", "hi_port").agg(
+        F.min("lo_ip").alias("lo_ip"), F.min("hi_ip").alias("hi_ip"), F.min_by("ts", at).alias("start"), F.max_by("ts", at).alias("last"),
+        F.count_if("forward").alias("fwd_packets"), F.count_if(~forward).alias("rev_packets"), side(forward, F.col("caplen")).alias("fwd_bytes"), side(~forward, F.col("caplen")).alias("rev_bytes"),
+        F.count_if(syn).alias("syns"), first(syn).alias("syn"), first(data & ~syn).alias("data"), first(answer).alias("answer"), first(F.lit(True)).alias("any"),
     )
-    first_syn = F.col("syn_at").isNotNull() & (F.col("data_at").isNull() | (F.col("syn_at") < F.col("data_at")))
-    out = out.withColumn("client_forward", F.when(first_syn, F.col("syn_forward")).otherwise(F.coalesce("data_forward", "syn_forward")))
+    began = F.col("syn").isNotNull() & (F.col("data").isNull() | (F.col("syn") < F.col("data")))
+    out = out.withColumn("client_forward", F.when(began, F.col("syn.forward")).otherwise(F.coalesce("data.forward", "syn.forward")))
+    out = out.withColumn("from_lo", F.coalesce("client_forward", ~F.col("answer.forward"), F.col("any.forward")))
     out = out.withColumn("app", application(F.col("protocol"), F.col("lo_port"), F.col("hi_port")))
     duration = F.abs(F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp")))
-    return out.withColumn("duration_us", duration).withColumn("incomplete", (F.col("protocol") == "tcp") & (F.col("syns") == 0)).drop("syn_at", "data_at", "syn_forward", "data_forward")
+    return out.withColumn("duration_us", duration).withColumn("incomplete", (F.col("protocol") == "tcp") & (F.col("syns") == 0)).drop("syn", "data", "answer", "any")
+
+
+def oriented(found: DataFrame) -> DataFrame:
+    """Flows with roles beside the canonical endpoints: client and server address and port, packets and bytes each way.
+
+    Where neither SYN nor data tells the client, the receiver of a SYN with ACK is, else the sender of the first packet.
+    """
+    pick = lambda a, b: F.when(F.col("from_lo"), F.col(a)).otherwise(F.col(b))
+    roles = {"client_ip": pick("lo_ip", "hi_ip"), "client_port": pick("lo_port", "hi_port"), "server_ip": pick("hi_ip", "lo_ip"), "server_port": pick("hi_port", "lo_port")}
+    ways = {f"{way}_{what}": pick(f"{a}_{what}", f"{b}_{what}") for what in ("packets", "bytes") for way, a, b in (("c2s", "fwd", "rev"), ("s2c", "rev", "fwd"))}
+    return found.withColumns(roles | ways)
 
 
 def datagrams(packets: DataFrame) -> DataFrame:
-    """flow_id, seq_no, direction, data, ts of UDP and ICMP payloads, in order of arrival."""
-    rows = keyed(packets.where(F.col("protocol").isin("udp", "icmp") & (F.length("payload") > 0)))
-    order = Window.partitionBy("flow_id").orderBy("index")
+    """flow_id, seq_no, direction, data, ts of UDP and ICMP payloads, numbered in order of place.
+
+    Numbers are counted within chunks and then over them. The lower endpoint counts as the client.
+    """
+    rows = keyed(placed(packets.where(F.col("protocol").isin("udp", "icmp") & (F.length("payload") > 0))))
+    chunk = ["flow_id", "file_us", "path", "chunk"]
+    each = rows.groupBy(*chunk).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("flow_id").orderBy("file_us", "path", "chunk")
+    each = each.select(*chunk, (F.sum("n").over(order) - F.col("n")).alias("ahead"))
+    rows = rows.join(each, chunk)
+    seq = F.row_number().over(Window.partitionBy(*chunk).orderBy("offset")) + F.col("ahead")
     way = F.when(F.col("protocol") == "icmp", "Unknown").when(F.col("forward"), "ClientToServer").otherwise("ServerToClient")
-    return rows.select("flow_id", F.row_number().over(order).alias("seq_no"), way.alias("direction"), F.col("payload").alias("data"), "ts")
+    return rows.select("flow_id", seq.cast("int").alias("seq_no"), way.alias("direction"), F.col("payload").alias("data"), "ts")

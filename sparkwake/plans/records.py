@@ -134,7 +134,7 @@ def packet_flags(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, encode(text) AS b FROM documents WHERE strlen(text) > 0), g AS (SELECT doc_id, octet_length(b) AS n, doc_id % 10 = 0 AND octet_length(b) > 1000 AS gap, b FROM d)
-SELECT doc_id::varchar AS tag, (n - CASE WHEN gap THEN 500 ELSE 0 END)::bigint AS bytes, gap, CASE WHEN NOT gap THEN md5(b) END AS digest FROM g""")
+SELECT doc_id::varchar AS tag, (n - CASE WHEN gap THEN 500 ELSE 0 END)::bigint AS bytes, gap, md5(CASE WHEN gap THEN unhex(substr(hex(b), 1, 1000) || substr(hex(b), 2001)) ELSE b END) AS digest FROM g""")
 def stream_reassembly(spark, sf_dir):
     """Texts sent in segments of 500 bytes (with 20 of the next one), out of order and one twice; some lose their second one."""
     d = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.octet_length("b") > 0)
@@ -150,7 +150,7 @@ def stream_reassembly(spark, sf_dir):
     hello = d.select(*ends, F.lit(-(1 << 63)).alias("index"), F.lit(base).alias("seq"), F.lit(2).alias("flags"), F.lit(b"").alias("payload"), "doc_id")
     streams = reassembly.streams(data.unionByName(hello))
     tags = flow_ops.keyed(hello).select("flow_id", F.col("doc_id").cast("string").alias("tag"))
-    return streams.join(tags, "flow_id").select("tag", F.octet_length("data").cast("long").alias("bytes"), "gap", F.when(~F.col("gap"), F.md5("data")).alias("digest"))
+    return streams.join(tags, "flow_id").select("tag", "bytes", "gap", F.md5("data").alias("digest"))
 
 
 def _talk(spark: SparkSession, sf_dir: str, client: Column, server: Column) -> DataFrame:
@@ -282,20 +282,20 @@ _PORTS = ", ".join(map(str, detect.SUSPICIOUS_PORTS))
 _ADMIN = ", ".join(map(str, detect.ADMIN_PORTS))
 #: Every rule over flows, in SQL.
 FOUND = f"""found AS (
-SELECT 'exfiltration' AS rule, ip AS subject, CASE WHEN o > 1000000 THEN 'High' WHEN o > 100000 THEN 'Medium' WHEN o / greatest(a, 1) > 0.7 THEN 'Medium' ELSE 'Low' END AS severity, CASE WHEN o > 1000000 THEN 0.8 ELSE greatest(CASE WHEN o > 100000 THEN 0.6 ELSE 0.4 END, CASE WHEN o / greatest(a, 1) > 0.7 THEN 0.7 ELSE 0 END) END::double AS confidence
-FROM (SELECT CASE WHEN {_OUT} THEN dst_ip ELSE src_ip END AS ip, sum(CASE WHEN {_OUT} THEN fwd_bytes ELSE rev_bytes END) AS o, sum(fwd_bytes + rev_bytes) AS a FROM flows WHERE {_OUT} <> {_SRC} GROUP BY 1) WHERE o > 10000
-UNION ALL SELECT 'asymmetric', flow_id::varchar, 'Medium', 0.65 FROM flows WHERE fwd_bytes > 0 AND rev_bytes > 0 AND fwd_bytes / (fwd_bytes + rev_bytes) > 0.85 AND fwd_bytes > 50000 AND {_OUT}
-UNION ALL SELECT 'beacon', dst_ip, 'High', 0.8 FROM (SELECT dst_ip, count(*) AS n, avg(gap) AS m, stddev_pop(gap) AS sd FROM (SELECT dst_ip, floor((ts_us - lag(ts_us) OVER (PARTITION BY dst_ip ORDER BY ts_us, flow_id)) / 1000000.0) AS gap FROM flows WHERE {_OUT} AND NOT {_SRC}) GROUP BY 1) WHERE n >= 3 AND m < 300 AND CASE WHEN m > 0 THEN sd / m ELSE 1 END < 0.3
-UNION ALL SELECT 'encrypted_external', dst_ip, 'Medium', 0.7 FROM (SELECT dst_ip, count(*) FILTER (NOT {_SRC}) AS n, count(*) FILTER (app = 'Tls') AS e, sum(fwd_bytes + rev_bytes) AS b FROM flows WHERE {_OUT} GROUP BY 1) WHERE n >= 2 AND e > 0 AND b > 5000
-UNION ALL SELECT 'suspicious_port', flow_id::varchar, 'Medium', 0.6 FROM flows WHERE {_OUT} AND dst_port IN ({_PORTS})
-UNION ALL SELECT 'icmp_volume', flow_id::varchar, 'Medium', 0.6 FROM flows WHERE app = 'Icmp' AND fwd_bytes + rev_bytes > 500
-UNION ALL SELECT 'ftps_port', flow_id::varchar, 'High', 0.85 FROM flows WHERE 990 IN (src_port, dst_port)
-UNION ALL SELECT 'port_scan', src_ip, 'Medium', 0.75 FROM flows GROUP BY src_ip HAVING count(DISTINCT dst_port) > 15
-UNION ALL SELECT 'lateral', src_ip, 'High', 0.7 FROM flows WHERE NOT {_OUT} AND NOT {_SRC} AND dst_port IN ({_ADMIN}) GROUP BY src_ip HAVING count(DISTINCT dst_ip || ':' || dst_port) > 2
-UNION ALL SELECT DISTINCT 'cleartext_' || lower(app), app, CASE app WHEN 'Ftp' THEN 'High' ELSE 'Medium' END, CASE app WHEN 'Smtp' THEN 0.7 ELSE 0.9 END FROM flows WHERE app IN ('Ftp', 'Telnet', 'Smtp')
-UNION ALL SELECT 'short_encrypted', dst_ip, 'Medium', 0.65 FROM flows WHERE app = 'Tls' AND duration_us < 2000000 AND fwd_bytes + rev_bytes < 5000 AND {_OUT} GROUP BY dst_ip HAVING count(*) >= 3
-UNION ALL SELECT 'traffic', count(*)::varchar, 'Info', 0.2 FROM flows
-UNION ALL SELECT 'external', any_value(h)::varchar || ' addresses, ' || any_value(f)::bigint::varchar || ' flows: ' || string_agg(dst_ip || ' (' || n || ')', ', ' ORDER BY n DESC, dst_ip), 'Info', 0.3 FROM (SELECT dst_ip, n, count(*) OVER () AS h, sum(n) OVER () AS f, row_number() OVER (ORDER BY n DESC, dst_ip) AS r FROM (SELECT dst_ip, count(*) AS n FROM flows WHERE {_OUT} GROUP BY 1)) WHERE r <= 5 HAVING count(*) > 0)"""
+SELECT 'exfiltration' AS rule, ip AS subject, CASE WHEN o > 1000000 THEN 'High' WHEN o > 100000 THEN 'Medium' WHEN o / greatest(a, 1) > 0.7 THEN 'Medium' ELSE 'Low' END AS severity, CASE WHEN o > 1000000 THEN 0.8 ELSE greatest(CASE WHEN o > 100000 THEN 0.6 ELSE 0.4 END, CASE WHEN o / greatest(a, 1) > 0.7 THEN 0.7 ELSE 0 END) END::double AS confidence, t AS first_us
+FROM (SELECT min(ts_us) AS t, CASE WHEN {_OUT} THEN dst_ip ELSE src_ip END AS ip, sum(CASE WHEN {_OUT} THEN fwd_bytes ELSE rev_bytes END) AS o, sum(fwd_bytes + rev_bytes) AS a FROM flows WHERE {_OUT} <> {_SRC} GROUP BY 2) WHERE o > 10000
+UNION ALL SELECT 'asymmetric', flow_id::varchar, 'Medium', 0.65, ts_us FROM flows WHERE fwd_bytes > 0 AND rev_bytes > 0 AND fwd_bytes / (fwd_bytes + rev_bytes) > 0.85 AND fwd_bytes > 50000 AND {_OUT}
+UNION ALL SELECT 'beacon', dst_ip, 'High', 0.8, t FROM (SELECT dst_ip, min(ts_us) AS t, count(*) AS n, avg(gap) AS m, stddev_pop(gap) AS sd FROM (SELECT dst_ip, ts_us, floor((ts_us - lag(ts_us) OVER (PARTITION BY dst_ip ORDER BY ts_us, flow_id)) / 1000000.0) AS gap FROM flows WHERE {_OUT} AND NOT {_SRC}) GROUP BY 1) WHERE n >= 3 AND m < 300 AND CASE WHEN m > 0 THEN sd / m ELSE 1 END < 0.3
+UNION ALL SELECT 'encrypted_external', dst_ip, 'Medium', 0.7, t FROM (SELECT dst_ip, min(ts_us) AS t, count(*) FILTER (NOT {_SRC}) AS n, count(*) FILTER (app = 'Tls') AS e, sum(fwd_bytes + rev_bytes) AS b FROM flows WHERE {_OUT} GROUP BY 1) WHERE n >= 2 AND e > 0 AND b > 5000
+UNION ALL SELECT 'suspicious_port', flow_id::varchar, 'Medium', 0.6, ts_us FROM flows WHERE {_OUT} AND dst_port IN ({_PORTS})
+UNION ALL SELECT 'icmp_volume', flow_id::varchar, 'Medium', 0.6, ts_us FROM flows WHERE app = 'Icmp' AND fwd_bytes + rev_bytes > 500
+UNION ALL SELECT 'ftps_port', flow_id::varchar, 'High', 0.85, ts_us FROM flows WHERE 990 IN (src_port, dst_port)
+UNION ALL SELECT 'port_scan', src_ip, 'Medium', 0.75, min(ts_us) FROM flows GROUP BY src_ip HAVING count(DISTINCT dst_port) > 15
+UNION ALL SELECT 'lateral', src_ip, 'High', 0.7, (SELECT min(ts_us) FROM flows f WHERE f.src_ip = flows.src_ip) FROM flows WHERE NOT {_OUT} AND NOT {_SRC} AND dst_port IN ({_ADMIN}) GROUP BY src_ip HAVING count(DISTINCT dst_ip || ':' || dst_port) > 2
+UNION ALL SELECT 'cleartext_' || lower(app), app, CASE app WHEN 'Ftp' THEN 'High' ELSE 'Medium' END, CASE app WHEN 'Smtp' THEN 0.7 ELSE 0.9 END, min(ts_us) FROM flows WHERE app IN ('Ftp', 'Telnet', 'Smtp') GROUP BY app
+UNION ALL SELECT 'short_encrypted', dst_ip, 'Medium', 0.65, (SELECT min(ts_us) FROM flows f WHERE f.dst_ip = flows.dst_ip) FROM flows WHERE app = 'Tls' AND duration_us < 2000000 AND fwd_bytes + rev_bytes < 5000 AND {_OUT} GROUP BY dst_ip HAVING count(*) >= 3
+UNION ALL SELECT 'traffic', count(*)::varchar, 'Info', 0.2, min(ts_us) FROM flows
+UNION ALL SELECT 'external', any_value(h)::varchar || ' addresses, ' || any_value(f)::bigint::varchar || ' flows: ' || string_agg(dst_ip || ' (' || n || ')', ', ' ORDER BY n DESC, dst_ip), 'Info', 0.3, NULL FROM (SELECT dst_ip, n, count(*) OVER () AS h, sum(n) OVER () AS f, row_number() OVER (ORDER BY n DESC, dst_ip) AS r FROM (SELECT dst_ip, count(*) AS n FROM flows WHERE {_OUT} GROUP BY 1)) WHERE r <= 5 HAVING count(*) > 0)"""
 
 
 @query(f"WITH {FLOWS}, {FOUND} SELECT rule, subject, severity, confidence, {_RANK} AS severity_rank FROM found")
@@ -315,9 +315,9 @@ def _cases(column: int) -> str:
     return " ".join(f"WHEN '{k}' THEN " + (f"'{v[0]}'" if column == 0 else "[" + ", ".join(f"'{t}'" for t in v[1]) + "]::varchar[]") for k, v in case.RULES.items())
 
 
-@query(f"WITH {FLOWS}, {FOUND} SELECT 'F-' || substr({_KEY}, 1, 32) AS id, rule, subject, severity, {_RANK} AS severity_rank, confidence, CASE rule {_cases(0)} END AS category, CASE rule {_cases(1)} END AS attack, CASE WHEN rule IN ('exfiltration', 'encrypted_external') THEN ['flows:\"' || subject || '\"'] ELSE []::varchar[] END AS pivots FROM found")
+@query(f"WITH {FLOWS}, {FOUND} SELECT 'F-' || substr({_KEY}, 1, 32) AS id, rule, subject, severity, {_RANK} AS severity_rank, confidence, CASE rule {_cases(0)} END AS category, CASE rule {_cases(1)} END AS attack, CASE WHEN rule IN ('exfiltration', 'encrypted_external') THEN ['flows:\"' || subject || '\"'] ELSE []::varchar[] END AS pivots, []::varchar[] AS evidence, list_reduce(list_transform(string_split(rule, '_'), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) || ': ' || subject AS title FROM found")
 def findings_described(spark, sf_dir):
-    return case.findings(flows(spark, sf_dir)).drop("title", "evidence")
+    return case.findings(flows(spark, sf_dir)).drop("n", "first_us")
 
 
 @query(f"WITH {FLOWS}, {FOUND} SELECT CASE rule {_cases(0)} END AS category, count(*)::bigint AS n, max({_RANK})::int AS worst FROM found GROUP BY 1 HAVING category IN ('Exfiltration', 'LateralMovement')")
@@ -350,7 +350,7 @@ def host_names(spark, sf_dir):
 
 
 @query(f"""WITH {FLOWS}, {FOUND} SELECT ts_us, 'flow_start' AS kind, concat_ws(' ', coalesce(app, protocol), src_ip || ':' || src_port, '->', dst_ip || ':' || dst_port, '(' || (fwd_bytes + rev_bytes) || ' bytes)') AS summary, 'Info' AS severity, flow_id::varchar AS ref FROM flows
-UNION ALL SELECT 7, 'finding_' || lower(severity), list_reduce(list_transform(string_split(rule, '_'), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) || ': ' || subject, severity, 'F-' || substr({_KEY}, 1, 32) FROM found
+UNION ALL SELECT coalesce(first_us, 7), 'finding_' || lower(severity), list_reduce(list_transform(string_split(rule, '_'), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) || ': ' || subject, severity, 'F-' || substr({_KEY}, 1, 32) FROM found
 UNION ALL SELECT 7, 'http_transaction', CASE WHEN page_id % 4 = 0 THEN 'POST' ELSE 'GET' END || ' h' || (page_id % 5) || '.example /p/' || page_id || ' -> 200', 'Info', page_id || '#0' FROM pages
 UNION ALL SELECT 7, 'credential_harvested', 'FtpLogin user=' || n_name || ' svc=ftp', 'High', 'CR-' || substr(sha256('FtpLogin|' || n_name || '|pw' || n_nationkey || '|ftp|'), 1, 32) FROM nation""")
 def timeline_case(spark, sf_dir):
@@ -476,7 +476,7 @@ def dns_parse(spark, sf_dir):
     body = F.concat(*[F.lit(x.replace(" ", "")) if isinstance(x, str) else x for x in (_number(_key(), 2), "8180 0001 0003 0000 0000", *name, "0001 0001", "C00C 0001 0001", _number(300 + _key(), 4), "0004 C00002", _number(_key(), 1), "C00C 0010 0001 0000003C", *txt, "C00C 000F 0001 0000003C 0004 000A C00C")])
     tcp = _key() % 2 == 0
     data = F.unhex(F.when(tcp, F.concat(_number((F.char_length(body) / 2).cast("int"), 2), body)).otherwise(body))
-    return dissect.dns_records(_nations(spark, sf_dir).select("flow_id", data.alias("data"), tcp.alias("tcp")))
+    return dissect.dns_records(_nations(spark, sf_dir).select("flow_id", data.alias("data"), tcp.alias("tcp"))).drop("at")
 
 
 _SURE = f"(SELECT 'IpAddress' AS kind, ip AS value, 0.5::double AS confidence FROM (SELECT DISTINCT unnest([src_ip, dst_ip]) AS ip FROM flows) WHERE {OUTSIDE.format('ip')} UNION ALL SELECT DISTINCT 'Domain', name, 0.3 FROM names)"
@@ -493,10 +493,10 @@ def hosts_by_traffic(spark, sf_dir):
     return case.by_traffic(case.hosts(flows(spark, sf_dir))).limit(10).select("ip", (F.col("sent") + F.col("received")).alias("total"))
 
 
-@query(f"WITH {FLOWS}, {FOUND} SELECT ts_us, kind, ref FROM (SELECT ts_us, 'flow_start' AS kind, flow_id::varchar AS ref, 0 AS s FROM flows UNION ALL SELECT 0, 'finding_' || lower(severity), 'F-' || substr({_KEY}, 1, 32), 1 FROM found) ORDER BY ts_us, s, kind, ref LIMIT 50")
+@query(f"WITH {FLOWS}, {FOUND} SELECT ts_us, kind, ref FROM (SELECT ts_us, 'flow_start' AS kind, flow_id::varchar AS ref, 0 AS s FROM flows UNION ALL SELECT coalesce(first_us, 0), 'finding_' || lower(severity), 'F-' || substr({_KEY}, 1, 32), 1 FROM found) ORDER BY ts_us, s, kind, ref LIMIT 50")
 def timeline_in_order(spark, sf_dir):
     f = flows(spark, sf_dir)
-    return case.in_order(case.timeline(f, case.findings(f))).limit(50).select("ts_us", "kind", "ref")
+    return case.in_order(case.timeline(f, case.findings(f), at_us=0)).limit(50).select("ts_us", "kind", "ref")
 
 
 @query(f"WITH {FLOWS}, {FOUND} (SELECT 'first' AS asked, rule, subject FROM found ORDER BY {_RANK} DESC, confidence DESC, rule, subject LIMIT 1) UNION ALL SELECT 'F-0', rule, subject FROM found WHERE substr({_KEY}, 1, 1) = '0'")

@@ -46,7 +46,7 @@ def test_tables(found):
 
 def test_empty_capture(spark, tmp_path):
     (tmp_path / "none.pcap").write_bytes(pcap([]))
-    empty = case.analyze(capture.read_capture(spark, str(tmp_path)))
+    empty = case.analyze(capture.read_capture(spark, str(tmp_path)), str(tmp_path / "case"))
     assert empty["flows"].count() == empty["indicators"].count() == 0 and empty["summary"].count() == 1
 
 
@@ -81,8 +81,8 @@ def test_capture_stream(spark, folder, tmp_path):
     stream = alerts.captures(spark, str(folder), "protocol = 'tcp'")
     out = alerts.drain(alerts.packet_alerts(stream, ["flag\\{", "(", "PASS"]), "packet_alerts_test", str(tmp_path / "cp"))
     assert sorted(r.pattern for r in out.collect()) == ["PASS", "flag\\{"]
-    alerts.record(stream.drop("path"), str(tmp_path / "packets"), str(tmp_path / "cp2"))
-    assert case.analyze(spark.read.parquet(str(tmp_path / "packets")))["flows"].count() == 2
+    alerts.record(stream, str(tmp_path / "packets"), str(tmp_path / "cp2"))
+    assert case.analyze(spark.read.parquet(str(tmp_path / "packets")), str(tmp_path / "case"))["flows"].count() == 2
 
 
 def test_broken_captures(spark):
