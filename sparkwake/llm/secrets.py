@@ -19,7 +19,8 @@ Spans count code points, end exclusive. Matches are the leftmost ones, not overl
 without its length; those too short are dropped after matching. They are found by splitting the text at the
 matches: the pieces between give the places.
 
-Long arrays are folded in groups, so a text with very many spans costs little more for each of them. Spans depend on
+Long arrays are folded in groups, so a text with very many spans costs little more for each of them. Patterns look no
+further than the run that they begin in, so a text without any space costs as much as one with spaces. Spans depend on
 a row's text alone: only rows with a weak span take part in a join, and only spans are shuffled for it but for the
 texts of those rows when they are masked.
 
@@ -47,7 +48,7 @@ PATTERNS = {
 }
 WEAK = {
     "id": rf"(?i:access_?key_?id|client_?id|account_?id|user_?name|login){_GIVEN}[A-Za-z0-9_.@-]{{3,}}|AKIA[A-Z0-9]{{8,13}}(?![A-Z0-9])",
-    "key": rf"(?i:password|passwd|secret|token|api_?key){_GIVEN}{_VALUE}{{6,11}}(?!{_VALUE})|(?<!{_VALUE})(?=[^\s]*[0-9])(?=[^\s]*[A-Z])(?=[^\s]*[a-z])[A-Za-z0-9+/]{{32,}}={{0,2}}",
+    "key": rf"(?i:password|passwd|secret|token|api_?key){_GIVEN}{_VALUE}{{6,11}}(?!{_VALUE})|(?<!{_VALUE})(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{{32,}}={{0,2}}",
     "host": r"""(?i:https?|ftp|ssh|s3|jdbc:[a-z]+)://[^\s<>"']+|(?i:host|endpoint|server|hostname)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]+)?""",
 }
 #: A text needs one of these for its kinds to be looked for; each pattern contains its own.
