@@ -52,6 +52,13 @@ CLEAR_WORDS = frozenset("cookie cookies consent gdpr adv advert adverts advertis
 BOILER_WORDS = frozenset("nav navigation menu header topbar footer bottombar sidebar aside rail notice notices banner alert popup modal overlay ad ads promo promotion form login search disclaimer respond reply replies discussion share sharing social related recommended toolbar widget widgets skip".split())
 #: Parts that make a name one about the page, as in "has-sidebar".
 ABOUT_WORDS = frozenset("has no with without is not hide show layout page wrapper container".split())
+#: Parts of a name that say what kind of box something is, not what it holds.
+BOX_WORDS = frozenset("section list area container block box bar wrapper inner outer title head item items thread count link links button slot unit top bottom left right row col group panel form policy".split())
+#: Parts that only a sentence has: ids made of a heading's words.
+SENTENCE_WORDS = frozenset("a an and are as at by can for from how if in into it of on or our so that the their this to we what when where why will you your".split())
+#: Elements whose ids and classes say nothing, and others whose classes may be slugs of what they are about, as any id may be.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SLUGGED = frozenset(("article", "section"))
 MAIN_WORDS = frozenset("article articlebody post content entry story main maincontent".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
 
@@ -67,13 +74,23 @@ class Block:
     heading: bool
 
 
-def _named(value: str, in_main: bool) -> tuple[int, bool]:
-    """How a class or id marks an element: 0 not, 1 perhaps, 2 by a compound name, 3 clearly; and as the main part."""
+def _named(value: str, in_main: bool, slugs: bool = False) -> tuple[int, bool]:
+    """How a class or id marks an element: 0 not, 1 perhaps, 2 by a compound name, 3 clearly; and as the main part.
+
+    Where names may be slugs, a compound says what its last part is, words for boxes aside: "post-comments" are comments,
+    "copyright-reform" is no copyright notice.
+    """
     mark, main = 0, False
     for token in value.split():
         parts = [w.lower() for w in _WORDS.findall(token)]
         if not parts or set(parts) & ABOUT_WORDS:
             continue
+        if slugs and len(parts) > 1:
+            if len(parts) > 3 or set(parts) & SENTENCE_WORDS:
+                continue
+            while len(parts) > 1 and parts[-1] in BOX_WORDS:
+                parts.pop()
+            parts = parts[-1:]
         if set(parts) & CLEAR_WORDS or len(parts) == 1 and parts[0] in BOILER_WORDS and not (in_main and parts[0] == "header"):
             mark = 3
         elif len(parts) > 1 and (parts[0] in BOILER_WORDS or parts[-1] in BOILER_WORDS):
@@ -99,9 +116,9 @@ def _marks(tag: str, attrs: str, in_main: bool) -> tuple[int, bool]:
                     mark = 3
                 main |= value.lower() in ("main", "article")
             elif name in ("class", "id"):
-                if tag in ("body", "html", "main"):
+                if tag in ("body", "html", "main") or tag in HEADINGS:
                     continue
-                own, named = _named(value, in_main)
+                own, named = _named(value, in_main, name == "id" or tag in SLUGGED)
                 mark, main = max(mark, own if tag != "article" or own == 3 else 0), main or named
             elif value.lower() == "articlebody":
                 main = True
@@ -323,20 +340,20 @@ def _keep(node: tuple | bool, row: list[float]) -> bool:
     return node
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, grown: tuple | bool | None = None) -> str:
     """The main text of one page."""
     found, has_main = blocks(page or "")
-    grown = tree()
+    grown = tree() if grown is None else grown
     return "\n\n".join(b.text for b, row in zip(found, features(found, has_main), strict=True) if _keep(grown, row))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
-    kind = pages.schema[id_col].dataType.simpleString()
+    kind, grown = pages.schema[id_col].dataType.simpleString(), tree()  # grown here, sent with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column("html")]
+            texts = [main_text(x.as_py(), grown) for x in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

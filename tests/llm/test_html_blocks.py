@@ -32,6 +32,19 @@ def test_names_of_classes():
     assert sizes("<article>Short text</article>") == [2] and sizes("<article><p>a<p><a href=x>link</a></article>") == [1, 1]
 
 
+def test_slugs_keep_their_text():
+    long = f"<p>{words(40)}<p>{words(60)}"
+    for w in sorted(htmltext.CLEAR_WORDS | htmltext.BOILER_WORDS):
+        for slug in (f"{w}-reform", f"the-{w}", f"why-a-{w}-matters", f"{w}-economy-2024"):
+            assert sizes(f'<article><h1>T</h1><h2 id="{slug}">Two words</h2>{long}</article>') == [1, 2, 40, 60], slug
+            assert sizes(f'<article><h1>T</h1><section id="{slug}"><h2>Two words</h2>{long}</section></article>') == [1, 2, 40, 60], slug
+        assert sizes(f'<article><h1>T</h1><h2 id="{w}">Two words</h2>{long}</article>') == [1, 2, 40, 60], w
+    for opening in ('article class="advert-study"', 'div id="newsletter-article"', 'article id="subscription-economy"', 'div id="cookie-recipes"'):
+        assert sizes(f"<{opening}><h1>T</h1>{long}</{opening.split()[0]}>") == [1, 40, 60], opening
+    for opening in ('section id="comments"', 'section id="post-comments"', 'div id="comment-list"', 'section class="newsletter-signup"', 'div id="cookie-banner"', 'div class="advert-slot-1"'):
+        assert sizes(f"<article><h1>T</h1>{long}</article><{opening}>{long}</{opening.split()[0]}>") == [1, 40, 60], opening
+
+
 def test_tree():
     tree = htmltext.tree()
     assert tree == htmltext.prune(htmltext.grow(*htmltext.labelled(1)), *htmltext.labelled(2))
