@@ -20,13 +20,16 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import held_out, mix, text_or_empty
+from sparkwake.llm.common import held_out, materialize, mix, text_or_empty
+from sparkwake.llm.warc import _filesystem
 
 #: ASCII punctuation and control characters part words.
 _BREAKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -177,9 +180,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
                 packed = [np.asarray(x, np.uint32).tobytes() for x in np.split(feature, cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.string()), pa.array(toxic[lo:hi], pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
-    t = chosen.mapInArrow(features, "doc_id string, toxic int, features binary").toArrow()
-    ids, marks_, column = t.column("doc_id").to_pylist(), t.column("toxic").to_pylist(), t.column("features").combine_chunks()
-    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
+    path = materialize(chosen.mapInArrow(features, "doc_id string, toxic int, features binary"), "features").inputFiles()
+    ids, marks_, sets = [], [], []
+    for name in path:  # a file at a time, past the JVM, so that the driver holds each feature once
+        files, at = _filesystem(unquote(name))
+        for b in pq.ParquetFile(files.open_input_file(at)).iter_batches(256):
+            ids += b.column(0).to_pylist()
+            marks_ += b.column(1).to_pylist()
+            sets += [np.frombuffer(x.as_py(), np.uint32) for x in b.column(2)]
     order = sorted(range(len(ids)), key=lambda k: (ids[k], marks_[k], zlib.crc32(sets[k])))
     return ftrl([(sets[k], int(marks_[k] > 0)) for k in order], s)
 
