@@ -30,10 +30,12 @@ def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.table(name)
 
 
-def captures(spark: SparkSession, folder: str, where: str | None = None) -> DataFrame:
-    """Packets of the captures that come into a folder, as a stream; with a predicate over packets only those."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pcap*").load(folder)
-    packets = capture.decode(files)
+def captures(spark: SparkSession, folder: str, where: str | None = None, **options) -> DataFrame:
+    """Packets of the captures in a folder, as they grow and as more come, as a stream; with a predicate only those.
+
+    Options: max_bytes (of a batch) and max_packets (in all).
+    """
+    packets = capture.stream_capture(spark, folder, **options)
     return packets.where(where) if where else packets
 
 
