@@ -5,15 +5,14 @@ Postings lie in order of table and term, so that a query reads the row groups th
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwake.operators.search import ALIASES, B, K1, tokens
+from sparkwake.operators.search import B, K1, Phrase, parse, tokens
 
 #: Table -> key column and the columns that are searched, for the tables of a case.
 CASE_COLUMNS = {
@@ -35,10 +34,37 @@ def documents(df: DataFrame, table: str, key: str, columns: tuple[str, ...]) ->
     return df.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("id"), fields.alias("fields"), shown.alias("snippet"))
 
 
+POSTED = "table string, id string, row long, col string, term string, places array<int>"
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """table, id, col, term, places: where each term stands in each column of a document, from 0."""
-    words = docs.select("table", "id", F.explode("fields").alias("col", "text")).select("table", "id", "col", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
-    return words.groupBy("table", "id", "col", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    """table, id, row, col, term, places: where each term stands in each column of a row, from 0.
+
+    A row's list is made within the row, without a shuffle. `row` tells rows apart that share an id by a hash of what they
+    hold, so that no phrase runs from one into another.
+    """
+    fields = F.transform(F.map_entries("fields"), lambda x: F.struct(x["key"].alias("col"), tokens(x["value"]).alias("terms")))
+    rows = docs.select("table", "id", F.xxhash64("table", "id", F.map_entries("fields")).alias("row"), fields.alias("fields"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("table", pa.string()), ("id", pa.string()), ("row", pa.int64()), ("col", pa.string()), ("term", pa.string()), ("places", pa.list_(pa.int32()))])
+        for b in batches:
+            out: list[list] = [[] for _ in kind]
+            for k in range(len(b)):
+                table, id_, row, held = (c[k].as_py() for c in b.columns)
+                for field in held:
+                    where: dict[str, list[int]] = {}
+                    for at, term in enumerate(field["terms"]):
+                        where.setdefault(term, []).append(at)
+                    for term, places in where.items():
+                        for column, value in zip(out, (table, id_, row, field["col"], term, places), strict=True):
+                            column.append(value)
+                if len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
+                    out = [[] for _ in kind]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
+
+    return rows.mapInArrow(run, POSTED)
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -47,53 +73,9 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.groupBy("table", "id").agg(F.sum(size).cast("long").alias("len"), F.min("snippet").alias("snippet"))
 
 
-@dataclass
-class Phrase:
-    terms: list[str]
-    column: str | None = None
-    first: bool = False
-    near: int | None = None  # terms in any order, with at most so many others between the outer ones
-
-
-@dataclass
-class Query:
-    table: str | None = None
-    must: list[Phrase] = field(default_factory=list)
-    either: list[Phrase] = field(default_factory=list)
-    without: list[Phrase] = field(default_factory=list)
-
-
-def _terms(raw: str, prefix: bool = False) -> list[str]:
-    found = re.findall(r"[^\W_]+", unicodedata.normalize("NFC", raw).lower())
-    return [*found[:-1], found[-1] + "*"] if prefix and found else found
-
-
-def parse(text: str, tables: set[str], columns: set[str] = frozenset()) -> Query:
-    """`[table:]term "a phrase" prefix* ^first column:term NEAR(a b, 5) this OR that NOT other`; ValueError if empty."""
-    q, rest = Query(), text.strip()
-    head, colon, tail = rest.partition(":")
-    name = ALIASES.get(head.strip().lower().removeprefix("fts_"), head.strip().lower().removeprefix("fts_"))
-    if colon and " " not in head.strip() and name in tables:
-        q.table, rest = name, tail.strip()
-    negate = alternative = False
-    for m in re.finditer(r'NEAR\(([^),]*)(?:,\s*(\d+))?\)|(\^)?(?:([A-Za-z_0-9]+):)?(?:"([^"]*)"|([^\s"]+))', rest):
-        near, width, first, column, quoted, word = m.groups()
-        if word in ("AND", "OR", "NOT") and not first and not column:
-            negate, alternative = word == "NOT", word == "OR"
-            if alternative and q.must:
-                q.either.append(q.must.pop())
-            continue
-        if column and column.lower() not in columns:
-            word, column = f"{column}:{word or ''}" if quoted is None else None, None
-        raw = near if near is not None else quoted if quoted is not None else word or ""
-        terms = _terms(raw, quoted is None and near is None and raw.endswith("*"))
-        if terms:
-            p = Phrase(terms, column and column.lower(), bool(first), int(width or 10) if near is not None and len(terms) > 1 else None)
-            (q.without if negate else q.either if alternative else q.must).append(p)
-        negate = alternative = False
-    if not q.must and not q.either:
-        raise ValueError("the query has no terms")
-    return q
+def statistics(docs: DataFrame) -> DataFrame:
+    """table, n and avg (length) of an index's documents."""
+    return docs.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
 
 
 def _is(term: str) -> Column:
@@ -101,23 +83,23 @@ def _is(term: str) -> Column:
 
 
 def hits(posted: DataFrame, p: Phrase) -> DataFrame:
-    """table, id, tf: how often each document has a phrase."""
+    """table, id, tf: how often each document has a phrase, within one column of one row."""
     rows = posted.where(reduce(Column.__or__, map(_is, p.terms)))
     rows = rows.where(F.col("col") == p.column) if p.column else rows
+    place = ["table", "id", "row", "col"]
     if p.near is None and len(p.terms) == 1:
         n = F.size(F.filter("places", lambda x: x == 0)) if p.first else F.size("places")
         found = rows.groupBy("table", "id").agg(F.sum(n).cast("long").alias("tf"))
     elif p.near is None:
-        each = reduce(DataFrame.unionByName, (rows.where(_is(t)).select("table", "id", "col", F.explode(F.transform("places", lambda x: x - k)).alias("start"), F.lit(k).alias("k")) for k, t in enumerate(p.terms)))  # noqa: B023
-        whole = each.distinct().groupBy("table", "id", "col", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(p.terms))
+        each = reduce(DataFrame.unionByName, (rows.where(_is(t)).select(*place, F.explode(F.transform("places", lambda x: x - k)).alias("start")) for k, t in enumerate(p.terms)))  # noqa: B023
+        whole = each.groupBy(*place, "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(p.terms))
         found = (whole.where("start = 0") if p.first else whole).groupBy("table", "id").agg(F.count(F.lit(1)).alias("tf"))
     else:
-        of = lambda t: F.flatten(F.collect_list(F.when(_is(t), F.col("places")))).alias(f"p_{t}")
-        wide = rows.groupBy("table", "id", "col").agg(*map(of, p.terms))
+        names = [f"p_{k}" for k in range(len(p.terms))]
+        wide = rows.groupBy(*place).agg(*[F.flatten(F.collect_list(F.when(_is(t), F.col("places")))).alias(n) for t, n in zip(p.terms, names, strict=True)])
         reach = p.near + len(p.terms) - 1
-        within = lambda x, t: F.exists(F.col(f"p_{t}"), lambda y: (y >= x) & (y <= x + reach))
-        begins = F.array_distinct(F.concat(*[F.col(f"p_{t}") for t in p.terms]))
-        close = F.size(F.filter(begins, lambda x: reduce(Column.__and__, (within(x, t) for t in p.terms))))
+        within = lambda x, n: F.exists(F.col(n), lambda y: (y >= x) & (y <= x + reach))
+        close = F.size(F.filter(F.array_distinct(F.concat(*names)), lambda x: reduce(Column.__and__, (within(x, n) for n in names))))
         found = wide.select("table", "id", close.alias("n")).groupBy("table", "id").agg(F.sum("n").cast("long").alias("tf"))
     return found.where("tf > 0")
 
@@ -125,22 +107,24 @@ def hits(posted: DataFrame, p: Phrase) -> DataFrame:
 class SearchIndex:
     """Postings, documents and meta of an index, as tables."""
 
-    def __init__(self, posted: DataFrame, docs: DataFrame, columns: set[str], meta: DataFrame | None = None):
-        self.posted, self.docs, self.columns, self.meta = posted, docs, columns, meta
+    def __init__(self, posted: DataFrame, docs: DataFrame, columns: set[str], stats: DataFrame, meta: DataFrame | None = None, names: set[str] | None = None):
+        self.posted, self.docs, self.columns, self.stats, self.meta, self.names = posted, docs, columns, stats, meta, names
 
     @classmethod
     def of(cls, tables: dict[str, tuple[DataFrame, str, tuple[str, ...]]]) -> SearchIndex:
         """An index that is not stored, of tables (rows, key, searched columns) by name."""
         docs = reduce(DataFrame.unionByName, (documents(df, name, key, columns) for name, (df, key, columns) in tables.items()))
-        return cls(postings(docs), lengths(docs), {c for _, _, cs in tables.values() for c in cs})
+        sized = lengths(docs)
+        return cls(postings(docs), sized, {c for _, _, cs in tables.values() for c in cs}, statistics(sized), names=set(tables))
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, tables: dict[str, tuple[DataFrame, str, tuple[str, ...]]], source: str = "", version: str = "1") -> SearchIndex:
         """Writes an index to folder, in place of one that is there."""
         made = cls.of(tables)
-        made.posted.repartitionByRange("table", "term").sortWithinPartitions("table", "term").write.mode("overwrite").parquet(f"{folder}/postings")
+        made.posted.repartitionByRange("table", "term", "id").sortWithinPartitions("table", "term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
         made.docs.write.mode("overwrite").partitionBy("table").parquet(f"{folder}/documents")
-        rows = [("source", source), ("version", version), *(("column", c) for c in sorted(made.columns))]
+        statistics(spark.read.parquet(f"{folder}/documents").select("table", "id", "len")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
+        rows = [*(("table", t) for t in sorted(tables)), ("source", source), ("version", version), *(("column", c) for c in sorted(made.columns))]
         meta = spark.createDataFrame(rows, "key string, value string").unionByName(spark.range(1).select(F.lit("indexed_at").alias("key"), F.current_timestamp().cast("string").alias("value")))
         meta.write.mode("overwrite").parquet(f"{folder}/meta")
         return cls.open(spark, folder)
@@ -148,29 +132,24 @@ class SearchIndex:
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> SearchIndex:
         """Fails where there is no index."""
-        posted, docs, meta = (spark.read.parquet(f"{folder}/{x}") for x in ("postings", "documents", "meta"))
-        return cls(posted, docs.select("table", "id", "len", "snippet"), {r["value"] for r in meta.where("key = 'column'").collect()}, meta)
+        posted, docs, meta, stats = (spark.read.parquet(f"{folder}/{x}") for x in ("postings", "documents", "meta", "statistics"))
+        known = meta.where("key in ('column', 'table')").collect()
+        of = lambda kind: {r["value"] for r in known if r["key"] == kind}
+        return cls(posted, docs.select("table", "id", "len", "snippet"), of("column"), stats, meta, of("table"))
 
     def query(self, text: str, limit: int | None = 50, tables: set[str] | None = None) -> DataFrame:
         """table, id, score, snippet: best first; without a table in the query each brings at most a share of limit."""
-        known = tables or {r["table"] for r in self.docs.select("table").distinct().collect()}
-        q = parse(text, known, self.columns)
-        docs = self.docs.where(F.col("table") == q.table) if q.table else self.docs
-        posted = self.posted.where(F.col("table") == q.table) if q.table else self.posted
-        stats = docs.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-        scored = [*q.must, *q.either]
-        parts = [hits(posted, p).withColumn("p", F.lit(k)) for k, p in enumerate(scored)]
-        each = reduce(DataFrame.unionByName, parts)
+        q = parse(text, tables or self.names, self.columns)
+        of = lambda df: df.where(F.col("table") == q.table) if q.table else df
+        posted, docs, stats = of(self.posted), of(self.docs), of(self.stats)
+        each = reduce(DataFrame.unionByName, [hits(posted, p).withColumn("p", F.lit(k)) for k, p in enumerate(q.phrases)])
         spread = each.groupBy("table", "p").agg(F.count(F.lit(1)).alias("df"))
         idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
         told = each.join(F.broadcast(spread.join(stats, "table").select("table", "p", idf.alias("idf"), "avg")), ["table", "p"]).join(docs, ["table", "id"])
         one = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-        need, any_ = len(q.must), F.count_if(F.col("p") >= len(q.must))
-        found = told.groupBy("table", "id").agg(F.sum(one).alias("score"), F.count_if(F.col("p") < need).alias("all"), any_.alias("any"), F.first("snippet").alias("snippet"))
-        found = found.where((F.col("all") == need) & ((F.col("any") > 0) if q.either else F.lit(True)))
-        for p in q.without:
-            found = found.join(hits(posted, p).select("table", "id"), ["table", "id"], "left_anti")
-        found = found.select("table", "id", "score", "snippet")
+        has = [F.max(F.col("p") == k).alias(f"has_{k}") for k in range(len(q.phrases))]
+        found = told.groupBy("table", "id").agg(F.sum(F.when(F.col("p") < len(q.wanted), one)).alias("score"), F.first("snippet").alias("snippet"), *has)
+        found = found.where(q.holds(lambda k: F.col(f"has_{k}"))).select("table", "id", "score", "snippet")
         if limit is None:
             return found
         order = [F.col("score").desc(), "table", "id"]

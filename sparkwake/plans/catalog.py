@@ -227,7 +227,7 @@ def creds_regex(spark, sf_dir):
     return text.credentials(_table(spark, sf_dir, "documents").select("doc_id", F.concat("text", splice).alias("text")), "doc_id")
 
 
-_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_TOKENS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"
 
 
 def _bm25(terms: list[str], table: str, key: str) -> str:
@@ -245,7 +245,7 @@ def bm25_search(spark, sf_dir):
 @query(_bm25(["the", "of"], "benchmark", "item_id"))
 def scoped_search(spark, sf_dir):
     q = search.parse("benchmark: the of", {"benchmark", "documents"})
-    return search.search(_table(spark, sf_dir, q.scope), q, "item_id", limit=None).withColumn("score", F.round("score", 6))
+    return search.search(_table(spark, sf_dir, q.table), q, "item_id", limit=None).withColumn("score", F.round("score", 6))
 
 
 _PHRASE = "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))"

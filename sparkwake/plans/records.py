@@ -383,7 +383,7 @@ def _index(spark: SparkSession, sf_dir: str) -> index.SearchIndex:
     return index.SearchIndex.of({"documents": (_table(spark, sf_dir, "documents"), "doc_id", ("lang", "text")), "pages": (_table(spark, sf_dir, "pages"), "page_id", ("url", "html"))})
 
 
-_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+_TOKENS = "regexp_extract_all(lower(strip_accents(coalesce({0}, ''))), '[\\p{{L}}\\p{{N}}]+')"
 #: Documents of both tables as lists of terms by column.
 _WORDS = "w AS (SELECT 'documents' AS t, doc_id::varchar AS id, " + _TOKENS.format("lang") + " AS a, " + _TOKENS.format("text") + " AS b FROM documents UNION ALL SELECT 'pages', page_id::varchar, " + _TOKENS.format("url") + ", " + _TOKENS.format("html") + " FROM pages)"
 
@@ -419,6 +419,54 @@ def index_column(spark, sf_dir):
     return _index(spark, sf_dir).query("documents: lang:en", None).select("table", "id", F.round("score", 6).alias("score"))
 
 
+_THE, _EXAMPLE, _OF, _CAFE = (_count(t, "a", "b") for t in ("the", "example", "of", "fur"))
+
+
+def _asked(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return _index(spark, sf_dir).query(text, None).select("table", "id", F.round("score", 6).alias("score"))
+
+
+@query(_ranked_sql([_THE, _EXAMPLE, _OF], "f0 > 0 OR (f1 > 0 AND f2 > 0)"))
+def index_or(spark, sf_dir):
+    return _asked(spark, sf_dir, "the OR example of")
+
+
+@query(_ranked_sql([_THE, _EXAMPLE, _OF], "(f0 > 0 AND f1 > 0) OR f2 > 0"))
+def index_and_or(spark, sf_dir):
+    return _asked(spark, sf_dir, "the example OR of")
+
+
+@query(_ranked_sql([_THE, _EXAMPLE, _OF], "(f0 > 0 OR f1 > 0) AND f2 > 0"))
+def index_parentheses(spark, sf_dir):
+    return _asked(spark, sf_dir, "(the OR example) of")
+
+
+@query(f"WITH {_WORDS}, x AS (SELECT t, id FROM w WHERE {_THE} > 0 AND {_EXAMPLE} > 0) SELECT s.* FROM (" + _ranked_sql([_OF], "f0 > 0") + ") s LEFT JOIN x ON x.t = s.\"table\" AND x.id = s.id WHERE x.id IS NULL")
+def index_not(spark, sf_dir):
+    return _asked(spark, sf_dir, "of NOT (the example)")
+
+
+@query(_ranked_sql([_CAFE], "f0 > 0"))
+def index_folded(spark, sf_dir):
+    """Marks on letters don't matter, in the text or in the query."""
+    return _asked(spark, sf_dir, "F\u00dcR")
+
+
+@query("SELECT \"table\", id, score FROM (SELECT *, row_number() OVER (PARTITION BY \"table\" ORDER BY score DESC, id) AS r FROM (" + _ranked_sql([_THE], "f0 > 0").replace("round(", "(").replace(", 6) AS score", ") AS score") + ")) WHERE r <= 5 ORDER BY score DESC, \"table\", id LIMIT 30")
+def index_best(spark, sf_dir):
+    """The best thirty, of each table its share."""
+    return _index(spark, sf_dir).query("the", 30).select("table", "id", "score")
+
+
+@query("""WITH n AS (SELECT DISTINCT user_id, 'h' || (event_id % 3) || '.' || event_type || (user_id % 20) || '.example' AS name FROM events) SELECT DISTINCT user_id::varchar AS id FROM n WHERE name LIKE 'h1.view%'""")
+def index_rows(spark, sf_dir):
+    """A phrase within one name of a host that asked for many: rows that share a key don't run into each other."""
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").distinct()
+    name = F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string"), F.lit("."), F.col("event_type"), (F.col("user_id") % 20).cast("string"), F.lit(".example"))
+    rows = e.select("user_id", name.alias("name")).distinct()
+    return index.SearchIndex.of({"dns": (rows, "user_id", ("name",))}).query("dns: h1.view*", None).select("id")
+
+
 @query("SELECT doc_id::varchar AS id, 'lang=' || lang || CASE WHEN length(text) > 120 THEN ' | text=' || substr(text, 1, 120) || '...' WHEN text <> '' THEN ' | text=' || text ELSE '' END AS snippet FROM documents")
 def index_snippets(spark, sf_dir):
     return index.documents(_table(spark, sf_dir, "documents"), "documents", "doc_id", ("lang", "text")).select("id", "snippet")

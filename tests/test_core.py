@@ -10,12 +10,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwake.functions import codec, net, text
-from sparkwake.operators import case, detect, dissect, export, flows, reassembly, rules, search
+from sparkwake.operators import case, detect, dissect, export, flows, index, reassembly, rules, search
 from sparkwake.sources import capture
 from sparkwake.streaming import alerts
 
 SF = "/root/testdata/sf0.001"
-RECORDS = ["capture_decode", "capture_bounds", "packet_flows", "datagram_order", "stream_reassembly", "ftp_sessions", "smtp_sessions", "ssh_sessions", "telnet_sessions", "dhcp_leases", "smb_sessions", "icmp_messages", "tls_hellos", "dns_parse", "protocol_guess", "mime_magic", "http_artifacts", "credential_harvest", "findings_described", "ioc_union", "host_names", "timeline_case", "summary_case", "index_search", "index_phrase", "output_formats", "scalar_names", "decode_chains"]
+RECORDS = ["capture_decode", "capture_bounds", "packet_flows", "datagram_order", "stream_reassembly", "ftp_sessions", "smtp_sessions", "ssh_sessions", "telnet_sessions", "dhcp_leases", "smb_sessions", "icmp_messages", "tls_hellos", "dns_parse", "protocol_guess", "mime_magic", "http_artifacts", "credential_harvest", "findings_described", "ioc_union", "host_names", "timeline_case", "summary_case", "index_search", "index_phrase", "output_formats", "scalar_names", "decode_chains", "flows_oriented", "findings_on_roles", "evidence_packets", "http_times", "protocol_rules", "index_or", "index_not", "index_parentheses", "index_rows"]
 
 
 def tcp(src, dst, sp, dp, seq, flags, payload=b"", vlan=None):
@@ -284,6 +284,30 @@ def test_search(spark):
         search.parse("  ", set())
 
 
+def test_query_trees():
+    def shown(node):
+        return " ".join(node.terms) if isinstance(node, search.Phrase) else f"{node.kind}({', '.join(map(shown, node.parts))})"
+
+    for text, tree in (
+        ("a b", "and(a, b)"), ("a OR b c", "or(a, and(b, c))"), ("a b OR c", "or(and(a, b), c)"), ("(a OR b) c", "and(or(a, b), c)"), ("a NOT (b c)", "not(a, and(b, c))"), ("a NOT b c", "not(a, and(b, c))"), ("a NOT b NOT c", "not(not(a, b), c)"),
+        ("a AND b OR c AND d", "or(and(a, b), and(c, d))"), ("a OR b NOT c", "or(a, not(b, c))"), ("((a))", "a"), ('"a b" c*', "and(a b, c*)"), ("evil.com", "evil com"), ("Caf\u00e9", "cafe"), ("not or", "and(not, or)"), ("x:y", "x y"), ("!!! a", "a"),
+    ):
+        assert shown(search.parse(text).tree) == tree, text
+    q = search.parse("creds: user:bob NOT ^admin", {"credentials"}, {"user"})
+    assert q.table == "credentials" and q.wanted == [search.Phrase(("bob",), "user")] and q.unwanted == [search.Phrase(("admin",), None, True)]
+    assert search.parse("NEAR(a b, 3)").wanted == [search.Phrase(("a", "b"), near=3)]
+    for text in ("", "NOT a", "a OR", "OR a", "a AND AND b", "(a", "a)", "()", "NOT", "!!!"):
+        with pytest.raises(ValueError):
+            search.parse(text)
+
+
+def test_rows_that_share_a_key(spark):
+    dns = spark.createDataFrame([("f", "evil.com"), ("f", "mail.org"), ("g", "evil.org")], "flow_id string, name string")
+    made = index.SearchIndex.of({"dns": (dns, "flow_id", ("name",))})
+    assert [r.id for r in made.query("dns: evil.org").collect()] == ["g"]
+    assert sorted(r.id for r in made.query("dns: evil mail OR evil.org").collect()) == ["f", "g"]
+
+
 def test_stream_alerts(spark, tmp_path):
     spark.createDataFrame([("flag{x}",), ("none",)], "text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("text string").parquet(str(tmp_path / "in"))
@@ -296,12 +320,12 @@ def test_stream_alerts(spark, tmp_path):
 def test_against_sql(spark, name):
     import duckdb
 
-    from sparkwake.plans import catalog, records
+    from sparkwake.plans import catalog, records, wire
 
     con = duckdb.connect()
     for t in ("events", "documents", "pages", "benchmark", "orders", "lineitem", "nation"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    known, sql = (catalog.QUERIES | records.QUERIES)[name], (catalog.ORACLE_SQL | records.ORACLE_SQL)[name]
+    known, sql = (catalog.QUERIES | records.QUERIES | wire.QUERIES)[name], (catalog.ORACLE_SQL | records.ORACLE_SQL | wire.ORACLE_SQL)[name]
     a, b = known(spark, SF).toArrow().to_pylist(), con.execute(sql).to_arrow_table().to_pylist()
 
     def plain(v):
