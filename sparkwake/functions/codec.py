@@ -10,9 +10,12 @@ from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwake.functions.text import entropy_of
+
 MAX_OUTPUT = 16 << 20
 _PRINTABLE = np.zeros(256, bool)
 _PRINTABLE[32:127] = True
@@ -204,12 +207,7 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("double")
     def entropy(text: pd.Series) -> pd.Series:
-        def one(t):
-            n = np.bincount(np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8))
-            p = n[n > 0] / max(1, n.sum())
-            return float(-(p * np.log2(p)).sum()) + 0.0
-
-        return text.map(one)
+        return pd.Series(entropy_of(pa.array([(t or "").encode("utf-8", "replace") for t in text], pa.large_binary())))
 
     @F.pandas_udf("boolean")
     def generated(name: pd.Series) -> pd.Series:

@@ -1,7 +1,11 @@
-"""Sweeps of text for URLs, addresses, blobs, flags and credentials, in built-in functions."""
+"""Sweeps of text for URLs, addresses, blobs, flags and credentials in built-in functions, and the entropy of bytes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +49,27 @@ def credentials(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(F.flatten(each))).alias("c")).select(key, "c.kind", "c.value")
 
 
+def entropy_of(data: pa.Array) -> np.ndarray:
+    """Shannon entropy in bits of each binary value, 0 for those without bytes: one count over a value's bytes."""
+    out = np.zeros(len(data))
+    ends, raw = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1], np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    for k in range(len(data)):
+        if ends[k + 1] > ends[k]:
+            n = np.bincount(raw[ends[k] : ends[k + 1]], minlength=256)
+            n = n[n > 0]
+            out[k] = np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()
+    return out
+
+
 def byte_entropy(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, entropy: Shannon entropy in bits of a text's bytes, for every row; rows without bytes have 0.
-
-    Each byte value's count is the number of characters that go when it is taken out of the text read as Latin-1.
-    """
-    data = F.decode(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), "ISO-8859-1")
-    size = F.char_length(data)
-    kinds = F.array_distinct(F.split(data, ""))
-    counts = F.filter(F.transform(kinds, lambda c: size - F.char_length(F.replace(data, c, F.lit("")))), lambda n: n > 0)
-    total = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * F.log2(n.cast("double")))
-    return df.select(key, F.when(size > 0, F.log2(size.cast("double")) - total / size).otherwise(0.0).alias("entropy"))
+    """key, entropy: Shannon entropy in bits of a text's bytes, for every row; rows without bytes have 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(entropy_of(b.column(1).cast(pa.large_binary())))], names=[key, "entropy"])
+
+    rows = df.select(key, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes_"))
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, entropy double")
 
 
 def rot13(text: Column) -> Column:

@@ -368,11 +368,11 @@ def statistics_case(spark, sf_dir):
 
 
 @query(f"""WITH {FLOWS}, {FOUND}, c AS (SELECT *, CASE rule {_cases(0)} END AS category, CASE rule {_cases(1)} END AS attack FROM found), n AS (SELECT count(*) AS n, count(*) FILTER (severity = 'Critical') AS c, count(*) FILTER (severity = 'High') AS h, count(*) FILTER (severity = 'Medium') AS m, count(*) FILTER (category = 'Exfiltration') AS x, count(*) FILTER (category = 'C2Communication') AS z, string_agg(DISTINCT subject, ', ' ORDER BY subject) FILTER (category = 'ClearTextProtocol') AS t FROM c)
-SELECT concat_ws(' ', 'This capture (test) contains ' || (SELECT count(*) FROM flows) || ' flows (' || (SELECT count(*) FROM flows) || ' TCP, 0 UDP) over ' || (SELECT printf('%.1f', (max(ts_us) - min(ts_us)) / 1000000) FROM flows) || ' seconds.', (SELECT i || ' internal and ' || e || ' external unique IP addresses were observed.' FROM {_ADDRESSES}),
-(SELECT 'Application protocols detected: ' || string_agg(app || ' (' || n || ')', ', ' ORDER BY n DESC, app) || '.' FROM (SELECT coalesce(app, 'Unknown') AS app, count(*) AS n FROM flows GROUP BY 1 ORDER BY n DESC, app LIMIT 4)),
-CASE WHEN c + h + m > 0 THEN 'Detection engine produced ' || n || ' findings: ' || concat_ws(', ', CASE WHEN c > 0 THEN c || ' critical' END, CASE WHEN h > 0 THEN h || ' high' END, CASE WHEN m > 0 THEN m || ' medium' END) || '.' END,
-CASE WHEN x > 0 THEN 'DATA EXFILTRATION INDICATORS: ' || x || ' finding(s) suggest potential data exfiltration.' END, CASE WHEN z > 0 THEN 'C2 INDICATORS: ' || z || ' finding(s) suggest potential command-and-control activity.' END, (SELECT count(*) || ' credential(s) harvested from network traffic (types: FtpLogin).' FROM nation),
-CASE WHEN t <> '' THEN 'WARNING: Cleartext protocol(s) detected: ' || t || '. Credentials and data transmitted in plaintext.' END, (SELECT 'MITRE ATT&CK coverage: ' || string_agg(DISTINCT split_part(a, '.', 1), ', ' ORDER BY split_part(a, '.', 1)) || '.' FROM (SELECT unnest(attack) AS a FROM c))) AS summary FROM n""")
+SELECT concat_ws(' ', 'test: ' || (SELECT count(*) FROM flows) || ' conversations, ' || (SELECT count(*) FROM flows) || ' over TCP and 0 over UDP; first to last start ' || (SELECT printf('%.1f', (max(ts_us) - min(ts_us)) / 1000000) FROM flows) || ' s.', (SELECT 'Hosts seen: ' || i || ' inside, ' || e || ' outside.' FROM {_ADDRESSES}),
+(SELECT 'Mostly ' || string_agg(app || ' (' || n || ')', ', ' ORDER BY n DESC, app) || '.' FROM (SELECT coalesce(app, 'Unknown') AS app, count(*) AS n FROM flows GROUP BY 1 ORDER BY n DESC, app LIMIT 4)),
+CASE WHEN c + h + m > 0 THEN 'Rules hit ' || n || ' times, of these ' || concat_ws(', ', CASE WHEN c > 0 THEN c || ' critical' END, CASE WHEN h > 0 THEN h || ' high' END, CASE WHEN m > 0 THEN m || ' medium' END) || '.' END,
+CASE WHEN x > 0 THEN 'Data may have left the network: ' || x || ' hits.' END, CASE WHEN z > 0 THEN 'Hosts may be under remote control: ' || z || ' hits.' END, (SELECT 'Credentials in the open: ' || count(*) || ' (FtpLogin).' FROM nation),
+CASE WHEN t <> '' THEN 'Anyone on the path could read: ' || t || '.' END, (SELECT 'Techniques: ' || string_agg(DISTINCT split_part(a, '.', 1), ', ' ORDER BY split_part(a, '.', 1)) || '.' FROM (SELECT unnest(attack) AS a FROM c))) AS summary FROM n""")
 def summary_case(spark, sf_dir):
     f = flows(spark, sf_dir)
     secrets = carve.harvest(ftp=dissect.ftp_sessions(_talk(spark, sf_dir, _wire("USER ", _name(), "\r\nPASS pw", _key(), "\r\n"), F.lit(b""))))

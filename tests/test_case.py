@@ -39,7 +39,7 @@ def test_tables(found):
     assert rules["flag"].evidence == ["flag{one}"] and rules["flag"].category == "CtfFlag" and rules["flag"].attack == ["T1020"]
     assert {r.kind for r in found["indicators"].collect()} == {"IpAddress", "Url", "UserAgent", "FileHash"}
     text = found["summary"].first().summary
-    assert text.startswith("This capture (capture) contains 2 flows (2 TCP, 0 UDP) totaling 7 packets") and "credential(s) harvested" in text
+    assert text.startswith("capture: 2 conversations, 2 over TCP and 0 over UDP, in 7 packets") and "Credentials in the open" in text
     assert found["timeline"].where("kind = 'credential_harvested'").count() == found["credentials"].count()
     assert case.ranked(found["findings"]).first().severity == "Critical"
 
