@@ -62,22 +62,14 @@ def parted(rows: DataFrame, timeout: str) -> DataFrame:
     return rows.withColumn("flow_id", F.concat_ws("-", "flow_id", F.col("part") + F.col("ahead"))).drop("gap", "part", "ahead")
 
 
-def flows(packets: DataFrame, timeout: str | None = None) -> DataFrame:
-    """One row per conversation (canonical endpoints and transport); with a timeout a silence parts a conversation.
-
-    The first and last packets are those in order of place, over all files. Counts and bytes are per direction: forward
-    is from the lower endpoint. The client is the sender of a SYN before any data, else of the first data; null if
-    there is neither.
-    """
-    rows = keyed(placed(packets))
-    if timeout:
-        rows = parted(rows, timeout)
+def _summed(grouped) -> DataFrame:
+    """The columns of a flow from its packets, for batches and streams alike."""
     syn = F.coalesce(F.col("flags").bitwiseAND(F.lit(0x12)) == 0x02, F.lit(False))
     answer = F.coalesce(F.col("flags").bitwiseAND(F.lit(0x12)) == 0x12, F.lit(False))
     data, at, forward = F.length("payload") > 0, place(), F.col("forward")
     first = lambda which: F.min(F.when(which, F.struct(*PLACE, "forward")))
     side = lambda which, what: F.sum(F.when(which, what).otherwise(0))
-    out = rows.groupBy("flow_id", "protocol", "lo_port", "hi_port").agg(
+    out = grouped.agg(
         F.min("lo_ip").alias("lo_ip"), F.min("hi_ip").alias("hi_ip"), F.min_by("ts", at).alias("start"), F.max_by("ts", at).alias("last"),
         F.count_if("forward").alias("fwd_packets"), F.count_if(~forward).alias("rev_packets"), side(forward, F.col("caplen")).alias("fwd_bytes"), side(~forward, F.col("caplen")).alias("rev_bytes"),
         F.count_if(syn).alias("syns"), first(syn).alias("syn"), first(data & ~syn).alias("data"), first(answer).alias("answer"), first(F.lit(True)).alias("any"),
@@ -90,6 +82,31 @@ def flows(packets: DataFrame, timeout: str | None = None) -> DataFrame:
     return out.withColumn("duration_us", duration).withColumn("incomplete", (F.col("protocol") == "tcp") & (F.col("syns") == 0)).drop("syn", "data", "answer", "any")
 
 
+FLOW = ("flow_id", "protocol", "lo_port", "hi_port")
+
+
+def flows(packets: DataFrame, timeout: str | None = None) -> DataFrame:
+    """One row per conversation (canonical endpoints and transport); with a timeout a silence parts a conversation.
+
+    The first and last packets are those in order of place, over all files. Counts and bytes are per direction: forward
+    is from the lower endpoint. The client is the sender of a SYN before any data, else of the first data; null if
+    there is neither.
+    """
+    rows = keyed(placed(packets))
+    return _summed((parted(rows, timeout) if timeout else rows).groupBy(*FLOW))
+
+
+def flow_stream(packets: DataFrame, silence: str = "120 seconds", late: str = "10 minutes") -> DataFrame:
+    """The same over a stream of packets: a conversation comes out once it was silent for `silence`, with all its columns.
+
+    A session of event time is the state: one row of sums for each open conversation, dropped when the watermark (`late`
+    behind the latest packet) passes its end. Packets later than that are left out. flow_id ends in the session's start.
+    """
+    rows = keyed(placed(packets.withColumn("ts", F.col("ts").cast("timestamp")))).withWatermark("ts", late)
+    out = _summed(rows.groupBy(F.session_window("ts", silence).alias("session"), *FLOW))
+    return out.withColumn("flow_id", F.concat_ws("-", "flow_id", F.unix_micros("session.start"))).drop("session")
+
+
 def oriented(found: DataFrame) -> DataFrame:
     """Flows with roles beside the canonical endpoints: client and server address and port, packets and bytes each way.
 

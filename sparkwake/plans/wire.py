@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwake.functions.text import flags
-from sparkwake.operators import case, detect, dissect, flows as flow_ops, reassembly, rules
+from sparkwake.operators import case, detect, dissect, enrich, flows as flow_ops, reassembly, rules
 from sparkwake.plans.records import FOUND, _RANK
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,19 @@ def protocol_rules(spark, sf_dir):
     """Every rule over transactions, hellos and names, each with hits."""
     http, tls, dns = protocol_records(spark, sf_dir)
     return rules.default().findings(http=http, tls=tls, dns=dns)
+
+
+@query("""WITH a AS (SELECT event_id, user_id % 30 AS u, user_id % 7 AS m, event_id % 5 = 0 AS six FROM events)
+SELECT event_id, CASE WHEN six THEN '2001:db8:' || printf('%x', u) || '::' || printf('%x', event_id % 256) ELSE '10.' || u || '.' || m || '.' || (event_id % 256) END AS ip, CASE WHEN six THEN CASE WHEN u < 25 THEN 'v6 ' || u ELSE 'v6' END WHEN u >= 25 THEN 'all' WHEN m = u % 7 THEN 'lab ' || u ELSE 'site ' || u END AS label FROM a""")
+def ip_enrichment(spark, sf_dir):
+    """Addresses of both families in nested networks; the innermost names the place."""
+    e, i = _table(spark, sf_dir, "events").select("event_id", "user_id"), F.col("event_id")
+    text = lambda c: c.cast("string")
+    u, low = F.col("user_id") % 30, lambda c: F.lower(F.hex(c))
+    ip = F.when(i % 5 == 0, F.concat(F.lit("2001:0DB8:"), low(u), F.lit("::"), low(i % 256))).otherwise(F.concat(F.lit("10."), text(u), F.lit("."), text(F.col("user_id") % 7), F.lit("."), text(i % 256)))
+    n = F.col("n_nationkey")
+    named = lambda net, label: F.struct(net.alias("network"), label.alias("label"))
+    some = F.array(named(F.concat(F.lit("10."), text(n), F.lit(".0.0/16")), F.concat(F.lit("site "), text(n))), named(F.concat(F.lit("10."), text(n), F.lit("."), text(n % 7), F.lit(".0/24")), F.concat(F.lit("lab "), text(n))), named(F.concat(F.lit("2001:db8:"), low(n), F.lit("::/48")), F.concat(F.lit("v6 "), text(n))), named(F.lit("10.0.0.0/8"), F.lit("all")), named(F.lit("2001:db8::/32"), F.lit("v6")))
+    table = _table(spark, sf_dir, "nation").select(F.explode(some).alias("x")).select("x.*")
+    found = enrich.looked_up(e.select("event_id", ip.alias("ip")), table)
+    return found.select("event_id", F.replace("ip", F.lit("2001:0DB8"), F.lit("2001:db8")).alias("ip"), F.col("about.label").alias("label"))

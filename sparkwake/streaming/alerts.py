@@ -1,4 +1,4 @@
-"""Alerts on streams: rows whose text matches patterns, and conversations by silence."""
+"""Alerts on streams: rows whose text matches patterns; captures as streams, recording and progress."""
 
 from __future__ import annotations
 
@@ -17,12 +17,6 @@ def alerts(stream: DataFrame, patterns: list[str], text: str = "text") -> DataFr
     return stream.select("*", F.explode(hit).alias("pattern"))
 
 
-def sessions(stream: DataFrame, key: str, ts: str = "ts", gap: str = "120 seconds", late: str = "10 minutes") -> DataFrame:
-    """Flows by silence of `gap`, with a watermark for late rows."""
-    rows = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
-    return rows.groupBy(F.session_window("_t", gap).alias("session"), key).agg(F.count(F.lit(1)).alias("n"))
-
-
 def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there and returns what it wrote, for tests and batch replays."""
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -284,6 +284,54 @@ def test_search(spark):
         search.parse("  ", set())
 
 
+def test_longest_prefix(spark):
+    import ipaddress
+
+    from sparkwake.operators import enrich
+
+    rng = random.Random(8)
+    nets = ["0.0.0.0/0", "10.0.0.0/8", "10.1.0.0/16", "10.1.2.0/23", "10.1.2.3", "2001:db8::/32", "2001:db8:0:1::/64", "::ffff:10.0.0.0/104", "fe80::/10", "10.1.0.0/16"]
+    nets += [f"{rng.randrange(256)}.{rng.randrange(256)}.0.0/{rng.randrange(9, 17)}" for _ in range(60)]
+    nets = [str(ipaddress.ip_network(n, strict=False)) for n in nets] + ["nothing", "10.0.0.0/40", None]
+    ips = ["10.1.2.3", "10.1.2.4", "10.1.3.255", "10.1.4.0", "10.255.0.1", "11.0.0.1", "2001:db8::1", "2001:DB8:0:1:0::9", "fe80::1", "fec0::1", "::ffff:10.9.9.9", "::1", None, "10.1.2.3"] + [f"{rng.randrange(256)}.{rng.randrange(256)}.1.1" for _ in range(60)]
+    found = enrich.looked_up(spark.createDataFrame([(i,) for i in ips], "ip string"), spark.createDataFrame([(n, f"about {n}") for n in nets], "network string, name string"))
+    known = [ipaddress.ip_network(n) for n in nets if n not in ("nothing", "10.0.0.0/40", None)]
+    for r in found.collect():
+        address = r.ip and ipaddress.ip_address(r.ip)
+        inside = [n for n in known if address and n.version == address.version and address in n]
+        assert (r.about and r.about["network"]) == (str(max(inside, key=lambda n: n.prefixlen)) if inside else None), r.ip
+    assert found.count() == len(ips) and "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert enrich.looked_up(spark.createDataFrame([("1.1.1.1",)], "ip string"), spark.createDataFrame([], "network string")).first().about is None
+
+
+def test_flows_of_a_stream(spark, tmp_path):
+    """The closed conversations of a stream are those of the batch, also when packets come late; open ones stay."""
+    rng, rows = random.Random(6), []
+    for f in range(25):
+        at = rng.randrange(1000)
+        for _ in range(rng.randrange(1, 12)):
+            at += rng.choice((1, 5, 40, 130, 400))
+            back = rng.random() < 0.4
+            rows.append((at, f, back, rng.choice((2, 18, 24)), rng.choice((b"", b"data"))))
+    rows.sort()
+    packets = [("a", 0, k, at, *(("9.9.9.9", "10.0.0.1", 80, 1000 + f) if back else ("10.0.0.1", "9.9.9.9", 1000 + f, 80)), "tcp", flags_, data, 54) for k, (at, f, back, flags_, data) in enumerate(rows)]
+    schema = "path string, file_us long, offset long, ts long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, flags int, payload binary, caplen long"
+    own = spark.createDataFrame(packets, schema).withColumn("ts", F.timestamp_seconds("ts"))
+    folder, shuffled = str(tmp_path / "in"), list(range(len(packets)))
+    for part in range(4):  # each part's packets in any order: late within the watermark
+        some = shuffled[part * len(packets) // 4 : (part + 1) * len(packets) // 4]
+        rng.shuffle(some)
+        spark.createDataFrame([packets[k] for k in some], schema).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(folder)
+    end = spark.createDataFrame([("a", 0, 10**6, 10**6, "1.1.1.1", "2.2.2.2", 1, 2, "udp", None, b"", 1), ("a", 0, 10**6 + 1, 2 * 10**6, "1.1.1.1", "2.2.2.2", 1, 2, "udp", None, b"", 1)], schema).withColumn("ts", F.timestamp_seconds("ts"))
+    end.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = alerts.drain(flows.flow_stream(stream, "120 seconds", "5 hours"), "flows_of_a_stream", str(tmp_path / "cp"))
+    want = flows.flows(own, "120 seconds")
+    plain = lambda df: sorted((tuple(r) for r in df.where("protocol = 'tcp'").select(sorted(set(df.columns) - {"flow_id"})).collect()), key=str)
+    assert plain(got) == plain(want) and want.count() > 40
+    assert got.where("protocol = 'udp'").count() == 1
+
+
 def test_query_trees():
     def shown(node):
         return " ".join(node.terms) if isinstance(node, search.Phrase) else f"{node.kind}({', '.join(map(shown, node.parts))})"
