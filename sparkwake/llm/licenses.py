@@ -9,10 +9,11 @@ every half length, so a notice lies whole in one of them. Only places near an an
 words chosen from the templates such that the shingles without any anchor make up less than `percent` of each
 template: a text that holds a template so has an anchor, and others are passed over without loss.
 
-MinHash compares a window with a template through the template's shingles alone (a window's other shingles are
-left out, which makes the Jaccard similarity of the two sets the containment): `bands` bands of one value each. Two
-sets of similarity j agree in no band with probability (1 - j) ** bands; at 0.75 and 12 bands that is 6e-8. Windows
-and templates that agree in a band meet, and exact containment decides.
+MinHash compares a window's shingles with a template's: `BANDS` bands of one value each, over the shingles that any
+template has (others are in no template's set). A window that holds 75 in 100 of a template's n shingles, and at most
+one and a half times the template's words in all, has a Jaccard similarity of at least .75 n / (1.75 n + 3), or .28 for
+the shortest templates: 64 bands miss it with a probability of (1 - .28) ** 64, below one in a thousand million. Windows
+and templates meet by equality of (length, band, value), and exact containment of those that met decides.
 
 A place is the shortest run of words in a window that has all the shingles held there. Every place counts: of places
 of one licence that share half of the shorter one the fullest stays, and a place is dropped if half of it lies in a
@@ -46,7 +47,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 }
-WORDS, PERCENT, BANDS = 3, 75, 12
+WORDS, PERCENT, BANDS = 3, 75, 64
 _WORD = r"[a-z0-9]+(?:[.'][a-z0-9]+)*"
 
 
@@ -137,13 +138,14 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     number = F.floor(F.col("at") / F.col("half"))
     windows = windows.withColumn("window", F.explode(F.array(number, number - 1, number - 2))).where("window >= 0 or at < half")
     own = known.select("template", "license", "size", "span", F.explode("shingles").alias("shingle"))
-    # The part of a window's set within a template, so that Jaccard similarity to the template is containment.
-    cut = windows.join(F.broadcast(own), ["span", "shingle"])
-    key = ["text_key", "template", "license", "size", "window", "half"]
-    minima = [F.min(v).alias(f"b{k}") for k, v in enumerate(_values(F.col("shingle")))]
-    sketched = cut.groupBy(*key).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_list(F.struct("at", "shingle")).alias("hits"), *minima)
-    bands = own.groupBy("template").agg(*[F.min(v).alias(f"t{k}") for k, v in enumerate(_values(F.col("shingle")))])
-    met = sketched.join(F.broadcast(bands), "template").where(" or ".join(f"b{k} = t{k}" for k in range(BANDS))).withColumn("held", F.size(F.array_distinct(F.transform("hits", lambda x: x["shingle"]))))
+    # Sketches of windows meet those of templates; what a window holds of a template is counted where they met.
+    at = ["text_key", "span", "window"]
+    bands = lambda rows, *by: rows.groupBy(*by).agg(*[F.min(v).alias(f"b{k}") for k, v in enumerate(_values(F.col("shingle")))]).select(*by, F.posexplode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band", "value"))
+    own = known.select("template", "license", "size", "span", F.explode("shingles").alias("shingle"))
+    met = bands(windows, *at).join(F.broadcast(bands(own, "template", "span")), ["span", "band", "value"]).select(*at, "template").distinct()
+    cut = windows.join(met, at).join(F.broadcast(own.drop("span")), ["template", "shingle"])
+    key = ["text_key", "template", "license", "size", "window"]
+    met = cut.groupBy(*key).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_list(F.struct("at", "shingle")).alias("hits")).withColumn("held", F.size(F.array_distinct(F.transform("hits", lambda x: x["shingle"]))))
     good = met.where(F.col("held") * 100 >= F.col("size") * PERCENT)
     tight = F.when(F.size("hits") == F.col("held"), F.struct(F.col("first"), F.col("last"))).otherwise(_tightest())
     place = good.select("text_key", "license", F.floor(F.col("held") * 100 / F.col("size")).cast("int").alias("percent"), tight.alias("x"))
