@@ -11,9 +11,9 @@ The largest inner product is sought: vectors get one more component that gives a
 nearest by distance is the one with the largest inner product; scores are inner products of the original vectors
 in double precision, summed component by component, so that equal vectors tie wherever they lie.
 
-Every row is indexed. Vectors and queries are dealt to blocks by hash, all blocks of queries meet all blocks of
-vectors, and each meeting yields at most k rows a query, so no task holds more than a block of each, and no more
-than k rows a query and block are shuffled.
+Every row is indexed. Vectors are dealt to blocks by hash, each in one place only; a block's index is built once, and
+all queries stream past it, a batch at a time. So a task holds one block and one batch, queries are copied once for
+each block of vectors, and a block yields at most k rows a query.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, neither
 do rows with null ids; vectors are compared with those of equal length only; rows that share the query's id are no
@@ -23,6 +23,7 @@ candidates; repeated rows (id and vector) count once, as queries and as candidat
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import materialize
+from sparkwake.llm.common import materialize, tasks
 
 
 @dataclass
@@ -41,8 +42,8 @@ class Settings:
     threshold: float = 0.83  # share of the projections in whose windows a vector must fall
     first_radius: float = 0.6  # times the largest norm
     growth: float = 1.12
-    vectors: int = 16_384  # in a block
-    queries: int = 1_024  # in a block
+    vectors: int = 32_768  # in a block
+    queries: int = 1_024  # in a batch
     seed: int = 11
 
 
@@ -133,8 +134,8 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, fine) & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(t: pa.Table, name: str = "vector") -> np.ndarray:
-    column = t.column(name).combine_chunks()
+def _matrix(t: pa.RecordBatch, name: str = "vector") -> np.ndarray:
+    column = t.column(name)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -144,24 +145,37 @@ def nearest(queries: DataFrame, vectors: DataFrame, s: Settings | None = None, i
     take = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & _valid(F.col("vector"))).withColumn("dim", F.size("vector"))
     base, asked = (materialize(take(x).dropDuplicates(["id", "vector"]), "vectors") for x in (vectors, queries))
     figures = base.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("square"), F.count(F.lit(1)).alias("n")).first()
-    count = asked.count()
     norm = math.sqrt(figures["square"] or 1.0) * (1 + 1e-12)
-    parts, blocks = max(1, -(-figures["n"] // s.vectors)), max(1, -(-count // s.queries))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    base = base.withColumn("part", part(parts))
-    left = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def meet(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("verified", pa.int64())])
-        if not len(vs) or not len(qs):
-            return schema.empty_table()
-        ids, wanted = vs.column("id").to_numpy(), qs.column("id").to_numpy()
-        q, i, score, verified = Index(ids, _matrix(vs), norm, s).search(wanted, _matrix(qs))
-        return pa.table([wanted[q], qs.column("query_key").to_numpy()[q], i, score, np.full(len(q), verified)], schema=schema)
-
-    keys = ["dim", "part", "block"]
-    right = right.withColumn("query_key", F.xxhash64("vector"))
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, query_key long, vec_id long, score double, verified long")
+    parts = max(1, -(-figures["n"] // s.vectors))
+    own = ["dim", "part", "asks", "id", "vector"]
+    left = base.withColumns({"part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "asks": F.lit(False)}).select(*own)
+    right = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "asks": F.lit(True)}).select(*own)
+    # Each block's vectors come before its queries.
+    dealt = left.unionByName(right).withColumn("query_key", F.when(F.col("asks"), F.xxhash64("vector"))).repartition(max(parts, tasks(base.sparkSession)), "dim", "part").sortWithinPartitions("dim", "part", "asks")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, key, held, index = ["query_id", "query_key", "vec_id", "score"], None, [], None
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "part", "asks")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1), b.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                t, now, asks = b.slice(low, high - low), tuple(marks[:2, low]), marks[2, low]
+                if now != key:
+                    key, held, index = now, [], None
+                if not asks:
+                    held.append((t.column("id").to_numpy(), _matrix(t)))
+                elif held or index:
+                    if index is None:
+                        ids, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+                        index, held = Index(ids, rows, norm, s), []
+                    for k in range(0, t.num_rows, s.queries):
+                        some = t.slice(k, s.queries)
+                        wanted = some.column("id").to_numpy()
+                        q, i, score, _ = index.search(wanted, _matrix(some))
+                        yield pa.RecordBatch.from_arrays([pa.array(wanted[q]), pa.array(some.column("query_key").to_numpy()[q]), pa.array(i), pa.array(score)], names=names)
+
+    found = dealt.mapInArrow(meet, "query_id long, query_key long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
