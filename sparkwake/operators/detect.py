@@ -115,6 +115,12 @@ def hosts(flows: DataFrame) -> DataFrame:
     return rows.groupBy("ip").agg(F.sum("sent").alias("sent"), F.sum("got").alias("received"), F.count(F.lit(1)).alias("n_flows"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.array_join(F.array_sort(F.collect_set("app")), ",").alias("services"))
 
 
+def services(flows: DataFrame) -> DataFrame:
+    """ip, port, protocol, app, n_flows, clients: what each address serves, a row a service."""
+    own = flows.groupBy(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"), "protocol", "app")
+    return own.agg(F.count(F.lit(1)).alias("n_flows"), F.countDistinct("src_ip").alias("clients"))
+
+
 def dns_volume(records: DataFrame, over: int = 10) -> DataFrame:
     t = records.groupBy(root_domain(F.col("name")).alias("root")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rcode") == 3).alias("nxdomain"))
     return t.withColumn("hit", F.col("n") > over)

@@ -209,93 +209,6 @@ def tls_hello(data: bytes) -> dict | None:
 TLS_VERSIONS = {0x0002: "SSL 2.0", 0x0300: "SSL 3.0", 0x0301: "TLS 1.0", 0x0302: "TLS 1.1", 0x0303: "TLS 1.2", 0x0304: "TLS 1.3"}
 
 
-def ftp(lines: list[str]) -> dict:
-    out = {"username": None, "password": None, "files": [], "auth_tls": False, "passive": False, "data_ports": []}
-    for line in lines:
-        word, _, rest = line.strip().partition(" ")
-        word = word.upper()
-        if word == "USER":
-            out["username"] = rest
-        elif word == "PASS":
-            out["password"] = rest
-        elif word in ("RETR", "STOR", "STOU", "APPE"):
-            out["files"].append(rest)
-        elif word == "AUTH" and rest.upper() in ("TLS", "SSL"):
-            out["auth_tls"] = True
-        elif word in ("PASV", "EPSV"):
-            out["passive"] = True
-        if (word in ("227", "PORT")) and (m := re.search(r"(\d+),(\d+),(\d+),(\d+),(\d+),(\d+)", rest)):
-            out["data_ports"].append(int(m[5]) * 256 + int(m[6]))
-        elif word in ("229", "EPRT") and (m := re.search(r"\|(\d+)\|\)?$", rest.strip())):
-            out["data_ports"].append(int(m[1]))
-    return out
-
-
-def smtp(lines: list[str]) -> dict:
-    out = {"helo": None, "mail_from": None, "rcpt_to": [], "username": None, "password": None, "subject": None, "body": ""}
-    body, login, in_data = [], 0, False
-    plain = lambda x: _text(base64.b64decode(x + "=" * (-len(x) % 4), validate=False))
-    for raw in lines:
-        line = raw.rstrip("\r\n")
-        up = line.upper()
-        try:
-            if in_data:
-                if line == ".":
-                    in_data = False
-                else:
-                    body.append(line)
-                    if up.startswith("SUBJECT:") and out["subject"] is None:
-                        out["subject"] = line[8:].strip()
-            elif login:
-                out["username" if login == 1 else "password"] = plain(line)
-                login = (login + 1) % 3
-            elif up.startswith(("EHLO ", "HELO ")):
-                out["helo"] = line[5:].strip()
-            elif up.startswith("MAIL FROM:"):
-                out["mail_from"] = line[10:].strip().strip("<>")
-            elif up.startswith("RCPT TO:"):
-                out["rcpt_to"].append(line[8:].strip().strip("<>"))
-            elif up == "AUTH LOGIN":
-                login = 1
-            elif up.startswith("AUTH PLAIN "):
-                _, out["username"], out["password"] = (plain(line[11:].strip()).split("\0") + ["", "", ""])[:3]
-            elif up == "DATA":
-                in_data = True
-        except ValueError:
-            login = 0
-    return out | {"body": "\n".join(body)}
-
-
-def ssh_banner(data: bytes) -> dict | None:
-    line = data.split(b"\n", 1)[0].rstrip(b"\r")
-    parts = _text(line).split("-", 2)
-    return {"banner": _text(line), "protocol": parts[1], "software": (parts[2].split() or [""])[0]} if line.startswith(b"SSH-") and len(parts) == 3 else None
-
-
-def ssh_offer(data: bytes) -> list[list[str]]:
-    """The name lists of the key exchange message that follows the banner; none if there is none."""
-    at = data.find(b"\n") + 1
-    if data[at + 5 : at + 6] != b"\x14":
-        return []
-    at, out = at + 22, []  # length, padding, kind and cookie
-    while len(out) < 10 and at + 4 <= len(data):
-        n = struct.unpack_from(">I", data, at)[0]
-        if at + 4 + n > len(data):
-            break
-        out.append(_text(data[at + 4 : at + 4 + n]).split(",") if n else [])
-        at += 4 + n
-    return out
-
-
-def ssh(client: bytes, server: bytes) -> list[dict]:
-    a, b = ssh_banner(client), ssh_banner(server)
-    if not a and not b:
-        return []
-    offer = ssh_offer(client) or ssh_offer(server)
-    some = lambda k: offer[k] if len(offer) > k else []
-    return [{"client_banner": a and a["banner"], "server_banner": b and b["banner"], "client_software": a and a["software"], "server_software": b and b["software"], "kex": some(0), "ciphers": some(2), "macs": some(4)}]
-
-
 TELNET = {251: "WILL", 252: "WONT", 253: "DO", 254: "DONT"}
 
 
@@ -345,36 +258,6 @@ def telnet_session(parts: list[tuple[bool, bytes]]) -> list[dict]:
     return [{"content": content, "options": options, "logins": logins}] if parts else []
 
 
-def dhcp(data: bytes) -> dict | None:
-    if len(data) < 240 or data[236:240] != b"\x63\x82\x53\x63":
-        return None
-    kinds = {1: "Discover", 2: "Offer", 3: "Request", 4: "Decline", 5: "Ack", 6: "Nak", 7: "Release", 8: "Inform"}
-    ip = lambda x: str(ipaddress.IPv4Address(x)) if len(x) == 4 else None
-    out = {"message": None, "mac": ":".join(f"{x:02x}" for x in data[28:34]) if data[2] == 6 else None, "address": ip(data[16:20]), "hostname": None, "router": None, "dns": [], "domain": None, "lease": None, "server": None}
-    at = 240
-    while at < len(data) and data[at] != 255:
-        if data[at] == 0:
-            at += 1
-            continue
-        if at + 1 >= len(data):
-            break
-        code, body = data[at], data[at + 2 : at + 2 + data[at + 1]]
-        if code == 53 and body:
-            out["message"] = kinds.get(body[0], f"Type{body[0]}")
-        elif code == 3:
-            out["router"] = ip(body[:4])
-        elif code == 6:
-            out["dns"] = [ip(body[k : k + 4]) for k in range(0, len(body) // 4 * 4, 4)]
-        elif code in (12, 15):
-            out["hostname" if code == 12 else "domain"] = _text(body)
-        elif code == 51 and len(body) == 4:
-            out["lease"] = struct.unpack(">I", body)[0]
-        elif code == 54:
-            out["server"] = ip(body[:4])
-        at += 2 + len(body)
-    return out
-
-
 SMB2 = ("Negotiate", "SessionSetup", "Logoff", "TreeConnect", "TreeDisconnect", "Create", "Close", "Flush", "Read", "Write", "Lock", "Ioctl", "Cancel", "Echo", "QueryDirectory", "ChangeNotify", "QueryInfo", "SetInfo", "OplockBreak")
 SMB1 = {0x72: "Negotiate", 0x73: "SessionSetup", 0x75: "TreeConnect", 0xA2: "Create", 0x2E: "Read", 0x2F: "Write", 0x04: "Close", 0x25: "Transaction", 0x32: "Transaction2"}
 
@@ -504,30 +387,101 @@ def routed(talk: DataFrame) -> DataFrame:
     return talk.withColumn("spoken", F.coalesce(F.when(F.col("app") != "Unknown", F.col("app")), guess_of(first)))
 
 
-FTP_SCHEMA = "flow_id string, username string, password string, files array<string>, auth_tls boolean, passive boolean, data_ports array<int>, bytes long"
-SMTP_SCHEMA = "flow_id string, helo string, mail_from string, rcpt_to array<string>, username string, password string, subject string, body string"
-SSH_SCHEMA = "flow_id string, client_banner string, server_banner string, client_software string, server_software string, kex array<string>, ciphers array<string>, macs array<string>"
 TELNET_SCHEMA = "flow_id string, content string, options array<string>, logins array<struct<username string, password string>>"
-DHCP_SCHEMA = "flow_id string, message string, mac string, address string, hostname string, router string, dns array<string>, domain string, lease long, server string"
 SMB_SCHEMA = "flow_id string, commands array<string>, shares array<string>, ntlm_user string, ntlm_domain string"
 BODY_SCHEMA = "flow_id string, ordinal int, uri string, content_type string, body binary"
 
 
-def _lines(data: bytes | None) -> list[str]:
-    return _text(data or b"").splitlines()
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _lines(data: Column) -> Column:
+    """Lines of bytes as text, without their ends; none of no bytes."""
+    text = F.regexp_replace(valid_text(F.coalesce(data, F.lit(b""))), "(\r\n|\n|\r)\\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\r\n|\n|\r"))
+
+
+_BLANK = " \t\r\n\x0b\x0c"
 
 
 def ftp_sessions(talk: DataFrame) -> DataFrame:
-    """talk: flow_id, client and server bytes of control connections."""
-    return _rows(talk, ["client", "server"], FTP_SCHEMA, lambda c, s: [ftp(_lines(c) + _lines(s)) | {"bytes": len(c or b"") + len(s or b"")}] if c or s else [])
+    """flow_id, username, password, files, auth_tls, passive, data_ports, bytes of control connections, in built-in functions.
+
+    talk: flow_id, client and server bytes. The last user and password count.
+    """
+    parted = lambda t: F.struct(F.upper(F.split_part(t, F.lit(" "), F.lit(1))).alias("word"), F.when(F.contains(t, F.lit(" ")), F.substr(t, F.locate(" ", t) + 1)).otherwise("").alias("rest"))
+    lines = F.transform(F.concat(_lines(F.col("client")), _lines(F.col("server"))), lambda x: parted(F.btrim(x, F.lit(_BLANK))))
+    size = F.coalesce(F.octet_length("client"), F.lit(0)) + F.coalesce(F.octet_length("server"), F.lit(0))
+    rows = talk.where(size > 0).select("flow_id", lines.alias("x"), size.cast("long").alias("bytes"))
+    of = lambda *words: F.filter("x", lambda v: v["word"].isin(*words))
+    last = lambda word: F.try_element_at(of(word), F.lit(-1))["rest"]
+    six = r"(\d+),(\d+),(\d+),(\d+),(\d+),(\d+)"
+    pair = lambda t: F.regexp_extract(t, six, 5).try_cast("int") * 256 + F.regexp_extract(t, six, 6).try_cast("int")
+    port = lambda v: F.when(v["word"].isin("227", "PORT"), pair(v["rest"])).otherwise(F.regexp_extract(F.btrim(v["rest"], F.lit(_BLANK)), r"\|(\d+)\|\)?$", 1).try_cast("int"))
+    return rows.select(
+        "flow_id", last("USER").alias("username"), last("PASS").alias("password"), F.transform(of("RETR", "STOR", "STOU", "APPE"), lambda v: v["rest"]).alias("files"), F.exists("x", lambda v: (v["word"] == "AUTH") & F.upper(v["rest"]).isin("TLS", "SSL")).alias("auth_tls"),
+        F.exists("x", lambda v: v["word"].isin("PASV", "EPSV")).alias("passive"), F.array_compact(F.transform(of("227", "PORT", "229", "EPRT"), port)).alias("data_ports"), "bytes",
+    )
 
 
 def smtp_sessions(talk: DataFrame) -> DataFrame:
-    return _rows(talk, ["client"], SMTP_SCHEMA, lambda c: [smtp(_lines(c))] if c else [])
+    """flow_id, helo, mail_from, rcpt_to, username, password, subject, body of mail clients, in built-in functions.
+
+    What stands between a DATA line and a line with a dot alone (or the end) is mail, the rest are commands. Of signing
+    in by PLAIN and by LOGIN the later one counts.
+    """
+    mail = r"(?is)(?:^|(?<=\n))DATA\r?\n(.*?)(?:(?:^|(?<=\n))\.\r?(?:\n|\z)|\z)"
+    text = valid_text(F.col("client"))
+    rows = talk.where(F.octet_length("client") > 0).select("flow_id", F.regexp_extract_all(text, F.lit(mail), F.lit(1)).alias("mails"), _lines(F.regexp_replace(text, mail, "").cast("binary")).alias("lines"))
+    body = F.flatten(F.transform("mails", lambda m: _lines(m.cast("binary"))))
+    named = lambda start: F.transform(F.filter("lines", lambda x: F.upper(x).startswith(start)), lambda x: F.btrim(F.substr(x, F.lit(len(start) + 1)), F.lit(_BLANK)))
+    address = lambda start: F.transform(named(start), lambda x: F.btrim(x, F.lit("<>")))
+    last = lambda array: F.try_element_at(array, F.lit(-1))
+    greeted = F.transform(F.filter("lines", lambda x: F.upper(x).rlike("^(?:EHLO|HELO) ")), lambda x: F.btrim(F.substr(x, F.lit(6)), F.lit(_BLANK)))
+    plain = lambda x: valid_text(F.try_to_binary(F.rpad(F.btrim(x), (F.ceil(F.char_length(F.btrim(x)) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64")))
+    spots = F.filter(F.transform("lines", lambda x, i: F.when(F.upper(x).startswith("AUTH PLAIN ") | (F.upper(x) == "AUTH LOGIN"), i + 1)), lambda i: i.isNotNull())
+    rows = rows.withColumns({"body": body, "at": last(spots)})
+    line = lambda k: F.try_element_at("lines", F.col("at") + k)
+    login, secret = F.upper(line(0)) == "AUTH LOGIN", F.split(plain(F.substr(line(0), F.lit(12))), "\0")
+    user = F.when(login, plain(line(1))).otherwise(F.try_element_at(secret, F.lit(2)))
+    word = F.when(login, plain(line(2))).otherwise(F.try_element_at(secret, F.lit(3)))
+    subject = F.try_element_at(F.filter("body", lambda x: F.upper(x).startswith("SUBJECT:")), F.lit(1))
+    return rows.select("flow_id", last(greeted).alias("helo"), last(address("MAIL FROM:")).alias("mail_from"), address("RCPT TO:").alias("rcpt_to"), user.alias("username"), word.alias("password"), F.btrim(F.substr(subject, F.lit(9)), F.lit(_BLANK)).alias("subject"), F.array_join("body", "\n").alias("body"))
+
+
+def _number(data: Column, at: Column | int, size: int) -> Column:
+    """A number of `size` bytes at a place (from 0) of binary data; null beyond its end."""
+    part = F.substring(data, (at if isinstance(at, Column) else F.lit(at)) + 1, F.lit(size))
+    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("long"))
 
 
 def ssh_sessions(talk: DataFrame) -> DataFrame:
-    return _rows(talk, ["client", "server"], SSH_SCHEMA, lambda c, s: ssh(c or b"", s or b""))
+    """flow_id, banners, software, and the name lists of the key exchange (kex, ciphers, macs), in built-in functions."""
+    first = lambda side: valid_text(F.encode(F.rtrim(F.substring_index(F.decode(F.coalesce(F.col(side), F.lit(b"")), "ISO-8859-1"), "\n", 1), F.lit("\r")), "ISO-8859-1"))
+    banner = lambda side: F.when(first(side).rlike("^SSH-[^-]*-"), first(side))
+    software = lambda side: F.regexp_extract(F.col(f"{side}_banner"), r"^SSH-[^-]*-\s*(\S*)", 1)
+
+    def offer(side: str) -> Column:
+        data = F.coalesce(F.col(side), F.lit(b""))
+        start = F.locate("\n", F.decode(data, "ISO-8859-1"))
+        zero = F.struct((start + 22).cast("long").alias("at"), F.array().cast("array<array<string>>").alias("lists"))
+
+        def step(state: Column, _: Column) -> Column:
+            size = _number(data, state["at"], 4)
+            whole = size.isNotNull() & (state["at"] + 4 + size <= F.octet_length(data))
+            names = F.split(valid_text(F.substring(data, (state["at"] + 5).cast("int"), size.cast("int"))), ",")
+            names = F.when(size > 0, names).otherwise(F.array().cast("array<string>"))
+            return F.when(whole, F.struct((state["at"] + 4 + size).alias("at"), F.concat(state["lists"], F.array(names)).alias("lists"))).otherwise(F.struct(F.lit(1 << 30).cast("long").alias("at"), state["lists"].alias("lists")))
+
+        lists = F.aggregate(F.sequence(F.lit(1), F.lit(10)), zero, step, lambda x: x["lists"])
+        return F.when(_number(data, start + 5, 1) == 20, lists).otherwise(F.array().cast("array<array<string>>"))
+
+    rows = talk.select("flow_id", banner("client").alias("client_banner"), banner("server").alias("server_banner"), offer("client").alias("c"), offer("server").alias("s")).where("client_banner is not null or server_banner is not null")
+    rows = rows.withColumn("x", F.when(F.size("c") > 0, F.col("c")).otherwise(F.col("s")))
+    some = lambda k: F.coalesce(F.try_element_at("x", F.lit(k + 1)), F.array().cast("array<string>"))
+    return rows.select("flow_id", "client_banner", "server_banner", software("client").alias("client_software"), software("server").alias("server_software"), some(0).alias("kex"), some(2).alias("ciphers"), some(4).alias("macs"))
 
 
 def telnet_sessions(segments: DataFrame) -> DataFrame:
@@ -535,8 +489,39 @@ def telnet_sessions(segments: DataFrame) -> DataFrame:
     return _rows(segments, ["parts"], TELNET_SCHEMA, lambda parts: telnet_session([(bool(x["server"]), x["data"] or b"") for x in parts or []]))
 
 
+#: Kinds of DHCP messages by number (fixed values).
+DHCP_KINDS = {1: "Discover", 2: "Offer", 3: "Request", 4: "Decline", 5: "Ack", 6: "Nak", 7: "Release", 8: "Inform"}
+
+
 def dhcp_leases(segments: DataFrame) -> DataFrame:
-    return _rows(segments, ["data"], DHCP_SCHEMA, lambda data: [x] if (x := dhcp(data or b"")) else [])
+    """flow_id, message, mac, address, hostname, router, dns, domain, lease, server of DHCP messages, in built-in functions.
+
+    Options are walked by their lengths; of an option that comes again the last one counts that has a fitting length.
+    """
+    more, data = [c for c in ("ts", "forward") if c in segments.columns], F.col("data")
+    rows = segments.where((F.octet_length("data") >= 240) & (F.hex(F.substring("data", 237, 4)) == "63825363"))
+    zero = F.struct(F.lit(240).cast("long").alias("at"), F.array().cast("array<struct<code:bigint,body:binary>>").alias("found"))
+
+    def step(state: Column, _: Column) -> Column:
+        at, end = state["at"], F.struct(F.lit(1 << 30).cast("long").alias("at"), state["found"].alias("found"))
+        code, size = _number(data, at, 1), _number(data, at + 1, 1)
+        body = F.substring(data, (at + 3).cast("int"), size.cast("int"))
+        told = F.struct((at + 2 + F.octet_length(body)).alias("at"), F.concat(state["found"], F.array(F.struct(code.alias("code"), body.alias("body")))).alias("found"))
+        return F.when(code == 0, F.struct((at + 1).alias("at"), state["found"].alias("found"))).when(code.isNull() | (code == 255) | size.isNull(), end).otherwise(told)
+
+    # An option takes two bytes at least; a byte of padding takes a step of its own.
+    options = F.aggregate(F.sequence(F.lit(1), F.octet_length("data") - 239), zero, step, lambda x: x["found"])
+    rows = rows.select("flow_id", *more, "data", options.alias("x"))
+    of = lambda code, fits=lambda b: F.lit(True): F.try_element_at(F.filter("x", lambda v: (v["code"] == code) & fits(v["body"])), F.lit(-1))["body"]
+    ip = lambda b: F.when(F.octet_length(b) == 4, F.concat_ws(".", *[_number(b, k, 1).cast("string") for k in range(4)]))
+    kind = _number(of(53, lambda b: F.octet_length(b) > 0), 0, 1)
+    names = F.create_map(*[F.lit(v) for kv in DHCP_KINDS.items() for v in (int(kv[0]), kv[1])])
+    message = F.coalesce(F.try_element_at(names, kind.cast("int")), F.concat(F.lit("Type"), kind.cast("string")))
+    mac = F.when(_number(data, 2, 1) == 6, F.concat_ws(":", *[F.lower(F.hex(F.substring("data", 29 + k, 1))) for k in range(6)]))
+    servers = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(of(6)) / 4) - 1), lambda k: ip(F.substring(of(6), (k * 4 + 1).cast("int"), F.lit(4))))
+    servers = F.when(F.octet_length(of(6)) >= 4, servers).otherwise(F.array().cast("array<string>"))
+    lease = _number(of(51, lambda b: F.octet_length(b) == 4), 0, 4)
+    return rows.select("flow_id", *more, message.alias("message"), mac.alias("mac"), ip(F.substring("data", 17, 4)).alias("address"), valid_text(of(12)).alias("hostname"), ip(F.substring(of(3), 1, 4)).alias("router"), servers.alias("dns"), valid_text(of(15)).alias("domain"), lease.alias("lease"), ip(F.substring(of(54), 1, 4)).alias("server"))
 
 
 def smb_sessions(talk: DataFrame) -> DataFrame:

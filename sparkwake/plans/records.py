@@ -11,6 +11,7 @@ from sparkwake.functions import codec, mime, net
 from sparkwake.operators import carve, case, detect, dissect, export, flows as flow_ops, index, reassembly
 from sparkwake.plans.adapters import FLOWS, NAMES, OUTSIDE, flows, names
 from sparkwake.sources import capture
+from sparkwake.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -452,6 +453,14 @@ def index_folded(spark, sf_dir):
     return _asked(spark, sf_dir, "F\u00dcR")
 
 
+@query(_ranked_sql([_OF], "f0 > 0"))
+def index_stored(spark, sf_dir):
+    """A stored index, opened again."""
+    folder = new_path(spark, "index")
+    index.SearchIndex.create(spark, folder, {"documents": (_table(spark, sf_dir, "documents"), "doc_id", ("lang", "text")), "pages": (_table(spark, sf_dir, "pages"), "page_id", ("url", "html"))}, "test")
+    return index.SearchIndex.open(spark, folder).query("of", None).select("table", "id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT \"table\", id, score FROM (SELECT *, row_number() OVER (PARTITION BY \"table\" ORDER BY score DESC, id) AS r FROM (" + _ranked_sql([_THE], "f0 > 0").replace("round(", "(").replace(", 6) AS score", ") AS score") + ")) WHERE r <= 5 ORDER BY score DESC, \"table\", id LIMIT 30")
 def index_best(spark, sf_dir):
     """The best thirty, of each table its share."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparkwake.functions.text import flags
 from sparkwake.operators import case, detect, dissect, enrich, flows as flow_ops, reassembly, rules
 from sparkwake.plans.records import FOUND, _RANK
+from sparkwake.streaming import alerts
+from sparkwake.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -182,3 +184,18 @@ def ip_enrichment(spark, sf_dir):
     table = _table(spark, sf_dir, "nation").select(F.explode(some).alias("x")).select("x.*")
     found = enrich.looked_up(e.select("event_id", ip.alias("ip")), table)
     return found.select("event_id", F.replace("ip", F.lit("2001:0DB8"), F.lit("2001:db8")).alias("ip"), F.col("about.label").alias("label"))
+
+
+@query(f"WITH {TWO_FILES} SELECT dst_ip AS ip, dst_port AS port, protocol, app, count(*)::bigint AS n_flows, count(DISTINCT src_ip)::bigint AS clients FROM flows GROUP BY ALL")
+def host_services(spark, sf_dir):
+    return detect.services(case.from_packets(two_files(spark, sf_dir)))
+
+
+@query("SELECT event_id, '^err' AS pattern FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 'purchase|click' FROM events WHERE event_type IN ('purchase', 'click') UNION ALL SELECT event_id, 'c.*k' FROM events WHERE event_type = 'click'")
+def stream_alerts(spark, sf_dir):
+    """Alerts of a stream that reads all there is, recorded and read again."""
+    rows, source, out = _table(spark, sf_dir, "events").select("event_id", "event_type"), new_path(spark, "arrivals"), new_path(spark, "alerts")
+    rows.write.parquet(source)
+    told = alerts.alerts(spark.readStream.schema(rows.schema).parquet(source), ["^err", "purchase|click", "c.*k"], "event_type").select("event_id", "pattern")
+    alerts.record(told, out, new_path(spark, "checkpoint"))
+    return spark.read.schema(told.schema).parquet(out)

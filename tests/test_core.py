@@ -13,9 +13,10 @@ from sparkwake.functions import codec, net, text
 from sparkwake.operators import case, detect, dissect, export, flows, index, reassembly, rules, search
 from sparkwake.sources import capture
 from sparkwake.streaming import alerts
+from tests import plain_sessions
 
 SF = "/root/testdata/sf0.001"
-RECORDS = ["capture_decode", "capture_bounds", "packet_flows", "datagram_order", "stream_reassembly", "ftp_sessions", "smtp_sessions", "ssh_sessions", "telnet_sessions", "dhcp_leases", "smb_sessions", "icmp_messages", "tls_hellos", "dns_parse", "protocol_guess", "mime_magic", "http_artifacts", "credential_harvest", "findings_described", "ioc_union", "host_names", "timeline_case", "summary_case", "index_search", "index_phrase", "output_formats", "scalar_names", "decode_chains", "flows_oriented", "findings_on_roles", "evidence_packets", "http_times", "protocol_rules", "index_or", "index_not", "index_parentheses", "index_rows"]
+RECORDS = ["capture_decode", "capture_bounds", "packet_flows", "datagram_order", "stream_reassembly", "ftp_sessions", "smtp_sessions", "ssh_sessions", "telnet_sessions", "dhcp_leases", "smb_sessions", "icmp_messages", "tls_hellos", "dns_parse", "protocol_guess", "mime_magic", "http_artifacts", "credential_harvest", "findings_described", "ioc_union", "host_names", "timeline_case", "summary_case", "index_search", "index_phrase", "output_formats", "scalar_names", "decode_chains", "flows_oriented", "findings_on_roles", "evidence_packets", "http_times", "protocol_rules", "index_or", "index_not", "index_parentheses", "index_rows", "index_stored", "stream_alerts", "ip_enrichment"]
 
 
 def tcp(src, dst, sp, dp, seq, flags, payload=b"", vlan=None):
@@ -238,25 +239,60 @@ def test_dns_and_others():
     rows = dissect.dns(head + b"\xc0\x0c" + struct.pack(">HHIH", 1, 1, 300, 4) + bytes([93, 184, 216, 34]))
     assert [(r["name"], r["data"], r["ttl"]) for r in rows] == [("example.com", None, None), ("example.com", "93.184.216.34", 300)]
     assert dissect.dns(b"\0" * 5) == [] and dissect.dns(head[:12] + b"\xc0\x0c") == []
-    assert dissect.ftp(["227 Entering (192,168,1,1,4,1)", "229 ok (|||6446|)", "USER a", "PASS b", "RETR f"]) == {"username": "a", "password": "b", "files": ["f"], "auth_tls": False, "passive": False, "data_ports": [1025, 6446]}
-    assert dissect.smtp(["EHLO x", "MAIL FROM:<a@b>", "RCPT TO:<c@d>", "DATA", "Subject: hi", ".", "AUTH PLAIN " + base64.b64encode(b"\0u\0p").decode()])["password"] == "p"
-    assert dissect.ssh_banner(b"SSH-2.0-OpenSSH_8.9 x\r\n")["software"] == "OpenSSH_8.9"
+    assert plain_sessions.ftp(["227 Entering (192,168,1,1,4,1)", "229 ok (|||6446|)", "USER a", "PASS b", "RETR f"]) == {"username": "a", "password": "b", "files": ["f"], "auth_tls": False, "passive": False, "data_ports": [1025, 6446]}
+    assert plain_sessions.smtp(["EHLO x", "MAIL FROM:<a@b>", "RCPT TO:<c@d>", "DATA", "Subject: hi", ".", "AUTH PLAIN " + base64.b64encode(b"\0u\0p").decode()])["password"] == "p"
+    assert plain_sessions.ssh_banner(b"SSH-2.0-OpenSSH_8.9 x\r\n")["software"] == "OpenSSH_8.9"
     assert dissect.telnet(b"\xff\xfd\x01login: ")[0] == b"login: "
     lease = bytearray(240)
     lease[2] = 6
     lease[28:34], lease[236:240] = b"\xaa\xbb\xcc\xdd\xee\xff", b"\x63\x82\x53\x63"
-    assert dissect.dhcp(bytes(lease) + b"\x35\x01\x01\x0c\x06myhost\xff")["hostname"] == "myhost"
+    assert plain_sessions.dhcp(bytes(lease) + b"\x35\x01\x01\x0c\x06myhost\xff")["hostname"] == "myhost"
     assert dissect.icmp(b"\x08\0\0\0\0\0\0\0Hello")["payload"] == b"Hello"
     assert dissect.ja3(771, [0x0A0A, 4865], [0, 10], [29], [0])[0] == "771,4865,0-10,29,0"
 
 
 @given(st.binary(max_size=300))
 def test_parsers_never_raise(data):
-    dissect.dns(data), dissect.dns(data, True), dissect.http(data, data), dissect.tls_hello(b"\x16\x03\x01" + data), dissect.smb(data), dissect.dhcp(data), dissect.telnet(data), dissect.icmp(data)
-    dissect.ssh(data, b"SSH-2.0-x\r\n" + data), dissect.telnet_session([(True, data), (False, data)]), dissect.ftp(dissect._lines(data)), dissect.smtp(dissect._lines(data))
+    dissect.dns(data), dissect.dns(data, True), dissect.http(data, data), dissect.tls_hello(b"\x16\x03\x01" + data), dissect.smb(data), dissect.telnet(data), dissect.icmp(data)
+    dissect.telnet_session([(True, data), (False, data)])
     rows_of(pcap([data]))
 
 
+def test_sessions_against_loops(spark):
+    rng, talk, leases = random.Random(12), [], []
+    b64 = lambda x: base64.b64encode(x).decode()
+    ftp = ["USER a b", "PASS  c", "user x", "RETR f.txt", "STOR \u00e9 g", "AUTH TLS", "auth ssl", "PASV", "PORT 1,2,3,4,5,6", "227 ok (1,2,3,4,7,8)", "229 in (|||99|)", "EPRT |1|1.1.1.1|77|", "", "  QUIT ", "227 none", "junk"]
+    smtp = ["EHLO h", "helo  i ", "MAIL FROM:<a@b>", "mail from: <c@d> ", "RCPT TO:<e@f>", "RCPT TO:g@h", "AUTH LOGIN", b64(b"user"), b64(b"word"), "AUTH PLAIN " + b64(b"\0u\0p"), "DATA", "Subject: one", "text", "", ".", "NOOP", "RSET"]
+    for k in range(120):
+        lines = rng.choices(ftp if k % 2 else smtp, k=rng.randrange(12))
+        end = rng.choice(("\r\n", "\n"))
+        client = end.join(lines).encode() + (end.encode() if lines and rng.random() < 0.8 else b"")
+        talk.append((str(k), client, end.join(rng.choices(ftp, k=rng.randrange(4))).encode()))
+    lists = lambda n: b"".join(struct.pack(">I", len(x)) + x for x in rng.choices([b"a,b", b"", b"curve25519", b"x" * 40], k=n))
+    for k in range(120, 170):
+        offer = struct.pack(">IBB", 100, 4, rng.choice((20, 20, 21))) + b"c" * 16 + lists(rng.randrange(11))
+        talk.append((str(k), rng.choice((b"SSH-2.0-OpenSSH_8.9 x\r\n", b"SSH-1.99-y\n", b"no", b"SSH-2.0", b"")) + offer[: rng.randrange(len(offer) + 1)], rng.choice((b"SSH-2.0-z w\r\n" + offer, b"", None))))
+    for k in range(80):
+        base = bytearray(rng.randrange(256) for _ in range(240))
+        base[2], base[236:240] = rng.choice((6, 6, 1)), b"\x63\x82\x53\x63" if k % 9 else b"abcd"
+        options = b"".join(rng.choice((b"\0", bytes([53, 1, rng.randrange(12)]), b"\x0c\x02hi", b"\x0f\x03dom", bytes([51, 4, 0, 0, 1, k]), bytes([51, 2, 0, 0]), bytes([3, 8, 1, 2, 3, 4, 5, 6, 7, 8]), bytes([6, 9, *range(9)]), bytes([54, 4, 9, 9, 9, 9]), bytes([99, 5, 1]), b"\xff")) for _ in range(rng.randrange(9)))
+        leases.append((str(k), bytes(base) + options))
+    df, segments = spark.createDataFrame(talk, "flow_id string, client binary, server binary"), spark.createDataFrame([*leases, ("short", b"x"), ("none", None)], "flow_id string, data binary")
+    rows = lambda d: {r.pop("flow_id"): r for r in (x.asDict() for x in d.collect())}
+    lines = lambda x: (x or b"").decode("utf-8", "replace").splitlines()
+    size = lambda *x: sum(len(y or b"") for y in x)
+    told, mail, ssh, lease = rows(dissect.ftp_sessions(df)), rows(dissect.smtp_sessions(df)), rows(dissect.ssh_sessions(df)), rows(dissect.dhcp_leases(segments))
+    for k, c, s in talk:
+        if int(k) < 120:
+            assert told.get(k) == (plain_sessions.ftp(lines(c) + lines(s)) | {"bytes": size(c, s)} if size(c, s) else None), k
+            assert mail.get(k) == (plain_sessions.smtp(lines(c)) if c else None) or "AUTH LOGIN" in lines(c), k
+        want = plain_sessions.ssh(c or b"", s or b"")
+        assert ssh.get(k) == (want[0] if want else None), k
+    for k, d in leases:
+        assert lease.get(k) == plain_sessions.dhcp(d), k
+    assert len(lease) < len(leases)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("10.0.0.10", "10.0.0.9", "xjfkqwrtzpls.evil.com"), ("8.8.8.8", "192.168.0.1", "mail.example.org")], "a string, b string, d string")
     rows = df.select(net.ip_key(F.col("a")) > net.ip_key(F.col("b")), net.is_external(F.col("a")), net.looks_generated(F.col("d")), net.root_domain(F.col("d"))).collect()
