@@ -54,7 +54,16 @@ def _name() -> Column:
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").cast("string").alias("flow_id"))
+    """A nation for each event; flow_id is the event's."""
+    own = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("flow_id"), (F.col("event_id") % 25).cast("int").alias("n_nationkey"))
+    return events.join(F.broadcast(own), "n_nationkey").select("n_nationkey", "n_name", "flow_id")
+
+
+def _grown(sql: str) -> str:
+    """SQL over nation, over every event's nation in place of it."""
+    each = "(SELECT event_id::varchar AS flow_id, n_nationkey, n_name FROM events JOIN nation ON n_nationkey = event_id % 25)"
+    return sql.replace("n_nationkey::varchar AS flow_id", "flow_id").replace("n_nationkey::varchar AS path", "flow_id AS path").replace("FROM nation", f"FROM {each} AS nation")
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,15 +78,15 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nations(spark, sf_dir).select(F.col("flow_id").alias("path"), content.alias("content"))
 
 
-@query("""SELECT n_nationkey::varchar AS path, i::bigint AS index, (1700000000 + n_nationkey + i)::bigint * 1000000 + 500 AS ts_us, (CASE i WHEN 0 THEN 58 ELSE 42 END + strlen(n_name))::bigint AS caplen,
+@query(_grown("""SELECT n_nationkey::varchar AS path, i::bigint AS index, (1700000000 + n_nationkey + i)::bigint * 1000000 + 500 AS ts_us, (CASE i WHEN 0 THEN 58 ELSE 42 END + strlen(n_name))::bigint AS caplen,
 CASE i WHEN 0 THEN '10.0.0.' ELSE '203.0.113.' END || n_nationkey AS src_ip, CASE i WHEN 0 THEN '203.0.113.' ELSE '10.0.0.' END || n_nationkey AS dst_ip, (CASE i WHEN 0 THEN 40000 + n_nationkey ELSE 53 END)::int AS src_port, (CASE i WHEN 0 THEN 80 ELSE 5000 + n_nationkey END)::int AS dst_port,
-CASE i WHEN 0 THEN 'tcp' ELSE 'udp' END AS protocol, (CASE i WHEN 0 THEN 24 END)::int AS flags, (CASE i WHEN 0 THEN 1000 + n_nationkey END)::bigint AS seq, n_name AS payload, (CASE i WHEN 0 THEN n_nationkey + 1 END)::int AS vlan, 64 AS ttl, n_nationkey::int AS ip_id FROM nation, (SELECT unnest([0, 2]) AS i)""")
+CASE i WHEN 0 THEN 'tcp' ELSE 'udp' END AS protocol, (CASE i WHEN 0 THEN 24 END)::int AS flags, (CASE i WHEN 0 THEN 1000 + n_nationkey END)::bigint AS seq, n_name AS payload, (CASE i WHEN 0 THEN n_nationkey + 1 END)::int AS vlan, 64 AS ttl, n_nationkey::int AS ip_id FROM nation, (SELECT unnest([0, 2]) AS i)"""))
 def capture_decode(spark, sf_dir):
     p = capture.decode(_captures(spark, sf_dir))
     return p.select("path", "index", F.unix_micros("ts").alias("ts_us"), "caplen", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flags", "seq", F.col("payload").cast("string").alias("payload"), "vlan", "ttl", "ip_id")
 
 
-@query("SELECT n_nationkey::varchar AS path, 3::bigint AS records, 2::bigint AS packets, 1::bigint AS unread, (1700000000 + n_nationkey)::bigint * 1000000 + 500 AS first_us, (1700000002 + n_nationkey)::bigint * 1000000 + 500 AS last_us, NULL::varchar AS problem FROM nation")
+@query(_grown("SELECT n_nationkey::varchar AS path, 3::bigint AS records, 2::bigint AS packets, 1::bigint AS unread, (1700000000 + n_nationkey)::bigint * 1000000 + 500 AS first_us, (1700000002 + n_nationkey)::bigint * 1000000 + 500 AS last_us, NULL::varchar AS problem FROM nation"))
 def capture_bounds(spark, sf_dir):
     return capture.summary(_captures(spark, sf_dir)).drop("sha256")
 
@@ -162,22 +171,22 @@ def _wire(*parts: Column | str) -> Column:
     return F.encode(F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), "UTF-8")
 
 
-@query("""SELECT n_nationkey::varchar AS flow_id, n_name AS username, 'pw' || n_nationkey AS password, ['f' || n_nationkey || '.txt', 'up.bin'] AS files, n_nationkey % 2 = 0 AS auth_tls, true AS passive, [(4 * 256 + n_nationkey)::int] AS data_ports,
-(strlen('USER ' || n_name || 'PASS pw' || n_nationkey || 'RETR f' || n_nationkey || '.txtSTOR up.binPASV' || CASE WHEN n_nationkey % 2 = 0 THEN 'AUTH TLS' || chr(13) || chr(10) ELSE '' END || '227 Entering (10,0,0,1,4,' || n_nationkey || ')') + 12)::bigint AS bytes FROM nation""")
+@query(_grown("""SELECT n_nationkey::varchar AS flow_id, n_name AS username, 'pw' || n_nationkey AS password, ['f' || n_nationkey || '.txt', 'up.bin'] AS files, n_nationkey % 2 = 0 AS auth_tls, true AS passive, [(4 * 256 + n_nationkey)::int] AS data_ports,
+(strlen('USER ' || n_name || 'PASS pw' || n_nationkey || 'RETR f' || n_nationkey || '.txtSTOR up.binPASV' || CASE WHEN n_nationkey % 2 = 0 THEN 'AUTH TLS' || chr(13) || chr(10) ELSE '' END || '227 Entering (10,0,0,1,4,' || n_nationkey || ')') + 12)::bigint AS bytes FROM nation"""))
 def ftp_sessions(spark, sf_dir):
     tls = F.when(_key() % 2 == 0, F.lit("AUTH TLS\r\n")).otherwise("")
     client = _wire("USER ", _name(), "\r\nPASS pw", _key(), "\r\nRETR f", _key(), ".txt\r\nSTOR up.bin\r\nPASV\r\n", tls)
     return dissect.ftp_sessions(_talk(spark, sf_dir, client, _wire("227 Entering (10,0,0,1,4,", _key(), ")\r\n")))
 
 
-@query("SELECT n_nationkey::varchar AS flow_id, 'host' || n_nationkey AS helo, n_name || '@a.example' AS mail_from, ['x@b.example', 'y' || n_nationkey || '@b.example'] AS rcpt_to, n_name AS username, 'secret' || n_nationkey AS password, 'About ' || n_name AS subject, 'Subject: About ' || n_name || chr(10) || 'Hello ' || n_nationkey AS body FROM nation")
+@query(_grown("SELECT n_nationkey::varchar AS flow_id, 'host' || n_nationkey AS helo, n_name || '@a.example' AS mail_from, ['x@b.example', 'y' || n_nationkey || '@b.example'] AS rcpt_to, n_name AS username, 'secret' || n_nationkey AS password, 'About ' || n_name AS subject, 'Subject: About ' || n_name || chr(10) || 'Hello ' || n_nationkey AS body FROM nation"))
 def smtp_sessions(spark, sf_dir):
     secret = F.regexp_replace(F.base64(_wire(F.lit("\0"), _name(), "\0secret", _key())), r"\s", "")
     client = _wire("EHLO host", _key(), "\r\nAUTH PLAIN ", secret, "\r\nMAIL FROM:<", _name(), "@a.example>\r\nRCPT TO:<x@b.example>\r\nRCPT TO:<y", _key(), "@b.example>\r\nDATA\r\nSubject: About ", _name(), "\r\nHello ", _key(), "\r\n.\r\nQUIT\r\n")
     return dissect.smtp_sessions(_talk(spark, sf_dir, client, F.lit(b"")))
 
 
-@query("SELECT n_nationkey::varchar AS flow_id, 'SSH-2.0-OpenSSH_8.' || n_nationkey || ' x' AS client_banner, 'SSH-2.0-' || n_name AS server_banner, 'OpenSSH_8.' || n_nationkey AS client_software, string_split(n_name, ' ')[1] AS server_software, ['curve', 'dh' || n_nationkey] AS kex, ['aes'] AS ciphers, ['sha', 'md5'] AS macs FROM nation")
+@query(_grown("SELECT n_nationkey::varchar AS flow_id, 'SSH-2.0-OpenSSH_8.' || n_nationkey || ' x' AS client_banner, 'SSH-2.0-' || n_name AS server_banner, 'OpenSSH_8.' || n_nationkey AS client_software, string_split(n_name, ' ')[1] AS server_software, ['curve', 'dh' || n_nationkey] AS kex, ['aes'] AS ciphers, ['sha', 'md5'] AS macs FROM nation"))
 def ssh_sessions(spark, sf_dir):
     names_ = [F.concat(F.lit("curve,dh"), _key().cast("string")), F.lit("rsa"), F.lit("aes"), F.lit("aes"), F.lit("sha,md5")]
     lists = [x for n in names_ for x in (_number(F.octet_length(n), 4), _digits(n))]
@@ -185,7 +194,7 @@ def ssh_sessions(spark, sf_dir):
     return dissect.ssh_sessions(_talk(spark, sf_dir, offer, _wire("SSH-2.0-", _name(), "\r\n")))
 
 
-@query("SELECT n_nationkey::varchar AS flow_id, 'login: ' || n_name || chr(10) || 'Password: pw' || n_nationkey || chr(10) AS content, ['DO Echo', 'WILL WindowSize'] AS options, n_name AS username, 'pw' || n_nationkey AS password FROM nation")
+@query(_grown("SELECT n_nationkey::varchar AS flow_id, 'login: ' || n_name || chr(10) || 'Password: pw' || n_nationkey || chr(10) AS content, ['DO Echo', 'WILL WindowSize'] AS options, n_name AS username, 'pw' || n_nationkey AS password FROM nation"))
 def telnet_sessions(spark, sf_dir):
     part = lambda server, data: F.struct(F.lit(server).alias("server"), data.alias("data"))
     parts = F.array(part(True, _bytes("FFFD01 FFFB1F", _digits(F.lit("login: ")))), part(False, _wire(_name(), "\n")), part(True, _wire("Password: ")), part(False, _wire("pw", _key(), "\n")))
@@ -193,14 +202,14 @@ def telnet_sessions(spark, sf_dir):
     return found.select("flow_id", "content", "options", F.explode("logins").alias("x")).select("flow_id", "content", "options", "x.username", "x.password")
 
 
-@query("SELECT n_nationkey::varchar AS flow_id, CASE n_nationkey % 3 WHEN 0 THEN 'Discover' WHEN 1 THEN 'Offer' ELSE 'Request' END AS message, '02:00:00:00:00:' || printf('%02x', n_nationkey) AS mac, '10.0.0.' || n_nationkey AS address, n_name AS hostname, '10.0.0.254' AS router, ['10.0.0.53', '10.0.1.53'] AS dns, 'example' AS domain, 3600::bigint AS lease, '10.0.0.1' AS server FROM nation")
+@query(_grown("SELECT n_nationkey::varchar AS flow_id, CASE n_nationkey % 3 WHEN 0 THEN 'Discover' WHEN 1 THEN 'Offer' ELSE 'Request' END AS message, '02:00:00:00:00:' || printf('%02x', n_nationkey) AS mac, '10.0.0.' || n_nationkey AS address, n_name AS hostname, '10.0.0.254' AS router, ['10.0.0.53', '10.0.1.53'] AS dns, 'example' AS domain, 3600::bigint AS lease, '10.0.0.1' AS server FROM nation"))
 def dhcp_leases(spark, sf_dir):
     option = lambda code, digits: (_number(code, 1), _number((F.char_length(digits) / 2).cast("int"), 1), digits)
     data = _bytes("02 01 06 00", "00" * 12, "0A0000", _number(_key(), 1), "00" * 8, "0200000000", _number(_key(), 1), "00" * 10, "00" * 192, "63825363", *option(53, _number(_key() % 3 + 1, 1)), *option(12, _digits(_name())), *option(3, F.lit("0A0000FE")), *option(6, F.lit("0A0000350A000135")), *option(15, _digits(F.lit("example"))), *option(51, _number(3600, 4)), *option(54, F.lit("0A000001")), "FF")
     return dissect.dhcp_leases(_nations(spark, sf_dir).select("flow_id", data.alias("data")))
 
 
-@query("SELECT n_nationkey::varchar AS flow_id, ['Negotiate', 'SessionSetup', 'TreeConnect'] AS commands, ['\\\\srv\\' || n_name] AS shares, n_name AS ntlm_user, 'DOM' AS ntlm_domain FROM nation")
+@query(_grown("SELECT n_nationkey::varchar AS flow_id, ['Negotiate', 'SessionSetup', 'TreeConnect'] AS commands, ['\\\\srv\\' || n_name] AS shares, n_name AS ntlm_user, 'DOM' AS ntlm_domain FROM nation"))
 def smb_sessions(spark, sf_dir):
     wide = lambda t: F.hex(F.encode(t, "UTF-16LE"))
     message = lambda code, *rest: F.concat(F.lit("FE534D42" + "00" * 8), F.lit(f"{code:02X}00"), *[F.lit(x) if isinstance(x, str) else x for x in rest])
@@ -214,14 +223,14 @@ def smb_sessions(spark, sf_dir):
     return dissect.smb_sessions(_talk(spark, sf_dir, F.unhex(client), F.lit(b"")))
 
 
-@query("SELECT n_nationkey::varchar AS flow_id, CASE n_nationkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 0 ELSE 42 END::int AS type, n_nationkey::int AS code, CASE n_nationkey % 3 WHEN 0 THEN 'Echo Request' WHEN 1 THEN 'Echo Reply' ELSE 'Type 42' END AS name, n_name AS payload FROM nation")
+@query(_grown("SELECT n_nationkey::varchar AS flow_id, CASE n_nationkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 0 ELSE 42 END::int AS type, n_nationkey::int AS code, CASE n_nationkey % 3 WHEN 0 THEN 'Echo Request' WHEN 1 THEN 'Echo Reply' ELSE 'Type 42' END AS name, n_name AS payload FROM nation"))
 def icmp_messages(spark, sf_dir):
     kind = F.when(_key() % 3 == 0, 8).when(_key() % 3 == 1, 0).otherwise(42)
     data = _bytes(_number(kind, 1), _number(_key(), 1), "000000010002", _digits(_name()))
     return dissect.icmp_messages(_nations(spark, sf_dir).select("flow_id", data.alias("data"))).withColumn("payload", F.col("payload").cast("string"))
 
 
-@query("""SELECT n_nationkey::varchar AS flow_id, 'client' AS hello, 771 AS version, 'TLS 1.2' AS version_name, lower(replace(n_name, ' ', '')) || '.example' AS sni, ['h2'] AS alpn, md5('771,4865-' || (49195 + n_nationkey) || ',0-10-11-16,29-23,0') AS ja3 FROM nation""")
+@query(_grown("""SELECT n_nationkey::varchar AS flow_id, 'client' AS hello, 771 AS version, 'TLS 1.2' AS version_name, lower(replace(n_name, ' ', '')) || '.example' AS sni, ['h2'] AS alpn, md5('771,4865-' || (49195 + n_nationkey) || ',0-10-11-16,29-23,0') AS ja3 FROM nation"""))
 def tls_hellos(spark, sf_dir):
     host = F.concat(F.lower(F.replace(_name(), F.lit(" "), F.lit(""))), F.lit(".example"))
     n = F.octet_length(host)
@@ -237,7 +246,7 @@ def tls_hellos(spark, sf_dir):
 _STARTS = (("Tls", "160301"), ("Http", "474554202F"), ("Ssh", "5353482D322E30"), ("Ftp", "555345522078"), ("Ftp", "323230206670"), ("Smtp", "3232302053 4D5450"), ("Smtp", "45484C4F2078"), ("Smb", "00000010FE534D42"), ("Telnet", "FFFD01"), ("Dns", "000101000001000000000000"), (None, "0102"))
 
 
-@query("SELECT n_nationkey::varchar AS flow_id, CASE n_nationkey % 11 " + " ".join(f"WHEN {k} THEN '{name}'" for k, (name, _) in enumerate(_STARTS) if name) + " END AS spoken FROM nation")
+@query(_grown("SELECT n_nationkey::varchar AS flow_id, CASE n_nationkey % 11 " + " ".join(f"WHEN {k} THEN '{name}'" for k, (name, _) in enumerate(_STARTS) if name) + " END AS spoken FROM nation"))
 def protocol_guess(spark, sf_dir):
     start = F.element_at(F.array(*[F.lit(x.replace(" ", "")) for _, x in _STARTS]), _key() % 11 + 1)
     talk = _nations(spark, sf_dir).select("flow_id", F.lit(None).cast("string").alias("app"), F.unhex(start).alias("client"), F.lit(b"").alias("server"))
@@ -247,7 +256,7 @@ def protocol_guess(spark, sf_dir):
 _MAGIC = (*((name, start) for start, name in mime.MAGIC), ("application/gzip", "1F8B"), ("text/plain", ""), ("application/octet-stream", "0001020304"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 10 " + " ".join(f"WHEN {k} THEN '{m}'" for k, (m, _) in enumerate(_MAGIC)) + " END AS mime, CASE n_nationkey % 10 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(("Image", "Image", "Image", "Archive", "Executable", "Executable", "Document", "Archive", "File", "File"))) + " END AS kind, CASE n_nationkey % 10 " + " ".join(f"WHEN {k} THEN '{mime.EXTENSIONS.get(m, 'bin')}'" for k, (m, _) in enumerate(_MAGIC)) + " END AS extension FROM nation")
+@query(_grown("SELECT n_nationkey, CASE n_nationkey % 10 " + " ".join(f"WHEN {k} THEN '{m}'" for k, (m, _) in enumerate(_MAGIC)) + " END AS mime, CASE n_nationkey % 10 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(("Image", "Image", "Image", "Archive", "Executable", "Executable", "Document", "Archive", "File", "File"))) + " END AS kind, CASE n_nationkey % 10 " + " ".join(f"WHEN {k} THEN '{mime.EXTENSIONS.get(m, 'bin')}'" for k, (m, _) in enumerate(_MAGIC)) + " END AS extension FROM nation"))
 def mime_magic(spark, sf_dir):
     data = F.unhex(F.concat(F.element_at(F.array(*[F.lit(x) for _, x in _MAGIC]), _key() % 10 + 1), F.when(_key() % 10 == 8, _digits(F.concat(_name(), F.lit(" text")))).otherwise(F.lit("00FF00FF"))))
     rows = _nations(spark, sf_dir).select("n_nationkey", mime.by_magic(data).alias("mime"))
@@ -327,7 +336,7 @@ def findings_by_category(spark, sf_dir):
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("severity_rank").alias("worst"))
 
 
-_HELLO_ROWS = "(SELECT 'www' || n_nationkey || '.example' AS sni, md5('771,' || n_nationkey) AS ja3, n_nationkey % 2 = 0 AS client FROM nation)"
+_HELLO_ROWS = "(SELECT 'www' || n_nationkey || '.example' AS sni, md5('771,' || n_nationkey) AS ja3, n_nationkey % 2 = 0 AS client, (SELECT count(*) FROM events WHERE event_id % 25 = n_nationkey)::bigint AS n FROM nation)"
 
 
 @query(f"""WITH {FLOWS}, {NAMES}, i AS (SELECT 'IpAddress' AS kind, ip AS value, 0.5::double AS confidence, []::varchar[] AS attack, count(*)::bigint AS n FROM (SELECT DISTINCT flow_id, unnest([src_ip, dst_ip]) AS ip FROM flows) WHERE {OUTSIDE.format('ip')} GROUP BY 2
@@ -335,7 +344,7 @@ UNION ALL SELECT 'Domain', name, 0.3, []::varchar[], count(*)::bigint FROM names
 UNION ALL SELECT 'Url', 'http://h' || (page_id % 5) || '.example/p/' || page_id, 0.3, []::varchar[], 1 FROM pages
 UNION ALL SELECT 'UserAgent', CASE WHEN page_id % 3 = 0 THEN 'curl/8.0' ELSE 'Mozilla/5.0 (X11)' END AS a, CASE WHEN a = 'curl/8.0' THEN 0.7 ELSE 0.2 END, CASE WHEN a = 'curl/8.0' THEN ['T1595'] ELSE []::varchar[] END, count(*)::bigint FROM pages GROUP BY 2
 UNION ALL SELECT 'FileHash', sha256(html), 0.4, []::varchar[], 1 FROM (SELECT DISTINCT html FROM pages WHERE html <> '')
-UNION ALL SELECT CASE WHEN client THEN 'Ja3Fingerprint' ELSE 'Ja3sFingerprint' END, ja3, 0.4, []::varchar[], 1 FROM {_HELLO_ROWS}) SELECT * FROM i""")
+UNION ALL SELECT CASE WHEN client THEN 'Ja3Fingerprint' ELSE 'Ja3sFingerprint' END, ja3, 0.4, []::varchar[], n FROM {_HELLO_ROWS}) SELECT * FROM i""")
 def ioc_union(spark, sf_dir):
     web = _web(spark, sf_dir)
     hellos = _nations(spark, sf_dir).select(F.when(_key() % 2 == 0, "client").otherwise("server").alias("hello"), F.md5(F.concat(F.lit("771,"), _key().cast("string"))).alias("ja3"))
@@ -481,21 +490,21 @@ def index_snippets(spark, sf_dir):
     return index.documents(_table(spark, sf_dir, "documents"), "documents", "doc_id", ("lang", "text")).select("id", "snippet")
 
 
-@query("SELECT '<tr><td>' || n_nationkey || '</td><td>' || replace(replace(n_name, '&', '&amp;'), '<', '&lt;') || '</td><td>&lt;a &amp; &quot;b&quot;&gt;</td></tr>' AS html FROM nation")
+@query(_grown("SELECT '<tr><td>' || n_nationkey || '</td><td>' || replace(replace(n_name, '&', '&amp;'), '<', '&lt;') || '</td><td>&lt;a &amp; &quot;b&quot;&gt;</td></tr>' AS html FROM nation"))
 def html_rows(spark, sf_dir):
     return export.html_rows(_nations(spark, sf_dir).select("n_nationkey", "n_name", F.lit('<a & "b">').alias("x")))
 
 
-@query("SELECT 'json' AS format, '{\"n_nationkey\":' || n_nationkey || ',\"x\":\"a,\\\"b\\\"\"}' AS line FROM nation UNION ALL SELECT 'csv', n_nationkey || ',\"a,\"\"b\"\"\"' FROM nation UNION ALL SELECT 'table', rpad(n_nationkey::varchar, 40, ' ') || '  ' || rpad('a,\"b\"', 40, ' ') FROM nation")
+@query(_grown("SELECT 'json' AS format, '{\"n_nationkey\":' || n_nationkey || ',\"x\":\"a,\\\"b\\\"\"}' AS line FROM nation UNION ALL SELECT 'csv', n_nationkey || ',\"a,\"\"b\"\"\"' FROM nation UNION ALL SELECT 'table', rpad(n_nationkey::varchar, 40, ' ') || '  ' || rpad('a,\"b\"', 40, ' ') FROM nation"))
 def output_formats(spark, sf_dir):
     rows = _nations(spark, sf_dir).select("n_nationkey", F.lit('a,"b"').alias("x"))
     one = lambda k: export.FORMATS[k](rows).select(F.lit(k).alias("format"), "line")
     return one("json").unionByName(one("csv")).unionByName(one("table"))
 
 
-@query("""SELECT n_nationkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size, CASE WHEN length(n_name) <= 8 THEN '****' ELSE substr(n_name, 1, 4) || '...' || right(n_name, 4) END AS masked,
+@query(_grown("""SELECT n_nationkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size, CASE WHEN length(n_name) <= 8 THEN '****' ELSE substr(n_name, 1, 4) || '...' || right(n_name, 4) END AS masked,
 CASE n_nationkey % 7 WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'FORMERR' WHEN 2 THEN 'SERVFAIL' WHEN 3 THEN 'NXDOMAIN' WHEN 4 THEN 'NOTIMP' WHEN 5 THEN 'REFUSED' ELSE 'UNKNOWN' END AS rcode, n_nationkey % 2 = 0 AS before, CASE n_nationkey % 3 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' ELSE 'Medium' END AS severity,
-CASE WHEN b % 9 > 7.5 THEN 'Encrypted' WHEN b % 9 > 6.5 THEN 'Compressed' WHEN b % 9 > 4.5 THEN 'Mixed' WHEN b % 9 > 2 THEN 'Structured' ELSE 'Repetitive' END AS class FROM (SELECT *, (n_nationkey * n_nationkey * n_nationkey * 400)::bigint AS b FROM nation)""")
+CASE WHEN b % 9 > 7.5 THEN 'Encrypted' WHEN b % 9 > 6.5 THEN 'Compressed' WHEN b % 9 > 4.5 THEN 'Mixed' WHEN b % 9 > 2 THEN 'Structured' ELSE 'Repetitive' END AS class FROM (SELECT *, (n_nationkey * n_nationkey * n_nationkey * 400)::bigint AS b FROM nation)"""))
 def scalar_names(spark, sf_dir):
     size = (_key() * _key() * _key() * 400).cast("long")
     seq = net.seq_before(F.when(_key() % 2 == 0, F.lit(4294967290)).otherwise(F.lit(5)), F.when(_key() % 2 == 0, F.lit(5)).otherwise(F.lit(4294967290)))
@@ -522,8 +531,8 @@ def http_parse(spark, sf_dir):
     return dissect.http_transactions(_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("flow_id"), req.alias("client"), res.alias("server"))).select("flow_id", "method", "uri", "status", "content_type", "response_size", "body_sha256")
 
 
-@query("""WITH n AS (SELECT n_nationkey::varchar AS flow_id, n_nationkey::int AS id, lower(replace(n_name, ' ', '')) || '.example' AS name, n_nationkey FROM nation)
-SELECT flow_id, id, true AS is_response, 0 AS rcode, name, 'A' AS type, NULL::bigint AS ttl, NULL::varchar AS data FROM n UNION ALL SELECT flow_id, id, true, 0, name, 'A', 300 + n_nationkey, '192.0.2.' || n_nationkey FROM n UNION ALL SELECT flow_id, id, true, 0, name, 'TXT', 60, 'v=' || n_nationkey FROM n UNION ALL SELECT flow_id, id, true, 0, name, 'MX', 60, name FROM n""")
+@query(_grown("""WITH n AS (SELECT n_nationkey::varchar AS flow_id, n_nationkey::int AS id, lower(replace(n_name, ' ', '')) || '.example' AS name, n_nationkey FROM nation)
+SELECT flow_id, id, true AS is_response, 0 AS rcode, name, 'A' AS type, NULL::bigint AS ttl, NULL::varchar AS data FROM n UNION ALL SELECT flow_id, id, true, 0, name, 'A', 300 + n_nationkey, '192.0.2.' || n_nationkey FROM n UNION ALL SELECT flow_id, id, true, 0, name, 'TXT', 60, 'v=' || n_nationkey FROM n UNION ALL SELECT flow_id, id, true, 0, name, 'MX', 60, name FROM n"""))
 def dns_parse(spark, sf_dir):
     """A response per nation: an address, a text and a mail host, by compressed names; every second one over TCP."""
     label = F.lower(F.replace(_name(), F.lit(" "), F.lit("")))
@@ -569,7 +578,7 @@ def event_times(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", case.rfc3339(at).alias("at"), case.seconds_between(F.lit(1704067200000000), at).alias("seconds"))
 
 
-@query("SELECT n_nationkey, 'hex' AS chain, n_name || '/' || n_nationkey AS decoded FROM nation WHERE length(n_name || '/' || n_nationkey) > 3 UNION ALL SELECT n_nationkey, 'hex|rot13', translate(n_name || '/' || n_nationkey, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'NOPQRSTUVWXYZABCDEFGHIJKLM') FROM nation")
+@query(_grown("SELECT n_nationkey, 'hex' AS chain, n_name || '/' || n_nationkey AS decoded FROM nation WHERE length(n_name || '/' || n_nationkey) > 3 UNION ALL SELECT n_nationkey, 'hex|rot13', translate(n_name || '/' || n_nationkey, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'NOPQRSTUVWXYZABCDEFGHIJKLM') FROM nation"))
 def decoded_strings(spark, sf_dir):
     """Names in hexadecimal (with a mark that no other decoder takes), as far as two steps tell; the hexadecimal text turned by 13 is left out."""
     rows = _nations(spark, sf_dir).select("n_nationkey", _digits(F.concat(_name(), F.lit("/"), _key().cast("string"))).alias("text"))
