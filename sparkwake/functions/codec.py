@@ -6,6 +6,7 @@ import base64
 import binascii
 import re
 import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -63,22 +64,22 @@ def rot13(data: bytes) -> bytes:
     return data.translate(bytes.maketrans(up + low, up[13:] + up[:13] + low[13:] + low[:13]))
 
 
-def _inflate(data: bytes, bits: int) -> bytes | None:
-    """What data unpacks to; None if it is broken, or more than MAX_OUTPUT bytes."""
+def _inflate(data: bytes, bits: int, most: int) -> bytes | None:
+    """What data unpacks to; None if it is broken, or more than `most` bytes."""
     try:
         unpacking = zlib.decompressobj(bits)
-        out = unpacking.decompress(data, MAX_OUTPUT)
+        out = unpacking.decompress(data, most)
         return None if unpacking.unconsumed_tail else out or None
     except zlib.error:
         return None
 
 
-def un_gzip(data: bytes) -> bytes | None:
-    return _inflate(data, 31) if data[:2] == b"\x1f\x8b" else None
+def un_gzip(data: bytes, most: int = MAX_OUTPUT) -> bytes | None:
+    return _inflate(data, 31, most) if data[:2] == b"\x1f\x8b" else None
 
 
-def un_zlib(data: bytes) -> bytes | None:
-    return _inflate(data, 15) if data[:1] == b"\x78" else None
+def un_zlib(data: bytes, most: int = MAX_OUTPUT) -> bytes | None:
+    return _inflate(data, 15, most) if data[:1] == b"\x78" else None
 
 
 def xor(data: bytes, key: int) -> bytes:
@@ -93,15 +94,23 @@ def xor_search(data: bytes) -> tuple[int, bytes] | None:
 
 
 STEPS = {"base64": un_base64, "base32": un_base32, "hex": un_hex, "url": un_url, "url_decode": un_url, "rot13": rot13, "gunzip": un_gzip, "gzip": un_gzip, "zlib": un_zlib}
+_BOUNDED = ("gunzip", "gzip", "zlib")
 
 
-def apply_chain(data: bytes, chain: str) -> bytes:
-    """Decodes by steps parted by `|`: a name of STEPS or xor:KEY. Raises ValueError for unknown or failing steps."""
+def _step(name: str, data: bytes, most: int) -> bytes | None:
+    return STEPS[name](data, most) if name in _BOUNDED else STEPS[name](data)
+
+
+def apply_chain(data: bytes, chain: str, most: int = MAX_OUTPUT) -> bytes:
+    """Decodes by steps parted by `|`: a name of STEPS or xor:KEY. Raises ValueError for unknown or failing steps.
+
+    A step that unpacks to more than `most` bytes fails.
+    """
     for step in (x.strip() for x in chain.split("|")):
         if step.startswith("xor:"):
             out = xor(data, int(step[4:], 0) & 0xFF)
         elif step in STEPS:
-            out = STEPS[step](data)
+            out = _step(step, data, most)
         else:
             raise ValueError(f"unknown step {step!r}")
         if out is None:
@@ -110,27 +119,27 @@ def apply_chain(data: bytes, chain: str) -> bytes:
     return data
 
 
-def decodings(data: bytes) -> list[tuple[str, bytes]]:
+def decodings(data: bytes, most: int = MAX_OUTPUT) -> list[tuple[str, bytes]]:
     """What each decoder makes of data, in a fixed order."""
     out = [(n, x) for n in ("base64", "base32", "hex") if (x := STEPS[n](data))]
     if b"%" in data and (x := un_url(data)):
         out.append(("url", x))
     if printable(data) and (x := rot13(data)) != data:
         out.append(("rot13", x))
-    out += [(n, x) for n in ("gunzip", "zlib") if (x := STEPS[n](data))]
+    out += [(n, x) for n in ("gunzip", "zlib") if (x := _step(n, data, most))]
     if found := xor_search(data):
         out.append((f"xor:0x{found[0]:02x}", found[1]))
     return out
 
 
-def auto_decode(data: bytes, depth: int = 3) -> list[tuple[list[str], bytes]]:
+def auto_decode(data: bytes, depth: int = 3, most: int = MAX_OUTPUT) -> list[tuple[list[str], bytes]]:
     """(chain, output) of every chain up to depth, each output once, longest chains first."""
     found: dict[bytes, list[str]] = {}
 
     def walk(x: bytes, chain: list[str]) -> None:
         if len(chain) == depth:
             return
-        for name, out in decodings(x):
+        for name, out in decodings(x, most):
             if chain and chain[-1] == name == "rot13" or out == data or out in found:
                 continue
             found[out] = [*chain, name]
@@ -151,8 +160,8 @@ def _native(column, step: str):
     return F.when(text.rlike("^(?:[0-9a-fA-F]{2}){2,}$"), F.unhex(text))
 
 
-def decoded(column, chain: str):
-    """Column of bytes decoded by chain; null where a step fails."""
+def decoded(column, chain: str, most: int = MAX_OUTPUT):
+    """Column of bytes decoded by chain; null where a step fails, or unpacks to more than `most` bytes."""
     steps = [x.strip() for x in chain.split("|")]
     if set(steps) <= {"base64", "hex"}:
         for step in steps:
@@ -163,7 +172,7 @@ def decoded(column, chain: str):
     def run(values: pd.Series) -> pd.Series:
         def one(v):
             try:
-                return None if v is None else apply_chain(bytes(v), chain)
+                return None if v is None else apply_chain(bytes(v), chain, most)
             except ValueError:
                 return None
 
@@ -185,11 +194,28 @@ def entropy_class(bits) -> "F.Column":
     return F.when(bits > 7.5, "Encrypted").when(bits > 6.5, "Compressed").when(bits > 4.5, "Mixed").when(bits > 2.0, "Structured").otherwise("Repetitive")
 
 
+def auto_decoded(df: DataFrame, key: str, data: str = "data", depth: int = 3, most: int = MAX_OUTPUT) -> DataFrame:
+    """key, chain, data, printable: every output of every chain up to depth over bytes, a batch at a time."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "chain", "data", "printable"]
+        for b in batches:
+            ids, values = b.column(0), b.column(1)
+            for k in range(b.num_rows):
+                found = auto_decode(values[k].as_py(), depth, most) if values[k].is_valid else []
+                if found:
+                    chains, outs = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([k] * len(found))), pa.array(chains, pa.list_(pa.string())), pa.array(outs, pa.binary()), pa.array(map(printable, outs), pa.bool_())], names=names)
+
+    return df.select(key, F.col(data).cast("binary").alias("data")).mapInArrow(run, f"`{key}` {kind}, chain array<string>, data binary, printable boolean")
+
+
 def decoded_strings(df: DataFrame, key: str, text: str = "text", depth: int = 3) -> DataFrame:
     """key, chain, decoded: what texts decode to that is printable, another text and longer than three bytes."""
-    rows = df.where(F.col(text).isNotNull()).select(key, F.encode(F.col(text), "UTF-8").alias("_data"))
-    found = rows.lateralJoin(AutoDecode(F.col("_data").outer(), F.lit(depth)).alias("found"))
-    return found.where(F.col("printable") & (F.octet_length("found.data") > 3) & (F.col("found.data") != F.col("_data"))).select(key, F.array_join("chain", "|").alias("chain"), F.col("found.data").cast("string").alias("decoded"))
+    rows = df.where(F.col(text).isNotNull()).select(key, F.encode(F.col(text), "UTF-8").alias("data"))
+    found = auto_decoded(rows, key, "data", depth)
+    return found.where(F.col("printable") & (F.octet_length("data") > 3)).select(key, F.array_join("chain", "|").alias("chain"), F.col("data").cast("string").alias("decoded"))
 
 
 def register(spark: SparkSession) -> None:

@@ -273,6 +273,4 @@ def exec_summary(spark, sf_dir):
 def auto_decode(spark, sf_dir):
     b = F.base64(F.encode(F.hex(F.encode("text", "UTF-8")), "UTF-8"))
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(b, r"\s", "").cast("binary").alias("data"))
-    return rows.lateralJoin(codec.AutoDecode(F.col("data").outer(), F.lit(3)).alias("found")).select("doc_id", F.array_join("chain", "|").alias("chain"), "printable", F.md5("found.data").alias("digest"))
-
-
+    return codec.auto_decoded(rows, "doc_id").select("doc_id", F.array_join("chain", "|").alias("chain"), "printable", F.md5("data").alias("digest"))
