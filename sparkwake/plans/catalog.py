@@ -203,11 +203,11 @@ def c2_uri_match(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", detect.first_contained(F.col("url"), _PATHS).alias("pattern")).where("pattern is not null")
 
 
-@query("SELECT n_nationkey, md5('771,' || (n_nationkey + 4865)::varchar || '-49195,0-10-' || n_nationkey::varchar || ',29-23,0') AS ja3 FROM nation")
+@query("SELECT event_id, md5('771,' || (event_id % 97 + 4865)::varchar || '-49195,0-10-' || (event_id % 97)::varchar || ',29-23,0') AS ja3 FROM events")
 def ja3_hash(spark, sf_dir):
-    k = F.col("n_nationkey")
+    k = (F.col("event_id") % 97).cast("int")
     ints = lambda *x: F.array_join(F.transform(net.without_grease(F.array(*[v if not isinstance(v, int) else F.lit(v) for v in x])), lambda v: v.cast("string")), "-")
-    return _table(spark, sf_dir, "nation").select("n_nationkey", F.md5(F.concat_ws(",", F.lit("771"), ints(0x0A0A, k + 4865, 49195), ints(0, 10, k), ints(0x2A2A, 29, 23), F.lit("0"))).alias("ja3"))
+    return _table(spark, sf_dir, "events").select("event_id", F.md5(F.concat_ws(",", F.lit("771"), ints(0x0A0A, k + 4865, 49195), ints(0, 10, k), ints(0x2A2A, 29, 23), F.lit("0"))).alias("ja3"))
 
 
 @query(f"WITH {NAMES} SELECT root, count(*)::bigint AS n, count(*) FILTER (rcode = 3)::bigint AS nxdomain, count(*) > 10 AS hit FROM names GROUP BY 1")
