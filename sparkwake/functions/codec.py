@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
@@ -18,26 +17,35 @@ from pyspark.sql import functions as F
 from sparkwake.functions.text import entropy_of
 
 MAX_OUTPUT = 16 << 20
-_PRINTABLE = np.zeros(256, bool)
-_PRINTABLE[32:127] = True
-_PRINTABLE[[9, 10, 13]] = True
+_PRINTABLE = bytes([9, 10, 13, *range(32, 127)])
+#: By byte and key: 1 if the byte is printable under the key.
+_UNDER = np.isin(np.arange(256)[:, None] ^ np.arange(256), list(_PRINTABLE)).astype(np.float32)
+_BASE64, _BASE32, _HEX = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", b"0123456789abcdefABCDEF"
+_ROT13 = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm")
+#: Outputs that leave a task together: rows and bytes; and up to how many bytes a value is looked up among those before.
+_ROWS, _BYTES, _SHORT = 10_000, 4 << 20, 256
 
 
 def printable(data: bytes) -> bool:
     """Over 85 in 100 bytes are printable."""
-    return bool(data) and float(_PRINTABLE[np.frombuffer(data, np.uint8)].mean()) > 0.85
+    return bool(data) and (len(data) - len(data.translate(None, _PRINTABLE))) / len(data) > 0.85
+
+
+def _only(text: bytes, letters: bytes) -> bool:
+    return not text[:64].translate(None, letters) and not text.translate(None, letters)
 
 
 def un_base64(data: bytes) -> bytes | None:
     text = data.strip()
-    if len(text) < 4 or len(text) % 4 or not re.fullmatch(rb"[A-Za-z0-9+/]+={0,2}", text):
+    if len(text) < 4 or len(text) % 4:
         return None
-    return base64.b64decode(text) or None
+    body = text.rstrip(b"=")
+    return binascii.a2b_base64(text) or None if body and len(text) - len(body) <= 2 and _only(body, _BASE64) else None
 
 
 def un_base32(data: bytes) -> bytes | None:
     text = data.strip().rstrip(b"=")
-    if len(text) < 8 or not re.fullmatch(rb"[A-Z2-7]+", text):
+    if len(text) < 8 or not _only(text, _BASE32):
         return None
     try:
         return base64.b32decode(text + b"=" * (-len(text) % 8)) or None
@@ -46,8 +54,10 @@ def un_base32(data: bytes) -> bytes | None:
 
 
 def un_hex(data: bytes) -> bytes | None:
-    text = b"".join(data.split())
-    return bytes.fromhex(text.decode()) if len(text) >= 4 and len(text) % 2 == 0 and re.fullmatch(rb"[0-9a-fA-F]+", text) else None
+    if not _only(data[:64], _HEX + b" \t\n\r\x0b\f"):
+        return None
+    text = data.translate(None, b" \t\n\r\x0b\f")
+    return binascii.unhexlify(text) if len(text) >= 4 and len(text) % 2 == 0 and _only(text, _HEX) else None
 
 
 def un_url(data: bytes) -> bytes | None:
@@ -60,8 +70,7 @@ def un_url(data: bytes) -> bytes | None:
 
 
 def rot13(data: bytes) -> bytes:
-    up, low = bytes(range(65, 91)), bytes(range(97, 123))
-    return data.translate(bytes.maketrans(up + low, up[13:] + up[:13] + low[13:] + low[:13]))
+    return data.translate(_ROT13)
 
 
 def _inflate(data: bytes, bits: int, most: int) -> bytes | None:
@@ -90,7 +99,9 @@ def xor_search(data: bytes) -> tuple[int, bytes] | None:
     """The first key that makes unprintable data of at most 4096 bytes printable."""
     if not data or len(data) > 4096 or printable(data):
         return None
-    return next(((k, out) for k in range(1, 256) if printable(out := xor(data, k))), None)
+    shares = (np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(np.float32) @ _UNDER).astype(np.float64) / len(data)
+    keys = np.flatnonzero(shares[1:] > 0.85)
+    return (int(keys[0]) + 1, xor(data, int(keys[0]) + 1)) if len(keys) else None
 
 
 STEPS = {"base64": un_base64, "base32": un_base32, "hex": un_hex, "url": un_url, "url_decode": un_url, "rot13": rot13, "gunzip": un_gzip, "gzip": un_gzip, "zlib": un_zlib}
@@ -195,18 +206,33 @@ def entropy_class(bits) -> "F.Column":
 
 
 def auto_decoded(df: DataFrame, key: str, data: str = "data", depth: int = 3, most: int = MAX_OUTPUT) -> DataFrame:
-    """key, chain, data, printable: every output of every chain up to depth over bytes, a batch at a time."""
+    """key, chain, data, printable: every output of every chain up to depth over bytes, a batch at a time.
+
+    Short values that a batch holds several times are decoded once.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, "chain", "data", "printable"]
         for b in batches:
             ids, values = b.column(0), b.column(1)
+            known: dict[bytes, list] = {}
+            rows: list[int] = []
+            held: list[tuple[list[str], bytes, bool]] = []
+            size = 0
             for k in range(b.num_rows):
-                found = auto_decode(values[k].as_py(), depth, most) if values[k].is_valid else []
-                if found:
-                    chains, outs = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([k] * len(found))), pa.array(chains, pa.list_(pa.string())), pa.array(outs, pa.binary()), pa.array(map(printable, outs), pa.bool_())], names=names)
+                value = values[k].as_py()
+                found = known.get(value, []) if value is not None else []
+                if value is not None and not found:
+                    found = [(c, o, printable(o)) for c, o in auto_decode(value, depth, most)]
+                    if len(value) <= _SHORT:
+                        known[value] = found
+                rows += [k] * len(found)
+                held += found
+                size += sum(len(o) for _, o, _ in found)
+                if held and (len(held) >= _ROWS or size >= _BYTES or k + 1 == b.num_rows):
+                    chains, outs, shown = zip(*held, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(chains, pa.list_(pa.string())), pa.array(outs, pa.binary()), pa.array(shown, pa.bool_())], names=[key, "chain", "data", "printable"])
+                    rows, held, size = [], [], 0
 
     return df.select(key, F.col(data).cast("binary").alias("data")).mapInArrow(run, f"`{key}` {kind}, chain array<string>, data binary, printable boolean")
 
