@@ -3,9 +3,10 @@
 Passages of `documents` become TF-IDF vectors (damped counts) over telling words: all words of the benchmark but the
 most frequent ones, see below. A distributed randomised SVD of them, with the items' own passages weighing as much as
 the corpus's together, gives a latent space, in which every passage is held against every item; those whose
-cosine reaches `cosine` are retrieved. A word repeated beside an item lowers a cosine at will, so the cosine excludes
-nothing: every place that holds enough telling words of an item for a leak is a candidate, and `retrieved` tells
-which leaks the cosine finds.
+cosine reaches `cosine` are retrieved. A word repeated beside an item lowers a cosine at will, so where a passage's
+weight could bring a leak below `cosine`, the search asks only for the least that a leak must have left. What it
+retrieves, and nothing else, is then searched for places with enough telling words of an item for a leak; `retrieved`
+tells which leaks reach `cosine` itself.
 
 A candidate is a leak if some run of one and a half times the item's length holds, in order, at least `share` of the
 item's words (a longest common subsequence), and at least half of the telling words of the item's answer (its last
@@ -405,12 +406,36 @@ class Space:
         self.items = np.zeros((len(items.ids), self.basis.shape[1]), np.float32)
         has = np.unique(own_rows).astype(np.int64)
         self.items[has] = _product(own_cells, self.basis)
+        self.lost = np.zeros(len(items.ids))
+        self.lost[has] = _outside(own_cells, self.items[has])
+        self.least = np.array([_least(c, -(-n // 2), self.idf) for c, n in zip(items.counts, items.need.tolist(), strict=False)])
 
 
-def _found(texts: list[str], it: Items, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, s: Settings) -> Iterator[tuple]:
-    """(number of the text, item, lcs, answer, cosine, retrieved, start, stop), the best leak for each text and item."""
+def _outside(cells: tuple[np.ndarray, np.ndarray, np.ndarray], inside: np.ndarray) -> np.ndarray:
+    """At most how long the part of each row is that lies outside the space, given the part inside; 0.002 for rounding."""
+    whole = np.bincount(cells[0], cells[2] ** 2, len(inside))
+    return np.sqrt(np.maximum(whole - (inside.astype(np.float64) ** 2).sum(axis=1), 0)) + 2e-3 * np.sqrt(whole)
+
+
+def _least(words: np.ndarray, need: int, idf: np.ndarray) -> float:
+    """The least product of an item's vector with that of a passage which has `need` of the item's telling words."""
+    v, n = np.unique(words, return_counts=True)
+    each = ((1 + np.log(n)) * idf[v]) ** 2 / n  # what a further place of a word adds at least
+    order = np.argsort(each)
+    taken = np.minimum(n[order], np.maximum(need - (np.cumsum(n[order]) - n[order]), 0))
+    return float((taken * each[order]).sum())
+
+
+def _found(texts: list[str], it: Items, space: Space, s: Settings) -> Iterator[tuple]:
+    """(number of the text, item, lcs, answer, cosine, retrieved, start, stop), the best leak for each text and item.
+
+    Only items that the latent search retrieves for a text are aligned with it. Two passages hold all of a run, so one of
+    them has half the telling words that a leak needs, hence a least product with the item; where that asks for less than
+    the cosine does, since other words weigh much beside the item's, it is the bound, and no leak is passed over.
+    """
     stride = -(-it.window // 2)
-    unit = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]
+    size = np.maximum(np.linalg.norm(space.items, axis=1), 1e-12)
+    unit = space.items / size[:, None]
     split, doc, place, number = _hits(texts, it.vocabulary)
     if not len(doc):
         return
@@ -418,22 +443,32 @@ def _found(texts: list[str], it: Items, idf: np.ndarray, basis: np.ndarray, late
     key = doc * (1 << 32) + place // stride
     new = np.diff(key, prepend=-1) != 0
     windows = key[new]
-    z = _product(_cells(np.cumsum(new) - 1, number, idf), basis)
+    cells = _cells(np.cumsum(new) - 1, number, space.idf)
+    z = _product(cells, space.basis)
+    beside = _outside(cells, z)
     follows = np.diff(windows) == 1
     alone = ~(np.r_[follows, False] | np.r_[False, follows])
-    z, windows = np.concatenate([z[:-1][follows] + z[1:][follows], z[alone]]), np.concatenate([windows[:-1][follows], windows[alone]])
+    z, beside, windows = (np.concatenate([x, y[alone]]) for x, y in ((z[:-1][follows] + z[1:][follows], z), (beside[:-1][follows] + beside[1:][follows], beside), (windows[:-1][follows], windows)))
     order = np.argsort(windows)
-    z, windows = z[order], windows[order]
-    z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+    z, beside, windows = z[order], beside[order], windows[order]
+    length = np.maximum(np.linalg.norm(z, axis=1), 1e-12)
+    z /= length[:, None]
     near: dict[tuple[int, int], float] = {}
+    asked = np.zeros((len(texts), len(it.ids)), bool)
     for lo in range(0, len(windows), 4096):
-        cosine = z[lo : lo + 4096] @ unit.T
+        part = slice(lo, lo + 4096)
+        cosine = z[part] @ unit.T
         for k, i in zip(*(x.tolist() for x in np.nonzero(cosine >= s.cosine)), strict=True):
             key = int(windows[lo + k]) >> 32, i
             near[key] = max(near.get(key, -1.0), float(cosine[k, i]))
+        bound = (space.least - beside[part, None] * space.lost) / (length[part, None] * size)
+        k, i = np.nonzero(cosine >= np.minimum(s.cosine, bound - 1e-3))
+        asked[windows[lo + k] >> 32, i] = True
+    some = asked.any(axis=1)[doc]
+    doc, place, number = doc[some], place[some], number[some]
     best: dict[tuple[int, int], tuple] = {}
     for d, i, lo, hi in it.regions(doc, place, number):
-        found = it.leak(i, split[d][lo:hi])
+        found = it.leak(i, split[d][lo:hi]) if asked[d, i] else None
         if found and found[0] > best.get((d, i), (0,))[0]:
             best[d, i] = found[0], found[1], lo + found[2], lo + found[3]
     for (d, i), (lcs, answer, start, stop) in best.items():
@@ -443,7 +478,7 @@ def _found(texts: list[str], it: Items, idf: np.ndarray, basis: np.ndarray, late
 
 
 def _shared(docs: DataFrame, items: Items, space: Space, s: Settings):
-    return docs.sparkSession.sparkContext.broadcast((items, space.idf, space.basis, space.items, s))
+    return docs.sparkSession.sparkContext.broadcast((items, space, s))
 
 
 def _leaks(docs: DataFrame, items: Items, space: Space, s: Settings) -> DataFrame:

@@ -1,6 +1,7 @@
 """Leaks by word order against trying every run, and what counts as a word."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 from hypothesis import given, settings
@@ -51,6 +52,31 @@ def test_any_words(words):
         assert found.get(i, 0) == held(ITEMS, i, [w.encode() for w in words])
 
 
+def space_of(rng, rank):
+    """Any space at all: a random one of few dimensions over random weights of words."""
+    v = len(ITEMS.vocabulary)
+    idf, basis = rng.uniform(1, 6, v), np.linalg.qr(rng.standard_normal((v, rank)))[0].astype(np.float32)
+    cells = decontam._cells(np.repeat(np.arange(3), [len(c) for c in ITEMS.counts]), np.concatenate(ITEMS.counts), idf)
+    inside = decontam._product(cells, basis)
+    least = np.array([decontam._least(c, -(-n // 2), idf) for c, n in zip(ITEMS.counts, ITEMS.need.tolist(), strict=True)])
+    return SimpleNamespace(idf=idf, basis=basis, items=inside, lost=decontam._outside(cells, inside), least=least)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from("abcdefghijkmoqtuvxyz"), max_size=200), st.integers(0, 99), st.integers(1, 12), st.sampled_from(["", "q ", "a zz "]))
+def test_retrieval_loses_no_leak_in_any_space(words, seed, rank, again):
+    words = [*words, *(again * 60).split(), *words[:7]]
+    found = {i: share for _, i, share, *_ in decontam._found([" ".join(words)], ITEMS, space_of(np.random.default_rng(seed), rank), decontam.Settings(telling=2))}
+    assert found == searched(ITEMS, words)
+
+
+def test_only_what_is_retrieved_is_aligned():
+    text, space = "n n a b c d e f g h i j m", space_of(np.random.default_rng(1), 12)
+    assert [x[1] for x in decontam._found([text], ITEMS, space, decontam.Settings(telling=2))] == [0]
+    space.items, space.least = -space.items, np.full(3, np.inf)
+    assert list(decontam._found([text], ITEMS, space, decontam.Settings(telling=2))) == []
+
+
 def test_edits_with_repeats():
     rng = np.random.default_rng(3)
     for _ in range(200):
