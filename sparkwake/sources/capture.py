@@ -42,7 +42,7 @@ def decode_ip(data: bytes) -> dict | None:
         if head < 20 or len(data) < head:
             return None
         kind, ttl, ip_id = data[9], data[8], struct.unpack_from(">H", data, 4)[0]
-        src, dst = (str(ipaddress.IPv4Address(data[k : k + 4])) for k in (12, 16))
+        src, dst = ("%d.%d.%d.%d" % tuple(data[k : k + 4]) for k in (12, 16))
         if struct.unpack_from(">H", data, 6)[0] & 0x1FFF:
             return None  # a later fragment
         body = data[head : max(total, head) if total else len(data)]
@@ -366,16 +366,17 @@ def decode(contents: DataFrame, path: str = "path", content: str = "content") ->
     kind = pa.schema([pa.field("index", pa.int64()), *KIND])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(name: str, data: bytes) -> Iterator[tuple]:
-            capture = opened(io.BytesIO(data), len(data))
-            file_us = started(capture) if capture else 0
-            for n, r in enumerate(records(io.BytesIO(data), len(data))):
-                if row := packet(name, file_us, r):
-                    yield n, *row
-
-        for b in parts:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                yield from batches(rows(name, data.as_py() or b""), kind)
+        def rows() -> Iterator[tuple]:
+            for b in parts:
+                for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                    data = content.as_py() or b""
+                    file_us = 0
+                    for n, r in enumerate(records(io.BytesIO(data), len(data))):
+                        file_us = file_us if n else r.micros or 0  # as started() tells
+                        if row := packet(name, file_us, r):
+                            yield n, *row
+
+        yield from batches(rows(), kind)
 
     return contents.select(contents[path].cast("string").alias("path"), contents[content].alias("content")).mapInArrow(run, f"index long, {SCHEMA}")
 
