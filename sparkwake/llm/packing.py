@@ -21,16 +21,20 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwake.llm.common import materialize, tasks, text_or_empty
 
 CAPACITY = 2048
-_CHUNK = 2_000_000
+_CHUNK = 16 << 20  # bytes of text whose words are encoded together
+#: Closing punctuation; special tokens may end in `>`, and parts may begin with an apostrophe.
+_TAIL = ".,;:!?#$%*&@^~+=/-_)]}"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -39,79 +43,89 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _ends_in_letter(raw: bytes, text: str) -> bool:
-    """Whether a word ends in a letter once it is normalised and folded."""
-    return raw[-1:].isalpha() or raw[-1] > 127 and unicodedata.normalize("NFC", text).lower()[-1:].isalpha()
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, "<u4")
+
+
+def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian uint32, put together from the ids of their words.
 
-    Only for tokenizers whose tokens never span white space, drop it, fold case, and part letters from the rest,
-    as in vocabularies with word ends; remembers at most `keep` words. New words of letters are encoded as one
-    line, which costs less than a call for each.
+    Only for tokenizers whose tokens never span white space, drop it, fold case, part letters from the rest, and mark
+    the last token of a part by `</w>`. The different words of some texts are encoded once, those of letters in long
+    lines, which cost less than a call for each; nothing is remembered from one call to the next.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.of, self.known, self.keep = Tokenizer.from_file(path), {}, keep
-
-    def _alone(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), 10_000):
-            some = words[lo : lo + 10_000]
-            for w, e in zip(some, self.of.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
-        known = self.known
-        cores = {w: w.rstrip(b".,;:!?") for w in new}
-        parts = [c for c in {*cores.values(), *new} - known.keys() if c]
-        letters, others = [], []
-        for w, u in zip(parts, b"\n".join(parts).decode().split("\n") if parts else [], strict=True):
-            if u.isalpha():
-                letters.append(w)
-            else:
-                others.append((w, u))
-        line = b" ".join(letters).decode()
-        if not unicodedata.is_normalized("NFC", line) or not line.lower().replace(" ", "a").isalpha():
-            self._alone(letters)  # a letter that folding takes apart
-            letters = []
-        for lo in range(0, len(letters), 5_000):
-            some = letters[lo : lo + 5_000]
-            e = self.of.encode(b" ".join(some).decode(), add_special_tokens=False)
-            cuts = (4 * np.flatnonzero(np.diff(np.asarray(e.word_ids, np.int64), prepend=-1))).tolist()
-            raw = np.asarray(e.ids, "<u4").tobytes()
-            if len(cuts) != len(some):
-                self._alone(some)
-                continue
-            cuts.append(len(raw))
-            known.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
-        # Closing punctuation is parted from a letter before it.
-        whole, tails = [], {}
-        for w, u in others:
-            core = cores.get(w, w)
-            if core in known and len(core) < len(w) and _ends_in_letter(core, u[: len(u) - len(w) + len(core)]):
-                tails.setdefault(w[len(core) :], []).append((w, core))
-            else:
-                whole.append(w)
-        self._alone(whole)
-        for tail, some in tails.items():
-            end = np.asarray(self.of.encode(tail.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            for w, core in some:
-                known[w] = known[core] + end
+        self.of = Tokenizer.from_file(path)
+        vocab = self.of.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for lo in range(0, len(texts), 10_000) for e in self.of.encode_batch_fast(texts[lo : lo + 10_000], add_special_tokens=False)]
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of words that are one part each."""
+        lengths, ids = [], []
+        for lo in range(0, len(words), 5_000):
+            some = words[lo : lo + 5_000].to_pylist()
+            (found,) = self._alone([" ".join(some)])
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(found):
+                each = self._alone(some)
+                cuts, found = np.cumsum([len(x) for x in each]), _joined(each)
+            lengths.append(np.diff(cuts, prepend=0))
+            ids.append(found)
+        return _joined(lengths), _joined(ids)
+
+    def _words(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each word: letters and the punctuation behind them apart, all others as they are."""
+        found = pc.utf8_rtrim(words, characters=_TAIL).dictionary_encode()
+        cores, core = found.dictionary, found.indices.to_numpy()
+        letters = pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False)
+        line = " ".join(cores.filter(pa.array(letters)).to_pylist())
+        if not _foldable(line.replace(" ", "")):
+            letters = np.array([x and _foldable(w) for x, w in zip(letters, cores.to_pylist(), strict=True)], bool)
+        apart = letters[core]
+        size = pc.binary_length(cores).to_numpy()[core]
+        more = apart & (pc.binary_length(words).to_numpy() > size)
+        tails = pa.array([w[n:] for w, n in zip(words.cast(pa.binary()).filter(pa.array(more)).to_pylist(), size[more].tolist(), strict=True)], pa.binary()).dictionary_encode()
+        others = self._alone([t.decode() for t in tails.dictionary.to_pylist()] + words.filter(pa.array(~apart)).to_pylist())
+        lengths, ids = self._letters(cores.filter(pa.array(letters)))
+        count, n_tails = len(lengths), len(tails.dictionary)
+        parts = _lists(np.concatenate([lengths, [len(x) for x in others], [0]]), _joined([ids, *others]))
+        at = np.full((len(words), 2), len(parts) - 1)  # two parts a word, the second one mostly the empty last
+        at[apart, 0] = (np.cumsum(letters) - 1)[core[apart]]
+        at[more, 1] = count + tails.indices.to_numpy()
+        at[~apart, 0] = count + n_tails + np.arange(len(words) - np.count_nonzero(apart))
+        taken = parts.take(pa.array(at.ravel()))
+        return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[::2]), taken.values)
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text begin and the last ones end; the ids of all texts."""
+        # Special tokens keep their case, and so do letters that a mark may compose with before they are folded.
+        kept = pc.match_substring_regex(texts, r"<\||[\x{300}-\x{37f}]")
+        words = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
+        each, first = words.values.dictionary_encode(), words.offsets.to_numpy()
+        del words  # as large as the texts
+        ids = self._words(each.dictionary).take(each.indices)
+        return ids.offsets.to_numpy()[first], ids.values.to_numpy()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        raw = [t.encode("utf-8", "replace") for t in texts]
-        # Special tokens keep their case, and so do letters that a mark may compose with before they are folded.
-        split = [t.split() if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower().split() for t in raw]
-        new = set().union(*split)
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-        self._learn({w for w in new if w not in self.known})
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        at, ids = self.tokens(pa.array([t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string()))
+        return [ids[lo:hi].tobytes() for lo, hi in pairwise(at.tolist())]
+
+
+def _foldable(letters: str) -> bool:
+    """Whether letters are normalised, and folding leaves them letters."""
+    return unicodedata.is_normalized("NFC", letters) and (not letters or letters.lower().isalpha())
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -124,18 +138,18 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text")
             rows: list[tuple[int, int, int, int, int]] = []
+            chunk = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1) // _CHUNK
             lo = 0
             while lo < len(texts):
-                hi, size, some = lo, 0, []
-                while hi < len(texts) and (not size or size < _CHUNK):
-                    some.append(texts[hi].as_py())
-                    size += len(some[-1]) + 1
-                    hi += 1
-                for at, raw in enumerate(tok.encode(some), lo):
-                    raw += end
+                hi = int(np.searchsorted(chunk, chunk[lo], "right"))
+                places, some = tok.tokens(texts[lo:hi])
+                for at, (begin, stop) in enumerate(pairwise(places.tolist()), lo):
+                    raw = some[begin:stop].tobytes() + end
                     for k, start in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[start : start + 4 * capacity]
                         rows.append((at, k, start // 4, len(part) // 4, zlib.crc32(part)))
+                del some
+                pa.default_memory_pool().release_unused()  # workers outlive their tasks
                 lo = hi
             if rows:
                 at, k, start, length, crc = (np.array(x, np.int64) for x in zip(*rows, strict=True))

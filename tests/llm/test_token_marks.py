@@ -32,3 +32,26 @@ LETTERS = "aTHJWYwIİßſKÅéÉņ̱̃̈̌̊́ͅ.,'!-<|> \n　 "
 def test_any_text(both, texts):
     words, whole = both
     assert words.encode(texts) == list(map(whole, texts))
+
+
+def test_words_are_encoded_once_whatever_closes_them(both, monkeypatch):
+    tok, plain = both
+    of, seen = tok.of, []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(of, name)
+
+        def encode(self, text, **more):
+            seen.extend(text.split())
+            return of.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(w for t in texts for w in t.split())
+            return of.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(tok, "of", Counting())
+    words = [f"{a}{b}{c}ley" for a in "bcdf" for b in "aeio" for c in "lmnr"]
+    texts = [" ".join(w + tail for w in words) for tail in ("", ".", "###", "***", "%%%", "?!)", "$$$,")]
+    assert tok.encode(texts) == [plain(t) for t in texts]
+    assert len(seen) <= len(words) + len(texts)
