@@ -44,13 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import materialize, text_or_empty
+from sparkwake.llm.common import frugal, materialize, text_or_empty
 
 _BREAKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 #: First bytes in UTF-8 of characters that may be marks, or belong to scripts without spaces.
 _ODD = bytes([0xC2, 0xCB, 0xCD, 0xD6, *range(0xD7, 0xDD), *range(0xE0, 0xF5)])
 _TIMES = (b"\xc3\x97", b"\xc3\xb7")
-_CHUNK = 2_000_000
+_CHUNK = 500_000
 _POSTINGS = 2_000_000
 _SLICE = 16
 
@@ -342,7 +342,7 @@ class Space:
                     cells, times = np.unique(rows * v + number, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([passages], pa.int64()), pa.array([cells.tobytes()], pa.binary()), pa.array([times.astype(np.int32).tobytes()], pa.binary())], names=["passages", "cells", "times"])
 
-        table = materialize(docs.select(text_or_empty().alias("text")).mapInArrow(count, "passages long, cells binary, times binary"), "passages")
+        table = materialize(docs.select(text_or_empty().alias("text")).mapInArrow(frugal(count), "passages long, cells binary, times binary"), "passages")
 
         def read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """The cells (row times v plus column) of each group of passages, and how often each has its word."""
@@ -359,7 +359,7 @@ class Space:
 
         sparse = table.select("cells", "times")
         df = np.zeros(v)
-        for r in sparse.mapInArrow(frequencies, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+        for r in sparse.mapInArrow(frugal(frequencies), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_pylist():
             df[r["key"]] = r["n"]
         passages = (table.agg(F.sum("passages").alias("n")).first()["n"] or 0) + len(items.ids)
         own = np.bincount(np.concatenate([np.unique(c) for c in items.counts] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=v)
@@ -388,7 +388,7 @@ class Space:
                 yield from _slices(out)
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([[weight] + [0.0] * (_SLICE - 1)])], names=["key", "part", "x"])
 
-            summed = materialize(_sums(sparse.mapInArrow(run, "key int, part int, x array<double>"), "x", _SLICE), "products")
+            summed = materialize(_sums(sparse.mapInArrow(frugal(run), "key int, part int, x array<double>"), "x", _SLICE), "products")
             mass_row = summed.where("key < 0").first()
             return _matrix(summed.where("key >= 0"), d_rows(dense, both), dense.shape[1]), mass_row["x"][0] if mass_row else 0.0
 
@@ -492,7 +492,7 @@ def _leaks(docs: DataFrame, items: Items, space: Space, s: Settings) -> DataFram
                 at, item, lcs, answer, cosine, retrieved, start, stop = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(item, pa.int32()), pa.array(lcs), pa.array(answer), pa.array(cosine), pa.array(retrieved), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "item", "lcs", "answer", "cosine", "retrieved", "start", "stop"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, item int, lcs double, answer double, cosine double, retrieved boolean, start long, stop long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, item int, lcs double, answer double, cosine double, retrieved boolean, start long, stop long")
 
 
 def _blocks(benchmark: DataFrame, s: Settings, id_col: str) -> Iterator[Items]:
@@ -534,5 +534,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None, id_c
                     keep[[lo + x[0] for x in _found(texts, *shared.value)]] = False
                 yield b.filter(pa.array(keep))
 
-        left = left.mapInArrow(run, docs.schema)
+        left = left.mapInArrow(frugal(run), docs.schema)
     return left

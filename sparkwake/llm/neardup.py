@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import WordHasher, fresh, materialize, mix, release, scope, sieve, sieve_place, sifted, text_or_empty
+from sparkwake.llm.common import WordHasher, fresh, frugal, materialize, mix, release, scope, sieve, sieve_place, sifted, text_or_empty
 
 
 @dataclass
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(least) if least else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "node", "sketch"])
 
-    return docs.select("doc_id", text_or_empty().alias("text"), text_key()).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, node binary, sketch array<long>")
+    return docs.select("doc_id", text_or_empty().alias("text"), text_key()).mapInArrow(frugal(run), f"doc_id {kind}, text_key long, n_shingles long, node binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -125,7 +125,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], names=["node", "members"])
 
     texts = docs.select(text_or_empty().alias("text"), sieve_place(F.col("doc_id"), text_key()).alias("at"))
-    return texts.mapInArrow(run, "node binary, members array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInArrow(frugal(run), "node binary, members array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -150,7 +150,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -
                 hit[i] = 100 * both >= s.percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(hit))
 
-    return whole.select("a", "b", "ma", "mb").mapInArrow(run, "a binary, b binary")
+    return whole.select("a", "b", "ma", "mb").mapInArrow(frugal(run), "a binary, b binary")
 
 
 def contract(links: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:

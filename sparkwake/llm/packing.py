@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import materialize, tasks, text_or_empty
+from sparkwake.llm.common import frugal, materialize, tasks, text_or_empty
 
 CAPACITY = 2048
 _CHUNK = 16 << 20  # bytes of text whose words are encoded together
@@ -149,13 +149,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                         part = raw[start : start + 4 * capacity]
                         rows.append((at, k, start // 4, len(part) // 4, zlib.crc32(part)))
                 del some
-                pa.default_memory_pool().release_unused()  # workers outlive their tasks
                 lo = hi
             if rows:
                 at, k, start, length, crc = (np.array(x, np.int64) for x in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(k.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class _Plan:
@@ -304,4 +303,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
-    return ranked.select(*columns).mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*columns).mapInArrow(frugal(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

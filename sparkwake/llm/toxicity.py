@@ -28,7 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import held_out, materialize, mix, text_or_empty
+from sparkwake.llm.common import frugal, held_out, materialize, mix, text_or_empty
 from sparkwake.llm.warc import _filesystem
 
 #: ASCII punctuation and control characters part words.
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
                 packed = [np.asarray(x, np.uint32).tobytes() for x in np.split(feature, cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.string()), pa.array(toxic[lo:hi], pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
-    path = materialize(chosen.mapInArrow(features, "doc_id string, toxic int, features binary"), "features").inputFiles()
+    path = materialize(chosen.mapInArrow(frugal(features), "doc_id string, toxic int, features binary"), "features").inputFiles()
     ids, marks_, sets = [], [], []
     for name in path:  # a file at a time, past the JVM, so that the driver holds each feature once
         files, at = _filesystem(unquote(name))
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
