@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
@@ -24,6 +25,7 @@ _BASE64, _BASE32, _HEX = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 _ROT13 = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm")
 #: Outputs that leave a task together: rows and bytes; and up to how many bytes a value is looked up among those before.
 _ROWS, _BYTES, _SHORT = 10_000, 4 << 20, 256
+_GROUP = 256  # values of a batch that are held as Python objects at a time
 
 
 def printable(data: bytes) -> bool:
@@ -171,6 +173,27 @@ def _native(column, step: str):
     return F.when(text.rlike("^(?:[0-9a-fA-F]{2}){2,}$"), F.unhex(text))
 
 
+def _chained(values: pa.Array, steps: list[str], most: int) -> pa.Array:
+    """values by steps. Steps of XOR pass over the bytes of all values at once; else one value at a time is unpacked."""
+    if values.type == pa.binary() and all(re.fullmatch("xor:(0|[1-9][0-9]*|0x[0-9a-fA-F]+)", x) for x in steps):
+        key = 0
+        for x in steps:
+            key ^= int(x[4:], 0) & 0xFF
+        offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+        body = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] ^ np.uint8(key)
+        return pa.Array.from_buffers(pa.binary(), len(values), [pa.py_buffer(np.packbits(values.is_valid().to_numpy(zero_copy_only=False), bitorder="little")), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(body)])
+    chain, out = "|".join(steps), []
+    for lo in range(0, len(values), _GROUP):
+        found = []
+        for v in values[lo : lo + _GROUP]:
+            try:
+                found.append(apply_chain(v.as_py(), chain, most) if v.is_valid else None)
+            except ValueError:
+                found.append(None)
+        out.append(pa.array(found, pa.binary()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+
 def decoded(column, chain: str, most: int = MAX_OUTPUT):
     """Column of bytes decoded by chain; null where a step fails, or unpacks to more than `most` bytes."""
     steps = [x.strip() for x in chain.split("|")]
@@ -179,15 +202,9 @@ def decoded(column, chain: str, most: int = MAX_OUTPUT):
             column = _native(column, step)
         return column
 
-    @F.pandas_udf("binary")
-    def run(values: pd.Series) -> pd.Series:
-        def one(v):
-            try:
-                return None if v is None else apply_chain(bytes(v), chain, most)
-            except ValueError:
-                return None
-
-        return values.map(one)
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        return _chained(values, steps, most)
 
     return run(column)
 
