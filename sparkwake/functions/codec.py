@@ -30,7 +30,11 @@ _GROUP = 256  # values of a batch that are held as Python objects at a time
 
 def printable(data: bytes) -> bool:
     """Over 85 in 100 bytes are printable."""
-    return bool(data) and (len(data) - len(data.translate(None, _PRINTABLE))) / len(data) > 0.85
+    if len(data) < 1024:
+        return bool(data) and (len(data) - len(data.translate(None, _PRINTABLE))) / len(data) > 0.85
+    values = np.frombuffer(data, np.uint8)
+    count = np.count_nonzero(values - np.uint8(32) < 95)
+    return bool((count if count / len(data) > 0.85 else count + sum(np.count_nonzero(values == x) for x in (9, 10, 13))) / len(data) > 0.85)
 
 
 def _only(text: bytes, letters: bytes) -> bool:
@@ -42,7 +46,12 @@ def un_base64(data: bytes) -> bytes | None:
     if len(text) < 4 or len(text) % 4:
         return None
     body = text.rstrip(b"=")
-    return binascii.a2b_base64(text) or None if body and len(text) - len(body) <= 2 and _only(body, _BASE64) else None
+    if not body or len(text) - len(body) > 2 or body[:64].translate(None, _BASE64):
+        return None
+    try:
+        return binascii.a2b_base64(text, strict_mode=True) or None
+    except binascii.Error:
+        return None
 
 
 def un_base32(data: bytes) -> bytes | None:
@@ -59,7 +68,10 @@ def un_hex(data: bytes) -> bytes | None:
     if not _only(data[:64], _HEX + b" \t\n\r\x0b\f"):
         return None
     text = data.translate(None, b" \t\n\r\x0b\f")
-    return binascii.unhexlify(text) if len(text) >= 4 and len(text) % 2 == 0 and _only(text, _HEX) else None
+    try:
+        return binascii.unhexlify(text) if len(text) >= 4 and len(text) % 2 == 0 else None
+    except binascii.Error:
+        return None
 
 
 def un_url(data: bytes) -> bytes | None:
@@ -97,9 +109,9 @@ def xor(data: bytes, key: int) -> bytes:
     return (np.frombuffer(data, np.uint8) ^ np.uint8(key)).tobytes()
 
 
-def xor_search(data: bytes) -> tuple[int, bytes] | None:
-    """The first key that makes unprintable data of at most 4096 bytes printable."""
-    if not data or len(data) > 4096 or printable(data):
+def xor_search(data: bytes, shown: bool | None = None) -> tuple[int, bytes] | None:
+    """The first key that makes unprintable data of at most 4096 bytes printable; shown: whether data is, where known."""
+    if not data or len(data) > 4096 or (printable(data) if shown is None else shown):
         return None
     shares = (np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(np.float32) @ _UNDER).astype(np.float64) / len(data)
     keys = np.flatnonzero(shares[1:] > 0.85)
@@ -132,34 +144,40 @@ def apply_chain(data: bytes, chain: str, most: int = MAX_OUTPUT) -> bytes:
     return data
 
 
-def decodings(data: bytes, most: int = MAX_OUTPUT) -> list[tuple[str, bytes]]:
-    """What each decoder makes of data, in a fixed order."""
+def decodings(data: bytes, most: int = MAX_OUTPUT, shown: bool | None = None) -> list[tuple[str, bytes]]:
+    """What each decoder makes of data, in a fixed order; shown: whether data is printable, where known."""
+    shown = printable(data) if shown is None else shown
     out = [(n, x) for n in ("base64", "base32", "hex") if (x := STEPS[n](data))]
     if b"%" in data and (x := un_url(data)):
         out.append(("url", x))
-    if printable(data) and (x := rot13(data)) != data:
+    if shown and (x := rot13(data)) != data:
         out.append(("rot13", x))
     out += [(n, x) for n in ("gunzip", "zlib") if (x := _step(n, data, most))]
-    if found := xor_search(data):
+    if found := xor_search(data, shown):
         out.append((f"xor:0x{found[0]:02x}", found[1]))
     return out
 
 
 def auto_decode(data: bytes, depth: int = 3, most: int = MAX_OUTPUT) -> list[tuple[list[str], bytes]]:
     """(chain, output) of every chain up to depth, each output once, longest chains first."""
-    found: dict[bytes, list[str]] = {}
+    return [(c, o) for c, o, _ in _walked(data, depth, most)]
+
+
+def _walked(data: bytes, depth: int, most: int) -> list[tuple[list[str], bytes, bool]]:
+    """auto_decode with whether each output is printable, which is looked at once."""
+    found: dict[bytes, tuple[list[str], bool]] = {}
 
-    def walk(x: bytes, chain: list[str]) -> None:
+    def walk(x: bytes, chain: list[str], shown: bool) -> None:
         if len(chain) == depth:
             return
-        for name, out in decodings(x, most):
+        for name, out in decodings(x, most, shown):
             if chain and chain[-1] == name == "rot13" or out == data or out in found:
                 continue
-            found[out] = [*chain, name]
-            walk(out, found[out])
+            found[out] = [*chain, name], printable(out)
+            walk(out, *found[out])
 
-    walk(data, [])
-    return sorted(((c, o) for o, c in found.items()), key=lambda x: -len(x[0]))
+    walk(data, [], printable(data))
+    return sorted(((c, o, shown) for o, (c, shown) in found.items()), key=lambda x: -len(x[0]))
 
 
 def _native(column, step: str):
@@ -214,8 +232,7 @@ class AutoDecode:
     """auto_decode(data, depth) as a table function."""
 
     def eval(self, data: bytes, depth: int):
-        for chain, out in auto_decode(bytes(data), depth) if data is not None else []:
-            yield chain, out, printable(out)
+        yield from _walked(bytes(data), depth, MAX_OUTPUT) if data is not None else []
 
 
 def entropy_class(bits) -> "F.Column":
@@ -240,7 +257,7 @@ def auto_decoded(df: DataFrame, key: str, data: str = "data", depth: int = 3, mo
                 value = values[k].as_py()
                 found = known.get(value, []) if value is not None else []
                 if value is not None and not found:
-                    found = [(c, o, printable(o)) for c, o in auto_decode(value, depth, most)]
+                    found = _walked(value, depth, most)
                     if len(value) <= _SHORT:
                         known[value] = found
                 rows += [k] * len(found)

@@ -272,5 +272,7 @@ def exec_summary(spark, sf_dir):
 @query()
 def auto_decode(spark, sf_dir):
     b = F.base64(F.encode(F.hex(F.encode("text", "UTF-8")), "UTF-8"))
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(b, r"\s", "").cast("binary").alias("data"))
+    for end in "\r\n":
+        b = F.replace(b, F.lit(end), F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", b.cast("binary").alias("data"))
     return codec.auto_decoded(rows, "doc_id").select("doc_id", F.array_join("chain", "|").alias("chain"), "printable", F.md5("data").alias("digest"))
