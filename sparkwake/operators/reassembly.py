@@ -87,15 +87,21 @@ def parts(rows: DataFrame, size: int = CELL) -> DataFrame:
     return grouped.agg(F.min("at").alias("at"), F.expr("listagg(data) WITHIN GROUP (ORDER BY at)").alias("data"), (F.max("gap") > 0).alias("gap"))
 
 
-def streams(packets: DataFrame, most: int = 1 << 30, found: DataFrame | None = None) -> DataFrame:
+def streams(packets: DataFrame, most: int = 1 << 30, found: DataFrame | None = None, where: DataFrame | None = None) -> DataFrame:
     """flow_id, forward, data, gap, bytes of every direction with bytes.
 
     What stands on either side of a gap is joined. A direction of more than `most` bytes has null data: a value can't
-    hold it, but its segments and parts do.
+    hold it, but its segments and parts do. where: the intervals, found: the segments, if these are at hand.
+
+    Sizes are told by keys, so bytes are shuffled twice: to their places, and to their directions without those too large.
     """
-    rows = parts(segments(packets) if found is None else found)
-    sized = rows.groupBy(*WAY).agg(F.sum(F.octet_length("data")).alias("bytes"), F.max("gap").alias("gap"))
-    whole = rows.join(sized.where(F.col("bytes") <= most).select(*WAY), list(WAY), "left_semi").groupBy(*WAY).agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY part)").alias("data"))
+    if found is None:
+        where = materialize(intervals(packets), "intervals") if where is None else where
+        found = segments(packets, where)
+    sized = (found if where is None else where).groupBy(*WAY).agg(F.sum("size").alias("bytes"), (F.max("gap") > 0).alias("gap"))
+    large = sized.where(F.col("bytes") > most).select(*WAY)  # as few as fit all bytes; of a small bound maybe many
+    rows = parts(found.join(F.broadcast(large) if most >= CELL else large, list(WAY), "left_anti").repartition(*WAY))
+    whole = rows.groupBy(*WAY).agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY part)").alias("data"))
     return sized.join(whole, list(WAY), "left").select(*WAY, "data", "gap", "bytes")
 
 
