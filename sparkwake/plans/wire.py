@@ -11,7 +11,7 @@ from sparkwake.functions.text import flags
 from sparkwake.operators import case, detect, dissect, enrich, flows as flow_ops, reassembly, rules
 from sparkwake.plans.records import FOUND, _RANK
 from sparkwake.streaming import alerts
-from sparkwake.tables import new_path
+from sparkwake.tables import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,11 +83,12 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit(" flag{doc_"), F.col("doc_id").cast("string"), F.lit("}")), "UTF-8")
     d = _table(spark, sf_dir, "documents").select("doc_id", whole.alias("b"))
     k, n = F.col("k"), F.col("doc_id")
-    parts = d.select("doc_id", "b", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 500))).alias("k"))
+    sent = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 500)), lambda k: F.struct(k.alias("k"), F.substring("b", (k * 500 + 1).cast("int"), F.lit(530)).alias("payload")))
+    parts = d.select("doc_id", F.explode(sent).alias("x")).select("doc_id", "x.*")
     host = F.concat(F.lit("10."), F.floor(n / 65536).cast("string"), F.lit("."), (F.floor(n / 256) % 256).cast("string"), F.lit("."), (n % 256).cast("string"))
     return parts.select(
         F.lit("c.pcap").alias("path"), F.lit(0).cast("long").alias("file_us"), (n * 100_000 + k).alias("offset"), F.timestamp_millis(1_700_000_000_000 + n * 1000 + k).alias("ts"), host.alias("src_ip"), F.lit("203.0.113.1").alias("dst_ip"), F.lit(40000).alias("src_port"), F.lit(80).alias("dst_port"),
-        F.lit("tcp").alias("protocol"), F.lit(24).alias("flags"), ((F.lit(4294967000) + k * 500) % (1 << 32)).alias("seq"), F.substring("b", (k * 500 + 1).cast("int"), F.lit(530)).alias("payload"), F.lit(584).cast("long").alias("caplen"),
+        F.lit("tcp").alias("protocol"), F.lit(24).alias("flags"), ((F.lit(4294967000) + k * 500) % (1 << 32)).alias("seq"), "payload", F.lit(584).cast("long").alias("caplen"),
     )
 
 
@@ -97,9 +98,9 @@ SELECT 'flag{doc_' || doc_id || '}' AS flag, a::bigint AS start, b::bigint AS st
 def evidence_packets(spark, sf_dir):
     """The packets that each planted flag came in: the bytes that a packet repeats from the one before are that one's."""
     packets = flagged(spark, sf_dir)
-    where = reassembly.intervals(packets)
-    flows = case.from_packets(packets)
-    talk = dissect.conversations(reassembly.streams(packets, found=reassembly.segments(packets, where)), flows)
+    where = materialize(reassembly.intervals(packets), "intervals")
+    flows = materialize(case.from_packets(packets), "flows")
+    talk = materialize(dissect.conversations(reassembly.streams(packets, where=where), flows), "talk")
     told = dissect.stream_text(talk).select("flow_id", F.explode(flags(F.col("text"))).alias("value")).where("value like 'flag{doc\\\\_%'")
     found = case.evidence(told.select(F.col("value").alias("finding"), "flow_id", "value", F.lit(None).cast("long").alias("at")), talk, flows, where)
     return found.select(F.col("finding").alias("flag"), "start", "stop", "path", "first_offset", "last_offset", "packets", F.unix_micros("ts").alias("ts_us"))
