@@ -504,12 +504,14 @@ def dhcp_leases(segments: DataFrame) -> DataFrame:
 
     def step(state: Column, _: Column) -> Column:
         at, end = state["at"], F.struct(F.lit(1 << 30).cast("long").alias("at"), state["found"].alias("found"))
+        one = lambda k: F.substring(data, (at + k).cast("int"), F.lit(1))
         code, size = _number(data, at, 1), _number(data, at + 1, 1)
         body = F.substring(data, (at + 3).cast("int"), size.cast("int"))
         told = F.struct((at + 2 + F.octet_length(body)).alias("at"), F.concat(state["found"], F.array(F.struct(code.alias("code"), body.alias("body")))).alias("found"))
-        return F.when(code == 0, F.struct((at + 1).alias("at"), state["found"].alias("found"))).when(code.isNull() | (code == 255) | size.isNull(), end).otherwise(told)
+        pad = F.struct((at + 1).alias("at"), state["found"].alias("found"))
+        return F.when(at + 1 >= F.octet_length(data), state).when(one(1) == b"\x00", pad).when(one(1) == b"\xff", end).otherwise(told)
 
-    # An option takes two bytes at least; a byte of padding takes a step of its own.
+    # An option takes two bytes at least; a byte of padding takes a step of its own. Behind the end a step only looks at its place.
     options = F.aggregate(F.sequence(F.lit(1), F.octet_length("data") - 239), zero, step, lambda x: x["found"])
     rows = rows.select("flow_id", *more, "data", options.alias("x"))
     of = lambda code, fits=lambda b: F.lit(True): F.try_element_at(F.filter("x", lambda v: (v["code"] == code) & fits(v["body"])), F.lit(-1))["body"]
