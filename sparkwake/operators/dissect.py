@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkwake.functions.net import DNS_TYPES, ICMP_TYPES
 
+_GROUP = 256  # rows of a batch that are held as Python objects at a time
 METHODS = (b"GET", b"POST", b"PUT", b"HEAD", b"DELETE", b"OPTIONS", b"PATCH", b"CONNECT", b"TRACE")
 
 
@@ -309,7 +310,10 @@ TLS_SCHEMA = "flow_id string, hello string, version int, sni string, alpn array<
 
 
 def _rows(df: DataFrame, columns: list[str], schema: str, parse) -> DataFrame:
-    """parse (values of columns -> iterable of dicts) over Arrow batches; flow_id, ts and forward are carried along."""
+    """parse (values of columns -> iterable of dicts) over Arrow batches; flow_id, ts and forward are carried along.
+
+    _GROUP rows of a batch are Python objects at a time, and what they hold leaves before the next ones.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -318,7 +322,7 @@ def _rows(df: DataFrame, columns: list[str], schema: str, parse) -> DataFrame:
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, _GROUP) for whole in batches for lo in range(0, whole.num_rows, _GROUP)):
             own = zip(*(b.column(c).to_pylist() for c in carried), strict=True)
             rows = [dict(zip(carried, x, strict=True)) | r for x, *values in zip(own, *(b.column(c).to_pylist() for c in columns), strict=True) for r in parse(*values)]
             if rows:
