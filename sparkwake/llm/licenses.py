@@ -143,7 +143,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     bands = lambda rows, *by: rows.groupBy(*by).agg(*[F.min(v).alias(f"b{k}") for k, v in enumerate(_values(F.col("shingle")))]).select(*by, F.posexplode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band", "value"))
     own = known.select("template", "license", "size", "span", F.explode("shingles").alias("shingle"))
     met = bands(windows, *at).join(F.broadcast(bands(own, "template", "span")), ["span", "band", "value"]).select(*at, "template").distinct()
-    cut = windows.join(met, at).join(F.broadcast(own.drop("span")), ["template", "shingle"])
+    # A window costs far more in memory than its hits do in a file, so by the file's size Spark would broadcast all windows.
+    cut = windows.hint("merge").join(met, at).join(F.broadcast(own.drop("span")), ["template", "shingle"])
     key = ["text_key", "template", "license", "size", "window"]
     met = cut.groupBy(*key).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_list(F.struct("at", "shingle")).alias("hits")).withColumn("held", F.size(F.array_distinct(F.transform("hits", lambda x: x["shingle"]))))
     good = met.where(F.col("held") * 100 >= F.col("size") * PERCENT)
@@ -161,7 +162,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     keyed = rows.select("doc_id", F.when(F.col("text").rlike(rf"(?i)(?:{some})"), F.sha2("text", 256)).alias("text_key"))
     # Most texts hold no anchor; a join would send them all to one task.
     none = F.array().cast(found.schema["found"].dataType)
-    some = keyed.where(F.col("text_key").isNotNull()).join(found, "text_key", "left").withColumn("found", F.coalesce("found", none))
+    some = keyed.where(F.col("text_key").isNotNull()).join(found.hint("merge"), "text_key", "left").withColumn("found", F.coalesce("found", none))
     told = keyed.where(F.col("text_key").isNull()).withColumn("found", none).unionByName(some)
     told = told.select("doc_id", F.array_distinct(F.transform("found", lambda x: x["license"])).alias("licenses"), F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first"].cast("string"), x["stop"].cast("string"), x["percent"].cast("string"))).alias("spans"))
     return told.withColumn("n_licenses", F.size("licenses"))
