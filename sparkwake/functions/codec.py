@@ -41,10 +41,11 @@ def _only(text: bytes, letters: bytes) -> bool:
     return not text[:64].translate(None, letters) and not text.translate(None, letters)
 
 
-def un_base64(data: bytes) -> bytes | None:
+def un_base64(data: bytes, short: bool = False) -> bytes | None:
+    """short: nothing decodes to nothing; else it isn't taken for base64."""
     text = data.strip()
     if len(text) < 4 or len(text) % 4:
-        return None
+        return b"" if short and not text else None
     body = text.rstrip(b"=")
     if not body or len(text) - len(body) > 2 or body[:64].translate(None, _BASE64):
         return None
@@ -119,23 +120,24 @@ def xor_search(data: bytes, shown: bool | None = None) -> tuple[int, bytes] | No
 
 
 STEPS = {"base64": un_base64, "base32": un_base32, "hex": un_hex, "url": un_url, "url_decode": un_url, "rot13": rot13, "gunzip": un_gzip, "gzip": un_gzip, "zlib": un_zlib}
-_BOUNDED = ("gunzip", "gzip", "zlib")
+_BOUNDED, _GUARDED = ("gunzip", "gzip", "zlib"), ("base64",)
 
 
-def _step(name: str, data: bytes, most: int) -> bytes | None:
-    return STEPS[name](data, most) if name in _BOUNDED else STEPS[name](data)
+def _step(name: str, data: bytes, most: int, short: bool = False) -> bytes | None:
+    return STEPS[name](data, most) if name in _BOUNDED else STEPS[name](data, short) if name in _GUARDED else STEPS[name](data)
 
 
-def apply_chain(data: bytes, chain: str, most: int = MAX_OUTPUT) -> bytes:
+def apply_chain(data: bytes, chain: str, most: int = MAX_OUTPUT, short: bool = False) -> bytes:
     """Decodes by steps parted by `|`: a name of STEPS or xor:KEY. Raises ValueError for unknown or failing steps.
 
-    A step that unpacks to more than `most` bytes fails.
+    A step that unpacks to more than `most` bytes fails. Base64 of less than four letters fails too, unless with short,
+    for data that is known to be encoded.
     """
     for step in (x.strip() for x in chain.split("|")):
         if step.startswith("xor:"):
             out = xor(data, int(step[4:], 0) & 0xFF)
         elif step in STEPS:
-            out = _step(step, data, most)
+            out = _step(step, data, most, short)
         else:
             raise ValueError(f"unknown step {step!r}")
         if out is None:
@@ -180,18 +182,18 @@ def _walked(data: bytes, depth: int, most: int) -> list[tuple[list[str], bytes,
     return sorted(((c, o, shown) for o, (c, shown) in found.items()), key=lambda x: -len(x[0]))
 
 
-def _native(column, step: str):
+def _native(column, step: str, short: bool = False):
     """base64 and hex as built-in functions, with the guards of un_base64 and un_hex."""
     text = F.decode(column, "ISO-8859-1")
     if step == "base64":
         text = F.regexp_replace(text, r"^\s+|\s+$", "")
-        fits = text.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.char_length(text) % 4 == 0)
+        fits = text.rlike("^(?:[A-Za-z0-9+/]+={0,2})?$" if short else "^[A-Za-z0-9+/]+={0,2}$") & (F.char_length(text) % 4 == 0)
         return F.when(fits, F.try_to_binary(text, F.lit("base64")))
     text = F.regexp_replace(text, r"\s", "")
     return F.when(text.rlike("^(?:[0-9a-fA-F]{2}){2,}$"), F.unhex(text))
 
 
-def _chained(values: pa.Array, steps: list[str], most: int) -> pa.Array:
+def _chained(values: pa.Array, steps: list[str], most: int, short: bool = False) -> pa.Array:
     """values by steps. Steps of XOR pass over the bytes of all values at once; else one value at a time is unpacked."""
     if values.type == pa.binary() and all(re.fullmatch("xor:(0|[1-9][0-9]*|0x[0-9a-fA-F]+)", x) for x in steps):
         key = 0
@@ -205,24 +207,24 @@ def _chained(values: pa.Array, steps: list[str], most: int) -> pa.Array:
         found = []
         for v in values[lo : lo + _GROUP]:
             try:
-                found.append(apply_chain(v.as_py(), chain, most) if v.is_valid else None)
+                found.append(apply_chain(v.as_py(), chain, most, short) if v.is_valid else None)
             except ValueError:
                 found.append(None)
         out.append(pa.array(found, pa.binary()))
     return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
-def decoded(column, chain: str, most: int = MAX_OUTPUT):
-    """Column of bytes decoded by chain; null where a step fails, or unpacks to more than `most` bytes."""
+def decoded(column, chain: str, most: int = MAX_OUTPUT, short: bool = False):
+    """Column of bytes decoded by chain; null where a step fails, or unpacks to more than `most` bytes; short as in apply_chain."""
     steps = [x.strip() for x in chain.split("|")]
     if set(steps) <= {"base64", "hex"}:
         for step in steps:
-            column = _native(column, step)
+            column = _native(column, step, short)
         return column
 
     @F.arrow_udf("binary")
     def run(values: pa.Array) -> pa.Array:
-        return _chained(values, steps, most)
+        return _chained(values, steps, most, short)
 
     return run(column)
 
