@@ -65,12 +65,13 @@ def un_base32(data: bytes) -> bytes | None:
         return None
 
 
-def un_hex(data: bytes) -> bytes | None:
+def un_hex(data: bytes, short: bool = False) -> bytes | None:
+    """short: less than four digits, or none, are taken too."""
     if not _only(data[:64], _HEX + b" \t\n\r\x0b\f"):
         return None
     text = data.translate(None, b" \t\n\r\x0b\f")
     try:
-        return binascii.unhexlify(text) if len(text) >= 4 and len(text) % 2 == 0 else None
+        return binascii.unhexlify(text) if (short or len(text) >= 4) and len(text) % 2 == 0 else None
     except binascii.Error:
         return None
 
@@ -120,7 +121,7 @@ def xor_search(data: bytes, shown: bool | None = None) -> tuple[int, bytes] | No
 
 
 STEPS = {"base64": un_base64, "base32": un_base32, "hex": un_hex, "url": un_url, "url_decode": un_url, "rot13": rot13, "gunzip": un_gzip, "gzip": un_gzip, "zlib": un_zlib}
-_BOUNDED, _GUARDED = ("gunzip", "gzip", "zlib"), ("base64",)
+_BOUNDED, _GUARDED = ("gunzip", "gzip", "zlib"), ("base64", "hex")
 
 
 def _step(name: str, data: bytes, most: int, short: bool = False) -> bytes | None:
@@ -130,8 +131,8 @@ def _step(name: str, data: bytes, most: int, short: bool = False) -> bytes | Non
 def apply_chain(data: bytes, chain: str, most: int = MAX_OUTPUT, short: bool = False) -> bytes:
     """Decodes by steps parted by `|`: a name of STEPS or xor:KEY. Raises ValueError for unknown or failing steps.
 
-    A step that unpacks to more than `most` bytes fails. Base64 of less than four letters fails too, unless with short,
-    for data that is known to be encoded.
+    A step that unpacks to more than `most` bytes fails. Base64 and hex of less than four letters fail too, unless with
+    short, for data that is known to be encoded.
     """
     for step in (x.strip() for x in chain.split("|")):
         if step.startswith("xor:"):
@@ -190,7 +191,7 @@ def _native(column, step: str, short: bool = False):
         fits = text.rlike("^(?:[A-Za-z0-9+/]+={0,2})?$" if short else "^[A-Za-z0-9+/]+={0,2}$") & (F.char_length(text) % 4 == 0)
         return F.when(fits, F.try_to_binary(text, F.lit("base64")))
     text = F.regexp_replace(text, r"\s", "")
-    return F.when(text.rlike("^(?:[0-9a-fA-F]{2}){2,}$"), F.unhex(text))
+    return F.when(text.rlike(f"^(?:[0-9a-fA-F]{{2}}){{{0 if short else 2},}}$"), F.unhex(text))
 
 
 def _chained(values: pa.Array, steps: list[str], most: int, short: bool = False) -> pa.Array:

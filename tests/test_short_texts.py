@@ -9,7 +9,7 @@ from sparkwake.plans import catalog
 TEXTS = [None, "", "a", "\n", "\x00", " ", "ab", "\u00e9", "abc", "abcd", "====", "some words of text " * 99]
 
 
-@pytest.mark.parametrize("name", ["decode_base64"])
+@pytest.mark.parametrize("name", ["decode_base64", "decode_hex"])
 def test_every_text_is_decoded(spark, tmp_path, name):
     import duckdb
 
@@ -19,7 +19,7 @@ def test_every_text_is_decoded(spark, tmp_path, name):
     assert {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == set(con.execute(catalog.ORACLE_SQL[name]).fetchall())
 
 
-@pytest.mark.parametrize(("step", "encode"), [("base64", base64.b64encode)])
+@pytest.mark.parametrize(("step", "encode"), [("base64", base64.b64encode), ("hex", lambda t: t.hex().encode())])
 def test_short_inputs(spark, step, encode):
     """Only what is known to be encoded may be short; built-in functions and the decoders in chains agree on it."""
     plain = [t.encode() for t in TEXTS if t is not None]
